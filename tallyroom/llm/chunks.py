@@ -26,14 +26,15 @@ class Ragged:
         self.flat, self.used = np.empty(1 << 16, dtype), 0
         self.offsets, self.rows = np.zeros(1 << 14, np.int64), 0
 
-    def extend(self, rows: list) -> None:
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    def extend(self, rows: list | np.ndarray) -> None:
+        """``rows``: lists of numbers, or a matrix with a row for each."""
+        sizes = np.full(len(rows), rows.shape[1]) if isinstance(rows, np.ndarray) else np.fromiter(map(len, rows), np.int64, len(rows))
         need = self.used + int(sizes.sum())
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.empty(2 * need - self.used, self.flat.dtype)])
         if self.rows + len(rows) + 1 > len(self.offsets):
             self.offsets = np.concatenate([self.offsets[: self.rows + 1], np.empty(2 * (self.rows + len(rows)), np.int64)])
-        self.flat[self.used : need] = np.fromiter((x for r in rows for x in r), self.flat.dtype, need - self.used)
+        self.flat[self.used : need] = rows.ravel() if isinstance(rows, np.ndarray) else np.fromiter((x for r in rows for x in r), self.flat.dtype, need - self.used)
         self.offsets[self.rows + 1 : self.rows + 1 + len(rows)] = self.used + np.cumsum(sizes)
         self.used, self.rows = need, self.rows + len(rows)
 
@@ -68,6 +69,15 @@ class Cache:
         return self.table.flat[ragged(starts, counts)], counts
 
 
+def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of rows offsets[i] .. offsets[i+1]-1, each by itself; zeros for empty segments."""
+    out = np.zeros((len(offsets) - 1, *values.shape[1:]), values.dtype)
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        out[full] = np.add.reduceat(values, offsets[:-1][full], axis=0)
+    return out
+
+
 def chunked(col: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[str]]]:
     """For slices of rows: lo, hi, chunk offsets of the rows, chunk codes, the distinct chunks."""
     if isinstance(col, pa.ChunkedArray):

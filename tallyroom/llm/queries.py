@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyroom.llm import bpe_codec, token_coder
-from tallyroom.llm.tables import table
+from tallyroom.llm import bpe_codec, language_id, token_coder
+from tallyroom.llm.tables import fold, table
 
 
 def word_vocabulary() -> str:
@@ -23,6 +24,11 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), word_vocabulary(), keep=False)
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = language_id.identify(table(spark, sf_dir, "documents"), fold("doc_id", 3) != 1)
+    return said.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
