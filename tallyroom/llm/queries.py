@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm import bpe_codec, decontamination, language_id, token_coder
+from tallyroom.llm import bpe_codec, decontamination, language_id, repeated_phrases, token_coder
 from tallyroom.llm.tables import fold, table
 
 
@@ -25,6 +25,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_phrases.dedup_substrings(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), word_vocabulary(), keep=False)
 
@@ -39,4 +43,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontamination.ORACLE}
+    return {"op7_decontamination": decontamination.ORACLE, "op8_repeated_phrases": repeated_phrases.ORACLE}
