@@ -238,7 +238,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
 
         def flush() -> pa.RecordBatch:
             nonlocal k, doc_ids, held, counts, size
-            row = pa.RecordBatch.from_pydict({"shard": [k], "doc_ids": pa.array([doc_ids], schema_type), "counts": pa.array([np.concatenate(counts)], pa.list_(pa.int64())), "payload": pa.array([encode_shard(np.concatenate(held))], pa.binary())})
+            row = pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "doc_ids": pa.array([doc_ids], schema_type), "counts": pa.array([np.concatenate(counts)], pa.list_(pa.int64())), "payload": pa.array([encode_shard(np.concatenate(held))], pa.binary())})
             k, doc_ids, held, counts, size = k + 1, [], [], [], 0
             return row
 
