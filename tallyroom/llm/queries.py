@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm import bpe_codec, decontamination, language_id, repeated_phrases, token_coder
+from tallyroom.llm import bpe_codec, decontamination, language_id, near_duplicates, repeated_phrases, token_coder
 from tallyroom.llm.tables import fold, table
 
 
@@ -20,6 +20,10 @@ def op1_token_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_coder.read_shards(token_coder.write_shards(shards))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
