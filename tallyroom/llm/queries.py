@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm import bpe_codec, decontamination, language_id, near_duplicates, repeated_phrases, token_coder
+from tallyroom.llm import bpe_codec, decontamination, language_id, near_duplicates, repeated_phrases, site_templates, tiff_media, token_coder
 from tallyroom.llm.tables import fold, table
 
 
@@ -24,6 +24,15 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = tiff_media.digests(tiff_media.stored(table(spark, sf_dir, "documents")))
+    return said.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
