@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm import bpe_codec, decontamination, language_id, near_duplicates, repeated_phrases, site_templates, tiff_media, token_coder
+from tallyroom.llm import bpe_codec, decontamination, language_id, near_duplicates, personal_data, repeated_phrases, site_templates, tiff_media, token_coder
 from tallyroom.llm.tables import fold, table
 
 
@@ -29,6 +29,10 @@ def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_templates.extract(table(spark, sf_dir, "pages"))
 
