@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm import bpe_codec, decontamination, language_id, near_duplicates, personal_data, repeated_phrases, site_templates, tiff_media, token_coder
+from tallyroom.llm import bpe_codec, decontamination, language_id, near_duplicates, personal_data, quality, repeated_phrases, site_templates, tiff_media, token_coder
 from tallyroom.llm.tables import fold, table
 
 
@@ -24,6 +24,11 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold("doc_id", 5) != 0)
+    return said.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = tiff_media.digests(tiff_media.stored(table(spark, sf_dir, "documents")))
     return said.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
