@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.llm.arrays import ALNUM, LOWER, Words, buffers, ragged, words_of
-from tallyroom.llm.tables import kept
+from tallyroom.llm.tables import kept, whole_row
 
 WIDTH = 10
 BLOCK_WINDOWS = 500_000
@@ -125,12 +125,12 @@ def _count_words(docs: DataFrame, shared) -> dict[int, int]:
     return {r["word"] & ((1 << 64) - 1): r["n"] for r in rows}
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS, carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (else doc_id), and n_words, n_hit, hits (array<int>: first and past-last word of each run of hit words), items
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS, carry: bool = False) -> DataFrame:
+    """doc_id (or with ``carry`` the whole ``row`` as a struct), n_words, n_hit, hits (array<int>: first and past-last word of each run of hit words), items
     (ids as text), n_items, items_sha256, contaminated: one row per document."""
     items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")), F.col(item_text_col))
-    carried = [F.col(c) for c in carry] if carry else [F.col(id_col).alias("doc_id")]
-    rows = docs.select(*carried, F.col(text_col).alias("\0text"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"))
+    head = whole_row(docs) if carry else F.col(id_col).alias("doc_id")
+    rows = docs.select(head, F.col(text_col).alias("text"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"))
     schema, texts = rows.schema, docs.select(F.col(text_col).alias("text"))
     session = docs.sparkSession.sparkContext
 
@@ -164,8 +164,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             rows = kept(rows, "decontaminate")
         rows = rows.mapInArrow(locate(shared), schema)
         many = True
-    items_col = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.select(*[c for c in rows.columns if c not in ("\0text", "hits", "items", "n_words", "n_hit")], "n_words", "n_hit", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), items_col.alias("items"), F.size(items_col).cast("long").alias("n_items"), F.sha2(F.array_join(items_col, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    names = F.coalesce("items", F.array().cast("array<string>"))
+    return rows.select(rows.columns[0], "n_words", "n_hit", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), names.alias("items"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def _runs(first: np.ndarray, last: np.ndarray, w: Words, before: pa.Array) -> list[list[int]]:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.llm.arrays import MASK, mix
 from tallyroom.llm.chunks import Cache, chunked, segment_sums
+from tallyroom.llm.tables import followed, whole_row
 
 ORDER = 5
 #: Bounds of the labelled sample, in expected documents a language.
@@ -183,8 +184,8 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _scored(docs: DataFrame, shared, limits: dict | None, columns: str) -> DataFrame:
-    """Adds what the models say of each text to the columns before it."""
+def _scored(docs: DataFrame, shared, limits: dict | None) -> DataFrame:
+    """Puts what the models say of each text, the last column, in its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: Models = shared.value
@@ -209,11 +210,11 @@ def _scored(docs: DataFrame, shared, limits: dict | None, columns: str) -> DataF
                     cols["rejected"] = ~heard | ((low - np.where(np.isinf(mean), 0, mean)) * np.sqrt(np.minimum(n, LONG)) > most)
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.mapInArrow(run, f"{columns}, lang_pred string, score double, entropy double, symbols long" + (", rejected boolean" if limits is not None else ""))
+    return docs.mapInArrow(run, followed(docs, "lang_pred string, score double, entropy double, symbols long" + (", rejected boolean" if limits is not None else "")))
 
 
-def identify(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS, accept: float = ACCEPT, slack: float = SLACK) -> DataFrame:
-    """doc_id, lang_pred, score, entropy (nats a symbol), symbols, rejected: one row per document.
+def identify(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS, accept: float = ACCEPT, slack: float = SLACK, carry: bool = False) -> DataFrame:
+    """doc_id (or with ``carry`` the whole ``row`` as a struct), lang_pred, score, entropy (nats a symbol), symbols, rejected: one row per document.
 
     ``labelled`` says which rows may be learnt from.  Of them a sample chosen by a hash of the id, about
     ``train_docs`` and ``calibration_docs`` a language, is; the counts that leave the executors are bounded by
@@ -232,12 +233,12 @@ def identify(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col
     shared = spark.sparkContext.broadcast(models)
     held = sample.where((F.col("at") >= train_docs) & (F.col("at") < train_docs + calibration_docs)).select("lang", "text")
     seen: dict[str, list] = {}
-    for r in _scored(held, shared, None, "lang string").select("lang", "lang_pred", "entropy", "symbols").where("lang = lang_pred").collect():
+    for r in _scored(held, shared, None).select("lang", "lang_pred", "entropy", "symbols").where("lang = lang_pred").collect():
         seen.setdefault(r["lang"], []).append((r["entropy"], r["symbols"]))
     limits = {}
     for k, v in seen.items():
         e = np.array(v, np.float64)
         mean = float(np.average(e[:, 0], weights=np.minimum(e[:, 1], LONG)))
         limits[k] = (mean, slack * max(float(np.quantile((e[:, 0] - mean) * np.sqrt(np.minimum(e[:, 1], LONG)), accept)), 1.0))
-    id_type = docs.schema[id_col].dataType.simpleString()
-    return _scored(rows.select("doc_id", "text"), shared, limits, f"doc_id {id_type}")
+    head = whole_row(docs) if carry else F.col(id_col).alias("doc_id")
+    return _scored(docs.select(head, F.col(text_col).alias("text")), shared, limits)

@@ -25,6 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyroom.llm.tables import whole_row
+
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES, PRECISION, TREES, DEPTH = 4_000, 0.99, 12, 4
 NEAR = 28  # code points of context
@@ -237,10 +239,9 @@ def _digest(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, text_col: str = "text", model: Trees | None = None) -> DataFrame:
-    """The columns of ``docs`` and base, spans: arrays of (start, rank, end), ordered; rank counts in ``KINDS``."""
+    """``row`` (all columns of ``docs`` as a struct), base and spans: arrays of (start, rank, end), ordered; rank counts in ``KINDS``."""
     model = model or fitted(docs.sparkSession)
-    carried = docs.columns
-    df = docs.select(F.struct(*(F.col(f"`{c}`") for c in carried)).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    df = docs.select(whole_row(docs).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     df = df.withColumn("_hot", F.col("_t").rlike(ANY))
     mail = F.when(F.col("_t").contains("@"), F.regexp_replace("_t", rf"\.(?![{LABEL}])", "_")).otherwise("")
     runs = F.regexp_replace("_t", r"(?<![0-9])[ -]|[ -](?![0-9])", "x")
@@ -259,7 +260,7 @@ def find(docs: DataFrame, text_col: str = "text", model: Trees | None = None) ->
     df = df.withColumn("_kept", F.when(F.size("_told") > 0, _order(chosen)).otherwise(F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")))
     df = df.withColumn("_kept", F.filter("_kept", lambda s, i: (i == 0) | ~F.exists(F.slice("_kept", F.greatest(F.lit(1), i - 3), F.least(i, F.lit(4))), lambda b: b["end"] > s["start"])))
     df = df.withColumn("_b", _order(F.col("_base")))
-    return df.select("_row.*", F.col("_b").alias("base"), F.when(F.size("_kept") > 0, F.array_sort(F.concat("_b", "_kept"))).otherwise(F.col("_b")).alias("spans"))
+    return df.select(F.col("_row").alias("row"), F.col("_b").alias("base"), F.when(F.size("_kept") > 0, F.array_sort(F.concat("_b", "_kept"))).otherwise(F.col("_b")).alias("spans"))
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Trees | None = None) -> DataFrame:
@@ -267,14 +268,14 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     found = find(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", model)
     ranks = F.transform("base", lambda s: s["rank"])
     counts = [F.size(F.array_remove(F.transform(ranks, lambda r: F.when(r == k, 1).otherwise(0)), 0)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: Trees | None = None) -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets; overlapping spans become one.  Null texts stay null."""
     found = find(docs, text_col, model)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.col(text_col)
+    text = F.col("row").getField(text_col)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -283,4 +284,4 @@ def redact(docs: DataFrame, text_col: str = "text", model: Trees | None = None)
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["parts"], F.array(piece))).otherwise(acc["parts"]).alias("parts"))
 
     done = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr((acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, done).otherwise(text)).select(*docs.columns)
+    return found.withColumn("row", F.when(F.size("spans") > 0, F.col("row").withField(f"`{text_col}`", done)).otherwise(F.col("row"))).select("row.*")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +38,13 @@ def fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as an empty text."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct named row, whatever their names."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns)).alias("row")
+
+
+def followed(df: DataFrame, columns: str) -> T.StructType:
+    """The schema of ``df`` with ``columns`` instead of its last column."""
+    return T.StructType([*df.schema.fields[:-1], *T._parse_datatype_string(columns).fields])
