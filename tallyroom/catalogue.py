@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tallyroom.plans import match
+from tallyroom.plans import auditing, classification, match
 
-_MODULES = (match,)
+_MODULES = (match, classification, auditing)
 
 
 def queries() -> dict[str, Callable]:
