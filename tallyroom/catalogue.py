@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tallyroom.plans import auditing, classification, match
+from tallyroom.plans import auditing, classification, deriving, match
 
-_MODULES = (match, classification, auditing)
+_MODULES = (match, classification, auditing, deriving)
 
 
 def queries() -> dict[str, Callable]:
