@@ -13,8 +13,8 @@ document with a smaller id.  All is judged on the input.
    documents go back to these, whose words they cover are removed.
 
 Exact copies of a longer document are set aside before step 1: all their words go, and their windows are those of the
-smallest copy.  Sums are combined before they are shuffled; joins that a hot phrase or window would skew are
-plain equi-joins, which adaptive execution splits.  No group is ever gathered into one task; what is gathered a
+smallest copy.  Sums are combined before they are shuffled and written as tables; so the joins that a hot phrase, window or copy
+would skew are plain equi-joins of two scans, which adaptive execution splits.  No group is ever gathered into one task; what is gathered a
 document is bounded by its length.
 
 Words are runs of anything but ASCII white space.  Nulls and empty texts have no words.  A null id counts as larger
@@ -157,14 +157,14 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     rows = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"))
     digests = rows.where(F.length("text") >= 2 * width - 1).select("key", F.sha2("text", 256).alias("digest"))
-    groups = digests.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
+    groups = kept(digests.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last"), "copy-groups")
     copies = kept(digests.join(groups, "digest").where("key > first").select("key").distinct(), "copies")
     mine = candidates(rows, width, phrase).join(copies, "key", "left_anti")
     mine = kept(mine, "phrases")
-    recurring = mine.groupBy("phrase").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("phrase")
+    recurring = kept(mine.groupBy("phrase").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("phrase"), "recurring")
     lists = mine.join(recurring, "phrase", "left_semi").groupBy("key").agg(F.collect_list("phrase").alias("phrases"))
     windows = kept(located(rows.select("key", "text").join(lists, "key"), width, phrase), "windows")
-    owners = windows.groupBy("window").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("window", "first")
+    owners = kept(windows.groupBy("window").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("window", "first"), "owners")
     late = windows.join(owners, "window").where("key > first").groupBy("key").agg(F.collect_list("window").alias("windows"))
     verdicts = late.join(copies.withColumn("copy", F.lit(True)), "key", "full")
     return removed(rows.join(verdicts, "key", "left").select("key", "text", "windows", F.coalesce("copy", F.lit(False)), "doc_id"), width, docs.schema[id_col].dataType.simpleString(), keep_text)
