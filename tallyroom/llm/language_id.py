@@ -34,7 +34,7 @@ ORDER = 5
 TRAIN_DOCS, CALIBRATION_DOCS = 1_500, 500
 ACCEPT = 0.9995
 #: What is allowed beyond, as a multiple.
-SLACK = 3.0
+SLACK = 2.0
 #: Symbols from which a text counts as long.
 LONG = 200
 BASE = 0xA24BAED4963EE407
@@ -131,7 +131,7 @@ class Models:
         texts = [pad + w + chr(0) for ws in words for w in ws]
         owner = np.repeat(np.arange(len(words)), [len(ws) for ws in words])
         out = np.zeros((len(words), len(self.langs) + 1))
-        if not texts:
+        if not texts or not self.langs:
             return out
         flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -229,9 +229,10 @@ def identify(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col
         sample = taught.withColumn("at", draw / share)
     else:
         sample = taught.withColumn("at", F.lit(0.0))
-    models = Models([tuple(r) for r in _counts(sample.where(F.col("at") < train_docs), order).collect()], order)
+    sample = sample.where(F.col("at") < train_docs + calibration_docs).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(train_docs + calibration_docs)) < calibration_docs)
+    models = Models([tuple(r) for r in _counts(sample.where("NOT held"), order).collect()], order)
     shared = spark.sparkContext.broadcast(models)
-    held = sample.where((F.col("at") >= train_docs) & (F.col("at") < train_docs + calibration_docs)).select("lang", "text")
+    held = sample.where("held").select("lang", "text")
     seen: dict[str, list] = {}
     for r in _scored(held, shared, None).select("lang", "lang_pred", "entropy", "symbols").where("lang = lang_pred").collect():
         seen.setdefault(r["lang"], []).append((r["entropy"], r["symbols"]))
