@@ -23,3 +23,11 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, ap
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers of a session made elsewhere import this package from where the driver has it.  On a cluster
+    ship the package with --py-files; a folder that executors do not have is passed over."""
+    root, environment = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, environment.get("PYTHONPATH")]))
