@@ -65,4 +65,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontamination": decontamination.ORACLE, "op8_repeated_phrases": repeated_phrases.ORACLE}
+    return {"op2_near_duplicates": near_duplicates.ORACLE, "op7_decontamination": decontamination.ORACLE, "op8_repeated_phrases": repeated_phrases.ORACLE}
