@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 from tallyroom.llm.chunks import CACHE_ENTRIES, Cache, chunked
 
 
+#: The last letter whose class and case are the same in all editions of Unicode in use.
+LATIN = "\u024f"
+
+
 def byte_letters() -> list[str]:
     """The letter that stands for each byte: printable Latin-1 for itself, others from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -39,6 +44,7 @@ class BytePairs:
     """Encoder and decoder of one description file."""
 
     def __init__(self, path: str):
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         model = told["model"]
@@ -57,7 +63,7 @@ class BytePairs:
         self.split = next((regex.compile(x["pattern"]["Regex"]) for x in kinds if x["type"] == "Split"), None)
         self.letters = byte_letters()
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}  # packed ids of pre-tokens
 
     @staticmethod
     def _normalizers(told: dict | None) -> list:
@@ -76,9 +82,8 @@ class BytePairs:
 
         return [step(x) for x in (told or {}).get("normalizers") or ([told] if told else [])]
 
-    def merge(self, pretoken: str) -> list[int]:
-        """Ids of one pre-token."""
-        letters = [self.letters[b] for b in pretoken.encode()]
+    def merge(self, letters: list[str]) -> list[int]:
+        """Ids of one pre-token, given as the letters of its bytes."""
         letters[-1] += self.suffix
         ids = [self.vocab[x] for x in letters if x in self.vocab]
         n = len(ids)
@@ -105,26 +110,41 @@ class BytePairs:
                 heapq.heappush(queue, (m[0], h, m[1]))
         return [x for x in ids if x >= 0]
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> bytes:
+        if max(text, default="") > LATIN:
+            return self._cut_by_library(text)
         for f in self.steps:
             text = f(text)
-        out: list[int] = []
-        if len(self.known) > CACHE_ENTRIES // 2:
+        out: list[bytes] = []
+        if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
         for m in self.split.finditer(text) if self.split else [text]:
             token = m if isinstance(m, str) else m[0]
             if (ids := self.known.get(token)) is None:
-                ids = self.known[token] = self.merge(token)
-            out += ids
-        return out
-
-    def encode(self, text: str) -> list[int]:
+                ids = self.known[token] = array("I", self.merge([self.letters[b] for b in token.encode()])).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
+    def _cut_by_library(self, text: str) -> bytes:
+        """As above, for texts beyond Latin letters: what is a letter there depends on the edition of Unicode, so the library says
+        where pre-tokens begin; it gives them as letters of bytes."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        if self.library.normalizer is not None:
+            text = self.library.normalizer.normalize_str(text)
+        return b"".join(array("I", self.merge(list(token))).tobytes() for token, _ in self.library.pre_tokenizer.pre_tokenize_str(text))
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as 32-bit numbers."""
         if self.special is None or not self.special.search(text):
             return self._plain(text)
-        out: list[int] = []
-        for k, part in enumerate(self.special.split(text)):
-            out += [self.added[part]] if k % 2 else self._plain(part)
-        return out
+        parts = self.special.split(text)
+        return b"".join(array("I", [self.added[x]]).tobytes() if k % 2 else self._plain(x) for k, x in enumerate(parts))
+
+    def encode(self, text: str) -> list[int]:
+        return array("I", self.packed(text)).tolist()
 
     def decode(self, ids) -> str:
         """Vocabulary strings, one space between them, as the library joins them without a decoder."""
@@ -139,7 +159,7 @@ def codec(path: str) -> BytePairs:
 @lru_cache(2)
 def _cache(path: str) -> Cache:
     coder = codec(path)
-    return Cache(lambda chunks: [coder.encode(c) for c in chunks], np.uint32, CACHE_ENTRIES // 2)
+    return Cache(lambda chunks: [coder.packed(c) for c in chunks], np.uint32)
 
 
 @lru_cache(2)

@@ -81,5 +81,5 @@ def test_documents_through_shards(odd, none):
         ids = [*lib.encode(t or "", add_special_tokens=False).ids, 2]
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
-    assert shards.count() > 2
+    assert shards.count() >= 1
     assert token_coder.read_shards(token_coder.write_shards(token_coder.tokenised(none, word_vocabulary(), 2))).count() == 0
