@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from tallyroom.llm.arrays import buffers, ragged, slices
 
 SLICE_BYTES = 4 << 20
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
+WORK_CHUNKS = 20_000
 
 
 class Ragged:
@@ -27,14 +28,15 @@ class Ragged:
         self.offsets, self.rows = np.zeros(1 << 14, np.int64), 0
 
     def extend(self, rows: list | np.ndarray) -> None:
-        """``rows``: lists of numbers, or a matrix with a row for each."""
-        sizes = np.full(len(rows), rows.shape[1]) if isinstance(rows, np.ndarray) else np.fromiter(map(len, rows), np.int64, len(rows))
+        """``rows``: lists of numbers or their bytes, or a matrix with a row for each."""
+        packed = len(rows) > 0 and isinstance(rows[0], bytes)
+        sizes = np.full(len(rows), rows.shape[1]) if isinstance(rows, np.ndarray) else np.fromiter(map(len, rows), np.int64, len(rows)) // (self.flat.itemsize if packed else 1)
         need = self.used + int(sizes.sum())
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat[: self.used], np.empty(2 * need - self.used, self.flat.dtype)])
         if self.rows + len(rows) + 1 > len(self.offsets):
             self.offsets = np.concatenate([self.offsets[: self.rows + 1], np.empty(2 * (self.rows + len(rows)), np.int64)])
-        self.flat[self.used : need] = rows.ravel() if isinstance(rows, np.ndarray) else np.fromiter((x for r in rows for x in r), self.flat.dtype, need - self.used)
+        self.flat[self.used : need] = np.frombuffer(b"".join(rows), self.flat.dtype) if packed else rows.ravel() if isinstance(rows, np.ndarray) else np.fromiter((x for r in rows for x in r), self.flat.dtype, need - self.used)
         self.offsets[self.rows + 1 : self.rows + 1 + len(rows)] = self.used + np.cumsum(sizes)
         self.used, self.rows = need, self.rows + len(rows)
 
@@ -57,7 +59,8 @@ class Cache:
         if len(new):
             fresh = [chunks[i] for i in new.tolist()]
             first = self.table.rows
-            self.table.extend(self.work(fresh))
+            for i in range(0, len(fresh), WORK_CHUNKS):  # bounds what the work holds at once
+                self.table.extend(self.work(fresh[i : i + WORK_CHUNKS]))
             self.index.update(zip(fresh, range(first, first + len(fresh))))
             at[new] = np.arange(first, first + len(fresh))
         return at

@@ -191,7 +191,7 @@ def _scored(docs: DataFrame, shared, limits: dict | None) -> DataFrame:
         models: Models = shared.value
         langs = np.array([*models.langs, "und"], object)
         size = len(models.langs)
-        cache = Cache(lambda chunks: models.score([letters(c) for c in chunks]), np.float32, 500_000)
+        cache = Cache(lambda chunks: models.score([letters(c) for c in chunks]), np.float32)
         for batch in batches:
             for lo, hi, at, codes, chunks in chunked(batch.column(batch.num_columns - 1)):
                 rows, _ = cache.expand(chunks, codes)

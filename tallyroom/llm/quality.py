@@ -158,7 +158,7 @@ def _features(docs: DataFrame, carried: str) -> DataFrame:
     """Columns before the text, and the distinct features of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(_numbers, np.uint32, 400_000)
+        cache = Cache(_numbers, np.uint32)
         for batch in batches:
             last = batch.num_columns - 1
             for lo, hi, at, codes, chunks in chunked(batch.column(last)):
@@ -186,7 +186,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Cache(_numbers, np.uint32, 400_000)
+        cache = Cache(_numbers, np.uint32)
         for batch in batches:
             for lo, hi, at, codes, chunks in chunked(batch.column(1)):
                 numbers, _ = cache.expand(chunks, codes)
