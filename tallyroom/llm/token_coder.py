@@ -1,6 +1,6 @@
 """Token ids as binary shards, coded by a static range asymmetric numeral system.
 
-Shard format (little-endian), one shard per ``shard_tokens`` ids at most::
+Shard format (little-endian), one shard per about ``shard_tokens`` ids (a slice of texts is never split)::
 
     "TRNS" u16 version  u16 lanes  u8 scale_bits  u32 tokens  u32 block_tokens  u32 symbols
     symbols x (u32 symbol, u32 frequency)            one table, shared by all blocks of the shard
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -201,11 +202,12 @@ def _library(path: str) -> Cache:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     marks = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-    parts: dict[str, list[int]] = {}
+    parts: dict[str, bytes] = {"": b""}  # ids as packed 32-bit numbers
 
-    def work(chunks: list[str]) -> list[list[int]]:
+    def work(chunks: list[str]) -> list[bytes]:
         if len(parts) > 1_000_000:
             parts.clear()
+            parts[""] = b""
         cut: list[tuple[str, str]] = []
         for c in chunks:
             core = c.rstrip(marks)
@@ -213,10 +215,10 @@ def _library(path: str) -> Cache:
                 cut.append((core.lower(), c[len(core) :]))
             else:
                 cut.append((c, ""))
-        new = [p for p in dict.fromkeys(p for pair in cut for p in pair) if p and p not in parts]
+        new = [p for p in dict.fromkeys(p for pair in cut for p in pair) if p not in parts]
         for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []):
-            parts[p] = e.ids
-        return [parts[a] + parts[b] if b else parts[a] if a else [] for a, b in cut]
+            parts[p] = array("I", e.ids).tobytes()
+        return [parts[a] + parts[b] for a, b in cut]
 
     return Cache(work, np.uint32, 400_000)
 
