@@ -10,12 +10,14 @@ similarity 0.8 shares one with probability 0.9998.  A bucket of n documents yiel
 
 1. each document is verified against the most central document it shares a bucket with: the one whose buckets are
    largest together, which in a group of copies is what the others were made from,
-2. in buckets that still hold several classes, against the most central of each bucket,
-3. then, outside the class of that one, against the most central of the rest; in buckets of at most ``small`` documents,
-   against one document of every other class.
-
-So a document has at most 2 * 16 + 1 verifications besides those in small buckets, however large its group is.  In
-rounds 2 and 3 signatures rule pairs out first (fewer than half of the slots agree; at 0.8 that happens once in 10**8).
+2. in buckets that still hold several classes, against the most central document whose class has given none yet; this is
+   repeated up to ``ROUNDS`` times and as long as it links anything,
+3. documents of buckets that hold several classes even then are joined exactly: by the rarest shingles of their sets, of
+   which two sets of similarity ``least`` have one in common, with bounds on sizes and positions.
+
+Rounds 1 and 2 only keep large groups from being compared pair by pair; step 3 tries every pair that they left, whatever
+the size of the bucket.  Shingles that only one class has can link nothing and count as the rarest.  In
+round 2 signatures rule pairs out first (fewer than half of the slots agree); step 3 does without.
 A verified pair has a Jaccard similarity of ``least`` or more of its sets of shingles.  Classes are the components of the
 verified pairs, found by hooking larger roots onto smaller ones and jumping along pointers, each step written to
 shared storage.
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from tallyroom.llm.arrays import ALNUM, Words, mix, words_of
 from tallyroom.llm.tables import kept
 
-SHINGLE, BANDS, DEPTH, LEAST, SMALL = 5, 16, 4, 0.8, 16
+SHINGLE, BANDS, DEPTH, LEAST, ROUNDS = 5, 16, 4, 0.8, 4
 SLICE_BYTES = 2 << 20
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -201,7 +203,52 @@ def merged(roots: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
     return roots
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bands: int = BANDS, depth: int = DEPTH, least: float = LEAST, small: int = SMALL) -> DataFrame:
+def opened(member: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """bucket, node, score, label: the members of buckets that hold several classes."""
+    known = member if roots is None else member.join(roots, "node", "left")
+    known = known.select("bucket", "node", "score", (F.coalesce("root", "node") if roots is not None else F.col("node")).alias("label"))
+    several = kept(known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket"), "open")
+    return kept(known.join(several, "bucket"), "known")
+
+
+def exploded(labelled: DataFrame) -> DataFrame:
+    """node, label, size, shingle of rows node, label, set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = 0, batch.num_rows
+            sets = [np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(2)]
+            sizes = np.array([len(x) for x in sets], np.int64)
+            while at < rows:
+                to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE_BYTES >> 3)))
+                n = sizes[at:to]
+                names = {k: np.repeat(batch.column(i).to_numpy()[at:to], n) for i, k in enumerate(("node", "label"))}
+                yield pa.RecordBatch.from_pydict({**names, "size": np.repeat(n, n), "shingle": np.concatenate(sets[at:to]).view(np.int32)})
+                at = to
+
+    return labelled.select("node", "label", "set").mapInArrow(run, "node long, label long, size long, shingle int")
+
+
+def remaining(labelled: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs a, b of different labels, among them every one whose sets have a Jaccard similarity of ``least`` at least.
+
+    A set of n shingles has n - least * n others than those it must share, so among its n - least * n + 1 rarest is a shared one."""
+    slack = 1e-6
+    every = kept(exploded(labelled.join(sets, "node")), "shingles")
+    counts = every.groupBy("shingle").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    counts = kept(counts.where("x < y").select("shingle", "n"), "counts")
+    held = every.join(counts, "shingle").groupBy("node", "label", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("held"))
+    wanted = F.floor(F.col("size") * (1 - least) + slack) + 1 - (F.col("size") - F.size("held"))
+    rare = held.withColumn("wanted", wanted.cast("int")).where("wanted > 0").select("node", "label", "size", F.size("held").alias("held"), F.posexplode(F.slice("held", F.lit(1), F.col("wanted"))).alias("at", "rare"))
+    rare = kept(rare.select("node", "label", "size", F.expr("held - at - 1").alias("after"), "at", F.col("rare.shingle").alias("shingle")), "rare")
+    a, b = (rare.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "size", "after", "at"))) for side in "ab")
+    close = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - slack
+    enough = F.least("at_a", "at_b") + 1 + F.least("after_a", "after_b") >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - slack
+    met = a.join(b, "shingle").where(F.col("label_a") < F.col("label_b")).where(close & enough)
+    return kept(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "remaining")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bands: int = BANDS, depth: int = DEPTH, least: float = LEAST) -> DataFrame:
     """doc_id, class_id (the smallest id of its class), kept (whether it has that id): one row per document."""
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -217,23 +264,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = member.join(central, "bucket").where("node <> top.node").groupBy("node").agg(F.max("top").alias("top"))
     roots = merged(None, verified(first.select(F.col("node").alias("a"), F.col("top.node").alias("b")), sets, least))
-    for last in (False, True):
-        known = member if roots is None else member.join(roots, "node", "left")
-        known = known.select("bucket", "node", "n", "score", (F.coalesce("root", "node") if roots is not None else F.col("node")).alias("label"))
-        open_ = kept(known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("score", "node", "label")).alias("top")).where("x < y").select("bucket", "top"), "open")
-        if _none(open_):
-            break
-        known = kept(known.join(open_, "bucket").where(F.lit(not last) | (F.col("n") <= small) | (F.col("label") != F.col("top.label"))), "known")
-        if last:
-            second = kept(known.where("label <> top.label").groupBy("bucket").agg(F.max(F.struct("score", "node", "label")).alias("next")), "second")
-            pairs = known.where(F.col("n") > small).join(second, "bucket").where("label <> next.label").select("node", F.col("next.node").alias("other"))
-            few = known.where(F.col("n") <= small)
-            others = few.groupBy("bucket", "label").agg(F.min("node").alias("other")).select("bucket", F.col("label").alias("theirs"), "other")
-            pairs = pairs.union(few.join(others, "bucket").where("label <> theirs").select("node", "other"))
-        else:
-            pairs = known.where("label <> top.label").select("node", F.col("top.node").alias("other"))
+    known = opened(member.select("bucket", "node", "score"), roots)
+    tops = None
+    for _ in range(ROUNDS):
+        rest = known
+        if tops is not None:
+            past = kept(known.join(tops, ["bucket", "node"]).select("bucket", "label").distinct(), "past")
+            rest = known.join(past, ["bucket", "label"], "left_anti")
+        new = kept(rest.groupBy("bucket").agg(F.max(F.struct("score", "node", "label")).alias("top")), "tops")
+        pairs = known.join(new, "bucket").where("label <> top.label").select("node", F.col("top.node").alias("other"))
         pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        roots = merged(roots, verified(possible(pairs, nodes), sets, least))
+        links = kept(verified(possible(pairs, nodes), sets, least), "verified")
+        if _none(links):
+            break
+        roots = merged(roots, links)
+        past = new.select("bucket", F.col("top.node").alias("node"))
+        tops = past if tops is None else tops.union(past)
+        known = opened(known.drop("label"), roots)
+    if not _none(known):
+        roots = merged(roots, verified(remaining(known.select("node", "label").distinct(), sets, least), sets, least))
     named = nodes.select("node", "doc_id").withColumn("label", F.col("node")) if roots is None else nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("label"))
     lowest = kept(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "classes")
     classes = kept(named.join(lowest, "label").select("node", "class_id"), "classes")

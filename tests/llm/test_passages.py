@@ -141,3 +141,65 @@ def test_signatures_estimate_probability_jaccard():
     row = np.array([0] * 400 + [1] * 400)
     found = near_duplicates.signatures(row, np.array(a + b, np.uint64), np.ones(800, np.int64), 2, 4096)
     assert abs((found[0] == found[1]).mean() - 300 / 500) < 0.04
+
+
+def classes_by_brute_force(rows, least=0.8):
+    """The smallest id of the class of each row, from every pair."""
+    sets = []
+    for _, t in rows:
+        w = ALNUM.findall((t or "").translate(LOWER))
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)))
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                root[find(a)] = find(b)
+    lowest = {}
+    for k, (i, _) in enumerate(rows):
+        lowest[find(k)] = min(i, lowest.get(find(k), i))
+    return {i: lowest[find(k)] for k, (i, _) in enumerate(rows)}
+
+
+def test_near_duplicates_links_every_family_and_chain_of_a_large_bucket(spark):
+    rng = random.Random(21)
+    template = words(rng, 400)
+    texts: list[dict[int, str]] = []  # the five words in which each differs from the template: 8 places apart is 0.82 alike, 9 is 0.796
+
+    def added(shared, near):
+        while True:
+            new = shared | {k: f"t{len(texts)}w{k}" for k in rng.sample(range(7, 393, 5), 5 - len(shared)) if k not in shared}
+            apart = [sum(new.get(k) != x.get(k) for k in new.keys() | x.keys()) for x in texts]
+            if len(new) == 5 and all((d <= 8) == (i in near) for i, d in enumerate(apart)):
+                return texts.append(new)
+
+    for _ in range(12):  # families of three that share one change
+        first = len(texts)
+        added({}, [])
+        shared = dict([rng.choice(list(texts[-1].items()))])
+        added(shared, [first])
+        added(shared, [first, first + 1])
+    added({}, [])
+    for _ in range(19):  # a chain, of which only versions next to each other are alike
+        new = [x for x in texts[-1].items() if x not in texts[-2].items()]
+        added(dict([rng.choice(new)]), [len(texts) - 1])
+    rows = [(i, " ".join(x.get(k, w) for k, w in enumerate(template))) for i, x in enumerate(texts)]
+    want = classes_by_brute_force(rows)
+    assert sorted(list(want.values()).count(x) for x in set(want.values())) == [3] * 12 + [20]
+    assert {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(documents(spark, rows)).collect()} == want
+
+
+def test_near_duplicates_joins_exactly_what_its_rounds_leave(spark, monkeypatch):
+    rng = random.Random(22)
+    template, rows = words(rng, 120), []
+    for i in range(60):
+        rows.append((i, " ".join(f"u{rng.randrange(3)}x{k}" if rng.random() < rng.choice((0.01, 0.05)) else x for k, x in enumerate(template))))
+    monkeypatch.setattr(near_duplicates, "ROUNDS", 0)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(documents(spark, rows), bands=32, depth=1).collect()}
+    assert got == classes_by_brute_force(rows)
