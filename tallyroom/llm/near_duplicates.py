@@ -110,17 +110,18 @@ def described(docs: DataFrame, size: int, bands: int, depth: int, id_type: str)
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node, set (sorted 32-bit hashes) of rows doc, text, node whose words are still the node's."""
+    """node, set (sorted 32-bit hashes) of rows text, node whose words are still the node's; a null node stands for whatever the words give."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column(1).to_numpy()
+            nodes, free = batch.column(1).fill_null(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
             for lo, hi, w in words_of(batch.column(0), ALNUM, lower=True):
                 row, value, _ = shingles(w, size)
                 short = (value >> np.uint64(32)).astype(np.uint32)
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
-                same = np.flatnonzero(w.spans(w.first[:-1], w.first[1:]).view(np.int64) == nodes[lo:hi]).tolist()
-                yield pa.RecordBatch.from_pydict({"node": nodes[lo:hi][same], "set": pa.array([np.unique(short[ends[i] : ends[i + 1]]).tobytes() for i in same], pa.binary())})
+                found = w.spans(w.first[:-1], w.first[1:]).view(np.int64)
+                same = np.flatnonzero((found == nodes[lo:hi]) | free[lo:hi] & (w.count > 0)).tolist()
+                yield pa.RecordBatch.from_pydict({"node": found[same], "set": pa.array([np.unique(short[ends[i] : ends[i + 1]]).tobytes() for i in same], pa.binary())})
 
     return docs.select("text", "node").mapInArrow(run, "node long, set binary")
 
@@ -260,7 +261,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = kept(member.join(member.groupBy("node").agg(F.sum("n").alias("score")), "node"), "members")
     central = kept(member.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")), "central")
     wanted = member.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    sets = kept(shingle_sets(rows.join(wanted.where("doc_id IS NOT NULL"), "doc_id").select("text", "node"), size).dropDuplicates(["node"]), "sets")
+    named = rows.join(wanted.where("doc_id IS NOT NULL"), "doc_id").select("text", "node")
+    unnamed = shingle_sets(rows.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("node")), size).join(wanted.where("doc_id IS NULL"), "node", "left_semi")
+    sets = kept(shingle_sets(named, size).union(unnamed).dropDuplicates(["node"]), "sets")
 
     first = member.join(central, "bucket").where("node <> top.node").groupBy("node").agg(F.max("top").alias("top"))
     roots = merged(None, verified(first.select(F.col("node").alias("a"), F.col("top.node").alias("b")), sets, least))

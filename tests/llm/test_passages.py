@@ -203,3 +203,10 @@ def test_near_duplicates_joins_exactly_what_its_rounds_leave(spark, monkeypatch)
     monkeypatch.setattr(near_duplicates, "ROUNDS", 0)
     got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(documents(spark, rows), bands=32, depth=1).collect()}
     assert got == classes_by_brute_force(rows)
+
+
+def test_near_duplicates_links_texts_of_null_ids(spark):
+    text = words(random.Random(23), 200)
+    rows = [(None, " ".join(text)), (5, " ".join(["first", *text[1:]])), (6, " ".join([*text[:-1], "last"])), (None, "something else altogether for once"), (None, None)]
+    got = near_duplicates.near_duplicates(documents(spark, rows)).select("doc_id", "class_id").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(None, 5), (5, 5), (6, 5), (None, None), (None, None)], key=str)
