@@ -18,7 +18,8 @@ would skew are plain equi-joins of two scans, which adaptive execution splits.
 document is bounded by its length.
 
 Words are runs of anything but ASCII white space.  Nulls and empty texts have no words.  A null id counts as larger
-than all others.  Rows with equal ids do not remove each other's words.  Texts shorter than a window are kept.
+than all others.  Rows with equal ids do not remove each other's words, and rows are told apart by id and a 64-bit hash
+of their text: what befalls one row of an id says nothing of its other texts.  Texts shorter than a window are kept.
 """
 
 from __future__ import annotations
@@ -59,21 +60,21 @@ def least_phrases(w: Words, width: int, phrase: int) -> tuple[np.ndarray, np.nda
 
 
 def candidates(rows: DataFrame, width: int, phrase: int) -> DataFrame:
-    """(phrase, key): each document's least phrases, once each."""
+    """(phrase, key, mark): each document's least phrases, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
+            keys, marks = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             for lo, _, w in words_of(batch.column(1), SPACED):
                 first, least = least_phrases(w, width, phrase)
                 if not len(first):
                     continue
                 row = w.row[first]
                 new = np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])])
-                pairs = pd.DataFrame({"phrase": least[new].view(np.int64), "key": keys[lo + row[new]]}).drop_duplicates()
+                pairs = pd.DataFrame({"phrase": least[new].view(np.int64), "key": keys[lo + row[new]], "mark": marks[lo + row[new]]}).drop_duplicates()
                 yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
 
-    return rows.select("key", "text").mapInArrow(run, "phrase long, key long")
+    return rows.select("key", "text", "mark").mapInArrow(run, "phrase long, key long, mark long")
 
 
 def occurrences(w: Words, phrase: int, wanted: np.ndarray) -> np.ndarray:
@@ -96,7 +97,7 @@ def occurrences(w: Words, phrase: int, wanted: np.ndarray) -> np.ndarray:
 
 
 def located(rows: DataFrame, width: int, phrase: int) -> DataFrame:
-    """(window, key) of the windows that each document's recurring ``phrases`` stand for, once each."""
+    """(window, key, mark) of the windows that each document's recurring ``phrases`` stand for, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,7 +105,7 @@ def located(rows: DataFrame, width: int, phrase: int) -> DataFrame:
             if not len(some):
                 continue
             batch = batch.take(pa.array(some))
-            keys, lists = batch.column(0).to_numpy(), batch.column(2)
+            keys, lists, marks = batch.column(0).to_numpy(), batch.column(2), batch.column(3).to_numpy()
             for lo, hi, w in words_of(batch.column(1), SPACED, limit=SHARD_BYTES):
                 wanted = np.unique(lists[lo:hi].flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
                 start = occurrences(w, phrase, wanted)
@@ -112,10 +113,10 @@ def located(rows: DataFrame, width: int, phrase: int) -> DataFrame:
                 if not len(start) or not len(first):
                     continue
                 first = first[np.isin(least, np.unique(w.spans(start, start + phrase)))]
-                pairs = pd.DataFrame({"window": w.spans(first, first + width).view(np.int64), "key": keys[lo + w.row[first]]}).drop_duplicates()
+                pairs = pd.DataFrame({"window": w.spans(first, first + width).view(np.int64), "key": keys[lo + w.row[first]], "mark": marks[lo + w.row[first]]}).drop_duplicates()
                 yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
 
-    return rows.select("key", "text", "phrases").mapInArrow(run, "window long, key long")
+    return rows.select("key", "text", "phrases", "mark").mapInArrow(run, "window long, key long, mark long")
 
 
 def removed(rows: DataFrame, width: int, id_type: str, keep_text: bool) -> DataFrame:
@@ -155,19 +156,19 @@ def removed(rows: DataFrame, width: int, id_type: str, keep_text: bool) -> DataF
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, phrase: int = PHRASE, *, keep_text: bool = True) -> DataFrame:
     """doc_id, kept (the words left, one space between; if ``keep_text``), n_words, n_removed, kept_sha256: one row per document."""
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    rows = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id"))
-    digests = rows.where(F.length("text") >= 2 * width - 1).select("key", F.sha2("text", 256).alias("digest"))
+    rows = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id")).withColumn("mark", F.xxhash64("text"))
+    digests = rows.where(F.length("text") >= 2 * width - 1).select("key", "mark", F.sha2("text", 256).alias("digest"))
     groups = kept(digests.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last"), "copy-groups")
-    copies = kept(digests.join(groups, "digest").where("key > first").select("key").distinct(), "copies")
-    mine = candidates(rows, width, phrase).join(copies, "key", "left_anti")
+    copies = kept(digests.join(groups, "digest").where("key > first").select("key", "mark").distinct(), "copies")
+    mine = candidates(rows, width, phrase).join(copies, ["key", "mark"], "left_anti")
     mine = kept(mine, "phrases")
     recurring = kept(mine.groupBy("phrase").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("phrase"), "recurring")
-    lists = mine.join(recurring, "phrase", "left_semi").groupBy("key").agg(F.collect_list("phrase").alias("phrases"))
-    windows = kept(located(rows.select("key", "text").join(lists, "key"), width, phrase), "windows")
+    lists = mine.join(recurring, "phrase", "left_semi").groupBy("key", "mark").agg(F.collect_list("phrase").alias("phrases"))
+    windows = kept(located(rows.select("key", "text", "mark").join(lists, ["key", "mark"]), width, phrase), "windows")
     owners = kept(windows.groupBy("window").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("window", "first"), "owners")
-    late = windows.join(owners, "window").where("key > first").groupBy("key").agg(F.collect_list("window").alias("windows"))
-    verdicts = late.join(copies.withColumn("copy", F.lit(True)), "key", "full")
-    return removed(rows.join(verdicts, "key", "left").select("key", "text", "windows", F.coalesce("copy", F.lit(False)), "doc_id"), width, docs.schema[id_col].dataType.simpleString(), keep_text)
+    late = windows.join(owners, "window").where("key > first").groupBy("key", "mark").agg(F.collect_list("window").alias("windows"))
+    verdicts = late.join(copies.withColumn("copy", F.lit(True)), ["key", "mark"], "full")
+    return removed(rows.join(verdicts, ["key", "mark"], "left").select("key", "text", "windows", F.coalesce("copy", F.lit(False)), "doc_id"), width, docs.schema[id_col].dataType.simpleString(), keep_text)
 
 
 #: The same result in DuckDB.

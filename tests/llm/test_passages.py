@@ -210,3 +210,12 @@ def test_near_duplicates_links_texts_of_null_ids(spark):
     rows = [(None, " ".join(text)), (5, " ".join(["first", *text[1:]])), (6, " ".join([*text[:-1], "last"])), (None, "something else altogether for once"), (None, None)]
     got = near_duplicates.near_duplicates(documents(spark, rows)).select("doc_id", "class_id").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(None, 5), (5, 5), (6, 5), (None, None), (None, None)], key=str)
+
+
+def test_substring_dedup_of_a_copy_spares_other_texts_of_its_id(spark):
+    rng = random.Random(24)
+    shared, other, third, fourth = (" ".join(words(rng, 80, 10**6)) for _ in range(4))
+    rows = [(1, shared), (None, shared), (None, other), (2, third), (2, shared), (3, f"{third} {fourth}"), (None, f"{fourth} tail")]
+    got = repeated_phrases.dedup_substrings(documents(spark, rows)).select("doc_id", "kept").collect()
+    want = [(1, shared), (None, ""), (None, other), (2, third), (2, ""), (3, fourth), (None, "tail")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
