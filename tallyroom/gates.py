@@ -206,16 +206,23 @@ def eval_key(room: Room) -> Verdict:
 
 def form_tells(room: Room) -> Verdict:
     roles = E.evidence_roles(room.findings, room.distractors)
-    docs = room.blind.where("suffix = '.md'").select("rel_path", "section", "slot_id", "text").join(roles.select("rel_path").distinct(), "rel_path", "left_semi")
+    every = room.blind.where("suffix = '.md'").select("rel_path", "section", "text")
+    docs = every.join(roles.select("rel_path").distinct(), "rel_path", "left_semi")
     if docs.isEmpty():
         return SKIP, "no evidence"
     words = room.findings.select(F.col("finding_id").alias("owner"), T.content_words(F.concat_ws(" ", "title", "substance")).alias("words")).union(room.distractors.select("distractor_id", T.content_words(F.col("title"))))
     bold = E.selective_bold(E.items(docs), roles.join(words, "owner").select("rel_path", "owner", "words")).select("rel_path", "line", "owner")
-    notes = E.italic_notes(docs)
     paths = room.blind.select("slot_id", "rel_path")
+    notes = E.italic_notes(every).join(paths.select("slot_id").distinct(), "slot_id", "left_semi")
+    sections = every.select("section", "rel_path")
+    cites = notes.join(sections, "rel_path").join(paths.select("slot_id", F.col("rel_path").alias("target")), "slot_id")
+    habits = E.section_habits(cites.select("section", "rel_path", "target"), sections)
     dates = docs.select("rel_path", T.document_date(F.col("text")).alias("date"))
-    ahead = E.pointers(notes, roles, paths, dates).where("direction = 'forward'").select("rel_path", "line", "owner")
-    return _listed(bold.union(ahead), WARN)
+    ahead = E.pointers(notes, roles, paths, dates).where("direction = 'forward'").join(sections, "rel_path")
+    ahead = ahead.join(habits, ["section", "target"], "left_anti").select("rel_path", "line", "owner")
+    noted = sections.join(roles.select("rel_path").distinct().withColumn("is_evidence", F.lit(True)), "rel_path", "left").join(notes.select("rel_path").distinct().withColumn("has_note", F.lit(True)), "rel_path", "left")
+    uneven = E.note_asymmetry(noted.select("section", F.coalesce("is_evidence", F.lit(False)).alias("is_evidence"), F.coalesce("has_note", F.lit(False)).alias("has_note")))
+    return _listed(bold.union(ahead).union(uneven.select("section", F.lit(0), F.lit("note asymmetry"))), WARN)
 
 
 def repetition(room: Room) -> Verdict:

@@ -149,3 +149,20 @@ def test_trees_are_read_with_bad_bytes_replaced(spark, tmp_path):
 def test_figures_of_a_fact_sheet(spark):
     sheet = "# F\n## Canonical figures\n| Key | Value | Superseded |\n|---|---|---|\n| rent | £64.0m | £60m; £61m |\n| area | 700m | – |\n## Other\n| a | b |\n"
     assert [(r["key"], r["value"], r["superseded"]) for r in R.canonical_figures(spark, sheet).collect()] == [("rent", "£64.0m", ["£60m", "£61m"]), ("area", "700m", [])]
+
+
+def test_form_tells_warns_of_uneven_notes_and_spares_habits(spark):
+    text = "plain prose\n\n"
+    note = text + "*See the papers at 1.1.2.*\n"
+    evidence = ["01_corporate/1.1.1_a.md", "01_corporate/1.1.2_c.md", "01_corporate/1.1.3_e.md"]
+    other = [f"01_corporate/1.2.{k}_o.md" for k in range(1, 4)]
+    key = FINDINGS.replace("source: 01_corporate/1.1.2_c.md, corroboration: [02_financial/2.1.2_d.md]", "source: 01_corporate/1.1.1_a.md, corroboration: [01_corporate/1.1.2_c.md, 01_corporate/1.1.3_e.md]")
+
+    def gate(noted):
+        blind = {p: note if p in noted else text for p in evidence + other}
+        return G.form_tells(G.Room(spark, R.room_conf(CONF), files(spark, blind), None, R.findings(spark, key), R.distractors(spark, DISTRACTORS)))
+
+    assert gate(evidence[:1])[0] == G.WARN  # a lone pointer ahead
+    assert gate([evidence[0], evidence[2], *other])[0] == G.PASS  # most of the section points there
+    said = gate([evidence[2], evidence[0]])
+    assert said[0] == G.WARN and "note asymmetry" in said[1]
