@@ -7,8 +7,9 @@ on the length of the word or window.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,21 @@ MASK = (1 << 64) - 1
 SLICE_BYTES = 512 << 10
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run``, after which the worker gives what it no longer uses back to the system: workers outlive their tasks and idle
+    beside the next stage's."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _powers.cache_clear()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+            trim(0)
+
+    return wrapped
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: spreads every bit over the word."""
     x = x.astype(np.uint64, copy=True)

@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyroom.llm.arrays import lean
 from tallyroom.llm.chunks import CACHE_ENTRIES, Cache, chunked
 
 
@@ -202,4 +203,4 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_pydict(cols)
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, {kind}n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {id_type}, {kind}n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.arrays import mix
+from tallyroom.llm.arrays import lean, mix
 from tallyroom.llm.chunks import Cache, chunked
 
 TRAIN_DOCS, LEAST_DOCS, COST, EPOCHS = 6_000, 5, 1.0, 30
@@ -168,7 +168,7 @@ def _features(docs: DataFrame, carried: str) -> DataFrame:
                 cols = {f.name: batch.column(i)[lo:hi] for i, f in enumerate(batch.schema) if i < last}
                 yield pa.RecordBatch.from_pydict(cols | {"features": pa.array([feature[a:b].view(np.int64) for a, b in zip(ends, ends[1:])], pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, f"{carried}, features array<bigint>")
+    return docs.mapInArrow(lean(run), f"{carried}, features array<bigint>")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -193,4 +193,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
                 row, feature = indicators(codes, numbers.reshape(-1, 2), at)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)[lo:hi], "score": shared.value.scores(row, feature, hi - lo)})
 
-    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
+    return rows.mapInArrow(lean(run), f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.arrays import SPACED, Words, ragged, words_of
+from tallyroom.llm.arrays import SPACED, Words, lean, ragged, words_of
 from tallyroom.llm.tables import kept
 
 WIDTH, PHRASE = 50, 16
@@ -74,7 +74,7 @@ def candidates(rows: DataFrame, width: int, phrase: int) -> DataFrame:
                 pairs = pd.DataFrame({"phrase": least[new].view(np.int64), "key": keys[lo + row[new]], "mark": marks[lo + row[new]]}).drop_duplicates()
                 yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
 
-    return rows.select("key", "text", "mark").mapInArrow(run, "phrase long, key long, mark long")
+    return rows.select("key", "text", "mark").mapInArrow(lean(run), "phrase long, key long, mark long")
 
 
 def occurrences(w: Words, phrase: int, wanted: np.ndarray) -> np.ndarray:
@@ -116,7 +116,7 @@ def located(rows: DataFrame, width: int, phrase: int) -> DataFrame:
                 pairs = pd.DataFrame({"window": w.spans(first, first + width).view(np.int64), "key": keys[lo + w.row[first]], "mark": marks[lo + w.row[first]]}).drop_duplicates()
                 yield pa.RecordBatch.from_pandas(pairs, preserve_index=False)
 
-    return rows.select("key", "text", "phrases", "mark").mapInArrow(run, "window long, key long, mark long")
+    return rows.select("key", "text", "phrases", "mark").mapInArrow(lean(run), "window long, key long, mark long")
 
 
 def removed(rows: DataFrame, width: int, id_type: str, keep_text: bool) -> DataFrame:
@@ -150,7 +150,7 @@ def removed(rows: DataFrame, width: int, id_type: str, keep_text: bool) -> DataF
                     cols["kept"] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_pydict({k: cols[k] for k in ("doc_id", *(["kept"] if keep_text else []), "n_words", "n_removed", "kept_sha256")})
 
-    return rows.mapInArrow(run, f"doc_id {id_type}, {kind}n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(lean(run), f"doc_id {id_type}, {kind}n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, phrase: int = PHRASE, *, keep_text: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,27 +10,47 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_marked: set[str] = set()
+#: Rows of a file of a narrow table.
+FILE_ROWS = 250_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(named or 'file:///tmp/checkpoints').rstrip('/')}/tallyroom"
-
-
-def kept(df: DataFrame, label: str) -> DataFrame:
+    """This application's folder below the cluster's shared one.  It goes when the application ends.
+
+    Where no shared folder is named, as in tests, a local one does for a local master; executors of a cluster would not see it."""
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not named and not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{(named or 'file:///tmp/checkpoints').rstrip('/')}/tallyroom/{context.applicationId}"
+    if path not in _marked:
+        _marked.add(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(folder)
+        system.deleteOnExit(folder)
+    return path
+
+
+def kept(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Cut lineage: write ``df`` to a new table in the shared folder and read it again.
 
-    The table survives the loss of any executor.  ``drop_kept`` removes all of them."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    The table survives the loss of any executor.  ``rows`` is a bound of its rows, if one is known: a small table is then
+    written as a few files (a core's worth each, or ``FILE_ROWS`` rows) instead of one a shuffle partition."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_kept(spark: SparkSession) -> None:
-    """Delete every table that ``kept`` has written below the shared folder."""
+    """Delete every table that ``kept`` has written in this application.  Frames made from them can no longer be read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -46,5 +67,5 @@ def whole_row(df: DataFrame) -> Column:
 
 
 def followed(df: DataFrame, columns: str) -> T.StructType:
-    """The schema of ``df`` with ``columns`` instead of its last column."""
-    return T.StructType([*df.schema.fields[:-1], *T._parse_datatype_string(columns).fields])
+    """The schema of ``df`` and ``columns`` after it."""
+    return T.StructType([*df.schema.fields, *T._parse_datatype_string(columns).fields])

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyroom.llm.arrays import lean
+
 WIDTH, PAGE_ROWS, STRIP_ROWS = 64, 16_384, 1_024
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
@@ -308,7 +310,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 media.append(write(raw + b"\0" * (max(-len(raw) % 64, 64 * (not raw)))))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": pa.array(sizes, pa.int64()), "media": pa.array(media, pa.binary())})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {id_type}, n_bytes long, media binary")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"doc_id {id_type}, n_bytes long, media binary")
 
 
 def pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -325,7 +327,7 @@ def pages(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") ->
                         **{k: pa.array([getattr(p, k if k != "page" else "number") for p in found], t) for k, t in (("page", pa.int32()), ("width", pa.int64()), ("height", pa.int64()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("tiled", pa.bool_()), ("pixels", pa.binary()), ("error", pa.string()))},
                     })
 
-    return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {id_type}, page int, width long, height long, samples int, bits int, compression int, tiled boolean, pixels binary, error string")
+    return media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(lean(run), f"id {id_type}, page int, width long, height long, samples int, bits int, compression int, tiled boolean, pixels binary, error string")
 
 
 def digests(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", carry: tuple[str, ...] = ("n_bytes",)) -> DataFrame:
@@ -348,4 +350,4 @@ def digests(media: DataFrame, id_col: str = "doc_id", media_col: str = "media",
             kinds = (("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string()))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **{c: batch.column(2 + i) for i, (c, _) in enumerate(rest)}, **{k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds)}})
 
-    return media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"), *carry).mapInArrow(run, f"doc_id {id_type}, {''.join(f'{c} {t}, ' for c, t in rest)}payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
+    return media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"), *carry).mapInArrow(lean(run), f"doc_id {id_type}, {''.join(f'{c} {t}, ' for c, t in rest)}payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
