@@ -2,8 +2,9 @@
 
 Shard format (little-endian), one shard per about ``shard_tokens`` ids (a slice of texts is never split)::
 
-    "TRNS" u16 version  u16 lanes  u8 scale_bits  u32 tokens  u32 block_tokens  u32 symbols
+    "TRNS" u16 version  u16 lanes  u8 scale_bits  u32 tokens  u32 block_tokens  u32 symbols  u32 documents
     symbols x (u32 symbol, u32 frequency)            one table, shared by all blocks of the shard
+    documents x u32 tokens                           which sum up to those of the shard
     for each block:
         u32 tokens  u32 crc32 of its ids  u32 checkpoints
         checkpoints x lanes x u64 state, checkpoints x lanes x u32 words still unread
@@ -15,31 +16,40 @@ checkpoint.  The first checkpoint is the block's beginning.  Lanes of all blocks
 in array operations.
 
 Frequencies sum to ``2**scale_bits``; every symbol that occurs has at least one.
+
+Ids of texts come from the tokenizers library.  White space always ends a pre-token there, so the ids of a text are those of its chunks;
+of a chunk of Latin letters (below U+0100) and trailing marks the marks are a pre-token of their own, and case does not matter.  So only distinct
+pieces are tokenised: they are found by Arrow, and a worker remembers up to ``PIECES`` of them, which changes no result.
+
+A null or empty text holds the end id alone.  Repeated rows are documents of their own.  A null id comes first, equal ids are ordered by a hash of
+their text and then by the text.  Very long texts are never split, so that a shard may be larger than ``shard_tokens``; an empty table gives
+no shards.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.arrays import ragged
-from tallyroom.llm.chunks import Cache, chunked
+from tallyroom.llm.arrays import lean, ragged
+from tallyroom.llm.chunks import Cache, coded
 from tallyroom.llm.tables import kept
 
-MAGIC, VERSION = b"TRNS", 1
+MAGIC, VERSION = b"TRNS", 2
 LANES, SCALE_BITS, BLOCK_TOKENS, CHECKPOINT_STEPS = 32, 20, 32_768, 512
 SHARD_TOKENS = 2_000_000
+PIECES, PIECES_AT_ONCE = 600_000, 2_000
 LOW = np.uint64(1 << 31)  # states are in [2**31, 2**63)
-HEAD = struct.Struct("<4sHHBIII")
+HEAD = struct.Struct("<4sHHBIIII")
 BLOCK = struct.Struct("<III")
 U32 = np.uint64(32)
 
@@ -71,8 +81,12 @@ def frequencies(ids: np.ndarray, scale_bits: int = SCALE_BITS) -> tuple[np.ndarr
     return symbols.astype(np.uint32), scaled
 
 
-def encode_shard(ids: np.ndarray, lanes: int = LANES, block_tokens: int = BLOCK_TOKENS, scale_bits: int = SCALE_BITS, checkpoint_steps: int = CHECKPOINT_STEPS) -> bytes:
+def encode_shard(ids: np.ndarray, counts: np.ndarray | None = None, lanes: int = LANES, block_tokens: int = BLOCK_TOKENS, scale_bits: int = SCALE_BITS, checkpoint_steps: int = CHECKPOINT_STEPS) -> bytes:
+    """A shard of documents of ``counts`` ids each (one document, if not given)."""
     ids = np.asarray(ids, np.uint32)
+    counts = np.array([len(ids)] if counts is None else counts)
+    if counts.sum() != len(ids):
+        raise ValueError("the documents do not make up the ids")
     symbols, freq = frequencies(ids, scale_bits)
     start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64) if len(freq) else np.empty(0, np.uint64)
     freq = freq.astype(np.uint64)
@@ -110,7 +124,7 @@ def encode_shard(ids: np.ndarray, lanes: int = LANES, block_tokens: int = BLOCK_
         if s % checkpoint_steps == 0:
             marks.append((state.copy(), unread.copy()))
     marks.reverse()
-    head = [HEAD.pack(MAGIC, VERSION, lanes, scale_bits, n, block_tokens, len(symbols)), np.column_stack([symbols, freq.astype(np.uint32)]).astype("<u4").tobytes()]
+    head = [HEAD.pack(MAGIC, VERSION, lanes, scale_bits, n, block_tokens, len(symbols), len(counts)), np.column_stack([symbols, freq.astype(np.uint32)]).astype("<u4").tobytes(), counts.astype("<u4").tobytes()]
     for b in range(blocks):
         at = slice(b * lanes, (b + 1) * lanes)
         own = ids[b * block_tokens : (b + 1) * block_tokens]
@@ -129,14 +143,17 @@ class Shard:
     """A shard's table and blocks, unparsed until decoded."""
 
     def __init__(self, raw: bytes):
-        magic, version, self.lanes, self.scale_bits, self.tokens, self.block_tokens, n = HEAD.unpack_from(raw)
+        magic, version, self.lanes, self.scale_bits, self.tokens, self.block_tokens, n, documents = HEAD.unpack_from(raw)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token shard of this version")
         table = np.frombuffer(raw, "<u4", 2 * n, HEAD.size).reshape(n, 2)
         self.symbols, self.freq = table[:, 0].astype(np.uint32), table[:, 1].astype(np.uint64)
         self.start = (np.cumsum(self.freq) - self.freq).astype(np.uint64)
         self.slot = np.repeat(np.arange(n, dtype=np.int32), self.freq.astype(np.int64))
-        self.blocks, at = [], HEAD.size + 8 * n
+        self.counts = np.frombuffer(raw, "<u4", documents, HEAD.size + 8 * n).astype(np.int64)
+        if self.counts.sum() != self.tokens:
+            raise ValueError("the documents do not make up the ids")
+        self.blocks, at = [], HEAD.size + 8 * n + 4 * documents
         while at < len(raw):
             size, crc, marks = BLOCK.unpack_from(raw, at)
             at += BLOCK.size
@@ -192,47 +209,70 @@ class Shard:
         return np.concatenate(parts)
 
 
+class Pieces:
+    """Ids of chunks by the tokenizers library."""
+
+    MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.normalized}
+        self.cache = Cache(self.work, np.uint32, PIECES)
+
+    def work(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, many at once with a special token between, which cuts what stands around it."""
+        mark, cut = next(iter(self.special.items()), ("", -1))
+        plain = [p for p in pieces if not any(t in p for t in self.special)] if mark else []
+        flat, sizes = [], {}
+        for i in range(0, len(plain), PIECES_AT_ONCE):
+            some = plain[i : i + PIECES_AT_ONCE]
+            (said,) = self.tokenizer.encode_batch_fast([mark.join(some)], add_special_tokens=False)
+            ids = np.array(said.ids, np.uint32)
+            ends = np.concatenate([np.flatnonzero(ids == cut), [len(ids)]])
+            flat.append(ids[ids != cut])
+            sizes.update(zip(some, np.diff(ends, prepend=-1) - 1))
+        if len(plain) == len(pieces):
+            return (np.concatenate(flat) if flat else np.empty(0, np.uint32)), np.array([sizes[p] for p in pieces], np.int64)
+        own = dict(zip(plain, np.split(np.concatenate(flat), np.cumsum([sizes[p] for p in plain])[:-1]))) if plain else {}
+        rows = [own[p] if p in own else np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.uint32) for p in pieces]
+        return np.concatenate(rows).astype(np.uint32), np.array([len(r) for r in rows], np.int64)
+
+    def expand(self, chunks: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the sequence ``codes`` of distinct chunks, and how many each gave."""
+        if not len(chunks):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        lower = pc.utf8_lower(chunks)
+        core = pc.ascii_rtrim(lower, self.MARKS)
+        cut = pc.and_(pc.match_substring_regex(chunks, r"^[\x00-{}-\x{ff}]+$"), pc.match_substring_regex(core, "[a-zß-öø-ÿ]$"))  # Latin letters, no |
+        core, tail = pc.if_else(cut, core, chunks), pc.if_else(cut, pc.replace_substring_regex(lower, "^.*[a-zß-öø-ÿ]", ""), "")
+        both = pa.concat_arrays([core, tail]).dictionary_encode()
+        at = self.cache.places(both.dictionary.to_numpy(zero_copy_only=False).tolist())[both.indices.to_numpy(zero_copy_only=False)]
+        at = at.reshape(2, -1).T.ravel()  # core and tail of each chunk in turn
+        starts, counts = self.cache.table.offsets[at], np.diff(self.cache.table.offsets)[at]
+        ids = self.cache.table.flat[ragged(starts, counts)]
+        sizes = counts.reshape(-1, 2).sum(1)
+        return ids[ragged((np.cumsum(sizes) - sizes)[codes], sizes[codes])], sizes[codes]
+
+
 @lru_cache(2)
-def _library(path: str) -> Cache:
-    """Ids of chunks by the tokenizers library.  White space always ends a pre-token there, so a text's ids
-    are those of its chunks; a chunk's trailing ASCII marks are pre-tokens of their own."""
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    marks = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
-    parts: dict[str, bytes] = {"": b""}  # ids as packed 32-bit numbers
-
-    def work(chunks: list[str]) -> list[bytes]:
-        if len(parts) > 1_000_000:
-            parts.clear()
-            parts[""] = b""
-        cut: list[tuple[str, str]] = []
-        for c in chunks:
-            core = c.rstrip(marks)
-            if core and core[-1].isalpha() and ord(max(core)) < 0x100 and "'" not in core and "|" not in core:
-                cut.append((core.lower(), c[len(core) :]))
-            else:
-                cut.append((c, ""))
-        new = [p for p in dict.fromkeys(p for pair in cut for p in pair) if p not in parts]
-        for p, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []):
-            parts[p] = array("I", e.ids).tobytes()
-        return [parts[a] + parts[b] for a, b in cut]
-
-    return Cache(work, np.uint32, 400_000)
+def _pieces(path: str) -> Pieces:
+    return Pieces(path)
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Shards in ascending order of the ids of documents: one row per shard with part, shard (its place in
-    the part), doc_ids, their token counts, and payload in the format above.
+    the part), doc_ids, tokens (how many ids it holds), and payload in the format above.
 
-    Documents are range-partitioned by id and sorted inside a partition, so parts follow each other.  A null
-    id comes first; equal ids are ordered by text.  A null text is an empty one: it holds the end id alone."""
+    Documents are range-partitioned by id and a hash of the text and sorted inside a partition, so parts follow each other and
+    neither null ids nor an id that many rows share make one task."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, k = _library(path), 0
+        pieces, k = _pieces(path), 0
         doc_ids: list = []
         held: list[np.ndarray] = []
         counts: list[np.ndarray] = []
@@ -240,15 +280,16 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
 
         def flush() -> pa.RecordBatch:
             nonlocal k, doc_ids, held, counts, size
-            row = pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "doc_ids": pa.array([doc_ids], schema_type), "counts": pa.array([np.concatenate(counts)], pa.list_(pa.int64())), "payload": pa.array([encode_shard(np.concatenate(held))], pa.binary())})
+            payload = encode_shard(np.concatenate(held), np.concatenate(counts))
+            row = pa.RecordBatch.from_pydict({"shard": pa.array([k], pa.int32()), "doc_ids": pa.array([doc_ids], kind), "tokens": pa.array([size], pa.int64()), "payload": pa.array([payload], pa.binary())})
             k, doc_ids, held, counts, size = k + 1, [], [], [], 0
             return row
 
-        schema_type = None
+        kind = None
         for batch in batches:
-            schema_type = pa.list_(batch.schema.field(0).type)
-            for lo, hi, at, codes, chunks in chunked(batch.column(1)):
-                ids, per_chunk = cache.expand(chunks, codes)
+            kind = pa.list_(batch.schema.field(0).type)
+            for lo, hi, at, codes, chunks in coded(batch.column(1)):
+                ids, per_chunk = pieces.expand(chunks, codes)
                 ends = np.concatenate([[0], np.cumsum(per_chunk)])[at]
                 n = np.diff(ends) + 1
                 flat = np.full(int(n.sum()), end_id, np.uint32)
@@ -262,8 +303,10 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", t
         if doc_ids:
             yield flush()
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return rows.mapInArrow(run, f"shard int, doc_ids array<{id_type}>, counts array<bigint>, payload binary").withColumn("part", F.spark_partition_id())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("mark"))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    return dealt.mapInArrow(lean(run), f"shard int, doc_ids array<{id_type}>, tokens long, payload binary").withColumn("part", F.spark_partition_id())
 
 
 def write_shards(shards: DataFrame) -> DataFrame:
@@ -272,7 +315,7 @@ def write_shards(shards: DataFrame) -> DataFrame:
     Two sums give it: inside a part over its few shards, and over parts on the driver, which gets one number
     a part, never one a document."""
     table = kept(shards, "token-shards")
-    sizes = table.select("part", "shard", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    sizes = table.select("part", "shard", F.col("tokens").alias("n"))
     parts = pd.DataFrame(sizes.groupBy("part").agg(F.sum("n").alias("n")).collect(), columns=["part", "n"]).sort_values("part")
     parts["before"] = parts["n"].cumsum() - parts["n"]
     before = table.sparkSession.createDataFrame([(int(p), int(b)) for p, b in zip(parts["part"], parts["before"])] or [(0, 0)], "part int, before long")
@@ -284,22 +327,24 @@ def write_shards(shards: DataFrame) -> DataFrame:
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
-    """Decodes shards: one row per document with doc_id, start, n_tokens and ids' crc32."""
+    """Decodes shards: one row per document with doc_id, start, n_tokens and ids' crc32, all but the first from the shard's bytes."""
     id_type = shards.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids = Shard(batch.column(3)[row].as_py()).decode()
-                n = batch.column(2)[row].values.to_numpy()
+                shard = Shard(batch.column(2)[row].as_py())
+                ids, n, names = shard.decode(), shard.counts, batch.column(1)[row].values
+                if len(ids) != shard.tokens or len(names) != len(n):
+                    raise ValueError("a shard does not hold what it should")
                 ends = np.cumsum(n)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 cuts = [0, *(4 * ends).tolist()]
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column(1)[row].values,
+                    "doc_id": names,
                     "start": batch.column(0)[row].as_py() + ends - n,
                     "n_tokens": n,
                     "ids_crc32": [zlib.crc32(raw[a:b]) for a, b in zip(cuts, cuts[1:])],
                 })
 
-    return shards.select("start", "doc_ids", "counts", "payload").mapInArrow(run, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
+    return shards.select("start", "doc_ids", "payload").mapInArrow(lean(run), f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long")
