@@ -13,7 +13,7 @@ similarity 0.8 shares one with probability 0.9998.  A bucket of n documents yiel
 2. in buckets that still hold several classes, against the most central document whose class has given none yet; this is
    repeated up to ``ROUNDS`` times and as long as it links anything,
 3. documents of buckets that hold several classes even then are joined exactly: by the rarest shingles of their sets, of
-   which two sets of similarity ``least`` have one in common, with bounds on sizes and positions.
+   which two sets of similarity ``least`` have one in common, with bounds on sizes, on positions and on how far sketches of the sets differ.
 
 Rounds 1 and 2 only keep large groups from being compared pair by pair; step 3 tries every pair that they left, whatever
 the size of the bucket.  Shingles that only one class has can link nothing and count as the rarest.  In
@@ -24,24 +24,32 @@ shared storage.
 
 Documents of the same words are one node of all this, so copies cost a row each and no pair.  Words are lower-cased
 runs of ASCII letters, digits and everything beyond ASCII; a document of fewer than five words is one shingle of all of them; one
-without words (null and empty texts too) is in no class but its own.  Null ids are never a class's id while it
-has another.  Repeated rows share their class.  Nodes are 64-bit hashes of word sequences.
+without words (null and empty texts too) is in no class but its own.  Nodes are 64-bit hashes of word sequences, and rows are
+told apart by their id and a 64-bit hash of their text, so a repeated id with other texts is several documents, and rows that
+repeat both are one.  Null ids come after all others: they have classes and links like all rows, but are a class's id or its kept document
+only where it has no other.  Ties of centrality go to the greater node.  Very long texts are worked on whole, one at a time; empty tables give empty
+tables; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.arrays import ALNUM, Words, mix, words_of
-from tallyroom.llm.tables import kept
+from tallyroom.llm.arrays import ALNUM, Words, lean, mix, words_of
+from tallyroom.llm.tables import kept, whole_row
 
 SHINGLE, BANDS, DEPTH, LEAST, ROUNDS = 5, 16, 4, 0.8, 4
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Words of 64 bits of a set's sketch.
+SKETCH = 16
+#: A set of shingles is as wide as so many narrow rows.
+SET_FILES = 12
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,12 +92,12 @@ def signatures(row: np.ndarray, value: np.ndarray, times: np.ndarray, rows: int,
     return chosen.reshape(rows, slots)
 
 
-def described(docs: DataFrame, size: int, bands: int, depth: int, id_type: str) -> DataFrame:
-    """doc_id, node, buckets, marks (a byte a slot)."""
+def described(rows: DataFrame, size: int, bands: int, depth: int) -> DataFrame:
+    """doc_id, mark, node, buckets, signs (a byte a slot) of rows doc_id, mark, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, w in words_of(batch.column(1), ALNUM, lower=True, limit=SLICE_BYTES):
+            for lo, hi, w in words_of(batch.column(2), ALNUM, lower=True, limit=SLICE_BYTES):
                 n = hi - lo
                 found = signatures(*shingles(w, size), n, bands * depth)
                 node = w.spans(w.first[:-1], w.first[1:]).view(np.int64)
@@ -97,33 +105,40 @@ def described(docs: DataFrame, size: int, bands: int, depth: int, id_type: str)
                 for i in range(depth):
                     band = mix((band + found.reshape(n, bands, depth)[:, :, i]).ravel()).reshape(n, bands)
                 band = mix((band + np.arange(1, bands + 1, dtype=np.uint64) * STEP).ravel())
-                marks = (mix(found.ravel()) & np.uint64(255)).astype(np.uint8)
+                signs = (mix(found.ravel()) & np.uint64(255)).astype(np.uint8)
                 width = bands * depth
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column(0)[lo:hi],
+                    "mark": batch.column(1)[lo:hi],
                     "node": pa.array(node, mask=w.count == 0),
                     "buckets": pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * bands, bands, dtype=np.int32)), pa.array(band.view(np.int64))),
-                    "marks": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32).tobytes()), pa.py_buffer(marks.tobytes())]),
+                    "signs": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, (n + 1) * width, width, dtype=np.int32).tobytes()), pa.py_buffer(signs.tobytes())]),
                 })
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, node long, buckets array<bigint>, marks binary")
+    return rows.select("doc_id", "mark", "text").mapInArrow(lean(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark long, node long, buckets array<bigint>, signs binary")
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """node, set (sorted 32-bit hashes) of rows text, node whose words are still the node's; a null node stands for whatever the words give."""
+def shingle_sets(rows: DataFrame, size: int) -> DataFrame:
+    """node, set (sorted 32-bit hashes), sketch of rows text, node whose words are the node's.
+
+    A sketch has a bit for each of ``64 * SKETCH`` groups of hashes: whether the set has an odd number of them.  Each hash that only
+    one of two sets has changes one bit, so sketches differ in no more bits than sets in hashes."""
+
+    def sketch(found: np.ndarray) -> np.ndarray:
+        return np.packbits(np.bincount(found & np.uint32(64 * SKETCH - 1), minlength=64 * SKETCH).astype(np.uint8) & 1).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, free = batch.column(1).fill_null(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            nodes = batch.column(1).to_numpy()
             for lo, hi, w in words_of(batch.column(0), ALNUM, lower=True):
                 row, value, _ = shingles(w, size)
                 short = (value >> np.uint64(32)).astype(np.uint32)
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
-                found = w.spans(w.first[:-1], w.first[1:]).view(np.int64)
-                same = np.flatnonzero((found == nodes[lo:hi]) | free[lo:hi] & (w.count > 0)).tolist()
-                yield pa.RecordBatch.from_pydict({"node": found[same], "set": pa.array([np.unique(short[ends[i] : ends[i + 1]]).tobytes() for i in same], pa.binary())})
+                same = np.flatnonzero(w.spans(w.first[:-1], w.first[1:]).view(np.int64) == nodes[lo:hi]).tolist()
+                sets = [np.unique(short[ends[i] : ends[i + 1]]) for i in same]
+                yield pa.RecordBatch.from_pydict({"node": nodes[lo:hi][same], "set": pa.array([x.tobytes() for x in sets], pa.binary()), "sketch": pa.array([sketch(x) for x in sets], pa.list_(pa.int64()))})
 
-    return docs.select("text", "node").mapInArrow(run, "node long, set binary")
+    return rows.select("text", "node").mapInArrow(lean(run), "node long, set binary, sketch array<bigint>")
 
 
 def _with(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
@@ -144,7 +159,7 @@ def possible(pairs: DataFrame, nodes: DataFrame, share: float = 0.5) -> DataFram
             ok = pa.array((left == right).mean(1) >= share)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    return _with(pairs, nodes, "marks").mapInArrow(run, "a long, b long")
+    return _with(pairs, nodes, "signs").mapInArrow(lean(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -165,7 +180,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             ok = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
-    return _with(pairs, sets, "set").mapInArrow(run, "a long, b long")
+    return _with(pairs, sets, "set").mapInArrow(lean(run), "a long, b long")
 
 
 def _none(df: DataFrame) -> bool:
@@ -173,43 +188,43 @@ def _none(df: DataFrame) -> bool:
     return df.agg(F.count("*")).first()[0] == 0
 
 
-def flattened(parents: DataFrame) -> DataFrame:
+def flattened(parents: DataFrame, most: int) -> DataFrame:
     """node, root: of a forest of (node, parent), parent < node, where every node leads to by pointer jumping."""
     at = parents.select("node", F.col("parent").alias("root"))
     while True:
         up = at.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = kept(at.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
+        jumped = kept(at.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots", most)
         at = jumped.select("node", "root")
         if _none(jumped.where("moved")):
             return at
 
 
-def merged(roots: DataFrame | None, pairs: DataFrame) -> DataFrame | None:
+def merged(roots: DataFrame | None, pairs: DataFrame, most: int) -> DataFrame | None:
     """node, root after joining the classes of ``pairs`` (a, b): larger roots hook onto the smallest root they meet, and
     chains are flattened, until no pair connects two roots.  Nodes that are missing are roots of themselves."""
-    pairs = kept(pairs, "links")
+    pairs = kept(pairs, "links", most)
     while not _none(pairs):
         if roots is not None:
             a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
             pairs = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-        pairs = kept(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        pairs = kept(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", most)
         if _none(pairs):
             break
-        hooks = flattened(pairs.groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "node"))
+        hooks = flattened(pairs.groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "node"), most)
         if roots is None:
             roots = hooks
         else:
             moved = roots.join(hooks.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root"))
-            roots = kept(moved.union(hooks.join(roots.select("node"), "node", "left_anti")), "roots")
+            roots = kept(moved.union(hooks.join(roots.select("node"), "node", "left_anti")), "roots", most)
     return roots
 
 
-def opened(member: DataFrame, roots: DataFrame | None) -> DataFrame:
+def opened(member: DataFrame, roots: DataFrame | None, most: int) -> DataFrame:
     """bucket, node, score, label: the members of buckets that hold several classes."""
     known = member if roots is None else member.join(roots, "node", "left")
     known = known.select("bucket", "node", "score", (F.coalesce("root", "node") if roots is not None else F.col("node")).alias("label"))
-    several = kept(known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket"), "open")
-    return kept(known.join(several, "bucket"), "known")
+    several = kept(known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket"), "open", most)
+    return kept(known.join(several, "bucket"), "known", most)
 
 
 def exploded(labelled: DataFrame) -> DataFrame:
@@ -227,7 +242,7 @@ def exploded(labelled: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({**names, "size": np.repeat(n, n), "shingle": np.concatenate(sets[at:to]).view(np.int32)})
                 at = to
 
-    return labelled.select("node", "label", "set").mapInArrow(run, "node long, label long, size long, shingle int")
+    return labelled.select("node", "label", "set").mapInArrow(lean(run), "node long, label long, size long, shingle int")
 
 
 def remaining(labelled: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -236,61 +251,81 @@ def remaining(labelled: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     A set of n shingles has n - least * n others than those it must share, so among its n - least * n + 1 rarest is a shared one."""
     slack = 1e-6
     every = kept(exploded(labelled.join(sets, "node")), "shingles")
+    most = every.count()
     counts = every.groupBy("shingle").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
-    counts = kept(counts.where("x < y").select("shingle", "n"), "counts")
+    counts = kept(counts.where("x < y").select("shingle", "n"), "counts", most)
     held = every.join(counts, "shingle").groupBy("node", "label", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("held"))
     wanted = F.floor(F.col("size") * (1 - least) + slack) + 1 - (F.col("size") - F.size("held"))
-    rare = held.withColumn("wanted", wanted.cast("int")).where("wanted > 0").select("node", "label", "size", F.size("held").alias("held"), F.posexplode(F.slice("held", F.lit(1), F.col("wanted"))).alias("at", "rare"))
-    rare = kept(rare.select("node", "label", "size", F.expr("held - at - 1").alias("after"), "at", F.col("rare.shingle").alias("shingle")), "rare")
-    a, b = (rare.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "size", "after", "at"))) for side in "ab")
+    held = held.withColumn("wanted", wanted.cast("int")).where("wanted > 0").join(sets.select("node", "sketch"), "node")
+    rare = held.select("node", "label", "size", "sketch", F.size("held").alias("held"), F.posexplode(F.slice("held", F.lit(1), F.col("wanted"))).alias("at", "rare"))
+    rare = kept(rare.select("node", "label", "size", "sketch", F.expr("held - at - 1").alias("after"), "at", F.col("rare.shingle").alias("shingle")), "rare", most)
+    a, b = (rare.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "label", "size", "sketch", "after", "at"))) for side in "ab")
     close = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - slack
     enough = F.least("at_a", "at_b") + 1 + F.least("after_a", "after_b") >= least / (1 + least) * (F.col("size_a") + F.col("size_b")) - slack
-    met = a.join(b, "shingle").where(F.col("label_a") < F.col("label_b")).where(close & enough)
+    apart = reduce(lambda x, y: x + y, (F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range(SKETCH)))
+    alike = apart <= (1 - least) / (1 + least) * (F.col("size_a") + F.col("size_b")) + slack
+    met = a.join(b, "shingle").where(F.col("label_a") < F.col("label_b")).where(close & enough & alike)
     return kept(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "remaining")
 
 
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bands: int = BANDS, depth: int = DEPTH, least: float = LEAST) -> DataFrame:
-    """doc_id, class_id (the smallest id of its class), kept (whether it has that id): one row per document."""
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    told = kept(described(rows, size, bands, depth, id_type), "described")
-    nodes = kept(told.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("buckets").alias("buckets"), F.min("marks").alias("marks")), "nodes")
+    """doc_id, class_id (the smallest id of its class), kept (whether it is the first document of its class, by id and then by mark),
+    mark (a hash of its text): one row per document."""
+    rows = _identified(docs, id_col, text_col)
+    told = kept(described(rows, size, bands, depth), "described")
+    total = told.count()
+    most = total * bands  # bounds the rows of every table below but sets and shingles
+    own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    nodes = kept(told.where("node IS NOT NULL").groupBy("node").agg(F.min(own).alias("best"), F.min("buckets").alias("buckets"), F.min("signs").alias("signs")), "nodes", total)
     member = nodes.select(F.explode("buckets").alias("bucket"), "node")
-    shared = kept(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    member = kept(member.join(shared, "bucket"), "members")
-    member = kept(member.join(member.groupBy("node").agg(F.sum("n").alias("score")), "node"), "members")
-    central = kept(member.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")), "central")
-    wanted = member.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    named = rows.join(wanted.where("doc_id IS NOT NULL"), "doc_id").select("text", "node")
-    unnamed = shingle_sets(rows.where("doc_id IS NULL").select("text", F.lit(None).cast("long").alias("node")), size).join(wanted.where("doc_id IS NULL"), "node", "left_semi")
-    sets = kept(shingle_sets(named, size).union(unnamed).dropDuplicates(["node"]), "sets")
+    shared = kept(member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets", most)
+    member = kept(member.join(shared, "bucket"), "members", most)
+    member = kept(member.join(member.groupBy("node").agg(F.sum("n").alias("score")), "node"), "members", most)
+    central = kept(member.groupBy("bucket").agg(F.max(F.struct("score", "node")).alias("top")), "central", most)
+    wanted = member.select("node").distinct().join(nodes.select("node", "best.doc_id", "best.mark"), "node")
+    same = rows["mark"].eqNullSafe(wanted["mark"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])
+    sets = kept(shingle_sets(rows.join(wanted, same).select("text", "node"), size).dropDuplicates(["node"]), "sets", SET_FILES * total)
 
     first = member.join(central, "bucket").where("node <> top.node").groupBy("node").agg(F.max("top").alias("top"))
-    roots = merged(None, verified(first.select(F.col("node").alias("a"), F.col("top.node").alias("b")), sets, least))
-    known = opened(member.select("bucket", "node", "score"), roots)
+    roots = merged(None, verified(first.select(F.col("node").alias("a"), F.col("top.node").alias("b")), sets, least), most)
+    known = opened(member.select("bucket", "node", "score"), roots, most)
     tops = None
     for _ in range(ROUNDS):
         rest = known
         if tops is not None:
-            past = kept(known.join(tops, ["bucket", "node"]).select("bucket", "label").distinct(), "past")
+            past = kept(known.join(tops, ["bucket", "node"]).select("bucket", "label").distinct(), "past", most)
             rest = known.join(past, ["bucket", "label"], "left_anti")
-        new = kept(rest.groupBy("bucket").agg(F.max(F.struct("score", "node", "label")).alias("top")), "tops")
+        new = kept(rest.groupBy("bucket").agg(F.max(F.struct("score", "node", "label")).alias("top")), "tops", most)
         pairs = known.join(new, "bucket").where("label <> top.label").select("node", F.col("top.node").alias("other"))
         pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        links = kept(verified(possible(pairs, nodes), sets, least), "verified")
+        links = kept(verified(possible(pairs, nodes), sets, least), "verified", most)
         if _none(links):
             break
-        roots = merged(roots, links)
+        roots = merged(roots, links, most)
         past = new.select("bucket", F.col("top.node").alias("node"))
         tops = past if tops is None else tops.union(past)
-        known = opened(known.drop("label"), roots)
+        known = opened(known.drop("label"), roots, most)
     if not _none(known):
-        roots = merged(roots, verified(remaining(known.select("node", "label").distinct(), sets, least), sets, least))
-    named = nodes.select("node", "doc_id").withColumn("label", F.col("node")) if roots is None else nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("label"))
-    lowest = kept(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "classes")
-    classes = kept(named.join(lowest, "label").select("node", "class_id"), "classes")
-    out = told.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+        roots = merged(roots, verified(remaining(known.select("node", "label").distinct(), sets, least), sets, least), most)
+    named = nodes.select("node", "best")
+    named = named.withColumn("label", F.col("node")) if roots is None else named.join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("label"))
+    first = kept(named.groupBy("label").agg(F.min("best").alias("first")), "classes", total)
+    classes = kept(named.join(first, "label").select("node", "first"), "classes", total)
+    out = told.select("doc_id", "mark", "node").join(classes, "node", "left")
+    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"), F.coalesce(F.col("first").eqNullSafe(own) | F.col("node").isNull(), F.lit(True)).alias("kept"), "mark")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` without those that are not the first of their class."""
+    gone = near_duplicates(docs, id_col, text_col, **how).where("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark")).distinct()
+    mine = docs.select(whole_row(docs), F.col(id_col).alias("own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("own_mark"))
+    same = mine["own_mark"].eqNullSafe(gone["gone_mark"]) & mine["own_id"].eqNullSafe(gone["gone_id"])
+    return mine.join(gone, same, "left_anti").select("row.*")
 
 
 #: The same classes in DuckDB, from all pairs that share a shingle.
