@@ -4,29 +4,34 @@ Generators propose spans: the four base patterns (whose valid matches always sta
 the forms phones and cards are written in, base matches whose check failed, and spelt-out mail addresses.  Each
 other proposal is described by its format (digits, groups, separators, checksums) and the words around it, and
 scored by boosted trees.  A kind's threshold is the lowest score that keeps ``precision`` on examples held back
-from training.  A proposal that overlaps a base span is dropped; of two others that overlap, the earlier stays.
+from training.  A proposal that overlaps a base span is dropped.  Of the others that reach their threshold, taken from left to right
+(of the same beginning the longer first), one that overlaps the last one taken is dropped.
 
 The trees are fitted once a session on examples made by rule (``EXAMPLES`` of them, the bound of what is learnt from), by
 Spark's own gradient boosting, and applied as one column expression.  Everything about a text happens in its row: no shuffle,
 no group, no Python on executors.
 
-The patterns are written so that matching is linear in the text and takes no stack: repeated groups are turned
-into character runs after a same-length rewrite of the separators that cannot belong to a match.
+Cost: patterns match in one pass and take no stack (repeated groups are possessive, or turned into character runs after a
+same-length rewrite of the separators that cannot belong to a match).  Spans are sorted once and swept from both ends;
+running values come from ``_scan``, which works in blocks, so that n spans cost about n ** 1.5 small steps and a text of
+100,000 spans takes seconds.  What later steps use more than once comes from a generator of one row (``_put``) or is bound to a
+lambda variable (``_let``): a plain column would be put back into the lambdas that use it and computed once an element.
 
-Nulls and empty texts have no spans.  Positions count code points, ends are exclusive.  Repeated rows give repeated rows.
+Nulls and empty texts have no spans (``redact`` leaves a null a null); empty tables give empty tables.  Very long texts are
+worked on whole.  Positions count code points, ends are exclusive.  Repeated rows give repeated rows.  Other columns, whatever
+their names, are left alone.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyroom.llm.tables import whole_row
-
 KINDS = ("email", "ip", "card", "phone")
 EXAMPLES, PRECISION, TREES, DEPTH = 4_000, 0.99, 12, 4
 NEAR = 28  # code points of context
@@ -39,8 +44,14 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9]|)"
 RUN = "[0-9][0-9 -]+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-LOOSE = r"(?<![0-9A-Za-z+.(-])[(0-9][0-9 ()./-]{5,24}[0-9](?![0-9A-Za-z])"
-SPELT = rf"[{LOCAL}]{{1,64}}+ ?[\[(]at[\])] ?[{LABEL}]{{1,63}}+(?: ?(?:[\[(]dot[\])]|\.) ?[{LABEL}]{{1,63}}+){{1,5}}+"
+#: Groups of digits with one to three separators between; of any length, since the count of digits decides later.
+LOOSE = r"(?<![0-9A-Za-z+.(-])\(?[0-9]++(?:[ ()./-]{1,3}+[0-9]++)*+"
+#: The one form that is proposed inside longer runs of numbers too: three, three and four digits.
+NATIONAL = r"(?<![0-9+.])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+SPELT = rf"(?<![{LOCAL}])[{LOCAL}]++ ?[\[(]at[\])] ?[{LABEL}]++(?:(?: ?[\[(]dot[\])] ?|\.)[{LABEL}]++)++"
+#: Fewest digits of a proposal and most, by generator.  Shorter numbers are too common in prose, longer ones are no phone or card.
+DIGITS = {"ip": (4, 24), "card": (13, 24), "phone": (7, 24), "loose": (7, 15), "national": (10, 10)}
+BLOCK, PIECE = 256, 1024
 
 WORDS = {
     "phone": r"\b(?:phone|tel|call|mobile|cell|fax|whatsapp|telefon|appel|llame)\b",
@@ -51,29 +62,50 @@ WORDS = {
 }
 
 
-def _ends(parts: Column, hits: Column) -> Column:
-    """End of each hit: running sums of the lengths of parts and hits, in blocks, so that many hits stay cheap."""
-    block = 64
-    zero = F.lit(0).cast("long")
-    total = lambda xs: F.aggregate(xs, zero, lambda a, x: a + x)
-    sizes = F.transform(hits, lambda h, i: (F.length(F.get(parts, i)) + F.length(h)).cast("long"))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(hits) - 1) / block).cast("int")), lambda b: F.slice(sizes, b * block + 1, block))
-    sums = F.transform(blocks, total)
-    return F.when(F.size(hits) > 0, F.flatten(F.transform(blocks, lambda b, k: F.transform(b, lambda _, i: total(F.slice(sums, 1, k)) + total(F.slice(b, 1, i + 1)))))).otherwise(F.array().cast("array<bigint>"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _put(df: DataFrame, **values: Column) -> DataFrame:
+    """``df`` with more columns, each computed once a row whatever is made of it."""
+    return df.select("*", F.inline(F.array(F.struct(*(v.alias(k) for k, v in values.items())))))
+
+
+def _scan(items: Column, state: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``emit`` (of type ``kind``) of each item and the state before it; ``step`` gives the state after it.
+
+    An array is copied with each element put to it, so results are gathered in blocks and the blocks joined at the end."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def inner(begin: Column, block: Column) -> Column:
+        return F.aggregate(block, F.struct(begin.alias("state"), none.alias("out")), lambda a, x: F.struct(step(a["state"], x).alias("state"), F.concat(a["out"], F.array(emit(a["state"], x))).alias("out")))
+
+    def outer(a: Column, block: Column) -> Column:
+        return _let(inner(a["state"], block), lambda done: F.struct(done["state"].alias("state"), F.concat(a["out"], F.array(done["out"])).alias("out")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+    done = F.aggregate(blocks, F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")), outer, lambda a: F.flatten(a["out"]))
+    return F.when(F.size(items) > 0, done).otherwise(none)
 
 
-def _spans(df: DataFrame, name: str, text: Column, pattern: str, kind: str) -> DataFrame:
-    """Adds ``name``: the pattern's matches as an array of (start, rank, end, hit, before, after)."""
-    rank = KINDS.index(kind)
-    none = F.array().cast("array<string>")
-    hot = F.col("_hot")
-    df = df.withColumn("_hits", F.when(hot, F.regexp_extract_all(text, F.lit(pattern), 0)).otherwise(none))
-    df = df.withColumn("_parts", F.when(F.size("_hits") > 0, F.split(text, pattern, -1)).otherwise(none))
-    df = df.withColumn("_ends", _ends(F.col("_parts"), F.col("_hits")))
-    make = lambda h, i: F.struct(
-        (F.get("_ends", i) - F.length(h)).alias("start"), F.lit(rank).alias("rank"), F.get("_ends", i).alias("end"), h.alias("hit"),
-        F.right(F.get("_parts", i), F.lit(NEAR)).alias("before"), F.left(F.get("_parts", i + 1), F.lit(8)).alias("after"))
-    return df.withColumn(name, F.transform("_hits", make)).drop("_hits", "_parts", "_ends")
+SPAN = "struct<start:bigint,rank:int,end:bigint>"
+HIT = "struct<start:bigint,rank:int,end:bigint,hit:string,before:string,after:string>"
+
+
+def _hits(text: Column, pattern: str, kind: str) -> Column:
+    """The pattern's matches in order: an array of (start, rank, end, hit, before, after)."""
+
+    def placed(hits: Column, parts: Column) -> Column:
+        sizes = F.transform(hits, lambda h, i: (F.length(F.get(parts, i)) + F.length(h)).cast("long"))
+        ends = lambda xs: _scan(xs, F.lit(0).cast("long"), lambda s, x: s + x, lambda s, x: s + x, "bigint")
+        make = lambda ends: lambda h, i: F.struct(
+            (F.get(ends, i) - F.length(h)).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.get(ends, i).alias("end"), h.alias("hit"),
+            F.right(F.get(parts, i), F.lit(NEAR)).alias("before"), F.left(F.get(parts, i + 1), F.lit(8)).alias("after"))
+        return _let(sizes, lambda xs: _let(ends(xs), lambda e: F.transform(hits, make(e))))
+
+    some = lambda t, hits: _let(F.split(t, pattern, -1), lambda parts: placed(hits, parts))
+    return _let(text, lambda t: _let(F.regexp_extract_all(t, F.lit(pattern), 0), lambda hits: F.when(F.size(hits) > 0, some(t, hits)).otherwise(F.array().cast(f"array<{HIT}>"))))
 
 
 def _digits(hit: Column) -> Column:
@@ -229,59 +261,104 @@ def fitted(spark: SparkSession, n: int = EXAMPLES, trees: int = TREES, depth: in
     return out
 
 
-def _order(spans: Column) -> Column:
-    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))))
+def _plain(spans: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
 
 
-def _digest(spans: Column) -> Column:
-    names = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+def _free(base: Column, more: Column) -> Column:
+    """Those of ``more`` that overlap none of ``base``, in order of their beginnings, the longer first."""
+    row = lambda s, at: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), at.alias("at"))
+    both = F.array_sort(F.concat(F.transform(base, lambda b: row(b, F.lit(-1))), F.transform(more, lambda s, i: row(s, i))))
+    own = lambda x: x["at"] < 0
+
+    def swept(xs: Column) -> Column:
+        reached = _scan(xs, F.lit(0).cast("long"), lambda s, x: F.when(own(x), F.greatest(s, -x["back"])).otherwise(s), lambda s, x: ~own(x) & (x["start"] >= s), "boolean")
+        ahead = _scan(F.reverse(xs), F.lit((1 << 63) - 1), lambda s, x: F.when(own(x), F.least(s, x["start"])).otherwise(s), lambda s, x: -x["back"] <= s, "boolean")
+        return _let(reached, lambda r: _let(ahead, lambda a: F.filter(xs, lambda x, i: F.get(r, i) & F.get(a, F.size(xs) - 1 - i))))
+
+    return _let(both, lambda xs: F.transform(swept(xs), lambda x: F.get(more, x["at"])))
+
+
+def _apart(spans: Column) -> Column:
+    """From left to right, spans that do not overlap the last one taken."""
+    clear = _scan(spans, F.lit(0).cast("long"), lambda s, x: F.when(x["start"] >= s, x["end"]).otherwise(s), lambda s, x: x["start"] >= s, "boolean")
+    return _let(clear, lambda ok: F.filter(spans, lambda _, i: F.get(ok, i)))
+
+
+def _chosen(more: Column, model: Trees) -> Column:
+    """The proposals whose score reaches the threshold of their kind."""
+    limits = F.array(*map(F.lit, model.thresholds))
+    told = F.transform(more, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.array(*_features(s)).alias("f")))
+    width = len(_features(F.col("x")))
+    good = lambda s: model.score([F.get(s["f"], F.lit(i)) for i in range(width)]) >= F.get(limits, s["rank"])
+    return _plain(F.filter(told, good))
+
+
+def _found(df: DataFrame, model: Trees) -> DataFrame:
+    """Adds base and spans, arrays of (start, rank, end), ordered, to rows with a text _t that is not null; rank counts in ``KINDS``."""
+    t, digits = F.col("_t"), lambda s: F.length(_digits(s["hit"]))
+    runs = F.regexp_replace(t, r"(?<![0-9])[ -]|[ -](?![0-9])", "x")
+    mail = F.when(t.contains("@"), F.regexp_replace(t, rf"\.(?![{LABEL}])", "_")).otherwise("")
+    sought = {"email": (mail, EMAIL, "email"), "ip": (t, IP, "ip"), "card": (runs, RUN, "card"), "phone": (t, PHONE, "phone"), "loose": (t, LOOSE, "phone"), "national": (t, NATIONAL, "phone"), "spelt": (t, SPELT, "email")}
+    none = F.array().cast(f"array<{HIT}>")
+    some = lambda hits: F.when(F.col("_hot"), hits).otherwise(none)
+    df = _put(df.withColumn("_hot", t.rlike(ANY)), **{f"_{name}": some(_hits(*how)) for name, how in sought.items()}).drop("_hot")
+
+    def fits(name: str, test: Callable[[Column], Column]) -> Column:
+        low, high = DIGITS[name]
+        return F.filter(f"_{name}", lambda s: digits(s).between(low, high) & test(s))
+
+    sound = [F.filter(f"_{k}", (lambda k: lambda s: _sound(k, s["hit"]))(k)) for k in KINDS]
+    more = [fits(k, (lambda k: lambda s: ~_sound(k, s["hit"]))(k)) for k in ("ip", "card", "phone")]
+    more += [fits(k, lambda s: ~s["after"].rlike("^[A-Za-z0-9]")) for k in ("loose", "national")]
+    df = _put(df, base=F.array_sort(_plain(F.concat(*sound))), _more=F.concat(*more, "_spelt")).drop(*(f"_{name}" for name in sought))
+    df = _put(df, _free=F.when(F.size("_more") > 0, _free(F.col("base"), F.col("_more"))).otherwise(none)).drop("_more")
+    df = _put(df, _chosen=F.when(F.size("_free") > 0, _chosen(F.col("_free"), model)).otherwise(F.array().cast(f"array<{SPAN}>"))).drop("_free")
+    return _put(df, spans=F.when(F.size("_chosen") > 0, F.array_sort(F.concat("base", _apart(F.col("_chosen"))))).otherwise(F.col("base"))).drop("_chosen")
 
 
 def find(docs: DataFrame, text_col: str = "text", model: Trees | None = None) -> DataFrame:
     """``row`` (all columns of ``docs`` as a struct), base and spans: arrays of (start, rank, end), ordered; rank counts in ``KINDS``."""
-    model = model or fitted(docs.sparkSession)
-    df = docs.select(whole_row(docs).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
-    df = df.withColumn("_hot", F.col("_t").rlike(ANY))
-    mail = F.when(F.col("_t").contains("@"), F.regexp_replace("_t", rf"\.(?![{LABEL}])", "_")).otherwise("")
-    runs = F.regexp_replace("_t", r"(?<![0-9])[ -]|[ -](?![0-9])", "x")
-    for name, text, pattern, kind in (("_email", mail, EMAIL, "email"), ("_ip", F.col("_t"), IP, "ip"), ("_card", runs, RUN, "card"), ("_phone", F.col("_t"), PHONE, "phone"), ("_loose", F.col("_t"), LOOSE, "phone"), ("_spelt", F.col("_t"), SPELT, "email")):
-        df = _spans(df, name, text, pattern, kind)
-    checked = {k: (lambda kind: lambda s: _sound(kind, s["hit"]))(k) for k in KINDS}
-    base = F.concat(*(F.filter(f"_{k}", checked[k]) for k in KINDS))
-    df = df.withColumn("_base", base)
-    digits = lambda s: F.length(_digits(s["hit"]))
-    more = F.concat(*(F.filter(F.filter(f"_{k}", lambda s: (digits(s) >= least) & (digits(s) <= 24)), (lambda kind: lambda s: ~_sound(kind, s["hit"]))(k)) for k, least in (("ip", 4), ("card", 13), ("phone", 7))), F.filter("_loose", lambda s: (digits(s) >= 7) & (digits(s) <= 15)), F.col("_spelt"))
-    df = df.withColumn("_more", F.filter(more, lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    df = df.withColumn("_told", F.transform("_more", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.array(*_features(s)).alias("f"))))
-    width = len(_features(F.col("_row")))
-    limits = F.array(*map(F.lit, model.thresholds))
-    chosen = F.filter("_told", lambda s: model.score([F.get(s["f"], F.lit(i)) for i in range(width)]) >= F.get(limits, s["rank"]))
-    df = df.withColumn("_kept", F.when(F.size("_told") > 0, _order(chosen)).otherwise(F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")))
-    df = df.withColumn("_kept", F.filter("_kept", lambda s, i: (i == 0) | ~F.exists(F.slice("_kept", F.greatest(F.lit(1), i - 3), F.least(i, F.lit(4))), lambda b: b["end"] > s["start"])))
-    df = df.withColumn("_b", _order(F.col("_base")))
-    return df.select(F.col("_row").alias("row"), F.col("_b").alias("base"), F.when(F.size("_kept") > 0, F.array_sort(F.concat("_b", "_kept"))).otherwise(F.col("_b")).alias("spans"))
+    df = _found(_numbered(docs, text_col), model or fitted(docs.sparkSession))
+    return df.select(F.struct(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns))).alias("row"), "base", "spans")
+
+
+def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
+    """Columns under their numbers, so that no name can clash, and the text as _t."""
+    return docs.toDF(*(f"_{i}" for i in range(len(docs.columns)))).withColumn("_t", F.coalesce(F.col(f"_{docs.columns.index(text_col)}"), F.lit("")))
+
+
+def _digest(spans: Column) -> Column:
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Trees | None = None) -> DataFrame:
     """doc_id, a count of base spans a kind, base_sha256, spans: one row per document."""
-    found = find(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", model)
-    ranks = F.transform("base", lambda s: s["rank"])
-    counts = [F.size(F.array_remove(F.transform(ranks, lambda r: F.when(r == k, 1).otherwise(0)), 0)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
-    return found.select("row.doc_id", *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
+    df = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    found = _found(df, model or fitted(docs.sparkSession))
+    counts = [F.size(F.filter("base", (lambda k: lambda x: x["rank"] == k)(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(_digest(F.col("base")), 256).alias("base_sha256"), _digest(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", model: Trees | None = None) -> DataFrame:
-    """``docs`` with every span of the text replaced by its kind in brackets; overlapping spans become one.  Null texts stay null."""
-    found = find(docs, text_col, model)
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    text = F.col("row").getField(text_col)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    """``docs`` with every span of the text replaced by its kind in brackets; overlapping spans become one, of the first one's kind.
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(text.substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.get(names, s["rank"]))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["parts"], F.array(piece))).otherwise(acc["parts"]).alias("parts"))
-
-    done = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), text.substr((acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn("row", F.when(F.size("spans") > 0, F.col("row").withField(f"`{text_col}`", done)).otherwise(F.col("row"))).select("row.*")
+    A text is cut into pieces of ``PIECE`` code points, and what stays between two spans is put together from the pieces it touches."""
+    df = _found(_numbered(docs, text_col), model or fitted(docs.sparkSession)).drop("base")
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    spans, pieces, reached, at = F.col("spans"), F.col("_pieces"), F.col("_reached"), docs.columns.index(text_col)
+
+    def between(a: Column, b: Column) -> Column:
+        first, last = F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")
+        begin = lambda k: (first + k) * PIECE
+        part = lambda p, k: F.substring(p, (F.greatest(a - begin(k), F.lit(0)) + 1).cast("int"), (b - F.greatest(a, begin(k))).cast("int"))
+        return F.when(a < b, F.array_join(F.transform(F.slice(pieces, first + 1, last - first + 1), part), "")).otherwise("")
+
+    some = F.size(spans) > 0
+    running = _scan(spans, F.lit(0).cast("long"), lambda s, x: F.greatest(s, x["end"]), lambda s, x: s, "bigint")
+    df = _put(df, _pieces=F.when(some, F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{PIECE}}}"), 0)), _reached=F.when(some, running))
+    put = lambda s, i: F.when(s["start"] >= F.get(reached, i), F.concat(between(F.get(reached, i), s["start"]), F.get(names, s["rank"]))).otherwise("")
+    rest = between(F.array_max(F.transform(spans, lambda s: s["end"])), F.length("_t").cast("long"))
+    df = _put(df, _new=F.when(some, F.concat(F.array_join(F.transform(spans, put), ""), rest)).otherwise(F.col(f"_{at}")))
+    return df.select(*(F.col("_new" if i == at else f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
