@@ -11,7 +11,8 @@ cross-entropy lies more than ``slack`` times as far above the language's mean as
 (further for short texts) counts as no known language.
 
 Null and empty texts and texts without a letter are ``und`` with score 0 and rejected.  Repeated rows give
-repeated rows.  With no labelled row at all every document is ``und``.  Other columns are not read.
+repeated rows.  With no labelled row at all every document is ``und``.  Of languages of equal cross-entropy the first by name wins.  Very long texts are
+scored whole, in sums over their chunks.  Empty tables give empty tables.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.arrays import MASK, mix
+from tallyroom.llm.arrays import MASK, lean, mix
 from tallyroom.llm.chunks import Cache, chunked, segment_sums
 from tallyroom.llm.tables import followed, whole_row
 
@@ -33,8 +34,9 @@ ORDER = 5
 #: Bounds of the labelled sample, in expected documents a language.
 TRAIN_DOCS, CALIBRATION_DOCS = 1_500, 500
 ACCEPT = 0.9995
-#: What is allowed beyond, as a multiple.
-SLACK = 2.0
+#: What is allowed beyond, as a multiple; and the distance (nats times the root of symbols) that counts at least, since a few hundred
+#: calibration texts need not hold the rarer kinds of clean ones.
+SLACK, LEAST_DISTANCE = 3.0, 3.0
 #: Symbols from which a text counts as long.
 LONG = 200
 BASE = 0xA24BAED4963EE407
@@ -181,11 +183,12 @@ def _counts(docs: DataFrame, order: int) -> DataFrame:
                 keys = list(seen)
                 yield pa.RecordBatch.from_pydict({"lang": [str(k[0]) for k in keys], "gram": [k[1] for k in keys], "n": pa.array(list(seen.values()), pa.int64())})
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(lean(run), "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _scored(docs: DataFrame, shared, limits: dict | None) -> DataFrame:
-    """Puts what the models say of each text, the last column, in its place."""
+def _scored(docs: DataFrame, shared, limits: dict | None, inner: int | None = None) -> DataFrame:
+    """Puts what the models say of each text, the last column, in its place; with ``inner`` beside the rows, whose field of that number is the text."""
+    outer = docs.columns if inner is not None else docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models: Models = shared.value
@@ -193,14 +196,14 @@ def _scored(docs: DataFrame, shared, limits: dict | None) -> DataFrame:
         size = len(models.langs)
         cache = Cache(lambda chunks: models.score([letters(c) for c in chunks]), np.float32)
         for batch in batches:
-            for lo, hi, at, codes, chunks in chunked(batch.column(batch.num_columns - 1)):
+            for lo, hi, at, codes, chunks in chunked(batch.column(len(outer)) if inner is None else batch.column(0).field(inner)):
                 rows, _ = cache.expand(chunks, codes)
                 sums = segment_sums(rows.reshape(-1, size + 1).astype(np.float64), at)
                 n = sums[:, -1]
                 heard = (n > 0) & (size > 0)
                 entropy = -sums[:, :-1] / np.maximum(n, 1)[:, None]
                 best = np.where(heard, entropy.argmin(1), size) if size else np.full(hi - lo, size)
-                cols = {f.name: batch.column(i)[lo:hi] for i, f in enumerate(batch.schema) if i < batch.num_columns - 1}
+                cols = {name: batch.column(i)[lo:hi] for i, name in enumerate(outer)}
                 low = entropy.min(1) if size else np.zeros(hi - lo)
                 odds = np.exp((low[:, None] - entropy) * np.minimum(n, 64)[:, None]).sum(1) if size else np.ones(hi - lo)
                 cols |= {"lang_pred": pa.array(langs[best], pa.string()), "score": np.where(heard, 1 / np.maximum(odds, 1e-300), 0.0), "entropy": pa.array(low, mask=~heard), "symbols": n.astype(np.int64)}
@@ -210,26 +213,26 @@ def _scored(docs: DataFrame, shared, limits: dict | None) -> DataFrame:
                     cols["rejected"] = ~heard | ((low - np.where(np.isinf(mean), 0, mean)) * np.sqrt(np.minimum(n, LONG)) > most)
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.mapInArrow(run, followed(docs, "lang_pred string, score double, entropy double, symbols long" + (", rejected boolean" if limits is not None else "")))
+    return docs.mapInArrow(lean(run), followed(docs.select(*outer), "lang_pred string, score double, entropy double, symbols long" + (", rejected boolean" if limits is not None else "")))
 
 
 def identify(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, train_docs: int = TRAIN_DOCS, calibration_docs: int = CALIBRATION_DOCS, accept: float = ACCEPT, slack: float = SLACK, carry: bool = False) -> DataFrame:
     """doc_id (or with ``carry`` the whole ``row`` as a struct), lang_pred, score, entropy (nats a symbol), symbols, rejected: one row per document.
 
-    ``labelled`` says which rows may be learnt from.  Of them a sample chosen by a hash of the id, about
+    ``labelled`` says which rows may be learnt from.  Of them a sample chosen by a hash of id and text, about
     ``train_docs`` and ``calibration_docs`` a language, is; the counts that leave the executors are bounded by
     it.  Prediction reads every whole text once, without a shuffle."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), labelled.alias("labelled"))
     taught = rows.where("labelled AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 40)) / float(1 << 40)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language sample")), F.lit(1 << 40)) / float(1 << 40)
     if sizes:
         share = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, 1.0 / n)]), F.col("lang"))
         sample = taught.withColumn("at", draw / share)
     else:
         sample = taught.withColumn("at", F.lit(0.0))
-    sample = sample.where(F.col("at") < train_docs + calibration_docs).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("calibration")), F.lit(train_docs + calibration_docs)) < calibration_docs)
+    sample = sample.where(F.col("at") < train_docs + calibration_docs).withColumn("held", F.pmod(F.xxhash64("doc_id", "text", F.lit("calibration")), F.lit(train_docs + calibration_docs)) < calibration_docs)
     models = Models([tuple(r) for r in _counts(sample.where("NOT held"), order).collect()], order)
     shared = spark.sparkContext.broadcast(models)
     held = sample.where("held").select("lang", "text")
@@ -240,6 +243,7 @@ def identify(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col
     for k, v in seen.items():
         e = np.array(v, np.float64)
         mean = float(np.average(e[:, 0], weights=np.minimum(e[:, 1], LONG)))
-        limits[k] = (mean, slack * max(float(np.quantile((e[:, 0] - mean) * np.sqrt(np.minimum(e[:, 1], LONG)), accept)), 1.0))
-    head = whole_row(docs) if carry else F.col(id_col).alias("doc_id")
-    return _scored(docs.select(head, F.col(text_col).alias("text")), shared, limits)
+        limits[k] = (mean, slack * max(float(np.quantile((e[:, 0] - mean) * np.sqrt(np.minimum(e[:, 1], LONG)), accept)), LEAST_DISTANCE))
+    if carry:
+        return _scored(docs.select(whole_row(docs)), shared, limits, docs.columns.index(text_col))
+    return _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shared, limits)
