@@ -3,9 +3,10 @@
 Each stage works on all its predecessor kept and returns the columns of documents, the last one the encoded documents.
 Between stages the rows are written as Parquet below the shared folder and read again.
 
-Decisions: a text in no known language goes; of each class of near duplicates the document with the smallest id stays (rows
-that repeat its id stay with it); a document that contains a benchmark window goes; personal data is replaced by its kind.
-Rows with a null id are kept where their text is.  Empty tables pass through.
+Decisions: a text in no known language goes; of each class of near duplicates the document with the smallest id stays, and its
+rows if it repeats; a document that contains a benchmark window goes; personal data is replaced by its kind.  Rows are judged
+by id and text together: an id that repeats with other texts is several documents, a null id one like others.  Empty tables
+pass through; extra columns, whatever their names, are carried up to the last stage.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyroom.llm import bpe_codec, decontamination, language_id, near_duplicates, personal_data
-from tallyroom.llm.tables import kept, table, whole_row
+from tallyroom.llm.tables import kept, table
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +25,8 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each class.  Null ids are never dropped for another's sake."""
-    gone = near_duplicates.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(whole_row(docs)).select("row.*")
+    """Keeps one document of each class: that of the smallest id, a null id being the last."""
+    return near_duplicates.deduplicated(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ STAGES = [
     ("bpe_codec", encoded),
 ]
 
-#: No SQL expresses language models, boosted trees or BPE merges; the tests hold each stage against brute force.
+#: No SQL expresses language models, boosted trees or BPE merges; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
