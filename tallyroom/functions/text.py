@@ -181,8 +181,8 @@ ACRONYMS = ("VAT", "NDA", "CPSE", "HSE", "QMS", "NCR", "CAPA", "DC", "ROPA", "DP
 
 
 def title_case(slug: Column, acronyms: tuple[str, ...] = ACRONYMS) -> Column:
-    """Sentence case of a dashed slug; acronyms (also plural) in capitals; "w and i" is W&I."""
-    words = F.split(slug, "[-_ ]+")
+    """Sentence case of a dashed slug; acronyms (also plural) in capitals; the words w, and, i in a row are W&I."""
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(slug, "[-_ ]+", " "), r"(?i)(?<= |^)w and i(?= |$)", "W&I")), " ")
     named = F.transform(words, lambda w: F.when(F.upper(w).isin(*acronyms), F.upper(w)).when((F.length(w) >= 4) & w.endswith("s") & F.upper(F.regexp_replace(w, "s$", "")).isin(*acronyms), F.concat(F.upper(F.regexp_replace(w, "s$", "")), F.lit("s"))).otherwise(w))
-    text = F.replace(F.array_join(named, " "), F.lit("w and i"), F.lit("W&I"))
+    text = F.array_join(named, " ")
     return F.concat(F.upper(F.substring(text, 1, 1)), text.substr(F.lit(2), F.length(text)))

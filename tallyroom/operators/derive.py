@@ -52,19 +52,34 @@ def decisions(docs: DataFrame, seed: int, profile: str, path: str = "rel_path")
 def misfiled(seed: int, path: Column, section: Column, sections: list[str]) -> Column:
     """Another section, chosen by hash; null where there is none."""
     others = F.array_remove(F.array(*map(F.lit, sections)), section)
-    return F.when(F.size(others) > 0, F.get(others, (T.stem_hash(seed, path, F.lit("misfile-target")) % F.greatest(F.size(others), F.lit(1))).cast("int")))
+    return F.when(F.size(others) > 0, F.get(others, (T.stem_hash(seed, path, F.lit("misfile-dir")) % F.greatest(F.size(others), F.lit(1))).cast("int")))
 
 
 def unique_names(named: DataFrame, stem: str = "stem", order: str = "rel_path", by: tuple[str, ...] = ("folder", "suffix")) -> DataFrame:
-    """Adds ``final``: equal names in a folder get " (2)", " (3)" ... in order; repeated until no name given meets another's own."""
-    w = Window.partitionBy(*by, "final").orderBy(order)
-    df = named.withColumn("final", F.col(stem))
-    for _ in range(32):
-        df = df.withColumn("_n", F.row_number().over(w))
-        if df.where("_n > 1").isEmpty():
-            break
-        df = df.withColumn("final", F.when(F.col("_n") > 1, F.concat(F.col("final"), F.lit(" ("), F.col("_n").cast("string"), F.lit(")"))).otherwise(F.col("final")))
-    return df.drop("_n")
+    """Adds ``final``: in order, a name already given in its folder counts up from " (2)" until one is free.
+
+    Names can only meet inside a family: those that are equal once trailing " (n)" are cut.  Where all of a family are equal, a
+    name's number is its place; only families that own such endings themselves are walked one by one."""
+    family = F.regexp_replace(stem, r"( \([0-9]+\))+$", "")
+    groups = [*by, "_family"]
+    df = named.withColumn("_family", family)
+    w = Window.partitionBy(*groups)
+    told = df.withColumn("_k", F.row_number().over(w.orderBy(order))).withColumn("_own", F.max(F.col(stem) != F.col("_family")).over(w))
+    plain = told.where("NOT _own").withColumn("final", F.when(F.col("_k") > 1, F.concat(F.col(stem), F.lit(" ("), F.col("_k").cast("string"), F.lit(")"))).otherwise(F.col(stem)))
+    mixed = told.where("_own").withColumn("final", F.col(stem))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, following, out = set(), {}, {}
+        for k, name in sorted(zip(pdf["_k"], pdf[stem])):
+            new, n = name, following.get(name, 2)
+            while new in taken:
+                new, n = f"{name} ({n})", n + 1
+            following[name] = n
+            taken.add(new)
+            out[k] = new
+        return pdf.assign(final=pdf["_k"].map(out))
+
+    return plain.union(mixed.groupBy(*groups).applyInPandas(walk, mixed.schema)).drop("_family", "_k", "_own")
 
 
 def noise_exact(docs: DataFrame, seed: int, rate: float, path: str = "rel_path", text: str = "text") -> DataFrame:
@@ -92,7 +107,7 @@ def noise_hashed(seed: int, path: Column, text: Column, basis_points: int) -> Co
 
 def damaged(docs: DataFrame, seed: int, profile: str, sections: list[str], exact_noise: bool = False) -> DataFrame:
     """rel_path, new_path, text and what was applied.  Documents: rel_path (section/.../stem.suffix), text.  Noise comes
-    before truncation; tables (.csv) keep their text."""
+    before truncation; tables (.csv) keep their text, files that are neither .md nor .csv their names too."""
     rates = PROFILES[profile]
     p = F.col("rel_path")
     name = F.element_at(F.split(p, "/"), -1)
@@ -101,17 +116,17 @@ def damaged(docs: DataFrame, seed: int, profile: str, sections: list[str], exact
     df = docs.select("rel_path", "text", F.split_part(p, F.lit("/"), F.lit(1)).alias("section"), suffix.alias("suffix"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem0"), parent.alias("parent"))
     for k in ("rename", "misfile", "noise", "truncate"):
         df = df.withColumn(k, T.hits(seed, p, k, rates[k]))
-    prose = F.col("suffix") != ".csv"
-    df = df.withColumn("noise", F.col("noise") & prose).withColumn("stem", F.when(F.col("rename"), T.renamed(seed, p, F.col("stem0"))).otherwise(F.col("stem0")))
+    document, prose = F.col("suffix").isin(".md", ".csv"), F.col("suffix") == ".md"  # other files are copied as they are
+    df = df.withColumn("rename", F.col("rename") & document).withColumn("misfile", F.col("misfile") & document).withColumn("noise", F.col("noise") & prose).withColumn("stem", F.when(F.col("rename"), T.renamed(seed, p, F.col("stem0"))).otherwise(F.col("stem0")))
     target = misfiled(seed, p, F.col("section"), sections)
     df = df.withColumn("misfile", F.col("misfile") & target.isNotNull()).withColumn("folder", F.when(F.col("misfile"), target).otherwise(F.col("parent")))
-    df = unique_names(df)
+    df = unique_names(df.where(document)).unionByName(df.where(~document).withColumn("final", F.col("stem0")))
     if exact_noise:
         noisy = noise_exact(df.where("noise"), seed, rates["noise_char"] / 10000).withColumnRenamed("text", "_noisy")
         df = df.join(noisy, "rel_path", "left").withColumn("text", F.coalesce("_noisy", "text"))
     else:
         df = df.withColumn("text", F.when(F.col("noise"), noise_hashed(seed, p, F.col("text"), rates["noise_char"])).otherwise(F.col("text")))
     short = T.truncated(seed, p, F.col("text"))
-    df = df.withColumn("_short", F.when(F.col("truncate") & (F.col("suffix") != ".csv"), short).otherwise(F.col("text")))
+    df = df.withColumn("_short", F.when(F.col("truncate") & prose, short).otherwise(F.col("text")))
     df = df.withColumn("truncate", F.col("_short") != F.col("text")).withColumn("text", F.col("_short"))
     return df.select("rel_path", F.concat_ws("/", F.when(F.col("folder") != "", F.col("folder")), F.concat("final", "suffix")).alias("new_path"), "text", "rename", "misfile", "noise", "truncate")

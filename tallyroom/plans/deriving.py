@@ -54,13 +54,13 @@ def collision_suffix(s, d):
 
 
 def truncate_lines(s, d):
-    short = T.truncated(SEED, F.col("rel_path"), F.col("text"), 4)
+    short = T.truncated(SEED, F.col("rel_path"), F.col("text"), 4)  # the texts have few lines
     return _docs(s, d).select(F.col("rel_path").alias("doc_id"), F.sha2(short, 256).alias("digest"), (short != F.col("text")).alias("cut"))
 
 
 def noise_hashed(s, d):
-    noisy = D.noise_hashed(SEED, F.col("rel_path"), F.col("head"), 2000)
-    return _docs(s, d).select("rel_path", F.element_at(T.lines(F.col("text")), 1).alias("head")).select(F.col("rel_path").alias("doc_id"), noisy.alias("noisy"))
+    noisy = D.noise_hashed(SEED, F.col("rel_path"), F.col("text"), 2000)
+    return _docs(s, d).select(F.col("rel_path").alias("doc_id"), F.sha2(noisy, 256).alias("noisy_sha256"))
 
 
 def _sections(s, d):
@@ -76,23 +76,24 @@ def slot_manifest(s, d):
 
 
 def authoring_order(s, d):
-    slots = _table(s, d, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("rel_path"), F.col("p_partkey").alias("position"), F.when(F.col("p_size") > 25, "A").otherwise("F").alias("tier"))
+    slots = _table(s, d, "part").select(F.col("p_partkey").alias("rel_path"), F.col("p_partkey").alias("position"), F.when(F.col("p_size") > 25, "A").otherwise("F").alias("tier"))
     return O.authoring_order(slots, slots.where("rel_path % 7 = 0"), slots.where("rel_path % 31 = 0")).select("rel_path", "rank")
 
 
 def severity_targets(s, d):
-    return O.severity_table(s, [4, 11, 12, 25, 60, 90, 110])
+    sizes = [r["n"] for r in _table(s, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")).where("n >= 4").select("n").distinct().collect()]  # 25 nations
+    return O.severity_table(s, [4, *sorted(x for x in sizes if x != 4)])
 
 
 def id_allocation(s, d):
     c = _table(s, d, "customer")
-    found = c.where("c_custkey % 3 = 0").select((F.col("c_custkey") % 5).cast("string").alias("label"), F.format_string("NEW-%06d", "c_custkey").alias("provisional_id"), F.substring("c_mktsegment", 1, 3).alias("prefix"))
-    old = c.where("c_custkey % 3 = 1").select(F.concat(F.substring("c_mktsegment", 1, 3), F.lit("-"), F.col("c_custkey").cast("string")).alias("finding_id"))
+    found = c.where("c_custkey % 2 = 0").select((F.col("c_custkey") % 5).cast("string").alias("label"), F.format_string("NEW-%06d", "c_custkey").alias("provisional_id"), F.substring("c_mktsegment", 1, 3).alias("prefix"))
+    old = c.where("c_custkey % 2 = 1").select(F.concat(F.substring("c_mktsegment", 1, 3), F.lit("-"), F.col("c_custkey").cast("string")).alias("finding_id"))
     return O.allocated_ids(found, old)
 
 
 def budget_batches(s, d):
-    return O.budget_batches(_table(s, d, "part").where("p_partkey % 20 = 0"), ["p_brand"], "p_partkey", "p_partkey", "p_size", 100)
+    return O.budget_batches(_table(s, d, "part"), ["p_brand"], "p_partkey", "p_partkey", "p_size", 100)
 
 
 def house_families(s, d):
@@ -155,23 +156,27 @@ ORACLE = {
     "rename_variants": f"""WITH s AS (SELECT {_P} AS doc_id, source || '_' || lang || '-report' AS stem FROM documents)
         SELECT doc_id, CASE {_h('doc_id', "'rename-variant'")} % 4 WHEN 0 THEN stem || {_TAGS}[({_h('doc_id', "'rename-tag'")} % 8 + 1)::INT] WHEN 1 THEN upper(stem) WHEN 2 THEN replace(stem, '-', ' ')
         ELSE left(stem, k) || substr(stem, k + 2) END AS stem FROM (SELECT *, ({_h('doc_id', "'rename-typo'")} % (len(stem) - 2)::UBIGINT + 1)::INT AS k FROM s)""",
-    "misfile_targets": f"SELECT {_P} AS doc_id, list_filter(['de', 'en', 'es', 'fr'], lambda x: x <> lang)[({_h(_P, chr(39) + 'misfile-target' + chr(39))} % 3 + 1)::INT] AS target FROM documents",
+    "misfile_targets": f"SELECT {_P} AS doc_id, list_filter(['de', 'en', 'es', 'fr'], lambda x: x <> lang)[({_h(_P, chr(39) + 'misfile-dir' + chr(39))} % 3 + 1)::INT] AS target FROM documents",
     "collision_suffix": f"SELECT {_P} AS doc_id, source AS folder, lang || CASE WHEN r > 1 THEN ' (' || r || ')' ELSE '' END AS final FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY {_P}) AS r FROM documents)",
     "truncate_lines": f"""WITH l AS (SELECT {_P} AS doc_id, text, string_split(text, chr(10)) AS ls FROM documents), m AS (SELECT *, CASE WHEN ends_with(text, chr(10)) THEN len(ls) - 1 ELSE len(ls) END AS n FROM l),
         c AS (SELECT doc_id, text, CASE WHEN n < 4 THEN text ELSE array_to_string(ls[1 : greatest(1, floor(n * (0.55::DOUBLE + 0.2::DOUBLE * (({_h('doc_id', "'truncate-keep'")} % 1000)::DOUBLE / 1000)))::INT)], chr(10)) || chr(10) END AS short, n FROM m)
         SELECT doc_id, sha256(short) AS digest, short <> text AS cut FROM c""",
-    "noise_hashed": f"""SELECT doc_id, array_to_string(list_transform(range(1, len(head) + 1), lambda i: CASE WHEN {_SWAP}[head[i]] IS NOT NULL AND ('0x' || substr(sha256('{SEED}|' || doc_id || '|noise|' || (i - 1)), 1, 16))::UBIGINT % 10000 < 2000 THEN {_SWAP}[head[i]] ELSE head[i] END), '') AS noisy
-        FROM (SELECT {_P} AS doc_id, string_split(text, chr(10))[1] AS head FROM documents)""",
+    "noise_hashed": f"""WITH c AS (SELECT {_P} AS doc_id, string_split(text, '') AS cs FROM documents)
+        SELECT doc_id, sha256(array_to_string(list_transform(cs, lambda c, i: CASE WHEN {_SWAP}[c] IS NOT NULL THEN CASE WHEN ('0x' || substr(sha256('{SEED}|' || doc_id || '|noise|' || (i - 1)), 1, 16))::UBIGINT % 10000 < 2000 THEN {_SWAP}[c] ELSE c END ELSE c END), '')) AS noisy_sha256 FROM c""",
     "slot_allocation": f"SELECT number, count FROM ({_ALLOC})",
     "slot_manifest": f"""WITH p AS (SELECT number, dir_name, count, unnest(range(0, count::BIGINT)) AS pos FROM ({_ALLOC})), q AS (SELECT *, pos % 3 + 1 AS sub, pos // 3 + 1 AS ordinal, ['one', 'two', 'three'][pos % 3 + 1] AS name FROM p)
         SELECT number || '.' || sub || '.' || ordinal AS slot_id, CASE WHEN pos < greatest(1, round_even(count * 0.35, 0)) THEN 'A' ELSE 'F' END AS tier,
         dir_name || '/' || number || '.' || sub || '_' || name || '/' || number || '.' || sub || '.' || ordinal || '_' || name || '-' || lpad(ordinal::VARCHAR, 2, '0') || '.md' AS rel_path FROM q""",
-    "authoring_order": "SELECT p_partkey AS rel_path, row_number() OVER (ORDER BY p_partkey % 31 <> 0, p_partkey % 7 <> 0, p_size <= 25, p_partkey) AS rank FROM part WHERE p_partkey <= 400",
-    "severity_targets": "SELECT t AS total, s AS severity, n AS target FROM (VALUES " + ", ".join(f"({t}, '{s}', {n})" for t, ns in ((4, (1, 1, 1, 1)), (11, (1, 3, 4, 3)), (12, (1, 3, 5, 3)), (25, (2, 7, 9, 7)), (60, (6, 16, 22, 16)), (90, (8, 25, 33, 24)), (110, (10, 30, 40, 30))) for s, n in zip(("critical", "high", "medium", "low"), ns)) + ") v(t, s, n)",
-    "id_allocation": """WITH f AS (SELECT (c_custkey % 5)::VARCHAR AS label, 'NEW-' || lpad(c_custkey::VARCHAR, 6, '0') AS provisional_id, left(c_mktsegment, 3) AS prefix FROM customer WHERE c_custkey % 3 = 0),
-        o AS (SELECT left(c_mktsegment, 3) AS prefix, max(c_custkey) AS most FROM customer WHERE c_custkey % 3 = 1 GROUP BY 1)
+    "authoring_order": "SELECT p_partkey AS rel_path, row_number() OVER (ORDER BY p_partkey % 31 <> 0, p_partkey % 7 <> 0, p_size <= 25, p_partkey) AS rank FROM part",
+    "severity_targets": f"""WITH t AS (SELECT 4::BIGINT AS total UNION SELECT n FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey) WHERE n >= 4), w(severity, w) AS (VALUES {", ".join(f"('{s}', {w})" for s, w in O.SEVERITY_SHARES)}),
+        f AS (SELECT total, severity, w, total * w // (SELECT sum(w) FROM w) AS whole, total * w % (SELECT sum(w) FROM w) AS rest FROM t, w),
+        g AS (SELECT *, whole + CASE WHEN row_number() OVER (PARTITION BY total ORDER BY rest DESC, w DESC, severity) <= total - sum(whole) OVER (PARTITION BY total) THEN 1 ELSE 0 END AS n FROM f),
+        h AS (SELECT *, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY total) AS empty, row_number() OVER (PARTITION BY total ORDER BY n DESC, w) AS place FROM g)
+        SELECT total::INT AS total, severity, (CASE WHEN n = 0 THEN 1 WHEN place = 1 THEN n - empty ELSE n END)::INT AS target FROM h""",
+    "id_allocation": """WITH f AS (SELECT (c_custkey % 5)::VARCHAR AS label, 'NEW-' || lpad(c_custkey::VARCHAR, 6, '0') AS provisional_id, left(c_mktsegment, 3) AS prefix FROM customer WHERE c_custkey % 2 = 0),
+        o AS (SELECT left(c_mktsegment, 3) AS prefix, max(c_custkey) AS most FROM customer WHERE c_custkey % 2 = 1 GROUP BY 1)
         SELECT provisional_id, prefix || '-' || (coalesce(most, 0) + row_number() OVER (PARTITION BY prefix ORDER BY label, provisional_id)) AS finding_id FROM f LEFT JOIN o USING (prefix)""",
-    "budget_batches": """WITH RECURSIVE p AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part WHERE p_partkey % 20 = 0),
+    "budget_batches": """WITH RECURSIVE p AS (SELECT p_brand, p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r FROM part),
         b AS (SELECT p_brand, p_partkey, r, p_size::BIGINT AS load, 0 AS batch FROM p WHERE r = 1 UNION ALL
         SELECT p.p_brand, p.p_partkey, p.r, CASE WHEN b.load + p.p_size > 100 THEN p.p_size ELSE b.load + p.p_size END, CASE WHEN b.load + p.p_size > 100 THEN b.batch + 1 ELSE b.batch END FROM b JOIN p ON p.p_brand = b.p_brand AND p.r = b.r + 1)
         SELECT p_brand, p_partkey, batch FROM b""",

@@ -192,18 +192,28 @@ def tool_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def markdown_reports(texts: DataFrame, by: str = "rel_path") -> DataFrame:
-    """by, tool_index, title, severity, documents, summary of markdown reports: a heading of level 2 to 4 begins one; the first
-    severity word counts, else medium; documents are the paths in backticks; the summary is the first 400 characters."""
+    """by, tool_index, title, severity, documents, summary of markdown reports: a heading of level 2 to 4 begins one; what is
+    below it tells the rest: the first severity word counts, else medium; documents are the paths in backticks, as often as
+    they are named; the summary is the first 400 characters.  A text without such a heading has no rows."""
     w = Window.partitionBy(by).orderBy("pos")
     numbered = texts.select(by, F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     heading = F.col("line").rlike(r"^#{2,4}(?!#)\s*\S")
     grouped = numbered.withColumn("issue", F.sum(F.when(heading, 1).otherwise(0)).over(w)).where("issue > 0").groupBy(by, "issue").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
     lines = F.transform("ls", lambda x: x["line"])
-    whole = F.array_join(lines, "\n")
     body = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), "\n")
-    severity = F.lower(F.regexp_extract(whole, r"(?i)\b(critical|high|medium|low)\b", 1))
+    severity = F.lower(F.regexp_extract(body, r"(?i)\b(critical|high|medium|low)\b", 1))
     return grouped.select(by, (F.col("issue") - 1).cast("int").alias("tool_index"), F.trim(F.regexp_replace(lines[0], r"^#+\s*", "")).alias("title"), F.when(severity == "", "medium").otherwise(severity).alias("severity"),
-        F.array_distinct(F.regexp_extract_all(whole, F.lit(r"`([^`\n]+\.(?:md|csv|pdf|docx))`"), 1)).alias("documents"), F.left(F.trim(F.regexp_replace(body, r"\s+", " ")), F.lit(400)).alias("summary"))
+        F.regexp_extract_all(body, F.lit(r"`([\p{L}\p{N}_./-]+\.(?:md|csv|pdf|docx))`"), 1).alias("documents"), F.left(F.trim(F.regexp_replace(body, r"\s+", " ")), F.lit(400)).alias("summary"))
+
+
+def reports_of(spark: SparkSession, path: str) -> DataFrame:
+    """Reports of a tool's output, JSON or markdown.  Markdown without a finding is an error; a tool that found nothing says so in JSON."""
+    if not path.endswith(".md"):
+        return tool_reports(spark, path)
+    out = markdown_reports(spark.createDataFrame([(path, text_of(spark, path))], "rel_path string, text string")).drop("rel_path")
+    if out.isEmpty():
+        raise RoomError("no finding in this markdown report: each is a heading of level 2 to 4")
+    return out
 
 
 def classifications(spark: SparkSession, path: str) -> DataFrame:

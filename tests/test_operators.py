@@ -135,3 +135,34 @@ def test_house_forms(spark):
     form = "Between [BUYER] and us.\n\nTerm is [TERM].\n\nLaw of England."
     pairs = table(spark, [("a", form, form), ("b", form, "Between X and us.\n\nTerm is 2 years.\n\nLaw of England."), ("c", form, "Between X and us.\n\nEnds never.\n\nLaw of Wales.\n\nMore.")], "rel_path string, house_text string, text string")
     assert {r["rel_path"]: r["problem"] for r in houseforms.problems(pairs).collect()} == {"a": "blanks left", "b": "too few deviations"}
+
+
+def test_names_count_up_as_one_after_another(spark):
+    """Held against counting up from 2 in order until a name is free."""
+
+    rng, stems = random.Random(3), ["a", "a (2)", "a (3)", "a (2) (2)", "b", "b", "c (x)", "(2)"]
+    rows = [(f"p{i:04d}", rng.choice("xy"), ".md", rng.choice(stems)) for i in range(300)] + [("q1", "z", ".md", "a (2)"), ("q2", "z", ".md", "a"), ("q3", "z", ".md", "a")]
+    taken, want = set(), {}
+    for path, folder, suffix, stem in sorted(rows):
+        name, n = stem, 2
+        while (folder, suffix, name) in taken:
+            name, n = f"{stem} ({n})", n + 1
+        taken.add((folder, suffix, name))
+        want[path] = name
+    df = spark.createDataFrame(rows, "rel_path string, folder string, suffix string, stem string")
+    assert {r["rel_path"]: r["final"] for r in derive.unique_names(df).collect()} == want and want["q3"] == "a (3)"
+
+
+def test_titles_join_the_words_w_and_i_only(spark):
+
+    slugs = {"w-and-i-01": "W&I 01", "law-and-insurance": "Law and insurance", "vat ndas its": "VAT NDAs its", "terms-w-and-i": "Terms W&I", "w-and-it": "W and IT"}
+    df = spark.createDataFrame([(k,) for k in slugs], "slug string")
+    assert {r[0]: r[1] for r in df.select("slug", T.title_case(F.col("slug"))).collect()} == slugs
+
+
+def test_other_files_are_copied_as_they_are(spark):
+    docs = spark.createDataFrame([(f"s{i % 3}/d{i}.{x}", "one two three " * 20) for i in range(80) for x in ("md", "csv", "png")], "rel_path string, text string")
+    rows = derive.damaged(docs, 7, "heavy", ["s0", "s1", "s2"]).collect()
+    other = [r for r in rows if r["rel_path"].endswith(".png")]
+    assert len(rows) == 240 and all(r["new_path"] == r["rel_path"] and not (r["rename"] or r["misfile"] or r["noise"] or r["truncate"]) for r in other)
+    assert any(r["misfile"] for r in rows) and not any(r["noise"] for r in rows if r["rel_path"].endswith(".csv"))

@@ -133,9 +133,9 @@ def test_bad_findings_are_refused(spark, text):
 
 
 def test_markdown_reports(spark):
-    text = "intro\n## First issue\nA HIGH risk in `01/a.md` and `02/b.pdf`.\n# Not one\n### Second\nbody `01/a.md` `01/a.md`\n"
+    text = "intro\n## First issue, not low `09/z.md`\nA HIGH risk in `01/a.md` and `02/b.pdf`.\n# Not one\n### Second critical path\nbody `01/a.md` `01/a.md` `no such.md`\n"
     rows = R.markdown_reports(spark.createDataFrame([("r", text)], "rel_path string, text string")).orderBy("tool_index").collect()
-    assert [(r["title"], r["severity"], r["documents"]) for r in rows] == [("First issue", "high", ["01/a.md", "02/b.pdf"]), ("Second", "medium", ["01/a.md"])]
+    assert [(r["title"], r["severity"], r["documents"]) for r in rows] == [("First issue, not low `09/z.md`", "high", ["01/a.md", "02/b.pdf"]), ("Second critical path", "medium", ["01/a.md", "01/a.md"])]
 
 
 def test_trees_are_read_with_bad_bytes_replaced(spark, tmp_path):
