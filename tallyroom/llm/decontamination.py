@@ -1,16 +1,19 @@
 """Benchmark decontamination by a prefix-filtered set join.
 
-Each item gives windows of ``width`` consecutive words (one window if it has fewer).  A document contains a
-window only if it has all of its words, so of the window's words, ordered from rare to common over the corpus,
+Each item gives windows of ``width`` consecutive words (one window if it has fewer); equal windows are one, with a list of items.  A document
+contains a window only if it has all of its words, so of the window's words, ordered from rare to common over the corpus,
 the prefix that must match is the first: the rarest.  Documents are joined with windows on that word alone.
 Its place in the window bounds where the window would begin; the words before and after must lie within the document
-(position and length bounds); what remains is verified word by word on its bytes.
+(position and length bounds); what remains is verified word by word on its bytes.  Windows of one rarest word are probed by its place
+and their length, not one by one, so a word that a document repeats and many windows lead with costs occurrences times ``width`` at most.
 
 Words are lower-cased (A-Z) runs of ASCII letters, digits and everything beyond ASCII.  Nulls and empty texts have no words.
-Items without words have no windows.  Equal windows of several items count for each; a repeated item
-counts once; an item without an id is named by an empty text.  The item side is worked off in blocks of
-``block_windows`` windows, each in two passes over the documents: one counts the block's words in all
-documents, one finds its windows.  Documents are never shuffled.
+Items without words have no windows.  Equal windows (by a 64-bit hash of their words) of several items count for each; a repeated item
+counts once; an item without an id is named by an empty text.  Words that are equally rare are ordered by their hash.  The item side is worked off in
+blocks of ``block_windows`` windows, each in two passes over the documents: one counts the block's words in all
+documents, one finds its windows.  Documents are never shuffled; very long ones are worked on whole; repeated rows are documents of their own.
+An empty benchmark contaminates nothing, an empty table gives an empty table, and other columns, whatever their names, are not read (with
+``carry`` they stay in the row).
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.arrays import ALNUM, LOWER, Words, buffers, ragged, words_of
+from tallyroom.llm.arrays import ALNUM, LOWER, Words, buffers, lean, ragged, words_of
 from tallyroom.llm.tables import kept, whole_row
 
 WIDTH = 10
 BLOCK_WINDOWS = 500_000
+#: Probes that are held in memory at once.
+MOST_PROBES = 1_000_000
 
 
 class Windows:
@@ -38,16 +43,21 @@ class Windows:
         w = Words(data, offsets, ALNUM, lower=True)
         full, _ = w.windows(width)
         short = np.flatnonzero((w.count > 0) & (w.count < width))
-        self.first = np.concatenate([full, w.first[:-1][short]]).astype(np.int64)
-        self.size = np.concatenate([np.full(len(full), width), w.count[short]]).astype(np.int64)
-        self.item = w.row[self.first] if len(w) else np.empty(0, np.int64)
+        first = np.concatenate([full, w.first[:-1][short]]).astype(np.int64)
+        size = np.concatenate([np.full(len(full), width), w.count[short]]).astype(np.int64)
+        item = w.row[first] if len(w) else np.empty(0, np.int64)
+        span = w.spans(first, first + size)
+        order = np.lexsort((item, span))
+        new = np.concatenate([[True], span[order][1:] != span[order][:-1]]) if len(order) else np.empty(0, bool)
+        lead = order[new]
+        self.first, self.size, self.span = first[lead], size[lead], span[lead]  # of each window, in ascending order of their hashes
+        self.item, self.item_begin = item[order], np.append(np.flatnonzero(new), len(order))
         self.items, self.hash = np.array(items, object), w.hash
         self.data, self.start, self.end = LOWER[w.data], w.start, w.end
-        self.span = w.spans(self.first, self.first + self.size)
         self.words = np.unique(w.hash)
 
     def index(self, counts: dict[int, int]) -> None:
-        """Each window's rarest word and its place, sorted by word."""
+        """For each rarest word, the places and sizes of the windows it leads."""
         amount = np.array([counts.get(x, 0) for x in self.words.tolist()], np.int64)
         order = np.lexsort((self.words, amount))
         rank = np.empty(len(order), np.int64)
@@ -58,28 +68,40 @@ class Windows:
         place = at - self.first[window]
         by = np.lexsort((place, rank[np.searchsorted(self.words, self.hash[at])], window))
         lead = by[np.cumsum(self.size) - self.size] if n else by
-        anchor = self.hash[at[lead]]
-        order = np.argsort(anchor, kind="stable")
-        self.window, self.place = window[lead][order], place[lead][order]
-        self.anchors, begin = np.unique(anchor[order], return_index=True)
-        self.begin = np.concatenate([begin, [n]]).astype(np.int64)
+        probes = np.unique(np.stack([self.hash[at[lead]], place[lead].astype(np.uint64), self.size.astype(np.uint64)]), axis=1)
+        self.place, self.length = probes[1].astype(np.int64), probes[2].astype(np.int64)
+        self.anchors, begin = np.unique(probes[0], return_index=True)
+        self.begin = np.concatenate([begin, [probes.shape[1]]]).astype(np.int64)
 
     def found(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, window) of every window that the documents contain."""
+        """(first word, window) of every window that the documents contain, once each."""
         none = np.empty(0, np.int64)
         if not len(self.anchors) or not len(w):
             return none, none
         slot = np.minimum(np.searchsorted(self.anchors, w.hash), len(self.anchors) - 1)
         at = np.flatnonzero(self.anchors[slot] == w.hash)
         n = self.begin[slot[at] + 1] - self.begin[slot[at]]
-        pick = ragged(self.begin[slot[at]], n)
-        window = self.window[pick]
+        parts, lo, total = [], 0, np.cumsum(n)
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + MOST_PROBES, "right")))
+            parts.append(self._probed(w, at[lo:hi], n[lo:hi], self.begin[slot[at[lo:hi]]]))
+            lo = hi
+        if not parts:
+            return none, none
+        first, window = np.unique(np.concatenate([np.stack(p) for p in parts], axis=1), axis=1)
+        return first, window
+
+    def _probed(self, w: Words, at: np.ndarray, n: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        none = np.empty(0, np.int64)
+        pick = ragged(begin, n)
         first = np.repeat(at, n) - self.place[pick]
         row = np.repeat(w.row[at], n)
-        last = first + self.size[window]
+        last = first + self.length[pick]
         ok = (first >= w.first[row]) & (last <= w.first[row + 1])
-        first, window, last = first[ok], window[ok], last[ok]
-        ok = w.spans(first, last) == self.span[window]
+        first, last = first[ok], last[ok]
+        value = w.spans(first, last)
+        window = np.minimum(np.searchsorted(self.span, value), len(self.span) - 1)
+        ok = (self.span[window] == value) & (self.size[window] == last - first)
         first, window = first[ok], window[ok]
         if not len(first):
             return none, none
@@ -95,6 +117,14 @@ class Windows:
         ok = np.logical_and.reduceat(word_ok, np.cumsum(size) - size)
         return first[ok], window[ok]
 
+    def named(self, row: np.ndarray, window: np.ndarray) -> dict[int, set]:
+        """The items of the windows found in each row."""
+        out: dict[int, set] = {}
+        if len(row):
+            for r, u in np.unique(np.stack([row, window]), axis=1).T.tolist():
+                out.setdefault(r, set()).update(self.items[self.item[self.item_begin[u] : self.item_begin[u + 1]]].tolist())
+        return out
+
 
 def _blocks(items: DataFrame, width: int, most: int) -> Iterator[Windows]:
     ids, texts, size = [], [], 0
@@ -121,7 +151,7 @@ def _count_words(docs: DataFrame, shared) -> dict[int, int]:
         some = np.flatnonzero(total[:-1])
         yield pa.RecordBatch.from_pydict({"word": words[some].view(np.int64), "n": total[some]})
 
-    rows = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select("text").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {r["word"] & ((1 << 64) - 1): r["n"] for r in rows}
 
 
@@ -143,11 +173,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     first, window = block.found(w)
                     part = batch.slice(lo, hi - lo)
                     runs = _runs(first, first + block.size[window], w, part.column(text_at + 1))
-                    named = np.unique(np.stack([w.row[first], block.item[window]]), axis=1) if len(first) else np.empty((2, 0), np.int64)
-                    old = part.column(text_at + 2)
-                    by_row: dict[int, set] = {i: set(old[i].as_py()) for i in np.flatnonzero(~np.asarray(old.is_null()))}
-                    for r, i in named.T.tolist():
-                        by_row.setdefault(r, set()).add(block.items[i])
+                    old, by_row = part.column(text_at + 2), block.named(w.row[first], window)
+                    for i in np.flatnonzero(~np.asarray(old.is_null())).tolist():
+                        by_row.setdefault(i, set()).update(old[i].as_py())
                     names = [sorted(by_row[r]) if r in by_row else None for r in range(hi - lo)]
                     columns = [part.column(i) for i in range(text_at + 1)]
                     columns += [pa.array([r or None for r in runs], pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string())), pa.array(w.count), pa.array([sum(r[1::2]) - sum(r[::2]) for r in runs], pa.int64())]
@@ -155,15 +183,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         return run
 
-    many = False
+    last = None
     for block in _blocks(items, width, block_windows):
-        shared = session.broadcast(block)
-        block.index(_count_words(texts, shared) if len(block.words) else {})
-        shared = session.broadcast(block)
-        if many:
+        words = session.broadcast(block)
+        block.index(_count_words(texts, words) if len(block.words) else {})
+        words.destroy()
+        if last is not None:
             rows = kept(rows, "decontaminate")
-        rows = rows.mapInArrow(locate(shared), schema)
-        many = True
+            last.destroy()
+        last = session.broadcast(block)
+        rows = rows.mapInArrow(lean(locate(last)), schema)
     names = F.coalesce("items", F.array().cast("array<string>"))
     return rows.select(rows.columns[0], "n_words", "n_hit", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), names.alias("items"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
