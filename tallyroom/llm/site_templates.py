@@ -1,17 +1,24 @@
 """Main text of web pages by removal of site templates.
 
-Every element outside a page's article is hashed with all below it (tag, text, children).  Spark counts, per host,
-on how many pages a hash occurs; what occurs on ``least_pages`` pages and on ``share`` of the host's pages is template.  A page's
-elements with such a hash are deleted, then what its markup itself names as something other than the article
-(navigation, forms, adverts, notices, comments ...), and the text of the article, or of the body where none is marked,
-is what remains.
+Every element is hashed with all below it (tag, text, children).  Spark counts, per host, on how many pages a hash occurs; what
+occurs on many is template: on ``share`` of the host's pages or on ``many`` pages, whichever is fewer, and on ``least_pages`` at
+least.  A page's elements with such a hash are deleted; then what its markup itself names as something other than the article
+(navigation, forms, adverts, notices, comments ...); the article is chosen from what is left, and its text, or that of the body where none is
+marked, is what remains.
 
-Counts are combined before they are shuffled, so a host with a third of all pages costs no task more.  A host keeps at most
-(elements a page / ``share``) template hashes; they are a table whose size Spark checks before broadcasting it, and
-joined by host otherwise.  Pages are parsed whole, twice, and nothing else is held.
+An element that holds an article (``article`` or ``main``) is never template, nor is the article itself, nor, by itself, an inline element, whose
+loss would tear a sentence.  Inside an article only containers
+(``CONTAINERS``) can be, not its paragraphs, headings, lists and the like, and there a hash counts once for each different article, not for each page: so the
+paragraphs that versions of an article share, and all of an article that is copied to many pages, stay.
+
+Counts are combined before they are shuffled, so a host with a third of all pages costs no task more.  The template hashes of all hosts
+are a table whose size Spark checks before broadcasting it; beyond that it is joined by host, as two scans whose skew adaptive
+execution splits.  Pages are parsed whole, twice, and nothing else is held.
 
 A null or empty html gives an empty text; a url without a host counts as a host of its own.  Repeated rows count as pages.
-Unclosed and stray tags are tolerated as browsers do; an unclosed comment or script runs to the end.
+Unclosed and stray tags are tolerated as browsers do; an unclosed comment or script runs to the end.  Elements may be nested to
+any depth, very long pages are worked on whole, an empty table gives an empty table, ties do not matter (a hash is template or
+not), and other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,16 +26,18 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyroom.llm.arrays import lean
 from tallyroom.llm.tables import kept
 
-LEAST_PAGES, SHARE = 3, 0.3
+LEAST_PAGES, SHARE, MANY = 3, 0.3, 10
+HOSTS = 64
 
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
@@ -40,22 +49,56 @@ BLOCK = frozenset("address article aside blockquote body br center dd details di
 CLOSES_P = BLOCK - {"br", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "html"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
+REGIONS = frozenset(("article", "main"))
+CONTAINERS = frozenset("aside dialog div footer form header nav section".split())
 NOT_TEXT = frozenset("head title nav footer aside form script style noscript template iframe svg math canvas object embed button select textarea input dialog menu audio video".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NAMES = frozenset("nav navbar navigation menu header masthead footer sidebar aside cookie cookies consent gdpr notice notices banner ad ads advert adverts advertisement sponsor sponsored promo promotion comments comment disqus share sharing social related breadcrumb breadcrumbs newsletter subscribe signup popup modal overlay pagination pager widget".split())
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "inside", "mark")
+    __slots__ = ("tag", "attrs", "inside", "mark", "holds")
 
     def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.inside, self.mark = tag, attrs, [], None
+        self.tag, self.attrs, self.inside, self.mark, self.holds = tag, attrs, [], None, False
+
+
+class Open:
+    """The elements that are open, and how many of each tag, so that tags that are not open are not searched for."""
+
+    def __init__(self, root: Node):
+        self.stack, self.count = [root], Counter()
+
+    def push(self, node: Node) -> None:
+        self.stack.append(node)
+        self.count[node.tag] += 1
+
+    def cut(self, k: int) -> None:
+        """Close the k-th and all inside it."""
+        self.count.subtract(x.tag for x in self.stack[k:])
+        del self.stack[k:]
+
+    def close(self, tags: frozenset | set, stop: frozenset | set, all_: bool = False) -> None:
+        """Close the innermost of ``tags`` (or all of them) that no ``stop`` is inside of."""
+        left = sum(self.count[t] for t in tags)
+        for k in range(len(self.stack) - 1, 0, -1):
+            if not left:
+                return
+            tag = self.stack[k].tag
+            if tag in tags:
+                left -= 1
+                self.cut(k)
+                if not all_:
+                    return
+            elif tag in stop:
+                return
 
 
 def parse(page: str) -> Node:
     """The tree of a page.  Children are nodes and texts; references in texts are not yet decoded."""
     root = Node("")
-    stack, at, size = [root], 0, len(page)
+    open_, at, size = Open(root), 0, len(page)
+    stack = open_.stack
     while at < size:
         m = TAG.search(page, at)
         if m is None:
@@ -70,24 +113,12 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            open_.close({tag}, frozenset())
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+            open_.close({"p"}, BLOCK)
         if tag in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in SIBLINGS[tag]:
-                    del stack[k:]
-                elif stack[k].tag in SCOPES[tag]:
-                    break
+            open_.close(SIBLINGS[tag], SCOPES[tag], all_=True)
         node = Node(tag, m[3])
         stack[-1].inside.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK | RAW:
@@ -100,8 +131,7 @@ def parse(page: str) -> Node:
             at = page.find(">", stop) + 1 if end else size
             at = at or size
             continue
-        if len(stack) < 500:
-            stack.append(node)
+        open_.push(node)
     return root
 
 
@@ -120,44 +150,42 @@ def named(node: Node) -> bool:
     return False
 
 
-def mark(root: Node) -> None:
-    """Hash every element outside articles, children first; elements of articles keep no mark."""
-    order, todo = [], [root]
+def mark(root: Node) -> set[tuple[int, int]]:
+    """Hash every element, children first.  Elements that can be template keep their hash; what is returned are these hashes with that
+    of the article around them (0 if none)."""
+    order: list[tuple[Node, Node | None]] = []
+    todo: list[tuple[Node, Node | None]] = [(root, None)]
     while todo:
-        node = todo.pop()
-        order.append(node)
-        if node.tag not in ("article", "main"):
-            todo += [x for x in node.inside if not isinstance(x, str)]
-    for node in reversed(order):
+        node, region = todo.pop()
+        order.append((node, region))
+        inner = region or (node if node.tag in REGIONS else None)
+        todo += [(x, inner) for x in node.inside if not isinstance(x, str)]
+    for node, _ in reversed(order):
         digest = hashlib.blake2b(node.tag.encode(), digest_size=8)
-        inside = node.tag in ("article", "main")
-        for x in node.inside if not inside else ():
+        node.holds = node.tag in REGIONS
+        for x in node.inside:
             if isinstance(x, str):
                 digest.update(b"\0" + " ".join(x.split()).encode("utf-8", "replace"))
-            elif x.mark is None:
-                inside = True
             else:
-                digest.update(b"\1" + x.mark)
-        node.mark = None if inside else digest.digest()
-
-
-def marks(root: Node) -> set[int]:
-    found, todo = set(), [root]
-    while todo:
-        node = todo.pop()
-        if node.mark is not None and node.inside:
-            found.add(int.from_bytes(node.mark, "little", signed=True))
-        todo += [x for x in node.inside if not isinstance(x, str)]
+                digest.update(b"\1" + x.mark.to_bytes(8, "little", signed=True))
+                node.holds |= x.holds
+        node.mark = int.from_bytes(digest.digest(), "little", signed=True)
+    able = [(node, 0 if region is None else region.mark or 1) for node, region in order if node.inside and not node.holds and node.tag in (BLOCK if region is None else CONTAINERS)]
+    found = {(node.mark, key) for node, key in able}
+    kept_ = {id(node) for node, _ in able}
+    for node, _ in order:
+        if id(node) not in kept_:
+            node.mark = None
     return found
 
 
-def main_text(root: Node, templates: set[bytes]) -> str:
+def main_text(root: Node, templates: set[int]) -> str:
     """Text left in the article (else main, else all) without templates and named parts."""
     regions: dict[str, list[Node]] = {"article": [], "main": []}
     todo = [(root, False)]
     while todo:
         node, within = todo.pop()
-        if node.mark is not None and node.mark in templates and node.inside or named(node):
+        if node.mark in templates or named(node):
             continue
         if node.tag in regions:
             if node.tag == "main" or not within:
@@ -173,7 +201,7 @@ def main_text(root: Node, templates: set[bytes]) -> str:
         if isinstance(x, str):
             out.append(x)
             continue
-        if x.mark is not None and x.mark in templates and x.inside or named(x) or x.tag == "header" and not marked:
+        if x.mark in templates or named(x) or x.tag == "header" and not marked:
             continue
         if x.tag in BLOCK:
             out.append("\n")
@@ -187,38 +215,38 @@ def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
 
 
-def templates(rows: DataFrame, least_pages: int, share: float) -> DataFrame:
+def templates(rows: DataFrame, least_pages: int, share: float, many: int) -> DataFrame:
     """host, marks: the hashes of each host's templates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[tuple[str, int], int] = {}
+            seen: Counter = Counter()
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                root = parse(page.as_py() or "")
-                mark(root)
-                for k in marks(root):
-                    seen[host, k] = seen.get((host, k), 0) + 1
+                seen.update((host, *found) for found in mark(parse(page.as_py() or "")))
             if seen:
-                yield pa.RecordBatch.from_pydict({"host": [k[0] for k in seen], "mark": pa.array([k[1] for k in seen], pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
+                host, hash_, around = zip(*seen)
+                yield pa.RecordBatch.from_pydict({"host": list(host), "mark": pa.array(hash_, pa.int64()), "around": pa.array(around, pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 
-    counts = rows.select("host", "html").mapInArrow(run, "host string, mark long, n long").groupBy("host", "mark").agg(F.sum("n").alias("n")).where(F.col("n") >= least_pages)
+    counts = rows.select("host", "html").mapInArrow(lean(run), "host string, mark long, around long, n long").groupBy("host", "mark", "around").agg(F.sum("n").alias("n"))
+    counts = counts.groupBy("host", "mark").agg(F.sum(F.when(F.col("around") == 0, F.col("n")).otherwise(1)).alias("n")).where(F.col("n") >= least_pages)
     sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    return counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("mark").alias("marks"))
+    return counts.join(sizes, "host").where(F.col("n") >= F.least(share * F.col("pages"), F.lit(many))).groupBy("host").agg(F.collect_list("mark").alias("marks"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
     """page_id, url, text, n_chars, n_templates (how many template hashes its host has): one row per page."""
     rows = _pages(pages, id_col, url_col, html_col)
-    known = kept(templates(rows, least_pages, share), "templates")
+    known = kept(templates(rows, least_pages, share, many), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_host: dict[str, set[int]] = {}
         for batch in batches:
-            texts, sizes, last, hashes = [], [], None, set()
-            lists = batch.column(3)
+            texts, sizes, lists = [], [], batch.column(3)
             for host, page, listed in zip(batch.column(4).to_pylist(), batch.column(2), lists):
-                if host != last:
-                    values = listed.values.to_numpy(zero_copy_only=False) if listed.is_valid else np.empty(0, np.int64)
-                    last, hashes = host, {int(x).to_bytes(8, "little", signed=True) for x in values}
+                if (hashes := by_host.get(host)) is None:
+                    if len(by_host) >= HOSTS:
+                        by_host.clear()
+                    hashes = by_host[host] = set(listed.as_py() or ())
                 root = parse(page.as_py() or "")
                 if hashes:
                     mark(root)
@@ -227,4 +255,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64()), "n_templates": pa.array(sizes, pa.int64())})
 
     id_type = pages.schema[id_col].dataType.simpleString()
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "marks", "host").mapInArrow(run, f"page_id {id_type}, url string, text string, n_chars long, n_templates long")
+    return rows.join(known, "host", "left").select("page_id", "url", "html", "marks", "host").mapInArrow(lean(run), f"page_id {id_type}, url string, text string, n_chars long, n_templates long")
