@@ -5,6 +5,7 @@ import html
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -122,6 +123,55 @@ def test_personal_data(spark, odd, none):
     assert personal_data.digests(none).count() == 0
 
 
+def test_spans_against_brute_force(spark):
+    """Sweeps, selection and redaction over texts full of overlapping spans, the proposals judged by a plain rule instead of trees."""
+    model = personal_data.Trees([], [0.0] * 4)
+    model.score = lambda features: (features[0] % 2).cast("double")  # an odd number of digits
+    model.thresholds = [1.0] * 4
+    rng = random.Random(8)
+    parts = ["a@b.co", "10.0.0.1", "999.1.1.1", "4111 1111 1111 1111", "+49 (30) 1234567", "555-123-4567", "555 123 45678", "x(at)y[dot]de", "2024-01-05", "12", "ä", "😀", "(030) 12.34", "+1", "."]
+    texts = ["", "".join("555-123-456 a@b.co " for _ in range(700)), *("".join(rng.choice(parts) + rng.choice((" ", "", " - ", "-")) for _ in range(rng.randrange(1, 60))) for _ in range(150))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    names = ["email", "ip", "card", "phone"]
+    clean = {r["doc_id"]: r["text"] for r in personal_data.redact(docs, model=model).collect()}
+    for r in personal_data.digests(docs, model=model).collect():
+        text = texts[r["doc_id"]]
+        kept = [(int(x.split(":")[1]), names.index(x.split(":")[0]), int(x.split(":")[2])) for x in base(text)]
+        runs, more = re.sub("(?<![0-9])[ -]|[ -](?![0-9])", "x", text), []
+        for name, pattern, kind in (("ip", personal_data.IP, 1), ("card", personal_data.RUN, 2), ("phone", personal_data.PHONE, 3), ("loose", personal_data.LOOSE, 3), ("national", personal_data.NATIONAL, 3), ("spelt", personal_data.SPELT, 0)):
+            for m in re.finditer(pattern, runs if name == "card" else text):
+                n = len(re.sub("[^0-9]", "", m[0]))
+                wide = name in ("loose", "national")
+                if name != "spelt" and (not personal_data.DIGITS[name][0] <= n <= personal_data.DIGITS[name][1] or wide and re.match("[A-Za-z0-9]", text[m.end() :])):
+                    continue
+                if not wide and (m.start(), kind, m.end()) in kept or any(a < m.end() and m.start() < b for a, _, b in kept) or n % 2 == 0:
+                    continue
+                more.append((m.start(), -m.end(), kind))
+        last, taken = 0, []
+        for a, b, kind in sorted(more):
+            if a >= last:
+                taken.append((a, kind, -b))
+                last = -b
+        spans = sorted(kept + taken)
+        assert r["spans"] == ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans), text
+        out, at = "", 0
+        for a, k, b in spans:
+            if a >= at:
+                out += text[at:a] + f"[{names[k].upper()}]"
+            at = max(at, b)
+        assert clean[r["doc_id"]] == out + text[at:]
+
+
+def test_many_spans_in_one_text(spark):
+    text = " ".join(f"a{i}@b.co on 2024-01-{i % 30:02d}" for i in range(20_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    personal_data.fitted(spark)
+    began = time.time()
+    (row,) = personal_data.digests(docs).collect()
+    assert row["n_email"] == 20_000 and personal_data.redact(docs).first()["text"].count("[EMAIL]") == 20_000
+    assert time.time() - began < 60
+
+
 # Pages
 
 
@@ -142,13 +192,57 @@ def test_pages(spark, none):
     assert site_templates.extract(df.limit(0)).count() == 0
 
 
+def test_templates_inside_articles_and_at_any_depth(spark):
+    deep = "<div>" * 600 + "<nav>MENU</nav><div>Shared</div><p>own {}</p>" + "</div>" * 600
+    box = "<article><h2>Same</h2><p>Said in all</p><p>own {}</p><div><p>Letters</p><ul><li>Join</li></ul></div></article>"
+    copied = "<article><p>copy</p><section><p>of a whole article</p></section></article>"
+    loose = "<div><b>Menu</b> of {}</div><section>Site</section><p>own {}</p>"
+    rows = [(f"http://{host}/{i}", html_.format(*[f"{host}{i}"] * 2)) for host, html_ in (("deep", deep), ("box", box), ("copied", copied), ("loose", loose)) for i in range(4)]
+    rows += [(f"http://big/{i}", f"<body><div>{'Often' if i < 25 else f'once {i}'}</div><p>own {i}</p></body>") for i in range(200)]
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    got = {r["url"]: r["text"] for r in site_templates.extract(pages).collect()}
+    off = {r["url"]: r["text"] for r in site_templates.extract(pages, least_pages=10**9).collect()}
+    for i in range(4):
+        assert got[f"http://deep/{i}"] == f"own deep{i}" and off[f"http://deep/{i}"] == f"Shared own deep{i}"
+        assert got[f"http://box/{i}"] == f"Same Said in all own box{i}" and off[f"http://box/{i}"].endswith("Letters Join")
+        assert got[f"http://copied/{i}"] == "copy of a whole article"
+        assert got[f"http://loose/{i}"] == f"Menu of loose{i} own loose{i}"
+    assert all(got[f"http://big/{i}"] == (f"own {i}" if i < 25 else f"once {i} own {i}") for i in range(200))
+
+
+def body(page):
+    """The article of a supplied page, as markup."""
+    inner = page.split("<article>", 1)[1]
+    return inner.split("</article>")[0] if "</article>" in inner else inner.split("<footer>")[0]
+
+
+def plain(markup):
+    return " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)>", "\n", markup))).split())
+
+
+def test_templates_alone_find_the_article(spark):
+    """The supplied articles in pages that mark nothing: each host has a menu, an advert and a footer of its own, all in plain elements."""
+    hosts = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        hosts.setdefault(r["url"].split("/")[2], []).append(r)
+    rows, want = [], {}
+    for host, found in hosts.items():
+        menu, ad, foot = f"<ul><li>Home of {host}</li><li><b>News</b></li></ul>", f"Buy at {host}", f"&copy; {host}"
+        for r in found if len({plain(body(r["html"])) for r in found}) >= 4 else ():
+            rows.append((r["page_id"], r["url"], f"<body><div>{menu}</div><div>{ad}</div><div>{body(r['html'])}</div><div>{foot}</div></body>"))
+            want[r["page_id"]] = plain(body(r["html"]))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    told = {r["page_id"]: r["text"] for r in site_templates.extract(pages).collect()}
+    off = {r["page_id"]: r["text"] for r in site_templates.extract(pages, least_pages=10**9).collect()}
+    assert len(want) > 100 and told.keys() == want.keys()
+    assert sum(told[i] == want[i] for i in want) > 0.95 * len(want) and not any(off[i] == want[i] for i in want)
+
+
 def test_pages_of_the_small_tables(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     want = {}
     for r in pages.collect():
-        body = r["html"].split("<article>", 1)[1]
-        body = body.split("</article>")[0] if "</article>" in body else body.split("<footer>")[0]
-        want[r["page_id"]] = " ".join(html.unescape(re.sub(r"</?b>", "", re.sub(r"</?(?:p|h1|br)>", "\n", body))).split())
+        want[r["page_id"]] = plain(body(r["html"]))
     assert {r["page_id"]: r["text"] for r in site_templates.extract(pages).collect()} == want
 
 

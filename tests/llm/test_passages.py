@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -70,6 +71,27 @@ def test_decontamination(spark, odd, none):
     assert decontamination.decontaminate(odd, benchmark, carry=True).select("row.*").columns == odd.columns
 
 
+def test_decontamination_of_one_word_over_and_over(spark):
+    """Thousands of items and a document of one common word, and windows that all lead with it: no product of the two."""
+    rng = random.Random(6)
+    items = [(k, "the " * (10 + k % 3)) for k in range(3_000)] + [(10_000 + k, " ".join(rng.choice(("the", "and")) for _ in range(30))) for k in range(3_000)]
+    docs = [(1, "the " * 20_000), (2, "the " * 9), (3, " ".join(rng.choice(("the", "and")) for _ in range(20_000))), (4, items[-1][1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in decontamination.decontaminate(documents(spark, docs), benchmark).collect()}
+    assert time.time() - began < 60
+    spans = {}
+    for i, t in items:
+        w = t.split()
+        for k in range(len(w) - 9):
+            spans.setdefault(" ".join(w[k : k + 10]), set()).add(str(i))
+    for i, t in docs:
+        w = t.split()
+        at = [k for k in range(len(w) - 9) if " ".join(w[k : k + 10]) in spans]
+        assert got[i]["n_hit"] == len({x for k in at for x in range(k, k + 10)})
+        assert set(got[i]["items"]) == {x for k in set(" ".join(w[k : k + 10]) for k in at) for x in spans[k]}
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_substring_dedup(spark, none, seed):
     rows = shared_texts(seed)
@@ -106,6 +128,10 @@ def test_near_duplicates(spark, none):
                 copy[rng.randrange(len(copy))] = "changed"
             rows.append((1000 + 20 * k + j, " ".join(copy)))
     rows += [(2000, rows[-1][1].upper() + "!"), (2001, "a b c d"), (2002, "A, b; c d"), (2003, "a b c")]
+    lone, twin = words(rng, 150), words(rng, 150)  # repeated ids with other texts; near copies of and among null ids
+    rows += [(2100, " ".join(lone)), (2100, " ".join(twin)), (2101, " ".join([*lone[:-1], "x"])), (None, " ".join([*lone[1:], "y"])), (None, " ".join(["z", *twin])), (None, " ".join(["z", *twin])), (1000, " ".join(words(rng, 90)))]
+    alone = words(rng, 120)
+    rows += [(None, " ".join(alone)), (None, " ".join([*alone, "more"]))]
     sets = []
     for _, t in rows:
         w = ALNUM.findall((t or "").translate(LOWER))
@@ -128,7 +154,17 @@ def test_near_duplicates(spark, none):
     want = sorted(((i, min((x for x in classes[find(k)] if x is not None), default=None)) for k, (i, _) in enumerate(rows)), key=str)
     got = near_duplicates.near_duplicates(documents(spark, rows)).collect()
     assert sorted(((r["doc_id"], r["class_id"]) for r in got), key=str) == want
-    assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
+    stays = near_duplicates.deduplicated(documents(spark, rows))
+    assert stays.columns == ["doc_id", "text", "node", "hits", "row", "label"]
+    left = {}
+    for r in stays.collect():
+        left.setdefault(next(find(k) for k, x in enumerate(rows) if x == (r["doc_id"], r["text"])), set()).add((r["doc_id"], r["text"]))
+    for c in {find(k) for k in range(len(rows)) if sets[k]}:
+        members = {x for k, x in enumerate(rows) if find(k) == c}
+        ids = {i for i, _ in members if i is not None}
+        assert len(left[c]) == 1 and left[c] <= members and next(iter(left[c]))[0] == (min(ids) if ids else None)
+    assert sum(len(v) for k, v in left.items() if not sets[k]) == len({x for k, x in enumerate(rows) if not sets[k]})
+    assert all(r["doc_id"] == r["class_id"] for r in got if r["kept"])
     assert near_duplicates.near_duplicates(none).count() == 0
 
 

@@ -30,6 +30,28 @@ def test_every_stage_takes_effect(spark):
     assert seen["bpe_codec"] == len(fourth)
 
 
+def test_odd_rows_through_every_stage(spark):
+    """Repeated rows and ids, several null ids, null and empty texts, clashing names; then no rows at all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    a, b, c = (r["text"] for r in docs.where("lang = 'en' AND length(text) BETWEEN 400 AND 2000").orderBy("doc_id").limit(40).collect()[::15])
+    rows = [(1, a), (2, a), (2, b), (None, b), (None, c), (3, None), (3, ""), (4, "  "), (4, c + " tail"), (4, c + " tail")]
+    extra = "doc_id long, text string, lang string, source string, n_chars long, `row` int, _t int, node int, base int, hits int, mark string, own_id int"
+    odd = spark.createDataFrame([(i, t, None, "x", 1, 1, 2, 3, 4, 5, "m", 6) for i, t in rows], extra)
+    taught = docs.select(*docs.columns, *(F.lit(None).cast(odd.schema[k].dataType).alias(k) for k in odd.columns[5:])).where("doc_id > 100")
+    one = P.known_languages(spark, taught.unionByName(odd), SF).where("source = 'x'")
+    assert one.columns == odd.columns and sorted((r["doc_id"] or 0, r["text"]) for r in one.collect()) == sorted((i or 0, t) for i, t in rows if t and t.strip())
+    two = kept(P.without_near_duplicates(spark, kept(one, "one"), SF), "two")
+    assert two.columns == odd.columns and sorted((r["doc_id"], r["text"]) for r in two.distinct().collect()) == [(1, a), (2, b), (4, c + " tail")]
+    three = P.decontaminated(spark, two, SF)
+    four = P.without_personal_data(spark, three, SF)
+    assert three.columns == four.columns == odd.columns and four.distinct().count() == 3
+    assert {r["doc_id"] for r in P.encoded(spark, four, SF).collect()} == {1, 2, 4}
+    none = docs.limit(0)
+    for name, stage in P.STAGES:
+        out = stage(spark, none, SF)
+        assert out.count() == 0 and (name == P.STAGES[-1][0] or out.columns == none.columns)
+
+
 def test_the_pipeline_on_the_small_tables(spark):
     out = P.run(spark, SF)
     assert out.columns == ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"] and 100 < out.count() <= 200
