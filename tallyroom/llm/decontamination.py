@@ -159,8 +159,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """doc_id (or with ``carry`` the whole ``row`` as a struct), n_words, n_hit, hits (array<int>: first and past-last word of each run of hit words), items
     (ids as text), n_items, items_sha256, contaminated: one row per document."""
     items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")), F.col(item_text_col))
-    head = whole_row(docs) if carry else F.col(id_col).alias("doc_id")
-    rows = docs.select(head, F.col(text_col).alias("text"), F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"))
+    heads = [whole_row(docs)] if carry else [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
+    inner, kept_columns = docs.columns.index(text_col), len(heads)
+    rows = docs.select(*heads, F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"))
     schema, texts = rows.schema, docs.select(F.col(text_col).alias("text"))
     session = docs.sparkSession.sparkContext
 
@@ -168,16 +169,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block: Windows = shared.value
             for batch in batches:
-                text_at = batch.num_columns - 5
-                for lo, hi, w in words_of(batch.column(text_at), ALNUM, lower=True):
+                text = batch.column(0).field(inner) if carry else batch.column(1)
+                for lo, hi, w in words_of(text, ALNUM, lower=True):
                     first, window = block.found(w)
                     part = batch.slice(lo, hi - lo)
-                    runs = _runs(first, first + block.size[window], w, part.column(text_at + 1))
-                    old, by_row = part.column(text_at + 2), block.named(w.row[first], window)
+                    runs = _runs(first, first + block.size[window], w, part.column(kept_columns))
+                    old, by_row = part.column(kept_columns + 1), block.named(w.row[first], window)
                     for i in np.flatnonzero(~np.asarray(old.is_null())).tolist():
                         by_row.setdefault(i, set()).update(old[i].as_py())
                     names = [sorted(by_row[r]) if r in by_row else None for r in range(hi - lo)]
-                    columns = [part.column(i) for i in range(text_at + 1)]
+                    columns = [part.column(i) for i in range(kept_columns)]
                     columns += [pa.array([r or None for r in runs], pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string())), pa.array(w.count), pa.array([sum(r[1::2]) - sum(r[::2]) for r in runs], pa.int64())]
                     yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
