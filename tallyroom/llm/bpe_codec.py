@@ -5,8 +5,9 @@ allow, lowest rank first and leftmost among equals.  A merge rewires the list an
 neighbourhoods allow; queue entries whose pair no longer stands are skipped.  Decoding concatenates
 vocabulary strings.  The file is a tokenizer description in JSON; its path is a parameter.
 
-Nulls and empty texts encode to no ids and decode to an empty text.  Repeated rows give repeated rows.  The
-input may have any other columns; only the two named are read.
+Nulls and empty texts encode to no ids and decode to an empty text.  Very long texts are worked on whole; of pairs of equal rank the
+leftmost merges first.  Repeated rows give repeated rows, empty tables empty ones.  The input may have any other columns, whatever their
+names; only the two named are read.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.llm.arrays import lean
-from tallyroom.llm.chunks import CACHE_ENTRIES, Cache, chunked
+from tallyroom.llm.chunks import Cache, chunked
 
 
+#: Bounds of what a worker remembers (chunks and pre-tokens), and of the text it works on at once.
+CHUNKS, PRETOKENS, SLICE_BYTES = 200_000, 150_000, 2 << 20
 #: The last letter whose class and case are the same in all editions of Unicode in use.
 LATIN = "\u024f"
 
@@ -117,7 +120,7 @@ class BytePairs:
         for f in self.steps:
             text = f(text)
         out: list[bytes] = []
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > PRETOKENS:
             self.known.clear()
         for m in self.split.finditer(text) if self.split else [text]:
             token = m if isinstance(m, str) else m[0]
@@ -160,7 +163,7 @@ def codec(path: str) -> BytePairs:
 @lru_cache(2)
 def _cache(path: str) -> Cache:
     coder = codec(path)
-    return Cache(lambda chunks: [coder.packed(c) for c in chunks], np.uint32)
+    return Cache(lambda chunks: [coder.packed(c) for c in chunks], np.uint32, CHUNKS)
 
 
 @lru_cache(2)
@@ -171,7 +174,7 @@ def _strings(path: str) -> pa.Array:
 def encoded(path: str, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For slices of texts: lo, hi, ids of all of them, offsets of each text's ids."""
     cache = _cache(path)
-    for lo, hi, at, codes, chunks in chunked(col):
+    for lo, hi, at, codes, chunks in chunked(col, SLICE_BYTES):
         ids, counts = cache.expand(chunks, codes)
         run = np.concatenate([[0], np.cumsum(counts)])
         yield lo, hi, ids, run[at]
