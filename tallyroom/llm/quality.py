@@ -10,7 +10,8 @@ Learnt from a sample of labelled rows, chosen by a hash of the id: about ``train
 executors and of the label rows that are broadcast.  Scoring reads every whole text once, without a shuffle.
 
 Null and empty texts have no indicators and get the score of the bias alone.  Null labels, and ids labelled both ways, teach nothing; with
-labels of one class or none, every score is the share of label 1 (0.5 if none).  Repeated rows give repeated rows.
+labels of one class or none, every score is the share of label 1 (0.5 if none).  Very long texts are worked on whole, an empty table gives
+an empty table, equal texts get equal scores, repeated rows give repeated rows, and other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -181,8 +182,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str
     sample = known.where(draw("quality sample") < train_docs / max(total, 1)).withColumn("held", draw("quality curve") < 0.2)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     texts = rows.join(F.broadcast(sample), "doc_id").select("label", "held", "text")
-    examples = sorted(((r["label"], r["held"], r["features"]) for r in _features(texts, "label int, held boolean").collect()), key=lambda e: (e[0], e[1], len(e[2]), e[2][:8]))
-    model = fit([(np.array(f, np.int64).view(np.uint64), y, held) for y, held, f in examples])
+    told = _features(texts, "label int, held boolean").toArrow()
+    lists = told.column("features").combine_chunks()
+    values, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy().tolist()
+    rows_ = zip(told.column("label").to_pylist(), told.column("held").to_pylist(), ends, ends[1:])
+    examples = sorted(((values[a:b], y, held) for y, held, a, b in rows_), key=lambda e: (e[1], e[2], len(e[0]), e[0][:8].view(np.int64).tolist()))
+    model = fit(examples)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
