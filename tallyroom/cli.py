@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
                 print(f"{r['status']:4} {r['gate']:2} {r['name']}: {r['detail']}")
             return 0 if gates.passed(results, args.strict) else 1
         if args.command == "score":
-            reports = R.tool_reports(spark, args.output)
+            reports = R.reports_of(spark, args.output)
             rulings = R.adjudications(spark, R.text_of(spark, args.adjudications)) if args.adjudications else None
             if rulings is not None and (bad := R.adjudication_violations(rulings, reports, room.findings).take(1)):
                 raise R.RoomError(f"adjudication of {bad[0]['tool_index']}: {bad[0]['rule']}")

@@ -52,14 +52,15 @@ class Room:
 Verdict = tuple[str, str]
 
 
-def shown(rows: list[str], limit: int = 5) -> str:
-    """The first few, and how many more."""
-    return ", ".join(rows[:limit]) + (f" (+{len(rows) - limit} more)" if len(rows) > limit else "")
+def shown(rows: list[str], limit: int = 5, total: int | None = None) -> str:
+    """The first few, and how many more there are in all."""
+    more = (len(rows) if total is None else total) - limit
+    return ", ".join(rows[:limit]) + (f" (+{more} more)" if more > 0 else "")
 
 
 def _listed(df: DataFrame, status: str = FAIL, none: str = "clean") -> Verdict:
-    rows = [" ".join(str(x) for x in r) for r in df.orderBy(*df.columns).collect()]
-    return (status, shown(rows)) if rows else (PASS, none)
+    rows = [" ".join(str(x) for x in r) for r in df.orderBy(*df.columns).limit(6).collect()]  # what is shown, and whether there is more
+    return (status, shown(rows, total=df.count() if len(rows) > 5 else None)) if rows else (PASS, none)
 
 
 def _evidence(room: Room) -> DataFrame:
