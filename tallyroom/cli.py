@@ -12,13 +12,22 @@ from tallyroom.sources import sinks
 
 
 def _room(spark, root: str):
+    """The room's frames.  Files that need not be there are None (or nothing) where they are not, and their gates are skipped."""
     from tallyroom import gates
 
     conf = R.room_conf(R.text_of(spark, f"{root}/room.conf"))
-    key = f"{root}/{conf.get('KEY_ROOT')}"
-    blind = R.tree(spark, f"{root}/{conf.get('BLIND_TREE')}").cache()  # all gates read it
-    flagged = R.tree(spark, f"{root}/{conf.get('FLAGGED_TREE')}")
-    return gates.Room(spark, conf, blind, flagged, R.findings(spark, R.text_of(spark, f"{key}/findings.yaml")), R.distractors(spark, R.text_of(spark, f"{key}/distractors.yaml")), slots=R.slots(spark, f"{key}/anchors.csv"))
+    key, blind_root = f"{root}/{conf.get('KEY_ROOT')}".rstrip("/"), f"{root}/{conf.get('BLIND_TREE')}".rstrip("/")
+    text = lambda path: R.text_of(spark, path) if R.exists(spark, path) else None
+    trees = lambda *paths: [R.tree(spark, p) for p in paths if R.exists(spark, p)]
+    sheet, checked, gaps = text(f"{key}/fact-sheet.md"), text(f"{key}/name-check.md"), text(f"{key}/gaps.yaml")
+    blind = R.tree(spark, blind_root).cache()  # all gates read it
+    (flagged,) = trees(f"{root}/{conf.get('FLAGGED_TREE')}") or (None,)
+    (subset,) = trees(f"{root}/subset") or (None,)
+    return gates.Room(
+        spark, conf, blind, flagged, R.findings(spark, R.text_of(spark, f"{key}/findings.yaml")), R.distractors(spark, R.text_of(spark, f"{key}/distractors.yaml")),
+        index=text(f"{root}/index.md"), slots=R.slots(spark, f"{key}/anchors.csv") if R.exists(spark, f"{key}/anchors.csv") else None,
+        figures=R.canonical_figures(spark, sheet) if sheet else None, cast=R.cast_names(spark, sheet) if sheet else None, verdicts=R.name_verdicts(spark, checked) if checked else None,
+        subset=subset, gaps=R.gaps(gaps) if gaps else [])
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -45,7 +54,8 @@ def main(argv: list[str] | None = None) -> int:
             return 0 if gates.passed(results, args.strict) else 1
         if args.command == "score":
             reports = R.reports_of(spark, args.output)
-            rulings = R.adjudications(spark, R.text_of(spark, args.adjudications)) if args.adjudications else None
+            ruled = args.adjudications or f"{args.room}/{room.conf.get('KEY_ROOT')}".rstrip("/") + "/adjudications.yaml"
+            rulings = R.adjudications(spark, R.text_of(spark, ruled)) if args.adjudications or R.exists(spark, ruled) else None
             if rulings is not None and (bad := R.adjudication_violations(rulings, reports, room.findings).take(1)):
                 raise R.RoomError(f"adjudication of {bad[0]['tool_index']}: {bad[0]['rule']}")
             print(sinks.scorecard_text(M.score(reports, room.findings, R.evidence(room.findings).select("finding_id", "rel_path"), room.distractors.select("distractor_id", "location"), rulings)))

@@ -33,6 +33,12 @@ def text_of(spark: SparkSession, path: str) -> str:
     return rows[0][0] if rows else ""
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, on whatever store the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 # Trees
 
 

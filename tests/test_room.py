@@ -166,3 +166,33 @@ def test_form_tells_warns_of_uneven_notes_and_spares_habits(spark):
     assert gate([evidence[0], evidence[2], *other])[0] == G.PASS  # most of the section points there
     said = gate([evidence[2], evidence[0]])
     assert said[0] == G.WARN and "note asymmetry" in said[1]
+
+
+def test_the_shell_loads_every_file_of_a_room(spark, tmp_path, monkeypatch, capsys):
+    from tallyroom import cli
+
+    key = tmp_path / "_key"
+    plain = {p: f"# Heading {p[-4]}\n\nThe price is £1,250 of it.\n\n" + "plain prose " * 700 for p in PATHS}
+    for tree, mark in (("blind", False), ("flagged", True)):
+        for p, t in plain.items():
+            at = tmp_path / tree / p
+            at.parent.mkdir(parents=True, exist_ok=True)
+            at.write_text(t + ("\n## FLAG\n" + "".join(f"- **{i} (title)** text\n" for i in OWNERS[p]) if mark else ""))
+    key.mkdir()
+    (tmp_path / "room.conf").write_text(CONF)
+    (tmp_path / "index.md").write_text("".join(f"- {p.rsplit('/', 1)[1].split('_')[0]} thing\n" for p in PATHS))
+    (key / "findings.yaml").write_text(FINDINGS)
+    (key / "distractors.yaml").write_text(DISTRACTORS)
+    (key / "anchors.csv").write_text("slot_id,tier,rel_path\n" + "".join(f"{p.rsplit('/', 1)[1].split('_')[0]},A,{p}\n" for p in PATHS))
+    (key / "fact-sheet.md").write_text("## Canonical figures\n\n| Key | Value | Superseded |\n|---|---|---|\n| price | £1,250 | £1,100; £990 |\n| fee | £77 | — |\n")
+    (key / "gaps.yaml").write_text("gaps:\n- {ref: 9.9.9}\n")
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    room = cli._room(spark, str(tmp_path))
+    assert room.gaps == ["9.9.9"] and room.verdicts is None and room.subset is None and room.figures.count() == 2
+    cli.main(["audit", "--room", str(tmp_path)])
+    said = {int(line[5:7]): line[:4].strip() for line in capsys.readouterr().out.splitlines()}
+    assert said[1] == "PASS" and said[13] == "FAIL" and said[14] == "SKIP" and said[11] == "SKIP"
+    (tmp_path / "report.md").write_text("## Void issue\nHigh, see `01_corporate/1.1.1_a.md`.\n")
+    (tmp_path / "empty.md").write_text("nothing to say\n")
+    assert cli.main(["score", "--room", str(tmp_path), str(tmp_path / "report.md")]) == 0
+    assert cli.main(["score", "--room", str(tmp_path), str(tmp_path / "empty.md")]) == 2
