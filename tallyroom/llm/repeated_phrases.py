@@ -19,7 +19,8 @@ document is bounded by its length.
 
 Words are runs of anything but ASCII white space.  Nulls and empty texts have no words.  A null id counts as larger
 than all others.  Rows with equal ids do not remove each other's words, and rows are told apart by id and a 64-bit hash
-of their text: what befalls one row of an id says nothing of its other texts.  Texts shorter than a window are kept.
+of their text: what befalls one row of an id says nothing of its other texts.  Texts shorter than a window are kept.  Very long
+texts are worked on whole, an empty table gives an empty table, and other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

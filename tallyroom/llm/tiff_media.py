@@ -6,6 +6,9 @@ A damaged file gives a row with an error for the page it broke at; a directory t
 
 Nulls are empty payloads on writing and no pages on reading.  Everything is row by row: no shuffle, one file in
 memory at a time.
+
+Repeated rows give repeated rows, equal texts equal files; very long texts are stored whole, an empty table gives an empty table, and
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
