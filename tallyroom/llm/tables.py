@@ -49,6 +49,15 @@ def kept(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``kept`` gave as ``df``.  Only for tables that nothing reads any more: not that by which an executor's loss is mended."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if name.startswith(("file:", "hdfs:")) or "/tallyroom/" in name:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_kept(spark: SparkSession) -> None:
     """Delete every table that ``kept`` has written in this application.  Frames made from them can no longer be read."""
     path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
