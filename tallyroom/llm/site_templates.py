@@ -1,22 +1,24 @@
 """Main text of web pages by removal of site templates.
 
 Every element is hashed with all below it (tag, text, children).  Spark counts, per host, on how many pages a hash occurs; what
-occurs on many is template: on ``share`` of the host's pages or on ``many`` pages, whichever is fewer, and on ``least_pages`` at
-least.  A page's elements with such a hash are deleted; then what its markup itself names as something other than the article
-(navigation, forms, adverts, notices, comments ...); the article is chosen from what is left, and its text, or that of the body where none is
-marked, is what remains.
+occurs on a ``share`` of the host's pages, and on ``least_pages`` at least, is template.  A page's elements with such a hash are deleted; then what its markup
+itself names as something other than the article (navigation, forms, adverts, notices, comments ...: by tag, role, or a whole class or id, so that
+``ad-hoc`` names nothing); the article is chosen from what is left, and its text, or that of the body where none is
+marked, is what remains.  A page whose only text is template keeps it.
 
+Pages of one host are different if both their urls and their contents are: a page that was crawled three times is one, and so are mirrors of it; their body is no template.
 An element that holds an article (``article`` or ``main``) is never template, nor is the article itself, nor, by itself, an inline element, whose
 loss would tear a sentence.  Inside an article only containers
 (``CONTAINERS``) can be, not its paragraphs, headings, lists and the like, and there a hash counts once for each different article, not for each page: so the
 paragraphs that versions of an article share, and all of an article that is copied to many pages, stay.
 
-Counts are combined before they are shuffled, so a host with a third of all pages costs no task more.  The template hashes of all hosts
-are a table whose size Spark checks before broadcasting it; beyond that it is joined by host, as two scans whose skew adaptive
-execution splits.  Pages are parsed whole, twice, and nothing else is held.
+Hashes are told apart and counted in combined sums, so a host with a third of all pages costs no task more.  A template is on a ``share`` of its host's
+pages, so a host has at most 1 / ``share`` as many as its mean page has elements; this list, whose size is of the order of a page, goes to the host's pages in a join whose smaller
+side Spark broadcasts if its measured size allows, and else splits where it is skewed.  Pages are parsed whole, twice, and nothing else is held.
 
-A null or empty html gives an empty text; a url without a host counts as a host of its own.  Repeated rows count as pages.
-Unclosed and stray tags are tolerated as browsers do; an unclosed comment or script runs to the end.  Elements may be nested to
+A null or empty html gives an empty text; a url without a host counts as a host of its own.
+Unclosed and stray tags are tolerated as browsers do; an unclosed comment or script runs to the end.  Character references are decoded in each
+text by itself, so that markup between two texts makes no reference of their ends.  Elements may be nested to
 any depth, very long pages are worked on whole, an empty table gives an empty table, ties do not matter (a hash is template or
 not), and other columns, whatever their names, are not read.
 """
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from tallyroom.llm.arrays import lean
 from tallyroom.llm.tables import kept
 
-LEAST_PAGES, SHARE, MANY = 3, 0.3, 10
+LEAST_PAGES, SHARE = 3, 0.3
 HOSTS = 64
 
 TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
@@ -145,14 +147,14 @@ def named(node: Node) -> bool:
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and not NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and not NAMES.isdisjoint(value.split()):
             return True
     return False
 
 
-def mark(root: Node) -> set[tuple[int, int]]:
-    """Hash every element, children first.  Elements that can be template keep their hash; what is returned are these hashes with that
-    of the article around them (0 if none)."""
+def mark(root: Node) -> tuple[int, set[tuple[int, int]]]:
+    """Hash every element, children first.  Elements that can be template keep their hash; what is returned are the page's hash, and these hashes with that
+    of the article around them (of the page if none)."""
     order: list[tuple[Node, Node | None]] = []
     todo: list[tuple[Node, Node | None]] = [(root, None)]
     while todo:
@@ -170,13 +172,14 @@ def mark(root: Node) -> set[tuple[int, int]]:
                 digest.update(b"\1" + x.mark.to_bytes(8, "little", signed=True))
                 node.holds |= x.holds
         node.mark = int.from_bytes(digest.digest(), "little", signed=True)
-    able = [(node, 0 if region is None else region.mark or 1) for node, region in order if node.inside and not node.holds and node.tag in (BLOCK if region is None else CONTAINERS)]
+    page = root.mark
+    able = [(node, (region or root).mark) for node, region in order if node.inside and not node.holds and node.tag in (BLOCK if region is None else CONTAINERS)]
     found = {(node.mark, key) for node, key in able}
     kept_ = {id(node) for node, _ in able}
     for node, _ in order:
         if id(node) not in kept_:
             node.mark = None
-    return found
+    return page, found
 
 
 def main_text(root: Node, templates: set[int]) -> str:
@@ -199,7 +202,7 @@ def main_text(root: Node, templates: set[int]) -> str:
     while work:
         x = work.pop()
         if isinstance(x, str):
-            out.append(x)
+            out.append(entities.unescape(x))
             continue
         if x.mark in templates or named(x) or x.tag == "header" and not marked:
             continue
@@ -207,7 +210,7 @@ def main_text(root: Node, templates: set[int]) -> str:
             out.append("\n")
             work.append("\n")
         work += reversed(x.inside)
-    return " ".join(entities.unescape("".join(out)).split())
+    return " ".join("".join(out).split())
 
 
 def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -215,28 +218,30 @@ def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
 
 
-def templates(rows: DataFrame, least_pages: int, share: float, many: int) -> DataFrame:
+def templates(rows: DataFrame, least_pages: int, share: float) -> DataFrame:
     """host, marks: the hashes of each host's templates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
-                seen.update((host, *found) for found in mark(parse(page.as_py() or "")))
+            seen: set[tuple[str, int, int, int | None]] = set()
+            for host, url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                whole, found = mark(parse(page.as_py() or ""))
+                seen.add((host, url, whole, None))
+                seen.update((host, url, around, hash_) for hash_, around in found)
             if seen:
-                host, hash_, around = zip(*seen)
-                yield pa.RecordBatch.from_pydict({"host": list(host), "mark": pa.array(hash_, pa.int64()), "around": pa.array(around, pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
+                host, url, within, hash_ = zip(*seen)
+                yield pa.RecordBatch.from_pydict({"host": list(host), "at": pa.array(url, pa.int64()), "within": pa.array(within, pa.int64()), "mark": pa.array(hash_, pa.int64())})
 
-    counts = rows.select("host", "html").mapInArrow(lean(run), "host string, mark long, around long, n long").groupBy("host", "mark", "around").agg(F.sum("n").alias("n"))
-    counts = counts.groupBy("host", "mark").agg(F.sum(F.when(F.col("around") == 0, F.col("n")).otherwise(1)).alias("n")).where(F.col("n") >= least_pages)
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    return counts.join(sizes, "host").where(F.col("n") >= F.least(share * F.col("pages"), F.lit(many))).groupBy("host").agg(F.collect_list("mark").alias("marks"))
+    found = rows.select("host", F.xxhash64("url").alias("at"), "html").mapInArrow(lean(run), "host string, at long, within long, mark long")
+    counts = kept(found.groupBy("host", "mark").agg(F.least(F.count_distinct("at"), F.count_distinct("within")).alias("n")).where(F.col("mark").isNull() | (F.col("n") >= least_pages)), "counts")
+    pages = counts.where("mark IS NULL").select("host", F.col("n").alias("pages"))
+    return counts.where("mark IS NOT NULL").join(pages, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("mark").alias("marks"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE, many: int = MANY) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text, n_chars, n_templates (how many template hashes its host has): one row per page."""
     rows = _pages(pages, id_col, url_col, html_col)
-    known = kept(templates(rows, least_pages, share, many), "templates")
+    known = kept(templates(rows, least_pages, share), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_host: dict[str, set[int]] = {}
@@ -250,7 +255,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 root = parse(page.as_py() or "")
                 if hashes:
                     mark(root)
-                texts.append(main_text(root, hashes))
+                texts.append(main_text(root, hashes) or main_text(root, set()))
                 sizes.append(len(hashes))
             yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64()), "n_templates": pa.array(sizes, pa.int64())})
 

@@ -198,7 +198,7 @@ def test_templates_inside_articles_and_at_any_depth(spark):
     copied = "<article><p>copy</p><section><p>of a whole article</p></section></article>"
     loose = "<div><b>Menu</b> of {}</div><section>Site</section><p>own {}</p>"
     rows = [(f"http://{host}/{i}", html_.format(*[f"{host}{i}"] * 2)) for host, html_ in (("deep", deep), ("box", box), ("copied", copied), ("loose", loose)) for i in range(4)]
-    rows += [(f"http://big/{i}", f"<body><div>{'Often' if i < 25 else f'once {i}'}</div><p>own {i}</p></body>") for i in range(200)]
+    rows += [(f"http://big/{i}", f"<body><div>{'Often' if i < 80 else f'once {i}'}</div><p>own {i}</p></body>") for i in range(200)]
     pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string").repartition(3)
     got = {r["url"]: r["text"] for r in site_templates.extract(pages).collect()}
     off = {r["url"]: r["text"] for r in site_templates.extract(pages, least_pages=10**9).collect()}
@@ -207,7 +207,50 @@ def test_templates_inside_articles_and_at_any_depth(spark):
         assert got[f"http://box/{i}"] == f"Same Said in all own box{i}" and off[f"http://box/{i}"].endswith("Letters Join")
         assert got[f"http://copied/{i}"] == "copy of a whole article"
         assert got[f"http://loose/{i}"] == f"Menu of loose{i} own loose{i}"
-    assert all(got[f"http://big/{i}"] == (f"own {i}" if i < 25 else f"once {i} own {i}") for i in range(200))
+    assert all(got[f"http://big/{i}"] == (f"own {i}" if i < 80 else f"once {i} own {i}") for i in range(200))
+
+
+def test_no_text_is_lost(spark):
+    """A page crawled again and mirrored is one page; what some pages share, and classes that only look like a word of the list, stay."""
+    page = "<body><div><p>The only text</p><p>of a page</p></div></body>"
+    rows = [("http://again/1", page)] * 3 + [(f"http://mirror/{i}", page) for i in range(5)] + [("http://versions/1", page.replace("of", f"version {i} of")) for i in range(5)]
+    rows += [(f"http://large/{i}", f"<body><div><h2>{'Shared heading' if i < 10 else f'heading {i}'}</h2><p>own {i}</p></div></body>") for i in range(1000)]
+    rows += [("http://classes/1", '<article><p class="ad-hoc">for this</p><p class="notice-period">a month</p><p class="x ad">buy</p><p id="share-price">up</p></article>')]
+    rows += [("http://references/1", "<p>a &am<b>p;</b>lt; b &amp;lt; &#x26;lt; &lt<b>c</b></p>")]
+    rows += [(f"http://same/{i}", f"<body><div><p>All say this</p></div>{'<p>once</p>' if i == 0 else '<!-- ' + str(i) + ' -->'}</body>") for i in range(4)]
+    rows += [(f"http://chrome/{i}", f"<body><div><p>Menu</p></div><p>{i % 3 if i else 'Menu'}</p></body>") for i in range(30)]
+    pages = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "page_id long, url string, html string").repartition(5)
+    got = {}
+    for r in site_templates.extract(pages).collect():
+        got.setdefault(r["url"], set()).add(r["text"])
+    whole = "The only text of a page"
+    assert got["http://again/1"] == {whole} and all(got[f"http://mirror/{i}"] == {whole} for i in range(5))
+    assert got["http://versions/1"] == {f"The only text version {i} of a page" for i in range(5)}
+    assert all(got[f"http://large/{i}"] == {f"Shared heading own {i}" if i < 10 else f"heading {i} own {i}"} for i in range(1000))
+    assert got["http://classes/1"] == {"for this a month up"}
+    assert got["http://references/1"] == {"a &amp;lt; b &lt; &lt; <c"}
+    assert got["http://same/2"] == {"All say this"}
+
+
+def test_counts_of_subtrees_against_plain_ones(spark):
+    """Templates of random pages against a counter that goes through all pages of a host at once."""
+    rng = random.Random(12)
+    blocks = ["<div><p>menu</p></div>", "<ul><li>a</li><li>b</li></ul>", "<footer>end</footer>", "<section><p>x</p><div>deep</div></section>", "<p>plain</p>"]
+    rows = [(rng.choice(("h", "k")), f"/{rng.randrange(25)}", "<body>" + "".join(rng.sample(blocks, rng.randrange(4))) + f"<p>{rng.randrange(40)}</p></body>") for _ in range(80)]
+    pages = spark.createDataFrame([(i, f"http://{h}{u}", t) for i, (h, u, t) in enumerate(rows)], "page_id long, url string, html string").repartition(4)
+    found = {r["host"]: set(r["marks"]) for r in site_templates.templates(site_templates._pages(pages, "page_id", "url", "html"), 3, 0.3).collect()}
+    for host in ("h", "k"):
+        seen, contents, urls = {}, set(), set()
+        for h, u, t in rows:
+            if h == host:
+                root = site_templates.parse(t)
+                whole, marks = site_templates.mark(root)
+                contents.add(whole), urls.add(u)
+                for m, _ in marks:
+                    seen.setdefault(m, (set(), set()))
+                    seen[m][0].add(u), seen[m][1].add(whole)
+        pages_of_host = min(len(contents), len(urls))
+        assert found.get(host, set()) == {m for m, (a, b) in seen.items() if min(len(a), len(b)) >= max(3, 0.3 * pages_of_host)}
 
 
 def body(page):
