@@ -30,7 +30,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = tiff_media.digests(tiff_media.stored(table(spark, sf_dir, "documents")))
+    said = tiff_media.digests(kept(tiff_media.stored(table(spark, sf_dir, "documents")), "media"))
     return said.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
