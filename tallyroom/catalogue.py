@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tallyroom.plans import auditing, classification, deriving, match
+from tallyroom.plans import auditing, classification, deriving, keys, match
 
-_MODULES = (match, classification, auditing, deriving)
+_MODULES = (match, classification, auditing, deriving, keys)
 
 
 def queries() -> dict[str, Callable]:

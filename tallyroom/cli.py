@@ -1,14 +1,21 @@
-"""python -m tallyroom.cli audit | score | manifest: the engine from a shell.  Exit 0: sound, 1: not, 2: could not be read."""
+"""python -m tallyroom.cli audit | score | manifest | answerkey | classify | names | corrupt | subset | flag: the engine from a shell.
+
+Exit 0: sound, 1: not, 2: could not be read."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
+from pyspark.sql import functions as F
+
+from tallyroom.operators import answerkey as K
+from tallyroom.operators import candidates
+from tallyroom.operators import classify as C
 from tallyroom.operators import match as M
 from tallyroom.session import session
+from tallyroom.sources import lenient, sinks, trees
 from tallyroom.sources import room as R
-from tallyroom.sources import sinks
 
 
 def _room(spark, root: str):
@@ -18,24 +25,117 @@ def _room(spark, root: str):
     conf = R.room_conf(R.text_of(spark, f"{root}/room.conf"))
     key, blind_root = f"{root}/{conf.get('KEY_ROOT')}".rstrip("/"), f"{root}/{conf.get('BLIND_TREE')}".rstrip("/")
     text = lambda path: R.text_of(spark, path) if R.exists(spark, path) else None
-    trees = lambda *paths: [R.tree(spark, p) for p in paths if R.exists(spark, p)]
+    trees_of = lambda *paths: [R.tree(spark, p) for p in paths if R.exists(spark, p)]
     sheet, checked, gaps = text(f"{key}/fact-sheet.md"), text(f"{key}/name-check.md"), text(f"{key}/gaps.yaml")
     blind = R.tree(spark, blind_root).cache()  # all gates read it
-    (flagged,) = trees(f"{root}/{conf.get('FLAGGED_TREE')}") or (None,)
-    (subset,) = trees(f"{root}/subset") or (None,)
+    (flagged,) = trees_of(f"{root}/{conf.get('FLAGGED_TREE')}") or (None,)
+    (subset,) = trees_of(f"{root}/subset") or (None,)
+    eval_key = expected = None
+    if R.exists(spark, f"{key}/answer-key.jsonl") and R.exists(spark, f"{root}/sections.yaml") and R.exists(spark, f"{key}/labels.yaml"):
+        eval_key = lenient.key_rows(spark, f"{key}/answer-key.jsonl")
+        expected = K.records(_judged(spark, root, conf, blind, None, None))
     return gates.Room(
         spark, conf, blind, flagged, R.findings(spark, R.text_of(spark, f"{key}/findings.yaml")), R.distractors(spark, R.text_of(spark, f"{key}/distractors.yaml")),
         index=text(f"{root}/index.md"), slots=R.slots(spark, f"{key}/anchors.csv") if R.exists(spark, f"{key}/anchors.csv") else None,
         figures=R.canonical_figures(spark, sheet) if sheet else None, cast=R.cast_names(spark, sheet) if sheet else None, verdicts=R.name_verdicts(spark, checked) if checked else None,
-        subset=subset, gaps=R.gaps(gaps) if gaps else [])
+        subset=subset, eval_key=eval_key, expected_key=expected, gaps=R.gaps(gaps) if gaps else [])
+
+
+def _key_path(room: str, conf) -> str:
+    return f"{room}/{conf.get('KEY_ROOT')}".rstrip("/")
+
+
+def _judged(spark, root: str, conf, blind, vocabulary: str | None, domain: str | None):
+    """Labels of the room held against its tree, sections and list of types (the room's own, if it has one and none is named)."""
+    key = _key_path(root, conf)
+    if not R.exists(spark, f"{key}/labels.yaml"):
+        raise R.RoomError(f"no labels at {key}/labels.yaml")
+    own = f"{key}/classifier-vocab.txt"
+    listed = vocabulary or (own if R.exists(spark, own) else None)
+    if listed is None and conf.values.get("ROOM_ROLE") == "eval":
+        print("warning: no list of document types; labels are not held against one", file=sys.stderr)
+    sections = R.sections(spark, R.text_of(spark, domain or f"{root}/sections.yaml"))
+    return K.judged(R.documents(blind), R.label_rows(spark, R.text_of(spark, f"{key}/labels.yaml")), sections, R.vocabulary(spark, listed) if listed else None)
+
+
+def _answerkey(spark, args) -> int:
+    """Builds the key, or names what is wrong with it."""
+    conf = R.room_conf(R.text_of(spark, f"{args.room}/room.conf"))
+    rows = _judged(spark, args.room, conf, R.tree(spark, f"{args.room}/{conf.get('BLIND_TREE')}"), args.vocabulary, args.sections).cache()
+    if wrong := K.breaches(rows).orderBy("rule").collect():
+        for r in wrong:
+            print(f"{r['rule']}: {r['n']} ({r['named']})", file=sys.stderr)
+        return 1
+    said = K.records(rows)
+    trees.sorted_lines(said.select("source_path", K.record_line(F.col("source_path"), F.col("document_type"), F.col("primary_workstream")).alias("line")), f"{_key_path(args.room, conf)}/answer-key.jsonl", "source_path")
+    print(f"{said.count()} records")
+    return 0
+
+
+def _classify(spark, args) -> int:
+    """Scores a classification; the output must cover the key's documents and come from this room, where it says so."""
+    conf = R.room_conf(R.text_of(spark, f"{args.room}/room.conf"))
+    path = args.key or f"{_key_path(args.room, conf)}/answer-key.jsonl"
+    if not R.exists(spark, path):
+        raise R.RoomError(f"no key at {path}: build it with answerkey")
+    key, output = lenient.key_rows(spark, path).cache(), lenient.sound(lenient.classified(spark, args.output), args.output).cache()
+    manifest = args.manifest or f"{_key_path(args.room, conf)}/manifest.json"
+    said = sinks.provenance(sinks.read_hash(R.text_of(spark, manifest)) if R.exists(spark, manifest) else "", R.agreed_hash(output))
+    apart = C.coverage(key, output)
+    if not apart.isEmpty():
+        raise R.RoomError("key and output differ: " + "; ".join(f"{r['side']}: {r['n']} ({r['named']})" for r in K.named(apart, "side", "source_path").orderBy("side").collect()))
+    print(sinks.classification_text(C.paired(key, output), args.output.rsplit("/", 1)[-1].rsplit(".", 1)[0], said), end="")
+    return 0
+
+
+def _names(spark, args) -> int:
+    conf = R.room_conf(R.text_of(spark, f"{args.room}/room.conf"))
+    sheet = spark.createDataFrame([("fact-sheet.md", R.text_of(spark, f"{_key_path(args.room, conf)}/fact-sheet.md"))], "rel_path string, text string")
+    bad = 0
+    for r in candidates.candidates(sheet).orderBy("name").collect():
+        print(f"{r['name']}\t{r['kind']}" + (f"\t{r['fault']}" if r["fault"] else ""))
+        bad += bool(r["fault"])
+    return 1 if bad else 0
+
+
+def _derive(spark, args) -> int:
+    """Writes a corrupted, subset or flagged tree to a new folder."""
+    conf = R.room_conf(R.text_of(spark, f"{args.room}/room.conf"))
+    key, files = _key_path(args.room, conf), R.tree(spark, f"{args.room}/{conf.get('BLIND_TREE')}")
+    room = conf.get("ROOM_CODENAME")
+    if args.command == "corrupt":
+        manifest = f"{key}/manifest.json"
+        docs = R.documents(files)
+        others = files.join(docs.select("rel_path"), "rel_path", "left_anti")
+        told = trees.write_corrupted(docs.select("rel_path", "text"), others, lenient.key_rows(spark, f"{key}/answer-key.jsonl"), args.out, room, args.seed, args.profile, conf.words("SECTION_DIRS"), sinks.read_hash(R.text_of(spark, manifest)) if R.exists(spark, manifest) else "", conf.get("BLIND_TREE").strip("/"))
+    elif args.command == "subset":
+        told = trees.write_subset(files, R.findings(spark, R.text_of(spark, f"{key}/findings.yaml")), args.total, args.out, room)
+    else:
+        told = trees.write_flagged(files, R.findings(spark, R.text_of(spark, f"{key}/findings.yaml")), R.distractors(spark, R.text_of(spark, f"{key}/distractors.yaml")), args.out, conf.get("FLAG_STRING_1"))
+    print(", ".join(f"{k} {v}" for k, v in told.items()))
+    return 0
 
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tallyroom")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("audit", "score", "manifest"):
+    for name in ("audit", "score", "manifest", "answerkey", "classify", "names", "corrupt", "subset", "flag"):
         p = commands.add_parser(name)
         p.add_argument("--room", required=True)
+        if name == "answerkey":
+            p.add_argument("--vocabulary")
+            p.add_argument("--sections")
+        if name == "classify":
+            p.add_argument("output")
+            p.add_argument("--key")
+            p.add_argument("--manifest")
+        if name in ("corrupt", "subset", "flag"):
+            p.add_argument("--out", required=True)
+        if name == "corrupt":
+            p.add_argument("--seed", type=int, required=True)
+            p.add_argument("--profile", choices=("light", "heavy"), default="light")
+        if name == "subset":
+            p.add_argument("--total", type=int, required=True)
         if name == "audit":
             p.add_argument("--strict", action="store_true")
         if name == "score":
@@ -44,6 +144,8 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     spark = session()
     try:
+        if run := {"answerkey": _answerkey, "classify": _classify, "names": _names, "corrupt": _derive, "subset": _derive, "flag": _derive}.get(args.command):
+            return run(spark, args)
         room = _room(spark, args.room)
         if args.command == "audit":
             from tallyroom import gates
@@ -65,6 +167,8 @@ def main(argv: list[str] | None = None) -> int:
     except Exception as error:
         print(str(error).splitlines()[0] if str(error) else type(error).__name__, file=sys.stderr)
         return 2
+    finally:
+        spark.catalog.clearCache()  # what a command has kept is of no use to the next one of this session
 
 
 if __name__ == "__main__":

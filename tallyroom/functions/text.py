@@ -55,26 +55,150 @@ def paragraphs(text: Column) -> Column:
     return F.transform(words, lambda w: F.when(first(w) > 0, F.slice(w, first(w).cast("int"), F.size(w))).otherwise(F.array().cast(EMPTY)))
 
 
+def _is_gap(sep: Column) -> Column:
+    """White space between words of one name: blanks, and one line break at most."""
+    return (sep != "") & sep.rlike(r"\A[ \t]*\n?[ \t]*\z")
+
+
 def entity_tokens(text: Column) -> Column:
-    """Capitalised phrases that end in a corporate suffix, one line break allowed inside, "The" dropped before a longer name."""
-    gap = r"(?:[ \t]*\n[ \t]*|[ \t]+)"
-    ends = "|".join([f"(?i:{'|'.join(SUFFIXES)})", *(f"{x[0]}(?i:{x[1:]})" for x in CAPITALISED_SUFFIXES), *EXACT_SUFFIXES])
-    pattern = rf"\b((?:[A-Z][\w&'’-]*{gap}){{1,4}}(?:{ends}))\b(?!{gap}(?i:{'|'.join(ADJECTIVAL)})\b)"
-    flat = F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda t: F.regexp_replace(t, r"\s+", " "))
-    return F.array_sort(F.array_distinct(F.transform(flat, lambda t: F.when(t.rlike(r"^The \S+ \S"), F.regexp_replace(t, "^The ", "")).otherwise(t))))
+    """Names of up to four capitalised words and a corporate suffix, sorted; "The" goes where two words are left without it.
+
+    The text is cut into words and what separates them.  Suffix words are found by lookup; from each, the capitalised words that lead to it are counted back; a
+    suffix that the same words still reach extends the name before it."""
+    word = r"[\p{L}\p{N}_&'’-]"
+    cut = F.lit(rf"({word}+)((?s:.)*?)(?={word}|\z)")
+    words, seps = F.regexp_extract_all(text, cut, 1), F.regexp_extract_all(text, cut, 2)
+    stem = lambda w: F.regexp_extract(w, r"^[\p{L}\p{N}_]+", 0)
+    at = lambda xs, i: F.coalesce(F.get(xs, i), F.lit(""))
+    capital = F.lit("^[A-Z]")
+
+    def suffix(w: Column) -> Column:
+        s = stem(w)
+        first = lambda x: (F.lower(s) == x.lower()) & s.startswith(x[0])
+        out = F.lower(s).isin(*(x.lower() for x in SUFFIXES)) | s.isin(*EXACT_SUFFIXES)
+        for x in CAPITALISED_SUFFIXES:
+            out = out | first(x)
+        return out
+
+    parts = F.struct(words.alias("w"), seps.alias("g"))
+
+    def names(p: Column) -> Column:
+        w, g = p["w"], p["g"]
+        leads = lambda i: F.regexp_like(at(w, i), capital) & _is_gap(at(g, i))
+        opening = lambda x: F.regexp_extract(x, r"(?s)(?:^|[&'’-])([A-Z].*)$", 1)
+        begins = lambda i: (opening(at(w, i)) != "") & _is_gap(at(g, i))
+        adjective = lambda i: (stem(at(w, i)) == at(w, i)) & _is_gap(at(g, i)) & F.lower(stem(at(w, i + 1))).isin(*ADJECTIVAL)
+        ends = F.filter(F.transform(w, lambda x, i: F.when(suffix(x), i)), lambda i: i.isNotNull())
+
+        def reach(e: Column) -> Column:
+            """How many words lead to the suffix at e; one that begins behind a mark inside a word can only be the first."""
+            one = [F.when(begins(e - k), k) for k in (1, 2, 3, 4)]
+            return F.coalesce(F.when(leads(e - 1) & leads(e - 2) & leads(e - 3), one[3]), F.when(leads(e - 1) & leads(e - 2), one[2]), F.when(leads(e - 1), one[1]), one[0], F.lit(0))
+
+        able = F.filter(F.transform(F.filter(ends, lambda e: ~adjective(e)), lambda e: F.struct(e.cast("int").alias("e"), reach(e).cast("int").alias("n"))), lambda x: x["n"] > 0)
+        spans = "array<struct<s:int,e:int>>"
+
+        def step(acc: Column, x: Column) -> Column:
+            last = F.get(acc, F.size(acc) - 1)
+            longer = F.coalesce((x["e"] - last["s"] <= 4) & (x["e"] - x["n"] <= last["s"]), F.lit(False))
+            start = F.greatest(x["e"] - x["n"], F.coalesce(last["e"] + 1, F.lit(0)))
+            new = F.array(F.struct(F.when(longer, last["s"]).otherwise(start).alias("s"), x["e"].alias("e")))
+            return F.when(longer, F.concat(F.slice(acc, 1, F.size(acc) - 1), new)).when(start < x["e"], F.concat(acc, new)).otherwise(acc)
+
+        found = F.aggregate(able, F.array().cast(spans), step)
+        said = lambda m: F.concat_ws(" ", opening(at(w, m["s"])), F.slice(w, m["s"] + 2, m["e"] - m["s"] - 1), stem(at(w, m["e"])))
+        return F.transform(found, said)
+
+    every = F.get(F.transform(F.array(parts), names), F.lit(0))
+    return F.array_sort(F.array_distinct(F.transform(every, lambda t: F.when(t.startswith("The ") & (F.size(F.split(t, " ")) > 2), F.substr(t, F.lit(5))).otherwise(t))))
 
 
 def mask_names(text: Column, names: list[str]) -> Column:
-    """Every name replaced by a space, longest first, in any case, one line break allowed between its words."""
-    out = text
-    for name in sorted(set(names), key=lambda n: (-len(n), n)):
-        words = [w for w in name.split() if w]
-        pattern = r"(?i)(?<![A-Za-z0-9])" + r"(?:[ \t]*\n[ \t]*|[ \t]+)".join("\\Q" + w.replace("\\E", "") + "\\E" for w in words) + r"(?![A-Za-z0-9])"
-        present = out
-        for w in words:  # a cheap necessary condition before the pattern
-            present = F.contains(F.lower(out), F.lit(w.lower())) if present is out else present & F.contains(F.lower(out), F.lit(w.lower()))
-        out = F.when(present, F.regexp_replace(out, pattern, " ")).otherwise(out)
-    return out
+    """Every name replaced by a space, in any case, its words parted by blanks with one line break at most; where names overlap the longest stands.
+
+    Text and names are cut into the same pieces (runs of letters and digits, white space, single characters), and a name is looked for piece by piece only in texts that
+    have all of its words."""
+    cut = F.lit(r"[A-Za-z0-9]+|[ \t\n]+|(?s:.)")
+    pieces = lambda t: F.regexp_extract_all(t, cut, 0)
+    alike = lambda xs: F.transform(xs, lambda x: F.when(_is_gap(x), " ").otherwise(F.lower(x)))
+    listed = [F.struct(F.lit(n).alias("name"), alike(pieces(F.lit(" ".join(n.split())))).alias("seq"), F.array(*(F.lit(w.lower()) for w in n.split())).alias("words")) for n in sorted({x for x in names if x.split()})]
+    if not listed:
+        return text
+    known = F.array(*listed)
+    solid = lambda x: F.coalesce(F.regexp_like(x, F.lit("^[A-Za-z0-9]")), F.lit(False))
+
+    def masked(t: Column) -> Column:
+        parts = F.struct(pieces(t).alias("raw"), alike(pieces(t)).alias("low"), F.filter(known, lambda n: F.forall(n["words"], lambda w: F.contains(F.lower(t), w))).alias("names"))
+
+        def places(p: Column) -> Column:
+            low = p["low"]
+            here = lambda n, i: (F.get(n["seq"], F.lit(0)) == F.get(low, i)) & (F.slice(low, i + 1, F.size(n["seq"])) == n["seq"]) & ~solid(F.get(low, i + F.size(n["seq"]))) & ~(solid(F.get(low, i - 1)))
+            one = lambda n: F.transform(F.filter(F.transform(low, lambda x, i: F.when(here(n, i), i)), lambda i: i.isNotNull()), lambda i: F.struct((-F.length(n["name"])).alias("long"), n["name"].alias("name"), i.cast("int").alias("a"), (i + F.size(n["seq"])).cast("int").alias("b")))
+            every = F.array_sort(F.flatten(F.transform(p["names"], one)))
+            free = lambda acc, m: ~F.exists(acc, lambda o: (o["a"] < m["b"]) & (m["a"] < o["b"]))
+            taken = F.aggregate(every, F.array().cast("array<struct<a:int,b:int>>"), lambda acc, m: F.when(free(acc, m), F.concat(acc, F.array(F.struct(m["a"].alias("a"), m["b"].alias("b"))))).otherwise(acc))
+            return F.struct(p["raw"].alias("raw"), taken.alias("taken"))
+
+        def written(q: Column) -> Column:
+            inside = lambda i: F.exists(q["taken"], lambda m: (m["a"] <= i) & (i < m["b"]))
+            first = lambda i: F.exists(q["taken"], lambda m: m["a"] == i)
+            return F.array_join(F.transform(q["raw"], lambda x, i: F.when(first(i), " ").when(inside(i), "").otherwise(x)), "")
+
+        return F.get(F.transform(F.transform(F.array(parts), places), written), F.lit(0))
+
+    some = F.exists(known, lambda n: F.forall(n["words"], lambda w: F.contains(F.lower(text), w)))
+    return F.when(some, masked(text)).otherwise(text)
+
+
+def json_quoted(text: Column) -> Column:
+    """A text as a JSON string of ASCII characters; null is null."""
+    code = lambda c: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(c)), 4, "0"))
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def one(c: Column) -> Column:
+        n = F.ascii(c)
+        out = F.when(c == '"', short['"'])
+        for k, v in list(short.items())[1:]:
+            out = out.when(c == k, v)
+        beyond = F.concat(code(F.lit(0xD800) + F.shiftright(n - 0x10000, 10)), code(F.lit(0xDC00) + (n - 0x10000).bitwiseAND(0x3FF)))
+        return out.when((n >= 32) & (n < 127), c).when(n < 0x10000, code(n)).otherwise(beyond)
+
+    plain = text.rlike(r'\A[ !#-\[\]-~]*\z')
+    body = F.when(plain, text).otherwise(F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), one), ""))
+    return F.when(text.isNull(), "null").otherwise(F.concat(F.lit('"'), body, F.lit('"')))
+
+
+#: Words before the number of a clause.  "section" is none of them: it may be one of the room's.
+CLAUSE_WORDS = ("clause", "sub-clause", "subclause", "paragraph", "sub-paragraph", "subparagraph", "schedule", "part", "article", "rule", "regulation", "condition")
+
+#: References that can lie in the text that is looked at before one.
+NEAR_REFS = 24
+
+
+def refs_in_place(text: Column, before: int = 120) -> Column:
+    """Slot-shaped references with what surrounds them: an array of ref, left (the ``before`` characters before it) and right (the rest of its line).
+
+    The text is cut at its references, so each has what stands on both its sides, and no text is searched again for each."""
+    held = r"(?<![\p{L}\p{N}_])\d{1,2}\.\d{1,2}\.\d{1,3}(?![\p{L}\p{N}_])"
+    parts = F.struct(F.split(text, held).alias("p"), F.regexp_extract_all(text, F.lit(f"({held})"), 1).alias("r"))
+    cut = F.transform(F.array(parts), lambda x: F.struct(x["p"].alias("p"), x["r"].alias("r"), F.transform(x["p"], lambda t: F.right(t, F.lit(before))).alias("t")))
+    cut = F.transform(cut, lambda x: F.struct(x["p"].alias("p"), x["r"].alias("r"), x["t"].alias("t"), F.zip_with(F.slice(x["t"], 1, F.size(x["r"])), x["r"], lambda t, r: F.concat(t, r)).alias("z")))
+
+    def placed(x: Column) -> Column:
+        earlier = lambda i: F.array_join(F.slice(x["z"], F.greatest(i - NEAR_REFS, F.lit(0)) + 1, F.least(i, F.lit(NEAR_REFS))), "")
+        left = lambda i: F.right(F.concat(earlier(i), F.get(x["t"], i)), F.lit(before))
+        return F.transform(x["r"], lambda r, i: F.struct(r.alias("ref"), left(i).alias("left"), F.split_part(F.get(x["p"], i + 1), F.lit("\n"), F.lit(1)).alias("right")))
+
+    return F.get(F.transform(cut, placed), F.lit(0))
+
+
+def is_clause_number(left: Column) -> Column:
+    """Whether what stands before a slot-shaped reference makes it a clause's number: it opens its line (after heading marks, or in bold or italics, but not in a list or
+    table), or follows a word for a clause, directly or after further numbers."""
+    opens = left.rlike(r"(?:\A|\n)[ \t]*(?:#{1,6}[ \t]+)?(?:\*\*?|__?)?\z")
+    number, link = r"\d[\d.]*(?:\([a-z0-9]+\))*", r"(?:,\s*(?:and/or|and|or|to)?|and/or|and|or|to|[–-])"
+    words = "|".join(sorted(CLAUSE_WORDS, key=len, reverse=True))
+    return opens | left.rlike(rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{words})s?\s+(?:{number}\s*{link}\s*)*\z")
 
 
 def slot_refs(text: Column) -> Column:

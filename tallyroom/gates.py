@@ -125,7 +125,14 @@ def carriers(room: Room) -> Verdict:
 def references(room: Room) -> Verdict:
     if room.slots is None:
         return SKIP, "no slots"
-    return _listed(A.cross_references(room.blind.where("suffix = '.md'").select("rel_path", "text"), room.slots, room.gaps))
+    numbers = [(int(x.split("_")[0]),) for x in room.conf.words("SECTION_DIRS") if x.split("_")[0].isdigit()]
+    found = A.checked_references(room.blind.where("suffix = '.md'").select("rel_path", "text"), room.slots, room.spark.createDataFrame(numbers, "number int"), room.gaps).cache()
+    dangling, other = (found.where(F.col("problem") == p).select("rel_path", "ref") for p in ("dangling", "out of range"))
+    if dangling.isEmpty():
+        return _listed(other, WARN)
+    more = _listed(other)
+    status, detail = _listed(dangling)
+    return status, detail + (f"; out of range: {more[1]}" if more[0] == FAIL else "")
 
 
 def depth(room: Room) -> Verdict:
@@ -202,7 +209,11 @@ def eval_key(room: Room) -> Verdict:
         return (SKIP, "no role") if not said else (PASS, said)
     if room.eval_key is None or room.expected_key is None:
         return FAIL, "no key"
-    return _listed(A.stale_rows(room.expected_key, room.eval_key, "source_path"))
+    on_disk = room.eval_key.drop("line")
+    state = A.stale_rows(room.expected_key, on_disk.select(room.expected_key.columns), "source_path")
+    if "line" in room.eval_key.columns:
+        state = state.union(A.moved_rows(room.expected_key, room.eval_key, "source_path", "line").select("source_path", F.lit("out of order")))
+    return _listed(state)
 
 
 def form_tells(room: Room) -> Verdict:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.functions import text as T
+from tallyroom.operators.ranks import ranked
 
 
 def content_hash(files: DataFrame, by: list[str] | None = None, path: str = "rel_path", content: str = "content") -> DataFrame:
@@ -61,6 +62,18 @@ def cross_references(docs: DataFrame, slots: DataFrame, gaps: list[str] | None =
     return refs.join(slots.select(F.col("slot_id").alias("ref")), "ref", "left_anti").select("rel_path", "ref")
 
 
+def checked_references(docs: DataFrame, slots: DataFrame, section_numbers: DataFrame, gaps: list[str] | None = None) -> DataFrame:
+    """(rel_path, ref, problem) of slot-shaped references that are no clause numbers: "out of range" where no section has their number (number), "dangling"
+    where one has but no slot, allowed gap or the document's own slot explains them."""
+    own = F.element_at(F.split(F.element_at(F.split("rel_path", "/"), -1), "_"), 1)
+    placed = docs.select("rel_path", own.alias("own"), F.explode(T.refs_in_place(F.col("text"))).alias("x"))
+    refs = placed.where(~T.is_clause_number(F.col("x.left"))).select("rel_path", "own", "x.ref", F.split_part("x.ref", F.lit("."), F.lit(1)).cast("int").alias("number")).distinct()
+    judged = refs.join(section_numbers.select("number", F.lit(True).alias("_section")).distinct(), "number", "left").join(slots.select(F.col("slot_id").alias("ref"), F.lit(True).alias("_slot")).distinct(), "ref", "left")
+    known = (F.col("ref") == F.col("own")) | F.col("_slot").isNotNull() | F.col("ref").isin(*(gaps or []))
+    problem = F.when(F.col("_section").isNull(), "out of range").when(~known, "dangling")
+    return judged.select("rel_path", "ref", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def depth_lint(docs: DataFrame, floor: Column, listed=T.PLACEHOLDERS) -> DataFrame:
     """rel_path, words, floor, problem: 'placeholder' comes before 'short'; null where there is none."""
     said = docs.select("rel_path", T.wordcount(F.col("text")).alias("words"), floor.alias("floor"), T.placeholder(F.col("text"), listed).alias("token"))
@@ -68,11 +81,30 @@ def depth_lint(docs: DataFrame, floor: Column, listed=T.PLACEHOLDERS) -> DataFra
 
 
 def archetypes(docs: DataFrame, patterns: DataFrame, default: str) -> DataFrame:
-    """rel_path, archetype: of the longest file-name pattern, ties to the higher floor."""
+    """rel_path, archetype: of the longest pattern (pattern, archetype, floor) in the file's name, ties to the higher floor.
+
+    The name's pieces of the patterns' lengths (few numbers) are looked up by equality."""
     name = F.lower(F.element_at(F.split("rel_path", "/"), -1))
-    hit = docs.select("rel_path", name.alias("name")).join(patterns, F.contains("name", F.col("pattern")), "left")
-    best = hit.groupBy("rel_path").agg(F.max_by("archetype", F.struct(F.length("pattern"), "floor", "archetype")).alias("archetype"))
-    return best.select("rel_path", F.coalesce("archetype", F.lit(default)).alias("archetype"))
+    lengths = patterns.select(F.length("pattern").alias("n")).where("n > 0").distinct()
+    pieces = docs.select("rel_path", name.alias("name")).distinct()
+    sizes = sorted(r["n"] for r in lengths.collect())  # at most as many as a file name has characters
+    places = lambda n: F.sequence(F.lit(1), F.length("name") - n + 1)
+    pieces_of = lambda n: F.transform(places(n), lambda i: F.substr(F.col("name"), i, F.lit(n)))
+    cuts = [F.when(F.length("name") >= n, pieces_of(n)).otherwise(F.array().cast("array<string>")) for n in sizes]
+    offered = pieces.select("rel_path", F.explode(F.array_distinct(F.flatten(F.array(*cuts)))).alias("pattern")) if cuts else pieces.select("rel_path", F.lit("").alias("pattern")).limit(0)
+    best = offered.join(patterns, "pattern").groupBy("rel_path").agg(F.max_by("archetype", F.struct(F.length("pattern"), "floor", "archetype")).alias("archetype"))
+    return docs.select("rel_path").distinct().join(best, "rel_path", "left").select("rel_path", F.coalesce("archetype", F.lit(default)).alias("archetype"))
+
+
+def floors(slots: DataFrame, archetype: DataFrame, of_archetype: DataFrame, flat: int, band: DataFrame | None = None) -> DataFrame:
+    """rel_path, floor: tier F has the flat floor, tier A that of its archetype (archetype, floor), else the flat one; in a long room a slot's
+    band (section, subsection, floor) counts where it has one."""
+    told = slots.join(archetype, "rel_path", "left").join(of_archetype.select("archetype", F.col("floor").alias("_a")), "archetype", "left")
+    floor = F.when(F.col("tier") == "A", F.coalesce("_a", F.lit(flat))).otherwise(F.lit(flat))
+    if band is not None:
+        told = told.join(band.select("section", "subsection", F.col("floor").alias("_b")), ["section", "subsection"], "left")
+        floor = F.coalesce(F.col("_b"), floor)
+    return told.select("rel_path", floor.cast("int").alias("floor"))
 
 
 def repetition(docs: DataFrame, blocks: Column, least_tokens: int = 30) -> DataFrame:
@@ -121,6 +153,14 @@ def stale_rows(expected: DataFrame, on_disk: DataFrame, key: str) -> DataFrame:
     return e.join(d, key, "full").select(key, state.alias("state")).where("state IS NOT NULL")
 
 
+def moved_rows(expected: DataFrame, on_disk: DataFrame, key: str, place: str) -> DataFrame:
+    """(key) of rows in both tables that follow another row on disk (by ``place``) than they should (in order of ``key``)."""
+    common = on_disk.select(key, place).join(expected.select(key), key)
+    both = ranked(ranked(common, key, name="_want"), place, name="_have")
+    before = both.select((F.col("_have") + 1).alias("_have"), (F.col("_want") + 1).alias("_due"))
+    return both.join(before, "_have", "left").where(F.col("_want") != F.coalesce("_due", F.lit(1))).select(key)
+
+
 def key_violations(findings: DataFrame, distractors: DataFrame) -> DataFrame:
     """(owner, rule, detail) of every breach inside an answer key."""
     ids = findings.select(F.col("finding_id").alias("link"))

@@ -40,3 +40,10 @@ def confusion(pairs: DataFrame, top: int | None = None) -> DataFrame:
     wrong = pairs.where(~F.col("expected").eqNullSafe(F.col("predicted"))).groupBy("expected", "predicted").agg(F.count("*").alias("n"))
     ordered = wrong.orderBy(F.desc("n"), F.coalesce("expected", F.lit("")), F.coalesce("predicted", F.lit("")))
     return ordered.limit(top) if top else ordered
+
+
+def confusion_shown(pairs: DataFrame, top: int = 15) -> DataFrame:
+    """expected, predicted, n, left: the ``top`` commonest wrong pairs, each with the number of pairs that are not shown."""
+    every = confusion(pairs)
+    rest = every.agg(F.greatest(F.count("*") - top, F.lit(0)).alias("left"))
+    return confusion(pairs, top).join(rest)  # one row beside ``top``

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyroom.operators.ranks import ranked
+
 #: Severities and their shares.
 SEVERITY_SHARES = (("critical", 1), ("high", 3), ("medium", 4), ("low", 3))
 SIZES = {"XS": (40, 4, 2), "S": (60, 12, 5), "M": (200, 25, 10), "L": (800, 60, 18), "XL": (2000, 90, 25)}
@@ -37,11 +39,11 @@ def slot_manifest(sections: DataFrame) -> DataFrame:
 
 
 def authoring_order(slots: DataFrame, load_bearing: DataFrame, house_forms: DataFrame, position: str = "position") -> DataFrame:
-    """Adds ``rank``: house forms first, then load-bearing paths, then tier A, else as they stand."""
+    """Adds ``rank``: house forms first, then load-bearing paths, then tier A, else as they stand, by ranges of that order."""
     mark = lambda df, name: df.select("rel_path").distinct().withColumn(name, F.lit(0))
     df = slots.join(mark(house_forms, "_h"), "rel_path", "left").join(mark(load_bearing, "_l"), "rel_path", "left")
-    keys = [F.coalesce("_h", F.lit(1)), F.coalesce("_l", F.lit(1)), F.when(F.col("tier") == "A", 0).otherwise(1), F.col(position)]
-    return df.withColumn("rank", F.row_number().over(Window.orderBy(*keys))).drop("_h", "_l")
+    df = df.withColumn("_h", F.coalesce("_h", F.lit(1))).withColumn("_l", F.coalesce("_l", F.lit(1))).withColumn("_t", F.when(F.col("tier") == "A", 0).otherwise(1))
+    return ranked(df, "_h", "_l", "_t", position).withColumn("rank", F.col("rank").cast("int")).drop("_h", "_l", "_t")
 
 
 def budget_batches(rows: DataFrame, by: list[str], order: str, item: str, weight: str, budget: int, max_batches: int | None = None) -> DataFrame:
@@ -60,34 +62,28 @@ def budget_batches(rows: DataFrame, by: list[str], order: str, item: str, weight
     return out.where(F.col("batch") < max_batches) if max_batches else out
 
 
-def severity_targets(total: int) -> dict[str, int]:
-    """Largest remainders of the fixed shares; then every band has one, taken from the largest."""
-    if total < len(SEVERITY_SHARES):
-        raise ValueError("fewer findings than bands")
-    whole = sum(w for _, w in SEVERITY_SHARES)
-    out = {s: total * w // whole for s, w in SEVERITY_SHARES}
-    by_rest = sorted(SEVERITY_SHARES, key=lambda x: (-(total * x[1] % whole), -x[1], x[0]))
-    for s, _ in by_rest[: total - sum(out.values())]:
-        out[s] += 1
-    share = dict(SEVERITY_SHARES)
-    for s in out:
-        if not out[s]:
-            giver = max(out, key=lambda x: (out[x], -share[x]))
-            out[giver] -= 1
-            out[s] = 1
-    return out
-
+def severity_targets(totals: DataFrame, total: str = "total") -> DataFrame:
+    """total, severity, target: each total (four at least, else it has no rows) shared out by the fixed shares with largest remainders; then every band has one, taken from the largest.
 
-def severity_table(spark: SparkSession, totals: list[int]) -> DataFrame:
-    return spark.createDataFrame([(t, s, n) for t in totals for s, n in severity_targets(t).items()], "total int, severity string, target int")
+    A row's bands are an array of four, so each total is worked on by itself.  The remainders leave one band empty at most, that of the smallest share."""
+    whole = sum(w for _, w in SEVERITY_SHARES)
+    n = F.col(total)
+    bands = F.array(*(F.struct(F.lit(s).alias("severity"), F.lit(w).alias("share"), F.floor(n * w / whole).cast("int").alias("target"), (n * w % whole).cast("int").alias("rest")) for s, w in SEVERITY_SHARES))
+    rows = totals.where(n >= len(SEVERITY_SHARES)).select(total, bands.alias("b"))
+    rows = rows.withColumn("short", F.col(total) - F.aggregate("b", F.lit(0), lambda a, x: a + x["target"]))
+    by_rest = F.array_sort(F.transform("b", lambda x: F.struct((-x["rest"]).alias("r"), (-x["share"]).alias("w"), x["severity"].alias("severity"), x["target"].alias("target"))))
+    rows = rows.select(total, F.transform(by_rest, lambda x, i: F.struct((x["target"] + F.when(i < F.col("short"), 1).otherwise(0)).alias("target"), x["w"].alias("w"), x["severity"].alias("severity"))).alias("b"))
+    lacking = F.size(F.filter("b", lambda x: x["target"] == 0))
+    most = F.array_max(F.transform("b", lambda x: F.struct(x["target"].alias("target"), x["w"].alias("w"), x["severity"].alias("severity"))))["severity"]
+    given = F.transform("b", lambda x: F.struct(x["severity"].alias("severity"), F.when(x["target"] == 0, 1).when(x["severity"] == most, x["target"] - lacking).otherwise(x["target"]).alias("target")))
+    return rows.select(total, F.explode(given).alias("x")).select(F.col(total).cast("int").alias("total"), "x.severity", "x.target")
 
 
 def allocated_ids(discoveries: DataFrame, existing: DataFrame) -> DataFrame:
     """provisional_id, finding_id: the next numbers of each prefix, in order of label and provisional id.
     Discoveries: label, provisional_id, prefix.  Existing: finding_id."""
     most = existing.select(F.regexp_extract("finding_id", r"^(.+)-([0-9]+)$", 1).alias("prefix"), F.regexp_extract("finding_id", r"^(.+)-([0-9]+)$", 2).cast("long").alias("n")).where("n IS NOT NULL").groupBy("prefix").agg(F.max("n").alias("most"))
-    w = Window.partitionBy("prefix").orderBy("label", "provisional_id")
-    numbered = discoveries.withColumn("k", F.row_number().over(w)).join(most, "prefix", "left")
+    numbered = ranked(discoveries, "label", "provisional_id", by=("prefix",), name="k").join(most, "prefix", "left")
     return numbered.select("provisional_id", F.concat("prefix", F.lit("-"), (F.coalesce("most", F.lit(0)) + F.col("k")).cast("string")).alias("finding_id"))
 
 

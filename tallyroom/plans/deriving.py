@@ -81,8 +81,8 @@ def authoring_order(s, d):
 
 
 def severity_targets(s, d):
-    sizes = [r["n"] for r in _table(s, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")).where("n >= 4").select("n").distinct().collect()]  # 25 nations
-    return O.severity_table(s, [4, *sorted(x for x in sizes if x != 4)])
+    sizes = _table(s, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("total")).select("total")
+    return O.severity_targets(sizes.union(s.range(4, 5).select(F.col("id").alias("total"))).distinct())
 
 
 def id_allocation(s, d):

@@ -43,7 +43,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def tree(spark: SparkSession, root: str) -> DataFrame:
-    """rel_path, suffix, section, slot_id, content, text, valid of every file but .DS_Store; bad bytes are replaced in the text."""
+    """rel_path, suffix, section, slot_id, content, text, valid of every file but .DS_Store; bad bytes are replaced in the text.
+    Spark passes files without a byte over."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.substring_index("path", root.rstrip("/").removeprefix("file://") + "/", -1)
     name = F.element_at(F.split(rel, "/"), -1)
@@ -251,6 +252,12 @@ def labels(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame(rows, "path string, document_type string")
 
 
+def label_rows(spark: SparkSession, text: str) -> DataFrame:
+    """path, document_type as they are written, gaps and repeats included; those are the key builder's to judge."""
+    said = lambda x: None if x is None else str(x)
+    return spark.createDataFrame([(said(r.get("path")), said(r.get("document_type"))) for r in _rows(text, "labels")], "path string, document_type string")
+
+
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("trim(value) <> '' AND NOT startswith(ltrim(value), '#')").select(F.col("value").alias("name")).distinct()
 

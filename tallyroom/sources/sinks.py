@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.functions import text as T
+from tallyroom.operators import classify as C
 from tallyroom.operators.audit import content_hash
 
 SEVERITIES = ("critical", "high", "medium", "low")
@@ -62,6 +63,25 @@ def scorecard_text(tables: dict[str, DataFrame]) -> str:
     return "\n".join(out) + "\n"
 
 
+def _share(part: int, whole: int) -> str:
+    return f"{part / whole:.0%}" if whole else "-"
+
+
+def classification_text(pairs: DataFrame, tool: str, said: str, top: int = 15) -> str:
+    """A classification's scorecard as markdown: how many types and workstreams are right, each workstream of the key, and the commonest confusions with how many more there are."""
+    t = C.totals(pairs).first()
+    n = t["documents"]
+    out = [f"# Classification scorecard: {tool}", "", f"- provenance: {said}", f"- documents: {n}", f"- document type right: {_share(t['type_correct'], n)} ({t['type_correct']}/{n})",
+           f"- workstream right: {_share(t['primary_correct'], n)} ({t['primary_correct']}/{n})", f"- not sure: {t['unsure']} ({_share(t['unsure'], n)})", "",
+           "Who else should see a document is routing, not a fact about the room, and is not scored.", "", "| workstream | in the key | recall | filed there | precision |", "|---|---|---|---|---|"]
+    part = lambda x: "-" if x is None else f"{x:.0%}"
+    out += [f"| {r['workstream']} | {r['relevant']} | {part(r['recall'])} | {r['filed']} | {part(r['precision'])} |" for r in C.per_class(pairs).orderBy("workstream").collect()]
+    if wrong := C.confusion_shown(pairs, top).orderBy(F.desc("n"), F.coalesce("expected", F.lit("")), F.coalesce("predicted", F.lit(""))).collect():
+        out += ["", "| should be | went to | documents |", "|---|---|---|", *(f"| {r['expected'] or '?'} | {r['predicted'] or '(not sure)'} | {r['n']} |" for r in wrong)]
+        out += [f"| … | … | +{wrong[0]['left']} more pairs |"] if wrong[0]["left"] else []
+    return "\n".join(out) + "\n"
+
+
 def findings_text(findings: DataFrame) -> str:
     """The key's findings as markdown, by severity and id."""
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))

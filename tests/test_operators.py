@@ -84,11 +84,6 @@ def test_names_that_meet_generated_names(spark):
     assert out[0] == "a" and out[3] == "a" and len(set(out[:3])) == 3
 
 
-@pytest.mark.parametrize(("total", "want"), [(4, (1, 1, 1, 1)), (11, (1, 3, 4, 3)), (25, (2, 7, 9, 7)), (60, (6, 16, 22, 16)), (110, (10, 30, 40, 30))])
-def test_severity_targets(total, want):
-    assert tuple(order.severity_targets(total).values()) == want
-    with pytest.raises(ValueError):
-        order.severity_targets(3)
 
 
 def test_batches(spark):

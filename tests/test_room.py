@@ -94,7 +94,7 @@ def test_a_sound_room_passes(spark):
 @pytest.mark.parametrize(("path", "text", "gate"), [
     (PATHS[0], "the answer key " + "word " * 1300, 4),
     (PATHS[0], "see CORP-12_x " + "word " * 1300, 4),
-    (PATHS[1], "see 7.7.77 for more " + "word " * 1300, 9),
+    (PATHS[1], "see 1.7.77 for more " + "word " * 1300, 9),
     (PATHS[1], "too short", 10),
     (PATHS[1], "TODO " + "word " * 1300, 10),
     (PATHS[2], "from _key/findings " + "word " * 1300, 12),
@@ -105,6 +105,12 @@ def test_gates_notice_breaks(spark, path, text, gate):
     assert status(G.run(room(spark, {path: text}), {gate: G.GATES[gate]}))[gate] == "FAIL"
 
 
+def test_numbers_of_no_section_warn_and_clauses_are_spared(spark):
+    gate = {9: G.GATES[9]}
+    assert status(G.run(room(spark, {PATHS[1]: "see 7.7.77 for more " + "word " * 1300}), gate))[9] == "WARN"
+    assert status(G.run(room(spark, {PATHS[1]: "under clause 1.7.77 and 1.7.78 " + "word " * 1300}), gate))[9] == "PASS"
+
+
 def test_twins_and_carriers_are_held_to_the_key(spark):
     changed = room(spark, flagged={PATHS[3]: "plain\n## FLAG\n- **FIN-1 (title)** text\n"})
     got = status(G.run(changed, {n: G.GATES[n] for n in (7, 8)}))
