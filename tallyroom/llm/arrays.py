@@ -22,12 +22,31 @@ MASK = (1 << 64) - 1
 SLICE_BYTES = 512 << 10
 
 
+#: What a worker keeps from one task to the next: of one operator only, the last that kept something.
+_memory: dict = {}
+
+
+def forget_all_but(of: str) -> None:
+    if _memory.get("of") != of:
+        _memory.clear()
+        _memory["of"] = of
+
+
+def remembered(of: str, key, make: Callable):
+    """What ``make`` gives, kept in this worker for the operator ``of`` until another operator has a task here."""
+    forget_all_but(of)
+    if key not in _memory:
+        _memory[key] = make()
+    return _memory[key]
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """``run``, after which the worker gives what it no longer uses back to the system: workers outlive their tasks and idle
-    beside the next stage's."""
+    """``run``, before which what other operators have kept in this worker goes, and after which the worker gives what it no longer
+    uses back to the system: workers outlive their tasks and idle beside the next stage's."""
 
     @wraps(run)
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_all_but(run.__module__)
         yield from run(batches)
         _powers.cache_clear()
         pa.default_memory_pool().release_unused()

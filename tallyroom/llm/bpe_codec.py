@@ -18,7 +18,6 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.arrays import lean
+from tallyroom.llm.arrays import lean, remembered
 from tallyroom.llm.chunks import Cache, chunked
 
 
@@ -155,20 +154,17 @@ class BytePairs:
         return " ".join(self.strings[i] for i in ids)
 
 
-@lru_cache(2)
 def codec(path: str) -> BytePairs:
-    return BytePairs(path)
+    return remembered(__name__, ("codec", path), lambda: BytePairs(path))
 
 
-@lru_cache(2)
 def _cache(path: str) -> Cache:
     coder = codec(path)
-    return Cache(lambda chunks: [coder.packed(c) for c in chunks], np.uint32, CHUNKS)
+    return remembered(__name__, ("chunks", path), lambda: Cache(lambda chunks: [coder.packed(c) for c in chunks], np.uint32, CHUNKS))
 
 
-@lru_cache(2)
 def _strings(path: str) -> pa.Array:
-    return pa.array(codec(path).strings, pa.string())
+    return remembered(__name__, ("strings", path), lambda: pa.array(codec(path).strings, pa.string()))
 
 
 def encoded(path: str, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -31,7 +31,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.llm.arrays import lean, ragged
+from tallyroom.llm.arrays import lean, ragged, remembered
 from tallyroom.llm.chunks import Cache, coded
 from tallyroom.llm.tables import kept
 
@@ -258,9 +257,8 @@ class Pieces:
         return ids[ragged((np.cumsum(sizes) - sizes)[codes], sizes[codes])], sizes[codes]
 
 
-@lru_cache(2)
 def _pieces(path: str) -> Pieces:
-    return Pieces(path)
+    return remembered(__name__, path, lambda: Pieces(path))
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
