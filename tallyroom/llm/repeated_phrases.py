@@ -5,11 +5,12 @@ document with a smaller id.  All is judged on the input.
 
 1. Of every window, the ``phrase``-word sequence with the least hash stands for it.  Equal windows have equal
    least phrases, wherever they are, so windows can only recur where their least phrase does.  Each document
-   gives its least phrases once each; phrases in one document only are dropped.  That is the candidate search.
-2. Documents are taken in shards of bounded size.  Of each shard's recurring phrases an Aho-Corasick
-   automaton over words is compiled, and the shard's documents stream through it, which locates every
-   occurrence.  The windows that a located phrase stands for are hashed.
-3. A sum over all documents confirms the windows that recur and gives each its smallest document.  Windows of later
+   gives its least phrases once each; those that two documents give are confirmed as recurring, and the document with the smallest id
+   that has one says which words it is.
+2. The words of its recurring phrases go to each document.  Documents are taken in shards of bounded size; of a shard's phrases an Aho-Corasick
+   automaton is compiled, whose letters are words, and the shard's documents stream through it, which locates every
+   occurrence.  Around these lie the windows that the phrases stand for; they are hashed.
+3. A sum over all documents tells the windows that recur and gives each its smallest document.  Windows of later
    documents go back to these, whose words they cover are removed.
 
 Exact copies of a longer document are set aside before step 1: all their words go, and their windows are those of the
@@ -18,7 +19,7 @@ would skew are plain equi-joins of two scans, which adaptive execution splits.
 document is bounded by its length.
 
 Words are runs of anything but ASCII white space.  Nulls and empty texts have no words.  A null id counts as larger
-than all others.  Rows with equal ids do not remove each other's words, and rows are told apart by id and a 64-bit hash
+than all others; ids of other types than whole numbers are put in order first.  Rows with equal ids do not remove each other's words, and rows are told apart by id and a 64-bit hash
 of their text: what befalls one row of an id says nothing of its other texts.  Texts shorter than a window are kept.  Very long
 texts are worked on whole, an empty table gives an empty table, and other columns, whatever their names, are not read.
 """
@@ -34,13 +35,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyroom.llm.arrays import SPACED, Words, lean, ragged, words_of
+from tallyroom.llm.arrays import SPACED, Words, buffers, lean, ragged, words_of
 from tallyroom.llm.tables import kept
+from tallyroom.operators.ranks import ranked
 
 WIDTH, PHRASE = 50, 16
 #: Bytes of text that share an automaton.
 SHARD_BYTES = 512 << 10
+#: Phrases of one automaton: bounds its nodes, and the letters that it needs.
+AUTOMATON_PHRASES = 20_000
 LAST = (1 << 63) - 1
 
 
@@ -78,27 +83,58 @@ def candidates(rows: DataFrame, width: int, phrase: int) -> DataFrame:
     return rows.select("key", "text", "mark").mapInArrow(lean(run), "phrase long, key long, mark long")
 
 
-def occurrences(w: Words, phrase: int, wanted: np.ndarray) -> np.ndarray:
-    """First words of every occurrence of phrases whose hash is in ``wanted``, by an automaton over words."""
-    at, hashes = w.windows(phrase)
-    some = np.flatnonzero(np.isin(hashes, wanted))
-    _, once = np.unique(hashes[some], return_index=True)
-    codes, _ = pd.factorize(w.hash)
-    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for i in at[some[once]].tolist():
-        machine.add_word(tuple((codes[i : i + phrase] + 1).tolist()), phrase)
-    if not len(machine):
-        return np.empty(0, np.int64)
-    machine.make_automaton()
+def phrase_words(rows: DataFrame, width: int, phrase: int) -> DataFrame:
+    """(phrase, words) of the recurring ``phrases`` that rows are the first to have: the words themselves, one space between them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            for lo, hi, w in words_of(batch.column(0), SPACED, limit=SHARD_BYTES):
+                at, hashes = w.windows(phrase)
+                named = lists[lo:hi].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                known = np.isin(hashes, named)
+                _, first = np.unique(hashes[known], return_index=True)
+                place = dict(zip(hashes[known][first].tolist(), at[known][first].tolist()))
+                data, start, end = w.data.tobytes(), w.start.tolist(), w.end.tolist()
+                found = [(x, place[x]) for x in dict.fromkeys(named.tolist()) if x in place]
+                texts = [b" ".join(data[start[i] : end[i]] for i in range(k, k + phrase)) for _, k in found]
+                yield pa.RecordBatch.from_pydict({"phrase": pa.array(np.array([x for x, _ in found], np.uint64).view(np.int64)), "words": pa.array(texts, pa.binary()).cast(pa.string())})
+
+    return rows.select("text", "phrases").mapInArrow(lean(run), "phrase long, words string")
+
+
+def _letters(codes: np.ndarray) -> str:
+    """Numbers of words as a text with one character each; surrogates are no characters."""
+    points = codes.astype("<u4") + np.uint32(1)
+    points[points >= 0xD800] += np.uint32(0x800)
+    return points.tobytes().decode("utf-32-le")
+
+
+def occurrences(w: Words, phrases: Words) -> np.ndarray:
+    """First words of every occurrence of ``phrases`` (one a row) in the rows of ``w``, by automata of so many phrases whose letters are words."""
     found: list[int] = []
-    for r in np.unique(w.row[at[some]]).tolist():
-        a, b = int(w.first[r]), int(w.first[r + 1])
-        found += [a + end - size + 1 for end, size in machine.iter(tuple((codes[a:b] + 1).tolist()))]
+    first, ends = w.first.tolist(), phrases.first.tolist()
+    for lo in range(0, phrases.rows, AUTOMATON_PHRASES):
+        hi = min(lo + AUTOMATON_PHRASES, phrases.rows)
+        own = phrases.hash[ends[lo] : ends[hi]]
+        letters = np.unique(own)
+        if not len(letters):
+            continue
+        text = _letters(np.searchsorted(letters, own) + 1)
+        machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for r in range(lo, hi):
+            if ends[r + 1] > ends[r]:
+                machine.add_word(text[ends[r] - ends[lo] : ends[r + 1] - ends[lo]])
+        machine.make_automaton()
+        code = np.minimum(np.searchsorted(letters, w.hash), len(letters) - 1)
+        said = _letters(np.where(letters[code] == w.hash, code + 1, 0))  # 0: a word of no phrase
+        for a, b in zip(first, first[1:]):
+            found += [a + end - size + 1 for end, size in machine.iter(said[a:b])]
     return np.array(found, np.int64)
 
 
 def located(rows: DataFrame, width: int, phrase: int) -> DataFrame:
-    """(window, key, mark) of the windows that each document's recurring ``phrases`` stand for, once each."""
+    """(window, key, mark) of the windows that each document's recurring ``phrases`` (their words) stand for, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,8 +144,8 @@ def located(rows: DataFrame, width: int, phrase: int) -> DataFrame:
             batch = batch.take(pa.array(some))
             keys, lists, marks = batch.column(0).to_numpy(), batch.column(2), batch.column(3).to_numpy()
             for lo, hi, w in words_of(batch.column(1), SPACED, limit=SHARD_BYTES):
-                wanted = np.unique(lists[lo:hi].flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
-                start = occurrences(w, phrase, wanted)
+                data, offsets = buffers(lists[lo:hi].flatten().unique())
+                start = occurrences(w, Words(data, offsets, SPACED))
                 first, least = least_phrases(w, width, phrase)
                 if not len(start) or not len(first):
                     continue
@@ -156,15 +192,22 @@ def removed(rows: DataFrame, width: int, id_type: str, keep_text: bool) -> DataF
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, phrase: int = PHRASE, *, keep_text: bool = True) -> DataFrame:
     """doc_id, kept (the words left, one space between; if ``keep_text``), n_words, n_removed, kept_sha256: one row per document."""
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
-    rows = docs.select(key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(id_col).alias("doc_id")).withColumn("mark", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        place = F.col("doc_id").cast("long")
+    else:
+        order = kept(ranked(rows.select("doc_id").where("doc_id IS NOT NULL").distinct(), "doc_id", name="place"), "order")
+        rows, place = rows.join(order, "doc_id", "left"), F.col("place")
+    rows = rows.select(F.coalesce(place, F.lit(LAST)).alias("key"), "text", "doc_id", F.xxhash64("text").alias("mark"))
     digests = rows.where(F.length("text") >= 2 * width - 1).select("key", "mark", F.sha2("text", 256).alias("digest"))
     groups = kept(digests.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last"), "copy-groups")
     copies = kept(digests.join(groups, "digest").where("key > first").select("key", "mark").distinct(), "copies")
     mine = candidates(rows, width, phrase).join(copies, ["key", "mark"], "left_anti")
     mine = kept(mine, "phrases")
-    recurring = kept(mine.groupBy("phrase").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("phrase"), "recurring")
-    lists = mine.join(recurring, "phrase", "left_semi").groupBy("key", "mark").agg(F.collect_list("phrase").alias("phrases"))
+    recurring = mine.groupBy("phrase").agg(F.min(F.struct("key", "mark")).alias("first"), F.max("key").alias("last")).where("first.key < last")
+    owners = recurring.groupBy("first.key", "first.mark").agg(F.collect_list("phrase").alias("phrases"))
+    words = kept(phrase_words(rows.select("key", "mark", "text").join(owners, ["key", "mark"]), width, phrase).dropDuplicates(["phrase"]), "phrase-words")
+    lists = mine.join(words, "phrase").groupBy("key", "mark").agg(F.collect_list("words").alias("phrases"))
     windows = kept(located(rows.select("key", "text", "mark").join(lists, ["key", "mark"]), width, phrase), "windows")
     owners = kept(windows.groupBy("window").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("window", "first"), "owners")
     late = windows.join(owners, "window").where("key > first").groupBy("key", "mark").agg(F.collect_list("window").alias("windows"))

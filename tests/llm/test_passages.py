@@ -5,6 +5,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 
 from tallyroom.llm import decontamination, near_duplicates, repeated_phrases
@@ -117,6 +118,40 @@ def test_substring_dedup(spark, none, seed):
         assert repeated_phrases.dedup_substrings(none).count() == 0
 
 
+def test_automata_find_every_occurrence(monkeypatch):
+    """Overlapping phrases, several automata a shard, phrases with words that no document has."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(60))) for _ in range(20)] + ["", "x y"]
+    phrases = [" ".join(rng.choice("abc") for _ in range(4)) for _ in range(30)] + ["a b q q", "x y", "a"]
+    cut = lambda xs: repeated_phrases.Words(*repeated_phrases.buffers(pa.array(xs, pa.large_string())), repeated_phrases.SPACED)
+    w, begun, want = cut(texts), 0, []
+    for t in texts:
+        ws = t.split()
+        want += [begun + k for x in set(phrases) for k in range(len(ws)) if ws[k : k + len(x.split())] == x.split()]
+        begun += len(ws)
+    for size in (1000, 3):
+        monkeypatch.setattr(repeated_phrases, "AUTOMATON_PHRASES", size)
+        assert set(repeated_phrases.occurrences(w, cut(phrases)).tolist()) == set(want)
+
+
+def test_nothing_recurs_without_the_automaton(spark, monkeypatch):
+    """What is located comes from the automaton alone: without one no window is found."""
+    rows = spark.createDataFrame([(1, "a b c d e f", ["b c"], 7), (2, "b c d", None, 7)], "key long, text string, phrases array<string>, mark long").coalesce(1)
+    assert repeated_phrases.located(rows, 3, 2).count() > 0
+    other = spark.createDataFrame([(1, "a b c d e f", ["c b"], 7)], rows.schema)
+    assert repeated_phrases.located(other, 3, 2).count() == 0
+
+
+def test_ids_of_other_types(spark):
+    rng = random.Random(2)
+    passage = " ".join(words(rng, 60))
+    rows = [("b", "start " + passage), ("a10", passage + " end"), ("a9", "x " + passage), (None, passage), ("a10", passage + " end")]
+    for kind, of in (("string", lambda x: x), ("double", {"b": 3.5, "a10": 1.5, "a9": 2.5, None: None}.get)):
+        docs = spark.createDataFrame([(of(i), t) for i, t in rows], f"doc_id {kind}, text string").repartition(3)
+        got = {r["doc_id"]: r["n_removed"] for r in repeated_phrases.dedup_substrings(docs).collect()}
+        assert got == {of("b"): 60, of("a10"): 0, of("a9"): 60, None: 60}
+
+
 def test_near_duplicates(spark, none):
     rng = random.Random(8)
     rows = list(odd_texts())
