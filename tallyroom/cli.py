@@ -38,7 +38,7 @@ def _room(spark, root: str):
         spark, conf, blind, flagged, R.findings(spark, R.text_of(spark, f"{key}/findings.yaml")), R.distractors(spark, R.text_of(spark, f"{key}/distractors.yaml")),
         index=text(f"{root}/index.md"), slots=R.slots(spark, f"{key}/anchors.csv") if R.exists(spark, f"{key}/anchors.csv") else None,
         figures=R.canonical_figures(spark, sheet) if sheet else None, cast=R.cast_names(spark, sheet) if sheet else None, verdicts=R.name_verdicts(spark, checked) if checked else None,
-        subset=subset, eval_key=eval_key, expected_key=expected, gaps=R.gaps(gaps) if gaps else [])
+        subset=subset, eval_key=eval_key, expected_key=expected, lengths=R.lengths(spark, said) if (said := text(f"{root}/lengths.yaml")) else None, gaps=R.gaps(gaps) if gaps else [])
 
 
 def _key_path(room: str, conf) -> str:

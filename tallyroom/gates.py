@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.functions import text as T
 from tallyroom.operators import audit as A
+from tallyroom.operators import houseforms as H
 from tallyroom.operators import match as M
 from tallyroom.operators import tells as E
 from tallyroom.sources import room as R
@@ -42,6 +43,8 @@ class Room:
     renders: DataFrame | None = None
     eval_key: DataFrame | None = None
     expected_key: DataFrame | None = None
+    lengths: DataFrame | None = None
+    patterns: DataFrame | None = None
     gaps: list[str] = field(default_factory=list)
     floors: dict[str, int] = field(default_factory=lambda: {"A": 1200, "F": 350})
 
@@ -135,9 +138,19 @@ def references(room: Room) -> Verdict:
     return status, detail + (f"; out of range: {more[1]}" if more[0] == FAIL else "")
 
 
+def _long(room: Room) -> bool:
+    return room.conf.values.get("DOC_LENGTH", "short") == "long"
+
+
 def depth(room: Room) -> Verdict:
     if room.slots is None:
         return SKIP, "no slots"
+    if room.patterns is not None:  # floors by archetype, and by band in a long room
+        kinds = A.archetypes(room.slots, room.patterns, "")
+        each = A.floors(room.slots, kinds, room.patterns.select("archetype", "floor").distinct(), room.floors["F"], room.lengths if _long(room) else None)
+        docs = room.blind.where("suffix = '.md'").select("rel_path", "text").join(each, "rel_path", "left")
+        bad = A.depth_lint(docs.where("floor IS NOT NULL"), F.col("floor")).where("problem IS NOT NULL").select("rel_path", "problem")
+        return _listed(bad.union(docs.where("floor IS NULL").select("rel_path", F.lit("no slot"))))
     docs = room.blind.where("suffix = '.md'").select("rel_path", "slot_id", "text").join(room.slots.select("slot_id", "tier"), "slot_id", "left")
     floor = F.when(F.col("tier") == "A", room.floors["A"]).otherwise(room.floors["F"])
     bad = A.depth_lint(docs.where("tier IS NOT NULL"), floor).where("problem IS NOT NULL").select("rel_path", "problem")
@@ -244,11 +257,16 @@ def repetition(room: Room) -> Verdict:
 
 
 def house_forms(room: Room) -> Verdict:
-    if room.conf.values.get("DOC_LENGTH", "short") != "long":
+    if not _long(room):
         return PASS, "short room"
-    left = room.blind.select("rel_path", F.size(T.blanks(F.col("text"))).alias("blanks")).where("blanks > 0")
-    forms = E.evidence_roles(room.findings, room.distractors).select("rel_path").distinct()
-    return _listed(left.join(forms, "rel_path", "left_semi"))
+    if room.slots is None or room.lengths is None:
+        return SKIP, "no slots or no lengths"
+    number = F.split_part("slot_id", F.lit("."), F.lit(3)).cast("int")
+    family = H.families(room.slots.withColumn("ordinal", number), room.lengths).cache()
+    if family.isEmpty():
+        return PASS, "no subfolder of the target's own papers has three slots"
+    ends = room.distractors.select(F.col("location").alias("rel_path")).union(room.distractors.select("resolution"))
+    return _listed(H.form_problems(family, room.blind.select("rel_path", "text"), _evidence(room).select("rel_path").union(ends)))
 
 
 GATES: dict[int, Callable[[Room], Verdict]] = dict(enumerate((index_counts, tree_counts, flag_strings, key_nouns, index_words, directories, twins, carriers, references, depth, subset, key_root, figures, names, discoverable, renders, key_rules, role, eval_key, form_tells, repetition, house_forms), 1))

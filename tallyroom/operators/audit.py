@@ -34,7 +34,7 @@ def containment(docs: DataFrame, needles: DataFrame, hay: str = "text", needle:
 
     Needles are looked up by their rarest inner run of letters and digits (a run with a neighbour on both sides
     in the needle stands as a whole run in any text that holds it), so texts and needles meet by equality, and only
-    candidates are searched.  A needle without such a run is looked up by scanning."""
+    candidates are searched, each text once for all of its candidates.  Needles without such a run are looked up by ``_bare``."""
     runs = lambda c: F.filter(F.split(c, r"[^\p{Nd}\p{L}]+"), lambda r: r != "")
     edge = lambda c: F.concat(F.lit(" "), c, F.lit(" ")) if isolated else c
     inner = F.filter(F.regexp_extract_all(edge(F.col(needle)), F.lit(r"(?<=[^\p{Nd}\p{L}])[\p{Nd}\p{L}]+(?=[^\p{Nd}\p{L}])"), 0), lambda r: r != "")
@@ -45,12 +45,29 @@ def containment(docs: DataFrame, needles: DataFrame, hay: str = "text", needle:
     present = words.join(wanted, "_run", "left_semi")
     counts = present.groupBy("_run").agg(F.count("*").alias("_df"))
     rare = offered.join(counts, "_run", "left").groupBy(needle).agg(F.min_by("_run", F.struct(F.coalesce("_df", F.lit(0)), F.col("_run"))).alias("_run"))
-    check = T.isolated(F.col(hay), F.col(needle)) if isolated else F.contains(F.col(hay), F.col(needle))
     near = present.join(rare, "_run").select("rel_path", needle)
-    hits = near.join(docs.select("rel_path", hay), "rel_path").where(check).select("rel_path", needle)
     bare = keyed.where((F.size("_runs") == 0) & (F.col(needle) != "")).select(needle)
-    scanned = docs.select("rel_path", hay).join(bare, check).select("rel_path", needle)
-    return hits.union(scanned).distinct()
+    if not bare.isEmpty():
+        near = near.union(_bare(docs, bare, hay, needle))
+    check = lambda n: T.isolated(F.col(hay), n) if isolated else F.contains(F.col(hay), n)
+    offers = near.groupBy("rel_path").agg(F.collect_set(needle).alias("_offers"))
+    return docs.select("rel_path", hay).join(offers, "rel_path").select("rel_path", F.explode(F.filter("_offers", check)).alias(needle)).distinct()
+
+
+def _bare(docs: DataFrame, needles: DataFrame, hay: str, needle: str) -> DataFrame:
+    """Candidates (rel_path, needle) for needles that may stand inside a longer word.
+
+    Texts are pieces: runs of letters and digits, and what is between them.  A needle's longest piece is part of a piece of any text that holds the needle; those pieces are
+    found among all different ones by their first three characters at any place, and then their texts by equality."""
+    pieces = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{Nd}\p{L}]+|[^\p{Nd}\p{L}]+"), 0)
+    grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substr(c, i, F.lit(n)))
+    longest = F.array_max(F.transform(pieces(F.col(needle)), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+    wanted = needles.select(needle, longest.alias("_part")).withColumn("_gram", F.left("_part", F.lit(3)))
+    held = docs.select("rel_path", F.explode(F.array_distinct(pieces(F.col(hay)))).alias("_piece"))
+    different = held.select("_piece").distinct()
+    offered = different.select("_piece", F.explode(F.array_distinct(F.concat(*(grams(F.col("_piece"), n) for n in (1, 2, 3))))).alias("_gram"))
+    near = offered.join(wanted, "_gram").where(F.contains("_piece", F.col("_part"))).select("_piece", needle).distinct()
+    return held.join(near, "_piece").select("rel_path", needle).distinct()
 
 
 def cross_references(docs: DataFrame, slots: DataFrame, gaps: list[str] | None = None) -> DataFrame:

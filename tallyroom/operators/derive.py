@@ -10,10 +10,11 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.functions import text as T
+from tallyroom.operators.ranks import ranked
 
 #: Rates in basis points.
 PROFILES = {
@@ -63,8 +64,8 @@ def unique_names(named: DataFrame, stem: str = "stem", order: str = "rel_path",
     family = F.regexp_replace(stem, r"( \([0-9]+\))+$", "")
     groups = [*by, "_family"]
     df = named.withColumn("_family", family)
-    w = Window.partitionBy(*groups)
-    told = df.withColumn("_k", F.row_number().over(w.orderBy(order))).withColumn("_own", F.max(F.col(stem) != F.col("_family")).over(w))
+    own = df.groupBy(*groups).agg(F.max(F.col(stem) != F.col("_family")).alias("_own"))
+    told = ranked(df, order, by=tuple(groups), name="_k").join(own, groups).select(*df.columns, "_k", "_own")
     plain = told.where("NOT _own").withColumn("final", F.when(F.col("_k") > 1, F.concat(F.col(stem), F.lit(" ("), F.col("_k").cast("string"), F.lit(")"))).otherwise(F.col(stem)))
     mixed = told.where("_own").withColumn("final", F.col(stem))
 

@@ -2,43 +2,95 @@
 
 from __future__ import annotations
 
-import difflib
-import re
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from tallyroom.functions import text as T
+from tallyroom.operators.order import house_families
+from tallyroom.session import settled
 
 LEAST_DEVIATIONS = 2
 
 
-@F.pandas_udf(IntegerType())
-def deviations(house: pd.Series, derived: pd.Series) -> pd.Series:
-    """Paragraphs in which a derived text departs from its form: standard ones edited or gone, and added ones.  A paragraph
-    with a blank is there to be filled, so what became of it is no departure."""
-
-    def parts(text: str | None) -> list[str]:
-        return [p.strip() for p in re.split(r"\n[ \t]*\n", text or "") if p.strip()]
-
-    def count(form: list[str], own: list[str]) -> int:
-        found = 0
-        for op, a, b, c, d in difflib.SequenceMatcher(None, form, own, autojunk=False).get_opcodes():
-            if op == "equal":
-                continue
-            standard = [p for p in form[a:b] if not re.search(r"\[[A-Z][^\[\]\n]{0,80}\]", p)]
-            found += len(standard) + max(0, (d - c) - (b - a))
-        return found
-
-    return pd.Series([count(parts(a), parts(b)) for a, b in zip(house, derived)], dtype="int32")
-
-
-def problems(pairs: DataFrame, least: int = LEAST_DEVIATIONS) -> DataFrame:
-    """rel_path, problem of derived texts (rel_path, house_text, text): blanks left, or too few deviations."""
-    told = pairs.select("rel_path", F.size(F.array_intersect(T.blanks(F.col("house_text")), T.blanks(F.col("text")))).alias("left"), deviations("house_text", "text").alias("n"))
-    return told.select("rel_path", F.when(F.col("left") > 0, "blanks left").when(F.col("n") < least, "too few deviations").alias("problem")).where("problem IS NOT NULL")
+def families(slots: DataFrame, lengths: DataFrame, least: int = 3) -> DataFrame:
+    """rel_path, house: slots (rel_path, section, subsection, ordinal) of subfolders whose papers are the target's own and that have ``least`` of them; the first by number is the form of all."""
+    own = slots.join(lengths.where("paper = 'target'").select("section", "subsection").distinct(), ["section", "subsection"], "left_semi")
+    return house_families(own, least).where("house IS NOT NULL").select("rel_path", "house")
+
+
+def pairs(family: DataFrame, docs: DataFrame) -> DataFrame:
+    """rel_path, house_text, text of derived slots that are written, as is their form."""
+    derived = family.where("rel_path <> house").join(docs.select("rel_path", "text"), "rel_path")
+    return derived.join(docs.select(F.col("rel_path").alias("house"), F.col("text").alias("house_text")), "house").select("rel_path", "house_text", "text")
+
+
+def _paragraphs(df: DataFrame, text: str, place: str) -> DataFrame:
+    """rel_path, place, key, paragraph: blocks between blank lines, white space in them as one blank."""
+    blocks = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), r"\n[ \t]*\n"), lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " "))), lambda p: p != "")
+    return df.select("rel_path", F.posexplode(blocks).alias(place, "paragraph")).withColumn("key", F.sha2("paragraph", 256))
+
+
+def aligned(house: DataFrame, derived: DataFrame) -> DataFrame:
+    """(rel_path, i, j, n): blocks of n equal paragraphs, from i in the form and from j in the derived text, in the same order in both.
+
+    The longest block comes first (of equals the earliest in the form, then in the derived text), then those of what lies before it, and behind it.  Each round
+    does this for every open stretch of every pair at once: equal paragraphs of a stretch are runs along their diagonals."""
+    stretch = ["rel_path", "a", "b", "c", "d"]
+    sizes = house.groupBy("rel_path").agg((F.max("i") + 1).alias("b")).join(derived.groupBy("rel_path").agg((F.max("j") + 1).alias("d")), "rel_path")
+    equal = house.select("rel_path", "key", "i").join(derived.select("rel_path", "key", "j"), ["rel_path", "key"]).join(sizes, "rel_path")
+    inside = settled(equal.select("rel_path", F.lit(0).alias("a"), "b", F.lit(0).alias("c"), "d", "i", "j"))
+    found = None
+    while not inside.isEmpty():
+        diagonal = Window.partitionBy(*stretch, F.col("i") - F.col("j")).orderBy("i")
+        run = inside.withColumn("run", F.col("i") - F.row_number().over(diagonal)).groupBy(*stretch, (F.col("i") - F.col("j")).alias("g"), "run").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").alias("n"))
+        best = settled(run.groupBy(*stretch).agg(F.max(F.struct("n", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("x")).select(*stretch, (-F.col("x.i")).alias("x"), (-F.col("x.j")).alias("y"), F.col("x.n").cast("int").alias("n")))
+        blocks = best.select("rel_path", F.col("x").alias("i"), F.col("y").alias("j"), "n")
+        found = blocks if found is None else found.union(blocks)
+        rest = inside.join(best, stretch)
+        before = rest.where("i < x AND j < y").select("rel_path", "a", F.col("x").alias("b"), "c", F.col("y").alias("d"), "i", "j")
+        behind = rest.where("i >= x + n AND j >= y + n").select("rel_path", (F.col("x") + F.col("n")).alias("a"), "b", (F.col("y") + F.col("n")).alias("c"), "d", "i", "j")
+        inside = settled(before.union(behind))
+    return found if found is not None else inside.select("rel_path", "i", "j", F.lit(0).alias("n"))
+
+
+def deviations(texts: DataFrame) -> DataFrame:
+    """rel_path, n of (rel_path, house_text, text): paragraphs in which a derived text departs from its form: standard ones edited or gone, and added ones.
+
+    A paragraph with a blank is there to be filled, so what became of it is no departure; nor is a paragraph beside an edited one, as long as there are no more than were there."""
+    house, derived = _paragraphs(texts, "house_text", "i"), _paragraphs(texts, "text", "j")
+    blocks = aligned(house, derived)
+    standard = house.where(F.size(T.blanks(F.col("paragraph"))) == 0).select("rel_path", "i")
+    matched = blocks.select("rel_path", F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i"))
+    lost = standard.join(matched, ["rel_path", "i"], "left_anti").groupBy("rel_path").agg(F.count("*").alias("lost"))
+    count = lambda df: df.groupBy("rel_path").agg(F.count("*").alias("n"))
+    ends = texts.select("rel_path").join(count(house).withColumnRenamed("n", "i"), "rel_path", "left").join(count(derived).withColumnRenamed("n", "j"), "rel_path", "left")
+    edges = blocks.select("rel_path", "i", "j", "n").union(ends.select("rel_path", F.coalesce("i", F.lit(0)), F.coalesce("j", F.lit(0)), F.lit(0)))
+    order = Window.partitionBy("rel_path").orderBy("i", "j", F.desc("n"))
+    before = lambda c: F.coalesce(F.lag(F.col(c) + F.col("n")).over(order), F.lit(0))
+    gaps = edges.select("rel_path", ((F.col("j") - before("j")) - (F.col("i") - before("i"))).alias("more"))
+    added = gaps.where("more > 0").groupBy("rel_path").agg(F.sum("more").alias("added"))
+    both = texts.select("rel_path").join(lost, "rel_path", "left").join(added, "rel_path", "left")
+    return both.select("rel_path", (F.coalesce("lost", F.lit(0)) + F.coalesce("added", F.lit(0))).cast("int").alias("n"))
+
+
+def blanks_left(house_text: Column, text: Column) -> Column:
+    """The form's blanks that the derived text still has."""
+    return F.array_sort(F.filter(T.blanks(house_text), lambda b: F.contains(text, b)))
+
+
+def problems(texts: DataFrame, least: int = LEAST_DEVIATIONS) -> DataFrame:
+    """rel_path, problem of derived texts (rel_path, house_text, text): blanks left, and too few deviations."""
+    told = texts.select("rel_path", F.size(blanks_left(F.col("house_text"), F.col("text"))).alias("left")).join(deviations(texts), "rel_path")
+    said = F.array_compact(F.array(F.when(F.col("left") > 0, F.lit("blanks left")), F.when(F.col("n") < least, F.lit("too few deviations"))))
+    return told.select("rel_path", F.explode(said).alias("problem"))
+
+
+def form_problems(family: DataFrame, docs: DataFrame, evidence: DataFrame, least: int = LEAST_DEVIATIONS) -> DataFrame:
+    """rel_path, problem of a room's house forms: evidence on a form, a form without blanks, and the ``problems`` of texts derived from them."""
+    forms = family.select(F.col("house").alias("rel_path")).distinct()
+    on_form = forms.join(evidence.select("rel_path").distinct(), "rel_path", "left_semi").select("rel_path", F.lit("evidence on a house form").alias("problem"))
+    bare = docs.join(forms, "rel_path", "left_semi").where(F.size(T.blanks(F.col("text"))) == 0).select("rel_path", F.lit("no blanks"))
+    return on_form.union(bare).union(problems(pairs(family, docs), least))
 
 
 def ready(slots: DataFrame, done: DataFrame) -> DataFrame:

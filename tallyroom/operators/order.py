@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallyroom.operators.ranks import ranked
 
@@ -47,18 +51,29 @@ def authoring_order(slots: DataFrame, load_bearing: DataFrame, house_forms: Data
 
 
 def budget_batches(rows: DataFrame, by: list[str], order: str, item: str, weight: str, budget: int, max_batches: int | None = None) -> DataFrame:
-    """(by, item, batch): rows in order, packed into batches of at most ``budget``; one heavier than that goes alone; what is
-    beyond ``max_batches`` is left out.  A sequential fold inside each group of ``by``."""
-    start = F.struct(F.lit(0).cast("long").alias("load"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        new = (acc["load"] > 0) & (acc["load"] + x["w"] > budget)
-        batch = acc["batch"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, x["w"]).otherwise(acc["load"] + x["w"]).alias("load"), batch.alias("batch"), F.concat(acc["out"], F.array(batch)).alias("out"))
-
-    xs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("item"), F.col(weight).cast("long").alias("w"))))
-    grouped = rows.groupBy(*by).agg(xs.alias("xs")).withColumn("b", F.aggregate("xs", start, step, lambda a: a["out"]))
-    out = grouped.select(*by, F.explode(F.arrays_zip("xs", "b")).alias("z")).select(*by, F.col("z.xs.item").alias(item), F.col("z.b").alias("batch"))
+    """(by, item, batch): rows in order (ties by item), packed into batches of at most ``budget``; one heavier than that goes alone; what is
+    beyond ``max_batches`` is left out.
+
+    A batch depends on all before it in its group, so each group of ``by`` is one sorted stream, of which only the running load and number are held."""
+    fields = {f.name: f.dataType for f in rows.schema.fields}
+    schema = StructType([*(StructField(c, fields[c]) for c in by), StructField(item, fields[item]), StructField("batch", IntegerType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, load, batch = None, 0, 0
+        for pdf in frames:
+            out = []
+            for row in zip(*(pdf[c] for c in by), pdf["_w"]):
+                key, w = tuple(None if x != x else x for x in row[:-1]), int(row[-1])
+                if key != group:
+                    group, load, batch = key, 0, 0
+                elif load > 0 and load + w > budget:
+                    load, batch = 0, batch + 1
+                load += w
+                out.append(batch)
+            yield pdf[[*by, item]].assign(batch=pd.Series(out, pdf.index, "int32"))
+
+    streams = rows.select(*by, item, F.col(order).alias("_o"), F.coalesce(F.col(weight).cast("long"), F.lit(0)).alias("_w")).repartition(*by).sortWithinPartitions(*by, "_o", item)
+    out = streams.drop("_o").mapInPandas(run, schema)
     return out.where(F.col("batch") < max_batches) if max_batches else out
 
 

@@ -10,6 +10,7 @@ from tallyroom.operators import answerkey as K
 from tallyroom.operators import audit as A
 from tallyroom.operators import candidates as N
 from tallyroom.operators import derive as D
+from tallyroom.operators import houseforms as H
 from tallyroom.operators import ranks
 from tallyroom.plans.deriving import SEED, _h
 from tallyroom.sources import sinks, trees
@@ -168,7 +169,16 @@ def corruption_report(s, d):
     return trees.corruption_report(trees.corrupted(p.select("rel_path", "text"), key, SEED, "heavy", [f"src{i}" for i in range(20)]))
 
 
-QUERIES = {f.__name__: f for f in (answer_key, answer_key_breaches, label_drift, longest_section, evidence_outside_sections, clause_numbers, carried_headings, event_ranks, moved_rows, name_candidates, archetype_floors, entity_names, masked_names, flagged_tree, carrier_tally, corrupted_key, corruption_report)}
+def house_form_deviations(s, d):
+    """Texts as forms, a paragraph a line; of the derived ones some are gone, some are new."""
+    p = _papers(s, d).select(F.col("doc_id").cast("string").alias("rel_path"), "doc_id", F.split("text", "\n").alias("ls"))
+    lines = F.transform("ls", lambda x, i: F.concat((i + 1).cast("string"), F.lit(" "), x, F.when(i % 5 == 4, F.lit(" [BLANK]")).otherwise("")))
+    left = F.filter(F.transform(lines, lambda x, i: F.when(((i + 1) * (i + 1) + F.col("doc_id")) % 11 != 0, x)), lambda x: x.isNotNull())
+    texts = p.select("rel_path", F.array_join(lines, "\n\n").alias("house_text"), F.concat(F.array_join(left, "\n\n"), F.when(F.col("doc_id") % 3 == 0, "\n\nIt is new.").otherwise("")).alias("text"))
+    return H.deviations(texts)
+
+
+QUERIES = {f.__name__: f for f in (answer_key, answer_key_breaches, label_drift, longest_section, evidence_outside_sections, clause_numbers, carried_headings, event_ranks, moved_rows, name_candidates, archetype_floors, entity_names, masked_names, flagged_tree, carrier_tally, corrupted_key, corruption_report, house_form_deviations)}
 
 _PAPERS = "papers AS (SELECT doc_id, lang, source, text, source || '/' || lang || '/' || doc_id || '.md' AS rel_path FROM documents)"
 _KEY = f"""WITH {_PAPERS},
@@ -210,6 +220,9 @@ hits AS (SELECT *, {_h('rel_path', "'rename'")} % 10000 < {D.PROFILES['heavy']['
 _TAGS = "[" + ", ".join(f"'{t}'" for t in T.RENAME_TAGS) + "]"
 
 ORACLE = {
+    "house_form_deviations": r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), p AS (SELECT doc_id, i, len(ls) AS n, (i * i + doc_id) % 11 = 0 AS gone, i % 5 = 0 OR regexp_matches(ls[i], '\[[A-Z][^\[\]\n]{0,80}\]') AS blank FROM l, unnest(range(1, len(ls) + 1)) AS u(i)),
+        t AS (SELECT doc_id, count(*) FILTER (gone AND NOT blank) AS lost, bool_or(gone AND i = n) AS tail FROM p GROUP BY 1)
+        SELECT doc_id::VARCHAR AS rel_path, (lost + CASE WHEN doc_id % 3 = 0 AND NOT tail THEN 1 ELSE 0 END)::INT AS n FROM t""",
     "answer_key": _KEY + f"SELECT *, {_LINE.format('source_path')} AS line FROM clean",
     "answer_key_breaches": _KEY + _shown("rule", "detail", "breaches"),
     "label_drift": _KEY + _shown("document_type", "path", "(SELECT * FROM given WHERE trim(document_type) <> '' AND document_type NOT IN (SELECT name FROM vocabulary))"),

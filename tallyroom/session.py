@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "tallyroom") -> SparkSession:
@@ -25,6 +25,17 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, ap
     return spark
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df``, computed once and written to the shared folder that spark.checkpoint.dir names; a local folder serves a local master where none is named."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or "file:///tmp/checkpoints")
+    return df.checkpoint()
+
+
 def importable(spark: SparkSession) -> None:
     """Lets Python workers of a session made elsewhere import this package from where the driver has it.  On a cluster
     ship the package with --py-files; a folder that executors do not have is passed over."""

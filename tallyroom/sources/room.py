@@ -308,6 +308,42 @@ def sections(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([(int(r["number"]), r["dir_name"], r["title"], r["workstream"], float(r["weight"]), list(r["subsections"]), bool(r.get("core", False)), r.get("classifier_workstream")) for r in rows], "number long, dir_name string, title string, workstream string, weight double, subsections array<string>, core boolean, classifier_workstream string")
 
 
+#: Whose paper a document is.
+PAPERS = ("target", "counterparty")
+
+
+def lengths(spark: SparkSession, text: str, anatomy: str | None = None) -> DataFrame:
+    """section, subsection, band, paper, anatomy, floor, target of a domain's lengths; its bands, shares and rows are held to their rules."""
+    told = yaml.safe_load(text) or {}
+    words, bands = told.get("words_per_page"), told.get("bands") or {}
+    for name, b in bands.items():
+        low, high = b["pages"]
+        if not (0 < low < high and b["floor"] == low * words and b["floor"] < b["target"] <= high * words):
+            raise RoomError(f"band {name}: pages must rise, the floor be that of the least pages, and the target lie above it, but not beyond the most")
+    kinds = (yaml.safe_load(anatomy) or {}).get("families", {}) if anatomy else None
+    for name, k in (kinds or {}).items():
+        shares = [p["share"] for p in k.get("parts") or []]
+        if not shares or not k.get("clauses") or sum(shares) != 100 or min(shares) <= 0:
+            raise RoomError(f"anatomy {name}: it needs clauses, and parts with shares that sum to 100")
+    out = {}
+    for r in told.get("subsections") or []:
+        at = (r["section"], r["subsection"])
+        if at in out:
+            raise RoomError(f"{'/'.join(at)} is declared twice")
+        if r["band"] not in bands or r["paper"] not in PAPERS or kinds is not None and r["anatomy"] not in kinds:
+            raise RoomError(f"{'/'.join(at)}: no such band, paper or anatomy")
+        out[at] = (*at, r["band"], r["paper"], r["anatomy"], bands[r["band"]]["floor"], bands[r["band"]]["target"])
+    return spark.createDataFrame(list(out.values()), "section string, subsection string, band string, paper string, anatomy string, floor int, target int")
+
+
+def length_violations(rows: DataFrame, all_sections: DataFrame, short_floors: DataFrame) -> DataFrame:
+    """(section, subsection, problem) of lengths whose subfolder the domain does not have, or that ask less of a slot than a short room does (section, subsection, floor)."""
+    there = all_sections.select(F.col("dir_name").alias("section"), F.explode("subsections").alias("subsection"), F.lit(True).alias("there"))
+    told = rows.join(there, ["section", "subsection"], "left").join(short_floors.select("section", "subsection", F.col("floor").alias("short")), ["section", "subsection"], "left")
+    problem = F.when(F.col("there").isNull(), "no such subsection").when(F.col("floor") < F.col("short"), "below the floor of a short room")
+    return told.select("section", "subsection", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def section_subset(all_sections: DataFrame, chosen: list[str]) -> DataFrame:
     """Chosen sections with weights scaled to one; core sections must be among them."""
     if not all_sections.where(F.col("core") & ~F.col("dir_name").isin(*chosen)).isEmpty():

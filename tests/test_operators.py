@@ -1,6 +1,8 @@
 """Operators on small literals."""
 
+import difflib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,21 @@ def test_names_that_meet_generated_names(spark):
 
 
 
+def test_containment_without_a_scan(spark):
+    """Needles of every kind against plain search: inside words, across them, marks only, at both ends of a text."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["ab", "abc", "x1", " ", "-", "##", ". ", "\n", "Ω", "[T]"]) for _ in range(rng.randrange(25))) for _ in range(150)]
+    needles = ["ab", "b", "abc", "1", "##", "-", "b-a", "b ab", "[T]", "Ω", "x1. ab", ". ", "zz", "ab##", "ababab", "[", " ", "bx1"]
+    docs = table(spark, [(str(i), t) for i, t in enumerate(texts)], "rel_path string, text string")
+    found = audit.containment(docs, table(spark, [(n,) for n in needles], "needle string"))
+    assert {tuple(r) for r in found.collect()} == {(str(i), n) for i, t in enumerate(texts) for n in needles if n in t}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    alone = audit.containment(docs, table(spark, [(n,) for n in needles], "needle string"), isolated=True)
+    free = lambda t, n: any(not (k and t[k - 1].isalnum()) and not (k + len(n) < len(t) and t[k + len(n)].isalnum()) for k in range(len(t)) if t.startswith(n, k))
+    assert {tuple(r) for r in alone.collect()} == {(str(i), n) for i, t in enumerate(texts) for n in needles if free(t, n)}
+
+
 def test_batches(spark):
     rows = table(spark, [("g", i, w) for i, w in enumerate([5, 5, 20, 1, 1, 9])], "g string, i int, w int")
     assert [r["batch"] for r in order.budget_batches(rows, ["g"], "i", "i", "w", 10).orderBy("i").collect()] == [0, 0, 1, 2, 2, 3]
@@ -129,7 +146,50 @@ def test_import_of_a_report(spark):
 def test_house_forms(spark):
     form = "Between [BUYER] and us.\n\nTerm is [TERM].\n\nLaw of England."
     pairs = table(spark, [("a", form, form), ("b", form, "Between X and us.\n\nTerm is 2 years.\n\nLaw of England."), ("c", form, "Between X and us.\n\nEnds never.\n\nLaw of Wales.\n\nMore.")], "rel_path string, house_text string, text string")
-    assert {r["rel_path"]: r["problem"] for r in houseforms.problems(pairs).collect()} == {"a": "blanks left", "b": "too few deviations"}
+    assert sorted(map(tuple, houseforms.problems(pairs).collect())) == [("a", "blanks left"), ("a", "too few deviations"), ("b", "too few deviations")]
+
+
+def plain_deviations(form, own):
+    """By the standard library's alignment, which takes the longest common run first."""
+    split = lambda t: [" ".join(p.split()) for p in re.split(r"\n[ \t\r]*\n", t) if p.strip()]
+    a, b, n = split(form), split(own), 0
+    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        if op != "equal":
+            n += sum(not re.search(r"\[[A-Z][^\[\]\n]{0,80}\]", p) for p in a[i:j]) + max(0, (m - k) - (j - i))
+    return n
+
+
+def test_deviations_against_plain_alignment(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        form = [rng.choice(("Clause " + rng.choice("abcd"), f"Own {rng.randrange(30)}", f"To [FILL {rng.randrange(3)}]")) for _ in range(rng.randrange(14))]
+        own = [x if rng.random() < 0.7 else rng.choice(("Clause " + rng.choice("abcd"), "New", "")) for x in form]
+        if rng.random() < 0.5:
+            at = rng.randrange(len(own) + 1)
+            own[at:at] = rng.choices(form or ["x"], k=rng.randrange(3))
+        rows.append((f"p{k}", "\n\n".join(form), rng.choice(("\n\n", "\r\n \r\n")).join(own)))
+    rows += [("same", "A\n\nB", "A\n\nB"), ("none", "", "A"), ("gone", "A\n\nB", "")]
+    found = {r["rel_path"]: r["n"] for r in houseforms.deviations(table(spark, rows, "rel_path string, house_text string, text string").repartition(3)).collect()}
+    assert found == {p: plain_deviations(a, b) for p, a, b in rows}
+    assert houseforms.deviations(table(spark, [], "rel_path string, house_text string, text string")).count() == 0
+
+
+def test_a_room_of_house_forms(spark):
+    form = "Between [BUYER] and us.\n\nTerm is ten years.\n\nLaw of England."
+    good = "Between X and us.\n\nTerm is two years.\n\nLaw of Wales."
+    slots = table(spark, [(f"1/1.1_a/1.1.{k}_a.md", "1", "a", k) for k in (10, 2, 3, 4)] + [(f"1/1.2_b/1.2.{k}_b.md", "1", "b", k) for k in (1, 2)] + [(f"1/1.3_c/1.3.{k}_c.md", "1", "c", k) for k in (1, 2, 3)], "rel_path string, section string, subsection string, ordinal int")
+    lengths = table(spark, [("1", "a", "target"), ("1", "b", "target"), ("1", "c", "counterparty")], "section string, subsection string, paper string")
+    family = houseforms.families(slots, lengths)
+    assert {r["rel_path"]: r["house"] for r in family.collect()} == {f"1/1.1_a/1.1.{k}_a.md": "1/1.1_a/1.1.2_a.md" for k in (10, 2, 3, 4)}
+    docs = {2: form, 3: good, 4: form.replace("[BUYER]", "X"), 10: good.replace("Between X", "Between [BUYER]")}
+    texts = table(spark, [(f"1/1.1_a/1.1.{k}_a.md", t) for k, t in docs.items()], "rel_path string, text string")
+    none = table(spark, [], "rel_path string")
+    assert sorted((r[0].split("/")[-1], r[1]) for r in houseforms.form_problems(family, texts, none).collect()) == [("1.1.10_a.md", "blanks left"), ("1.1.4_a.md", "too few deviations")]
+    bare = texts.where("rel_path NOT LIKE '%1.1.2_a.md'").union(table(spark, [("1/1.1_a/1.1.2_a.md", good)], "rel_path string, text string"))
+    marked = table(spark, [("1/1.1_a/1.1.2_a.md",), ("1/1.1_a/1.1.3_a.md",)], "rel_path string")
+    found = sorted((r[0].split("/")[-1], r[1]) for r in houseforms.form_problems(family, bare, marked).collect())
+    assert ("1.1.2_a.md", "evidence on a house form") in found and ("1.1.2_a.md", "no blanks") in found and not any(p.startswith("1.1.3") and q.startswith("evidence") for p, q in found)
 
 
 def test_names_count_up_as_one_after_another(spark):

@@ -202,3 +202,39 @@ def test_the_shell_loads_every_file_of_a_room(spark, tmp_path, monkeypatch, caps
     (tmp_path / "empty.md").write_text("nothing to say\n")
     assert cli.main(["score", "--room", str(tmp_path), str(tmp_path / "report.md")]) == 0
     assert cli.main(["score", "--room", str(tmp_path), str(tmp_path / "empty.md")]) == 2
+
+
+LENGTHS = """words_per_page: 500
+bands: {long: {pages: [4, 8], floor: 2000, target: 3000}}
+subsections:
+- {section: 01_corporate, subsection: a, band: long, paper: target, anatomy: x, hint: h}
+- {section: 01_corporate, subsection: b, band: long, paper: counterparty, anatomy: x, hint: h}
+"""
+ANATOMY = "families: {x: {title: t, parts: [{name: a, share: 60}, {name: b, share: 40}], clauses: [c]}}"
+
+
+@pytest.mark.parametrize(("old", "new"), [("floor: 2000", "floor: 1999"), ("[4, 8]", "[8, 4]"), ("target: 3000", "target: 2000"), ("target: 3000", "target: 4001"), ("subsection: b", "subsection: a"), ("band: long, paper: target", "band: short, paper: target"), ("paper: target", "paper: mine")])
+def test_lengths_are_held_to_their_rules(spark, old, new):
+    assert R.lengths(spark, LENGTHS, ANATOMY).count() == 2
+    with pytest.raises(R.RoomError):
+        R.lengths(spark, LENGTHS.replace(old, new, 1), ANATOMY)
+    with pytest.raises(R.RoomError):
+        R.lengths(spark, LENGTHS, ANATOMY.replace("40", "41"))
+
+
+def test_lengths_are_held_to_the_domain(spark):
+    sections = R.sections(spark, "sections: [{number: 1, dir_name: 01_corporate, title: t, workstream: w, weight: 1.0, subsections: [a]}]")
+    short = spark.createDataFrame([("01_corporate", "a", 2500)], "section string, subsection string, floor int")
+    assert sorted(tuple(r) for r in R.length_violations(R.lengths(spark, LENGTHS), sections, short).collect()) == [("01_corporate", "a", "below the floor of a short room"), ("01_corporate", "b", "no such subsection")]
+
+
+def test_house_forms_of_a_long_room(spark):
+    form = "Between [BUYER] and us.\n\nTerm is ten years.\n\nLaw of England."
+    paths = [f"01_corporate/1.1_a/1.1.{k}_a-0{k}.md" for k in (1, 2, 3)]
+    slots = spark.createDataFrame([(f"1.1.{k}", "A", p, "01_corporate", "a") for k, p in enumerate(paths, 1)], "slot_id string, tier string, rel_path string, section string, subsection string")
+    made = room(spark, dict(zip(paths, (form, "Between X and us.\n\nTerm is two years.\n\nLaw of Wales.", form.replace("[BUYER]", "Y")))))
+    made.slots, made.lengths = slots, R.lengths(spark, LENGTHS)
+    assert status(G.run(made, {22: G.GATES[22]}))[22] == "PASS"  # a short room
+    made.conf.values["DOC_LENGTH"] = "long"
+    (said,) = G.run(made, {22: G.GATES[22]}).collect()
+    assert said["status"] == "FAIL" and said["detail"] == f"{paths[2]} too few deviations"
