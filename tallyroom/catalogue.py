@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tallyroom.plans import auditing, classification, deriving, keys, match
+from tallyroom.plans import auditing, classification, deriving, forms, keys, match
 
-_MODULES = (match, classification, auditing, deriving, keys)
+_MODULES = (match, classification, auditing, deriving, keys, forms)
 
 
 def queries() -> dict[str, Callable]:
