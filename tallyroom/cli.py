@@ -14,7 +14,7 @@ from tallyroom.operators import candidates
 from tallyroom.operators import classify as C
 from tallyroom.operators import match as M
 from tallyroom.session import session
-from tallyroom.sources import lenient, sinks, trees
+from tallyroom.sources import lenient, sinks, trees, word
 from tallyroom.sources import room as R
 
 
@@ -34,11 +34,27 @@ def _room(spark, root: str):
     if R.exists(spark, f"{key}/answer-key.jsonl") and R.exists(spark, f"{root}/sections.yaml") and R.exists(spark, f"{key}/labels.yaml"):
         eval_key = lenient.key_rows(spark, f"{key}/answer-key.jsonl")
         expected = K.records(_judged(spark, root, conf, blind, None, None))
+    fault = lenient.figures_fault(spark.createDataFrame([(sheet,)], "text string")).first()["fault"] if sheet else None
     return gates.Room(
         spark, conf, blind, flagged, R.findings(spark, R.text_of(spark, f"{key}/findings.yaml")), R.distractors(spark, R.text_of(spark, f"{key}/distractors.yaml")),
         index=text(f"{root}/index.md"), slots=R.slots(spark, f"{key}/anchors.csv") if R.exists(spark, f"{key}/anchors.csv") else None,
         figures=R.canonical_figures(spark, sheet) if sheet else None, cast=R.cast_names(spark, sheet) if sheet else None, verdicts=R.name_verdicts(spark, checked) if checked else None,
-        subset=subset, eval_key=eval_key, expected_key=expected, lengths=R.lengths(spark, said) if (said := text(f"{root}/lengths.yaml")) else None, gaps=R.gaps(gaps) if gaps else [])
+        subset=subset, eval_key=eval_key, expected_key=expected, figures_fault=fault, lengths=R.lengths(spark, said) if (said := text(f"{root}/lengths.yaml")) else None, gaps=R.gaps(gaps) if gaps else [])
+
+
+def _reports(spark, path: str):
+    """A tool's reports from JSON, markdown or a Word file."""
+    if not path.endswith(".docx"):
+        return R.reports_of(spark, path)
+    said = word.word_markdown(word.word_paragraphs(spark.read.format("binaryFile").load(path).select(F.col("path").alias("rel_path"), "content"))).first()
+    if said is None or said["error"]:
+        raise R.RoomError(f"{path}: {said['error'] if said else 'no such file'}")
+    if said["note"]:
+        print(f"warning: {said['note']}", file=sys.stderr)
+    found = R.markdown_reports(spark.createDataFrame([(path, said["text"])], "rel_path string, text string")).drop("rel_path")
+    if found.isEmpty():
+        raise R.RoomError("no finding in this report: each is a heading of level 2 to 4")
+    return found
 
 
 def _key_path(room: str, conf) -> str:
@@ -141,6 +157,7 @@ def main(argv: list[str] | None = None) -> int:
         if name == "score":
             p.add_argument("output")
             p.add_argument("--adjudications")
+            p.add_argument("--baseline")
     args = parser.parse_args(argv)
     spark = session()
     try:
@@ -155,12 +172,20 @@ def main(argv: list[str] | None = None) -> int:
                 print(f"{r['status']:4} {r['gate']:2} {r['name']}: {r['detail']}")
             return 0 if gates.passed(results, args.strict) else 1
         if args.command == "score":
-            reports = R.reports_of(spark, args.output)
+            reports = _reports(spark, args.output)
             ruled = args.adjudications or f"{args.room}/{room.conf.get('KEY_ROOT')}".rstrip("/") + "/adjudications.yaml"
             rulings = R.adjudications(spark, R.text_of(spark, ruled)) if args.adjudications or R.exists(spark, ruled) else None
             if rulings is not None and (bad := R.adjudication_violations(rulings, reports, room.findings).take(1)):
                 raise R.RoomError(f"adjudication of {bad[0]['tool_index']}: {bad[0]['rule']}")
-            print(sinks.scorecard_text(M.score(reports, room.findings, R.evidence(room.findings).select("finding_id", "rel_path"), room.distractors.select("distractor_id", "location"), rulings)))
+            scored = lambda found: M.score(found, room.findings, R.evidence(room.findings).select("finding_id", "rel_path"), room.distractors.select("distractor_id", "location"), rulings)
+            manifest = f"{_key_path(args.room, room.conf)}/manifest.json"
+            own = sinks.read_hash(R.text_of(spark, manifest)) if R.exists(spark, manifest) else ""
+            print(f"provenance: {sinks.provenance(own, R.report_hash(spark, args.output))}")
+            tables = scored(reports)
+            print(sinks.scorecard_text(tables))
+            if args.baseline:
+                told = M.scorecard_diff(scored(_reports(spark, args.baseline))["misses"].select("finding_id"), tables["misses"].select("finding_id"))
+                print("\n".join(f"{r['change']}: {r['finding_id']}" for r in told.orderBy("change", "finding_id").collect()) or "as the baseline")
             return 0
         print(sinks.manifest(room.blind, room.conf.get("ROOM_CODENAME"), findings=room.findings.count()), end="")
         return 0

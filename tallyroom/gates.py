@@ -43,6 +43,7 @@ class Room:
     renders: DataFrame | None = None
     eval_key: DataFrame | None = None
     expected_key: DataFrame | None = None
+    figures_fault: str | None = None
     lengths: DataFrame | None = None
     patterns: DataFrame | None = None
     gaps: list[str] = field(default_factory=list)
@@ -169,7 +170,9 @@ def key_root(room: Room) -> Verdict:
 
 def figures(room: Room) -> Verdict:
     if room.figures is None or room.figures.isEmpty():
-        return SKIP, "no figures"
+        return SKIP, room.figures_fault or "no figures"
+    if not (bad := A.contradictions(room.figures)).isEmpty():
+        return _listed(bad.select("key", F.lit("contradicts itself: mend the fact sheet"), "old"))
     docs = room.blind.select("rel_path", "text")
     current = room.figures.select("key", F.col("value").alias("needle"))
     old = room.figures.select("key", F.explode("superseded").alias("needle"))

@@ -79,6 +79,11 @@ def cross_references(docs: DataFrame, slots: DataFrame, gaps: list[str] | None =
     return refs.join(slots.select(F.col("slot_id").alias("ref")), "ref", "left_anti").select("rel_path", "ref")
 
 
+def contradictions(figures: DataFrame) -> DataFrame:
+    """(key, old) of superseded values that stand, by themselves, inside the current value (key, value, superseded) of their own key: no text can have the one without the other."""
+    return figures.select("key", "value", F.explode("superseded").alias("old")).where(T.isolated(F.col("value"), F.col("old"))).select("key", "old")
+
+
 def checked_references(docs: DataFrame, slots: DataFrame, section_numbers: DataFrame, gaps: list[str] | None = None) -> DataFrame:
     """(rel_path, ref, problem) of slot-shaped references that are no clause numbers: "out of range" where no section has their number (number), "dangling"
     where one has but no slot, allowed gap or the document's own slot explains them."""

@@ -198,6 +198,14 @@ def tool_reports(spark: SparkSession, path: str) -> DataFrame:
     return one.select("tool_index", F.coalesce("f.title", F.lit("")).alias("title"), F.coalesce("f.severity", F.lit("medium")).alias("severity"), F.coalesce("f.documents", F.array().cast("array<string>")).alias("documents"), F.coalesce("f.summary", F.lit("")).alias("summary"))
 
 
+def report_hash(spark: SparkSession, path: str) -> str:
+    """The room hash that a tool's JSON output names, or an empty text; other forms have no place for one."""
+    if path.endswith((".md", ".docx")):
+        return ""
+    row = spark.read.schema("room_hash string").json(path, multiLine=True).first()
+    return (row["room_hash"] if row else "") or ""
+
+
 def markdown_reports(texts: DataFrame, by: str = "rel_path") -> DataFrame:
     """by, tool_index, title, severity, documents, summary of markdown reports: a heading of level 2 to 4 begins one; what is
     below it tells the rest: the first severity word counts, else medium; documents are the paths in backticks, as often as

@@ -1,6 +1,8 @@
 """Answer keys, lenient readers, ranks, names, references and trees on small cases."""
 
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from tallyroom.operators import answerkey as K
 from tallyroom.operators import audit, candidates, classify, order, ranks
 from tallyroom.sources import lenient as L
 from tallyroom.sources import room as R
-from tallyroom.sources import sinks, trees
+from tallyroom.sources import sinks, trees, word
 
 
 def table(spark, rows, schema):
@@ -357,3 +359,47 @@ def test_confusion_with_its_remainder(spark):
     shown = classify.confusion_shown(pairs, 15).collect()
     assert len(shown) == 15 and {r["left"] for r in shown} == {5}
     assert "| … | … | +5 more pairs |" in sinks.classification_text(pairs, "t", "unverified")
+
+
+# Word reports
+
+W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def word_file(body, styles=(("H1", "heading 1"), ("H2", "Heading 2"), ("L", "List Bullet"), ("T", "Title")), links=(("r1", "01_a/x y.md"),)):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body>{body}</w:body></w:document>")
+        z.writestr("word/styles.xml", f"<w:styles {W}>" + "".join(f'<w:style w:styleId="{i}"><w:name w:val="{n}"/></w:style>' for i, n in styles) + "</w:styles>")
+        z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="{i}" Target="{t}"/>' for i, t in links) + "</Relationships>")
+    return out.getvalue()
+
+
+def par(text, style=None):
+    return "<w:p>" + (f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else "") + "".join(f'<w:r><w:t xml:space="preserve">{t}</w:t></w:r>' for t in text.split("~")) + "</w:p>"
+
+
+def test_word_reports(spark, tmp_path, monkeypatch, capsys):
+    link = '<w:p><w:r><w:t>see </w:t></w:r><w:hyperlink r:id="r1"><w:r><w:t>the deed</w:t></w:r></w:hyperlink></w:p>'
+    table_ = "<w:tbl><w:tr><w:tc>" + par("not read") + "</w:tc></w:tr></w:tbl>"
+    good = word_file(par("Report", "T") + par("", "H2") + par("Void ~issue", "H2") + par("HIGH risk &amp; more `01_corporate/1.1.1_paper-1.md`") + par("one", "L") + link + table_ + par("a<w:tab/>b".replace("<w:tab/>", "</w:t><w:tab/><w:t>")) + par("Deep", "H1"))
+    rows = [("good.docx", good), ("bad.docx", b"PK no zip"), ("empty.docx", b""), ("null.docx", None), ("torn.docx", word_file(par("x"))[:-40]), ("plain.docx", word_file(""))]
+    found = {r["rel_path"]: r for r in word.word_markdown(word.word_paragraphs(table(spark, rows, "rel_path string, content binary").repartition(3))).collect()}
+    assert found["good.docx"]["text"] == "# Report\n\n## Void issue\nHIGH risk & more `01_corporate/1.1.1_paper-1.md`\n- one\nsee the deed (01_a/x y.md)\na\tb\n# Deep\n"
+    assert found["good.docx"]["note"] == "tables that were not read: 1" and found["good.docx"]["error"] is None
+    assert all(found[p]["error"] and found[p]["text"] is None for p in ("bad.docx", "empty.docx", "null.docx", "torn.docx")) and "plain.docx" not in found
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    room = a_room(tmp_path)
+    (tmp_path / "_key/findings.yaml").write_text("findings:\n- {id: F-1, title: t, severity: high, workstream: w, source: 01_corporate/1.1.1_paper-1.md, location: l, substance: s}\n- {id: F-2, title: t, severity: low, workstream: w, source: 02_finance/2.1.1_paper-1.md, location: l, substance: s}\n")
+    (tmp_path / "r.docx").write_bytes(good)
+    (tmp_path / "b.json").write_text(json.dumps({"room_hash": "h", "findings": [{"title": "x", "severity": "low", "documents": ["02_finance/2.1.1_paper-1.md"]}]}))
+    assert cli.main(["score", "--room", room, str(tmp_path / "r.docx"), "--baseline", str(tmp_path / "b.json")]) == 0
+    out = capsys.readouterr().out
+    assert "provenance: unverified" in out and "recall 0.50" in out and "gained: F-1" in out and "lost: F-2" in out
+    (tmp_path / "_key/manifest.json").write_text(json.dumps({"content_hash": "other"}))
+    assert cli.main(["score", "--room", room, str(tmp_path / "b.json")]) == 2
+
+
+def test_a_fact_sheet_that_contradicts_itself(spark):
+    figures = table(spark, [("date", "31 March 2026", ["March 2026", "30 March"]), ("area", "3700m", ["700m"]), ("rent", "5", [])], "key string, value string, superseded array<string>")
+    assert [tuple(r) for r in audit.contradictions(figures).collect()] == [("date", "March 2026")]
