@@ -1,10 +1,11 @@
-"""python -m tallyroom.cli audit | score | manifest | answerkey | classify | names | corrupt | subset | flag: the engine from a shell.
+"""python -m tallyroom.cli audit | score | manifest | answerkey | classify | names | corrupt | subset | flag | key | import: the engine from a shell.
 
 Exit 0: sound, 1: not, 2: could not be read."""
 
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyroom.operators import answerkey as K
 from tallyroom.operators import candidates
 from tallyroom.operators import classify as C
+from tallyroom.operators import importer as I
 from tallyroom.operators import match as M
 from tallyroom.session import session
 from tallyroom.sources import lenient, sinks, trees, word
@@ -42,16 +44,23 @@ def _room(spark, root: str):
         subset=subset, eval_key=eval_key, expected_key=expected, figures_fault=fault, lengths=R.lengths(spark, said) if (said := text(f"{root}/lengths.yaml")) else None, gaps=R.gaps(gaps) if gaps else [])
 
 
-def _reports(spark, path: str):
-    """A tool's reports from JSON, markdown or a Word file."""
+def _report_text(spark, path: str) -> str:
+    """A report's text, from markdown or a Word file."""
     if not path.endswith(".docx"):
-        return R.reports_of(spark, path)
+        return spark.read.format("binaryFile").load(path).select(R.report_text(F.col("content"))).first()[0]
     said = word.word_markdown(word.word_paragraphs(spark.read.format("binaryFile").load(path).select(F.col("path").alias("rel_path"), "content"))).first()
     if said is None or said["error"]:
         raise R.RoomError(f"{path}: {said['error'] if said else 'no such file'}")
     if said["note"]:
         print(f"warning: {said['note']}", file=sys.stderr)
-    found = R.markdown_reports(spark.createDataFrame([(path, said["text"])], "rel_path string, text string")).drop("rel_path")
+    return said["text"]
+
+
+def _reports(spark, path: str):
+    """A tool's reports from JSON, markdown or a Word file."""
+    if not path.endswith(".docx"):
+        return R.reports_of(spark, path)
+    found = R.markdown_reports(spark.createDataFrame([(path, _report_text(spark, path))], "rel_path string, text string")).drop("rel_path")
     if found.isEmpty():
         raise R.RoomError("no finding in this report: each is a heading of level 2 to 4")
     return found
@@ -114,6 +123,35 @@ def _names(spark, args) -> int:
     return 1 if bad else 0
 
 
+def _import(spark, args) -> int:
+    """Turns a reviewer's report into a tool's output, or says why it cannot be scored."""
+    conf = R.room_conf(R.text_of(spark, f"{args.room}/room.conf"))
+    cut_name = (args.cut or conf.get("BLIND_TREE")).strip("/")
+    if not R.exists(spark, f"{args.room}/{cut_name}"):
+        raise R.RoomError(f"no folder {cut_name} in the room")
+    sections, cut = conf.words("SECTION_DIRS"), R.cut_documents(R.tree(spark, f"{args.room}/{cut_name}")).cache()
+    text = _report_text(spark, args.report)
+    report = spark.createDataFrame([(args.report, text)], "rel_path string, text string")
+    markers = [x for x in (*conf.get("KEY_ROOT").split("/"), conf.get("FLAGGED_TREE").strip("/").split("/")[-1]) if x]
+    got = I.imported(report, cut, sections, markers, args.wide)
+    wrong = got["refused"].where("rule <> 'not in the cut'" if args.drop_unknown else "true")
+    if rows := K.named(wrong, "rule", "path").orderBy("rule").collect():
+        raise R.RoomError("; ".join(f"{r['rule']}: {r['n']} ({r['named']})" for r in rows))
+    issues = got["issues"].orderBy("tool_index").collect()  # those of one report
+    if not issues:
+        raise R.RoomError("no issue in this report: each is a heading of level 2 to 4")
+    here = {r["rel_path"] for r in cut.join(got["issues"].select(F.explode("documents").alias("rel_path")).distinct(), "rel_path", "left_semi").collect()}
+    field = report.select(I.preamble_fields(F.col("text")).alias("f")).first()["f"]
+    manifest = f"{_key_path(args.room, conf)}/manifest.json"
+    output = {"tool": args.tool or " / ".join(x for x in (field["model"], field["skill"]) if x) or "unknown", "room_hash": sinks.read_hash(R.text_of(spark, manifest)) if R.exists(spark, manifest) else "",
+              "findings": [{"title": r["title"], "severity": r["severity"], "documents": [p for p in r["documents"] if p in here], "summary": r["summary"]} for r in issues]}
+    trees.text_file(spark, args.out, json.dumps(output, indent=2, ensure_ascii=False) + "\n")
+    counts = I.import_counts({**got, "issues": got["issues"].withColumn("documents", F.filter("documents", lambda p: p.isin(*here)) if here else F.array().cast("array<string>"))}, cut).first().asDict()
+    dropped = sorted(r["path"] for r in got["refused"].where("rule = 'not in the cut'").select("path").distinct().collect())
+    print(sinks.import_text(output, counts, cut_name, not got["read"].isEmpty(), dropped), end="")
+    return 0
+
+
 def _derive(spark, args) -> int:
     """Writes a corrupted, subset or flagged tree to a new folder."""
     conf = R.room_conf(R.text_of(spark, f"{args.room}/room.conf"))
@@ -124,6 +162,9 @@ def _derive(spark, args) -> int:
         docs = R.documents(files)
         others = files.join(docs.select("rel_path"), "rel_path", "left_anti")
         told = trees.write_corrupted(docs.select("rel_path", "text"), others, lenient.key_rows(spark, f"{key}/answer-key.jsonl"), args.out, room, args.seed, args.profile, conf.words("SECTION_DIRS"), sinks.read_hash(R.text_of(spark, manifest)) if R.exists(spark, manifest) else "", conf.get("BLIND_TREE").strip("/"))
+    elif args.command == "key":
+        flagged = R.tree(spark, f"{args.room}/{conf.get('FLAGGED_TREE')}")
+        told = trees.write_key(flagged, R.findings(spark, R.text_of(spark, f"{key}/findings.yaml")), R.distractors(spark, R.text_of(spark, f"{key}/distractors.yaml")), args.out, args.room)
     elif args.command == "subset":
         told = trees.write_subset(files, R.findings(spark, R.text_of(spark, f"{key}/findings.yaml")), args.total, args.out, room)
     else:
@@ -135,7 +176,7 @@ def _derive(spark, args) -> int:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tallyroom")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("audit", "score", "manifest", "answerkey", "classify", "names", "corrupt", "subset", "flag"):
+    for name in ("audit", "score", "manifest", "answerkey", "classify", "names", "corrupt", "subset", "flag", "key", "import"):
         p = commands.add_parser(name)
         p.add_argument("--room", required=True)
         if name == "answerkey":
@@ -145,11 +186,17 @@ def main(argv: list[str] | None = None) -> int:
             p.add_argument("output")
             p.add_argument("--key")
             p.add_argument("--manifest")
-        if name in ("corrupt", "subset", "flag"):
+        if name in ("corrupt", "subset", "flag", "key", "import"):
             p.add_argument("--out", required=True)
         if name == "corrupt":
             p.add_argument("--seed", type=int, required=True)
             p.add_argument("--profile", choices=("light", "heavy"), default="light")
+        if name == "import":
+            p.add_argument("report")
+            p.add_argument("--cut")
+            p.add_argument("--tool")
+            p.add_argument("--drop-unknown", action="store_true")
+            p.add_argument("--wide", action="store_true")
         if name == "subset":
             p.add_argument("--total", type=int, required=True)
         if name == "audit":
@@ -161,15 +208,16 @@ def main(argv: list[str] | None = None) -> int:
     args = parser.parse_args(argv)
     spark = session()
     try:
-        if run := {"answerkey": _answerkey, "classify": _classify, "names": _names, "corrupt": _derive, "subset": _derive, "flag": _derive}.get(args.command):
+        if run := {"answerkey": _answerkey, "classify": _classify, "names": _names, "corrupt": _derive, "subset": _derive, "flag": _derive, "key": _derive, "import": _import}.get(args.command):
             return run(spark, args)
         room = _room(spark, args.room)
         if args.command == "audit":
             from tallyroom import gates
 
-            results = gates.run(room)
+            results = gates.run(room).cache()
             for r in results.orderBy("gate").collect():
                 print(f"{r['status']:4} {r['gate']:2} {r['name']}: {r['detail']}")
+            print(f"\n{gates.summary(results, args.strict)}")
             return 0 if gates.passed(results, args.strict) else 1
         if args.command == "score":
             reports = _reports(spark, args.output)

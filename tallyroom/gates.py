@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyroom.functions import text as T
 from tallyroom.operators import audit as A
+from tallyroom.operators import candidates as N
 from tallyroom.operators import houseforms as H
 from tallyroom.operators import match as M
 from tallyroom.operators import tells as E
@@ -187,6 +188,8 @@ def names(room: Room) -> Verdict:
         return SKIP, "no name check"
     known = [r[0] for r in room.cast.select("name").collect()] if room.cast is not None else []
     seen = room.blind.select(F.explode(T.entity_tokens(T.mask_names(F.col("text"), known))).alias("candidate")).distinct()
+    if room.cast is not None and not (bad := room.cast.where("kind = 'entity'").where(N.malformed(F.col("name"))).select("name", F.lit("would mask every name that ends so"))).isEmpty():
+        return _listed(bad)
     checked = room.verdicts.select(F.col("name").alias("candidate"))
     loose = seen.join(checked, "candidate", "left_anti")
     if known:
@@ -291,6 +294,18 @@ def run(room: Room, gates: dict[int, Callable[[Room], Verdict]] | None = None) -
     return room.spark.createDataFrame(rows, "gate int, name string, status string, detail string")
 
 
+def summary(results: DataFrame, strict: bool = False) -> str:
+    """How many gates ran, failed, were skipped and warned; where most were skipped, that nothing is verified."""
+    n = {r["status"]: r["n"] for r in results.groupBy("status").agg(F.count("*").alias("n")).collect()}
+    total, failed, skipped = sum(n.values()), n.get(FAIL, 0), n.get(SKIP, 0)
+    out = f"{total} gates run, {failed} failed, {skipped} skipped, {n.get(WARN, 0)} warned"
+    if not failed and not skipped:
+        out += "; no hard failures"
+    elif not failed and 2 * skipped > total:
+        out += f"; MOST GATES SKIPPED ({skipped}/{total}): this does not verify the room"
+    return out + ("; skipped gates count as failures" if strict and skipped else "")
+
+
 def passed(results: DataFrame, strict: bool = False) -> bool:
     """No FAIL; with ``strict`` no SKIP either."""
     return results.where(F.col("status").isin(*([FAIL, SKIP] if strict else [FAIL]))).isEmpty()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyroom.sources.room import markdown_reports
+from tallyroom.sources.room import SEVERITIES, markdown_reports
 
 MAX_CITATIONS = 20
 PATH = r"[^\s`\[\]()<>|*\"']+/[^\n`\[\]()<>|*\"']*?\.(?:md|csv|pdf|docx)"
@@ -67,6 +67,39 @@ def imported(reports: DataFrame, cut: DataFrame, sections: list[str], markers: l
     return {"issues": issues.drop("raw"), "refused": unknown.union(keyed).union(broad).distinct(), "read": read, "uncited": cut.select(F.col("rel_path").alias("path")).distinct().join(cites, "path", "left_anti")}
 
 
+#: What a report's preamble says of the run.
+FIELDS = ("model", "skill")
+
+
+def preamble_fields(text: Column) -> Column:
+    """model and skill that a report names before its first issue ("Model: x", in bold or not; two on one line are told apart), as a struct."""
+    head = F.get(F.split(F.concat(F.lit("\n"), text), r"\n#{2,4}(?!#)\s*\S"), F.lit(0))
+    names = "|".join(FIELDS)
+    one = lambda n: F.trim(F.regexp_replace(F.regexp_extract(head, rf"(?im)^[\s>*_-]*(?:.*?[\s,;|*_])?{n}[*_]*\s*:[*_]*\s*(.*?)(?:[\s,;|*_]+(?:{names})[*_]*\s*:.*)?$", 1), r"^[*_]+|[*_]+$", ""))
+    return F.struct(*(one(n).alias(n) for n in FIELDS))
+
+
+def names_room(preamble: Column, room: str) -> Column:
+    """Whether a text names the room as a whole word, in any case."""
+    quoted = "\\Q" + room.replace("\\E", "") + "\\E"
+    return preamble.rlike(rf"(?i)(?<![\p{{L}}\p{{N}}_]){quoted}(?![\p{{L}}\p{{N}}_])")
+
+
+def import_counts(parts: dict[str, DataFrame], cut: DataFrame) -> DataFrame:
+    """One row of what an import holds: issues (each severity's, and those that cite nothing), documents of the cut, cited, read, not read, not read beside one
+    that is, and cited without being read."""
+    issues, docs = parts["issues"], cut.select(F.col("rel_path").alias("path")).distinct()
+    cited = issues.select(F.explode("documents").alias("path")).distinct().join(docs, "path", "left_semi")
+    read = parts["read"].select("path").distinct().join(docs, "path", "left_semi")
+    missed = docs.join(read, "path", "left_anti")
+    counts = issues.agg(F.count("*").alias("issues"), *(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES), F.count_if(F.size("documents") == 0).alias("uncited"))
+    of = lambda df, name: df.agg(F.count("*").alias(name))
+    more = [of(docs, "cut"), of(cited, "cited"), of(read, "read"), of(missed, "not_read"), of(unexplained_misses(missed, read), "unexplained"), of(cited.join(read, "path", "left_anti"), "cited_not_read")]
+    for one in more:  # each has one row
+        counts = counts.join(one)
+    return counts
+
+
 def unexplained_misses(missed: DataFrame, read: DataFrame) -> DataFrame:
     """Missed evidence paths whose folder holds a document that was read."""
     folder = lambda c: F.regexp_replace(c, "/[^/]*$", "")

@@ -89,6 +89,26 @@ def findings_text(findings: DataFrame) -> str:
     return "# Findings\n" + "".join(f"\n## {r['finding_id']} {r['title']} ({r['severity']})\n\n{r['substance']}\n\nSource: `{r['source']}`, {r['location']}\n" for r in rows)
 
 
+def distractors_text(distractors: DataFrame) -> str:
+    """The key's distractors as markdown, by id."""
+    rows = distractors.orderBy("distractor_id").collect()
+    return "# Distractors\n" + "".join(f"\n## {r['distractor_id']} {r['title']}\n\nLooks like an issue: `{r['location']}`\n\nResolved by: `{r['resolution']}`\n" + (f"\nShaped like {r['shape_matches']}\n" if r["shape_matches"] else "") for r in rows)
+
+
+def import_text(output: dict, counts: dict, cut: str, read_named: bool, dropped: list[str] = ()) -> str:
+    """An import's summary; what is listed is bounded."""
+    out = [f"Imported {counts['issues']} issues ({', '.join(f'{s} {counts[s]}' for s in SEVERITIES)}), citing {counts['cited']} documents.", f"Cut: {cut}, {counts['cut']} documents."]
+    if read_named:
+        out += [f"Files read: {counts['read']} of {counts['cut']} named; {counts['not_read']} not named, {counts['unexplained']} of them beside one that is.", f"Cited but not named as read: {counts['cited_not_read']}."]
+    else:
+        out += ["The report does not say which files were read."]
+    if dropped:
+        out += [f"Dropped, not in the cut: {', '.join(dropped[:10])}" + (f" (+{len(dropped) - 10} more)" if len(dropped) > 10 else "")]
+    if counts["uncited"]:
+        out += [f"{counts['uncited']} issues cite no document of the cut; only an adjudication can place them."]
+    return "\n".join([*out, f"Tool: {output['tool']}"]) + "\n"
+
+
 def index_sources(slots: DataFrame) -> DataFrame:
     """section, text: one index page a section, its slots (slot_id, rel_path, number, sub, ordinal) in numeric order."""
     name = F.regexp_replace(F.element_at(F.split("rel_path", "/"), -1), r"^[0-9.]+_|\.md$", "")

@@ -116,7 +116,8 @@ def publish(spark: SparkSession, target: str, parts: Callable[[str], None]) -> s
     return target
 
 
-def _text_file(spark: SparkSession, path: str, text: str) -> None:
+def text_file(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, False)
     out.write(bytearray(text.encode()))
@@ -168,7 +169,7 @@ def write_corrupted(docs: DataFrame, others: DataFrame, key: DataFrame, target:
         sorted_lines(twin.select("new_path", line.alias("line")), f"{folder}/answer-key.jsonl", "new_path")
         sorted_lines(log_line(twin), f"{folder}/log.jsonl", "rel_path")
         more = {"derived_from": derived_from} if derived_from else {}
-        _text_file(spark, f"{folder}/manifest.json", sinks.manifest(files, room, seed=seed, **more))
+        text_file(spark, f"{folder}/manifest.json", sinks.manifest(files, room, seed=seed, **more))
 
     try:
         publish(spark, target, parts)
@@ -198,7 +199,7 @@ def write_subset(files: DataFrame, findings: DataFrame, total: int, target: str,
         quoted = F.when(F.col("rel_path").rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace("rel_path", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("rel_path"))
         sorted_lines(picked.select("rel_path", F.concat_ws(",", quoted, "role").alias("line")), f"{folder}/subset-manifest.csv", "rel_path")
         said = {"schema_version": 1, "room": room, "subset_documents": n, "findings": [{"id": r["finding_id"], "severity": r["severity"], "evidence": list(r["evidence"])} for r in rows]}
-        _text_file(spark, f"{folder}/subset-key.yaml", yaml.safe_dump(said, sort_keys=False))
+        text_file(spark, f"{folder}/subset-key.yaml", yaml.safe_dump(said, sort_keys=False))
 
     try:
         publish(spark, target, parts)
@@ -237,3 +238,49 @@ def write_flagged(files: DataFrame, findings: DataFrame, distractors: DataFrame,
     whole = files.select("rel_path", "content").join(carriers.select("rel_path"), "rel_path", "left_anti").union(blocks)
     publish(spark, target, lambda folder: write_tree(whole, folder))
     return carrier_tally(files, carried).first().asDict()
+
+
+# The key for people
+
+
+def wanted_paths(findings: DataFrame, distractors: DataFrame) -> DataFrame:
+    """rel_path of all that a key names: evidence, and both ends of distractors."""
+    from tallyroom.sources.room import evidence
+
+    ends = distractors.select("location").union(distractors.select("resolution")).toDF("rel_path")
+    return evidence(findings).select("rel_path").union(ends).where("rel_path IS NOT NULL").distinct()
+
+
+def write_key(flagged: DataFrame, findings: DataFrame, distractors: DataFrame, target: str, room: str) -> dict:
+    """A key's findings and distractors as text, and the documents that they name from the flagged tree (rel_path, content), in a new folder outside the room."""
+    spark = flagged.sparkSession
+    plain = lambda p: p.removeprefix("file://").rstrip("/") + "/"
+    if plain(target).startswith(plain(room)):
+        raise RoomError("a key is never written into its room, where an upload could carry it")
+    wanted = wanted_paths(findings, distractors)
+    if lost := wanted.join(flagged.select("rel_path"), "rel_path", "left_anti").orderBy("rel_path").take(5):
+        raise RoomError(f"not in the flagged tree: {', '.join(r[0] for r in lost)}")
+
+    def parts(folder: str) -> None:
+        write_tree(flagged.select("rel_path", "content").join(wanted, "rel_path", "left_semi"), f"{folder}/flagged")
+        text_file(spark, f"{folder}/findings.md", sinks.findings_text(findings))
+        text_file(spark, f"{folder}/distractors.md", sinks.distractors_text(distractors))
+
+    publish(spark, target, parts)
+    return {"findings": findings.count(), "distractors": distractors.count(), "flagged": wanted.count()}
+
+
+# Scanned slots
+
+
+def write_scanned(slots: DataFrame, path: str) -> None:
+    """The list of scanned slots (slot_id), sorted, as CSV parts with a header."""
+    slots.select("slot_id").distinct().repartitionByRange("slot_id").sortWithinPartitions("slot_id").write.mode("errorifexists").csv(path, header=True)
+
+
+def scanned(spark: SparkSession, path: str) -> DataFrame:
+    """slot_id of the list of scanned slots; other columns are not read."""
+    rows = spark.read.option("header", "true").csv(path)
+    if "slot_id" not in rows.columns:
+        raise RoomError(f"{path}: no column slot_id")
+    return rows.select(F.trim("slot_id").alias("slot_id")).where("slot_id <> ''").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyroom import cli
 from tallyroom.functions import text as T
 from tallyroom.operators import answerkey as K
-from tallyroom.operators import audit, candidates, classify, order, ranks
+from tallyroom.operators import audit, candidates, classify, importer, order, ranks
 from tallyroom.sources import lenient as L
 from tallyroom.sources import room as R
 from tallyroom.sources import sinks, trees, word
@@ -403,3 +403,61 @@ def test_word_reports(spark, tmp_path, monkeypatch, capsys):
 def test_a_fact_sheet_that_contradicts_itself(spark):
     figures = table(spark, [("date", "31 March 2026", ["March 2026", "30 March"]), ("area", "3700m", ["700m"]), ("rent", "5", [])], "key string, value string, superseded array<string>")
     assert [tuple(r) for r in audit.contradictions(figures).collect()] == [("date", "March 2026")]
+
+
+# Imports, key for people, scanned slots
+
+
+@pytest.mark.parametrize(("head", "model", "skill"), [("**Model:** Big 3\nSkill: review\n", "Big 3", "review"), ("Model: Big 3, Skill: _review_", "Big 3", "review"), ("- Model: x\n", "x", ""), ("nothing", "", ""), ("text\n## Issue\nModel: late", "", "")])
+def test_what_a_preamble_says(spark, head, model, skill):
+    row = table(spark, [(head,)], "t string").select(importer.preamble_fields(F.col("t")).alias("f"), importer.names_room(F.col("t"), "Big").alias("big")).first()
+    assert (row["f"]["model"], row["f"]["skill"]) == (model, skill) and row["big"] == ("Big" in head)
+
+
+def test_an_import_from_the_shell(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    room = a_room(tmp_path)
+    report = tmp_path / "review.md"
+    report.write_text("Model: Big 3\n\n## Void\nHigh risk in `01_corporate/1.1.1_paper-1.md` and 01_corporate/gone.md here.\n## Loose\nLow, no path.\n# Files read\n- 01_corporate/1.1.1_paper-1.md\n- 01_corporate/1.1.2_paper-2.md\n")
+    out = tmp_path / "out.json"
+    assert cli.main(["import", "--room", room, "--out", str(out), str(report)]) == 2 and "not in the cut: 1 (01_corporate/gone.md)" in capsys.readouterr().err and not out.exists()
+    assert cli.main(["import", "--room", room, "--out", str(out), "--drop-unknown", str(report)]) == 0
+    said = capsys.readouterr().out
+    assert "Imported 2 issues (critical 0, high 1, medium 0, low 1), citing 1 documents." in said and "Files read: 2 of 40 named; 38 not named, 18 of them beside one that is." in said and "1 issues cite no document" in said and "Dropped, not in the cut: 01_corporate/gone.md" in said
+    told_ = json.loads(out.read_text())
+    assert told_["tool"] == "Big 3" and [(f["title"], f["severity"], f["documents"]) for f in told_["findings"]] == [("Void", "high", ["01_corporate/1.1.1_paper-1.md"]), ("Loose", "low", [])]
+    assert cli.main(["score", "--room", room, str(out)]) == 0
+    report.write_text("## Void\nsee `_key/01_corporate/1.1.1_paper-1.md`\n")
+    assert cli.main(["import", "--room", room, "--out", str(tmp_path / "no.json"), str(report)]) == 2 and "on the key's side" in capsys.readouterr().err
+    assert cli.main(["import", "--room", room, "--out", str(tmp_path / "no.json"), "--cut", "none", str(report)]) == 2
+
+
+def test_a_key_for_people(spark, tmp_path):
+    flagged = table(spark, [(p, t.encode()) for p, t in DOCS.items()], "rel_path string, content binary")
+    findings = table(spark, FINDING_ROWS[:2], R.FINDING)
+    traps = table(spark, [("D-1", "Trap", "01_corporate/1.1.3_paper-3.md", "01_corporate/1.1.4_paper-4.md", "F-1")], R.DISTRACTOR)
+    room = str(tmp_path / "room")
+    assert trees.write_key(flagged, findings, traps, str(tmp_path / "key"), room) == {"findings": 2, "distractors": 1, "flagged": 4}
+    assert tree_of(spark, tmp_path / "key/flagged").keys() == {"01_corporate/1.1.1_paper-1.md", "02_finance/2.1.2_paper-2.md", "01_corporate/1.1.3_paper-3.md", "01_corporate/1.1.4_paper-4.md"}
+    assert (tmp_path / "key/findings.md").read_text().index("F-1") < (tmp_path / "key/findings.md").read_text().index("F-2") and "Shaped like F-1" in (tmp_path / "key/distractors.md").read_text()
+    for target, frame in ((f"{room}/key", findings), (str(tmp_path / "no"), table(spark, FINDING_ROWS, R.FINDING))):
+        with pytest.raises(R.RoomError):
+            trees.write_key(flagged, frame, traps, target, room)
+    assert not (tmp_path / "no").exists()
+
+
+def test_scanned_slots(spark, tmp_path):
+    trees.write_scanned(table(spark, [("1.1.2",), ("1.1.1",), ("1.1.2",)], "slot_id string"), str(tmp_path / "scanned.csv"))
+    assert sorted(r[0] for r in trees.scanned(spark, str(tmp_path / "scanned.csv")).collect()) == ["1.1.1", "1.1.2"]
+    (tmp_path / "bad.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(R.RoomError):
+        trees.scanned(spark, str(tmp_path / "bad.csv"))
+
+
+def test_most_gates_skipped_is_said(spark):
+    from tallyroom import gates
+
+    rows = lambda *states: table(spark, [(i, "g", s, "") for i, s in enumerate(states)], "gate int, name string, status string, detail string")
+    assert gates.summary(rows("PASS", "WARN")) == "2 gates run, 0 failed, 0 skipped, 1 warned; no hard failures"
+    assert "MOST GATES SKIPPED (2/3)" in gates.summary(rows("PASS", "SKIP", "SKIP")) and "MOST" not in gates.summary(rows("PASS", "SKIP"))
+    assert gates.summary(rows("FAIL", "SKIP", "SKIP"), True).endswith("2 skipped, 0 warned; skipped gates count as failures")
