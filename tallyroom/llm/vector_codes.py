@@ -4,11 +4,11 @@ Codebooks come from Lloyd's rounds with Elkan's bounds.  Each vector keeps, for
 bound for each entry.  After entries have moved, the upper bound grows by its entry's move and each lower bound shrinks by that of its
 own; an entry is looked at only where neither its lower bound nor half the distance between it and the part's entry lies strictly above the
 upper bound.  What is left is compared by squared distances of integers, the lower index winning ties.  Bounds are rounded outward
-(lower ones are stored as the upper half of a 32-bit float), so they never hide an entry that is as near.
+(lower ones are stored in a byte each), so they never hide an entry that is as near.
 
 Components are integers: floor(1024 x).  Rounds are Spark jobs: one assigns and writes rows with their new bounds as a table in the shared folder (the table before
 it is deleted then), one sums the parts of each entry, combined before the shuffle, to one row for each part and entry.  The
-driver holds the codebooks: ``entries`` times the dimension, whatever the number of vectors.  Bounds take ``2 * parts * entries`` bytes a row, and two tables with
+driver holds the codebooks: ``entries`` times the dimension, whatever the number of vectors.  Bounds take ``parts * entries`` bytes a row, and two tables with
 bounds exist at most.
 
 Defined results: rows go whose vector is null or empty, has a null or non-finite component, or another length than the vector of the least id
@@ -62,13 +62,18 @@ def _matrix(col: pa.Array, size: int) -> np.ndarray:
     return np.asarray(col.flatten(), np.int64).reshape(len(col), size)
 
 
-def _stored(lower: np.ndarray) -> np.ndarray:
-    """Lower bounds as the upper half of a 32-bit float, rounded toward zero."""
-    return (np.maximum(lower * (1 - 1e-6), 0).astype(np.float32).view(np.uint32) >> np.uint32(16)).astype(np.uint16)
+def _stored(lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """Lower bounds in a byte each, as their ratio to the part's upper bound: 32 steps a doubling, from a quarter to 63 times that, rounded down; 0 says nothing.
 
+    A lower bound far below the upper one prunes nothing, so little is lost."""
+    ratio = lower / np.maximum(upper, 1.0)[..., None]
+    with np.errstate(divide="ignore"):
+        step = np.floor(32 * np.log2(ratio) - 1e-6) + 65
+    return np.clip(step, 0, 255).astype(np.uint8)
 
-def _restored(raw: np.ndarray) -> np.ndarray:
-    return (raw.astype(np.uint32) << np.uint32(16)).view(np.float32).astype(np.float64)
+
+def _restored(raw: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    return np.where(raw > 0, np.maximum(upper, 1.0)[..., None] * 2.0 ** ((raw.astype(np.float64) - 65) / 32), 0.0) * (1 - SLACK)
 
 
 def squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -154,17 +159,17 @@ def assign(rows: DataFrame, codebooks: Codebooks, before: Codebooks | None, size
             for lo in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(lo, ROWS)
                 v, k = _matrix(batch["v"], size), batch.num_rows
-                code, upper, lower = np.empty((k, len(spans)), np.uint16), np.empty((k, len(spans))), np.empty((k, len(spans), n), np.uint16)
+                code, upper, lower = np.empty((k, len(spans)), np.uint16), np.empty((k, len(spans))), np.empty((k, len(spans), n), np.uint8)
                 computed = 0
                 if moved:
-                    old = _read(batch["code"], np.uint16, (len(spans),)), _read(batch["upper"], np.float64, (len(spans),)), _read(batch["lower"], np.uint16, (len(spans), n))
+                    old = _read(batch["code"], np.uint16, (len(spans),)), _read(batch["upper"], np.float64, (len(spans),)), _read(batch["lower"], np.uint8, (len(spans), n))
                 for p, (a, b) in enumerate(spans):
                     if moved:
-                        at, u, low, some = reassigned(v[:, a:b], old[0][:, p].astype(np.int64), old[1][:, p], _restored(old[2][:, p]), moved[p])
+                        at, u, low, some = reassigned(v[:, a:b], old[0][:, p].astype(np.int64), old[1][:, p], _restored(old[2][:, p], old[1][:, p]), moved[p])
                     else:
                         at, d2, low = first_assignment(v[:, a:b], codebooks[p])
                         u, some = np.sqrt(d2) * (1 + SLACK), low.size
-                    code[:, p], upper[:, p], lower[:, p] = at, u, _stored(low)
+                    code[:, p], upper[:, p], lower[:, p] = at, u, _stored(low, u)
                     computed += some
                 yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["label"], batch["v"], _binary(code), _binary(upper), _binary(lower), pa.array([computed, *[0] * (k - 1)], pa.int64())], ["vec_id", "label", "v", "code", "upper", "lower", "computed"])
 

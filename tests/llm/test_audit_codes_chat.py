@@ -155,13 +155,15 @@ def test_bounds_prune_and_hold():
     x = np.floor(centres[rng.integers(0, 32, 3000)] + rng.normal(0, 40, (3000, 16))).astype(np.int64)
     before = np.floor(centres + rng.normal(0, 30, centres.shape)).astype(np.int64)
     at, d2, lower = vector_codes.first_assignment(x, before)
-    lower, upper = vector_codes._restored(vector_codes._stored(lower)), np.sqrt(d2)
+    upper = np.sqrt(d2)
+    lower = vector_codes._restored(vector_codes._stored(lower, upper), upper)
+    assert (lower**2 <= vector_codes.squared(x, before)).all()
     now = np.stack([np.floor(x[at == e].mean(0)).astype(np.int64) if (at == e).any() else before[e] for e in range(32)])
     at, upper, lower, computed = vector_codes.reassigned(x, at, upper, lower, vector_codes.Moved(before, now))
     exact = vector_codes.squared(x, now)
     assert (at == exact.argmin(1)).all()
     assert (lower**2 <= exact).all() and (upper**2 >= exact[np.arange(len(x)), at] * (1 - 1e-12)).all()
-    assert computed < 0.1 * exact.size
+    assert computed < 0.15 * exact.size
 
 
 # chat texts
