@@ -39,6 +39,8 @@ ACCEPT = 0.9995
 SLACK, LEAST_DISTANCE = 3.0, 3.0
 #: Symbols from which a text counts as long.
 LONG = 200
+#: Bounds of the chunks that a task remembers, and of the text that it works on at once.
+CHUNKS, SLICE_BYTES = 120_000, 2 << 20
 BASE = 0xA24BAED4963EE407
 LETTERS = regex.compile(r"\p{L}+")
 
@@ -68,15 +70,19 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Models:
-    """Built from (language, sequence of ``order`` symbols as text, count) rows; chr(0) is the boundary."""
+    """Built from (language, sequence of ``order`` symbols as text, count) rows, a list or a table; chr(0) is the boundary."""
 
-    def __init__(self, rows: list[tuple[str, str, int]], order: int = ORDER):
+    def __init__(self, rows: list[tuple[str, str, int]] | pa.Table, order: int = ORDER):
         self.order = order
-        self.langs = sorted({r[0] for r in rows})
-        place = {x: i for i, x in enumerate(self.langs)}
+        if not isinstance(rows, pa.Table):
+            rows = pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate((("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())))})
+        coded = rows.column("lang").combine_chunks().dictionary_encode()
+        named = coded.dictionary.to_pylist()
+        self.langs = sorted(named)
         size = len(self.langs)
-        points = np.array([[ord(c) for c in r[1]] for r in rows], np.int64).reshape(len(rows), order)
-        lang = np.array([place[r[0]] for r in rows], np.int64)
+        joined = "".join(rows.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass")
+        points = np.frombuffer(joined, np.uint32).astype(np.int64).reshape(rows.num_rows, order)
+        lang = np.array([self.langs.index(x) for x in named], np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
         sym = _symbols(points)
         size_v = len(np.unique(points[:, -1])) + 1
 
@@ -88,7 +94,7 @@ class Models:
 
         # for each order: distinct sequences of each language with their counts
         levels = []
-        count = np.array([r[2] for r in rows], np.float64)
+        count = rows.column("n").to_numpy().astype(np.float64)
         for n in range(order, 0, -1):
             levels.append((lang, sym, hashes(sym), hashes(sym[:, :-1]), hashes(sym[:, 1:]), count))
             if n > 1:
@@ -194,9 +200,9 @@ def _scored(docs: DataFrame, shared, limits: dict | None, inner: int | None = No
         models: Models = shared.value
         langs = np.array([*models.langs, "und"], object)
         size = len(models.langs)
-        cache = Cache(lambda chunks: models.score([letters(c) for c in chunks]), np.float32)
+        cache = Cache(lambda chunks: models.score([letters(c) for c in chunks]), np.float32, CHUNKS)
         for batch in batches:
-            for lo, hi, at, codes, chunks in chunked(batch.column(len(outer)) if inner is None else batch.column(0).field(inner)):
+            for lo, hi, at, codes, chunks in chunked(batch.column(len(outer)) if inner is None else batch.column(0).field(inner), SLICE_BYTES):
                 rows, _ = cache.expand(chunks, codes)
                 sums = segment_sums(rows.reshape(-1, size + 1).astype(np.float64), at)
                 n = sums[:, -1]
@@ -233,7 +239,7 @@ def identify(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col
     else:
         sample = taught.withColumn("at", F.lit(0.0))
     sample = sample.where(F.col("at") < train_docs + calibration_docs).withColumn("held", F.pmod(F.xxhash64("doc_id", "text", F.lit("calibration")), F.lit(train_docs + calibration_docs)) < calibration_docs)
-    models = Models([tuple(r) for r in _counts(sample.where("NOT held"), order).collect()], order)
+    models = Models(_counts(sample.where("NOT held"), order).toArrow(), order)
     shared = spark.sparkContext.broadcast(models)
     held = sample.where("held").select("lang", "text")
     seen: dict[str, list] = {}
