@@ -91,6 +91,24 @@ def test_bits_and_damage(spark, none, odd):
     assert tiff_media.stored(none).count() == 0
 
 
+def test_digests_against_plain_ones(spark, odd):
+    """Every column of the digests, from the texts and the stored files."""
+    media = tiff_media.stored(odd)
+    files = sorted(((r["doc_id"], r["n_bytes"], bytes(r["media"])) for r in media.collect()), key=str)
+    want = []
+    for i, t in odd_texts():
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        (whole,) = {f for k, n, f in files if k == i and n == len(raw) and hashlib.sha256(b"".join(p.pixels for p in tiff_media.read(f))).digest() == hashlib.sha256(payload).digest()}
+        pages = list(tiff_media.read(whole))
+        share = np.bincount(np.frombuffer(payload, np.uint8), minlength=256) / len(payload)
+        entropy = -sum(x * np.log2(x) for x in share if x)
+        feature = f"pages={len(pages)};width={max(p.width for p in pages)};height={sum(p.height for p in pages)};mean={sum(payload) / len(payload):.3f};entropy={entropy + 0.0:.3f}"
+        want.append((i, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(whole), hashlib.sha256(whole).hexdigest(), feature.replace("-0.000", "0.000")))
+    got = [(*tuple(r)[:7], r["feature"].replace("-0.000", "0.000")) for r in tiff_media.digests(media).drop("error").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 # Personal data
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -313,6 +331,54 @@ def test_the_descent_separates_what_is_separable():
     assert ((model.scores(row, flat, 200) > 0.5) == np.array([e[1] for e in examples])).all()
 
 
+def test_models_against_plain_ones():
+    """Interpolated Kneser-Ney from dictionaries, symbol by symbol."""
+    rng, order = random.Random(7), 4
+    rows: dict = {}
+    for lang, letters in (("aa", "abcd"), ("bb", "bcde"), ("cc", "xyz")):
+        for _ in range(120):
+            word = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 7)))
+            text = "\0" * (order - 1) + word + "\0"
+            for i in range(len(word) + 1):
+                rows[lang, text[i : i + order]] = rows.get((lang, text[i : i + order]), 0) + 1
+    models = language_id.Models([(a, b, n) for (a, b), n in rows.items()], order)
+    symbols = len({g[-1] for _, g in rows}) + 1
+
+    def plain(lang):
+        counts = {order: {g: n for (k, g), n in rows.items() if k == lang}}
+        for n in range(order - 1, 0, -1):
+            counts[n] = {}
+            for g in counts[n + 1]:
+                counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+        total, kinds, discount = {}, {}, {}
+        for n, c in counts.items():
+            ones, twos = sum(x == 1 for x in c.values()), sum(x == 2 for x in c.values())
+            discount[n] = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.95)
+            for g, x in c.items():
+                total[g[:-1]] = total.get(g[:-1], 0) + x
+                kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
+
+        def p(g):
+            if not g:
+                return 1 / symbols
+            n, before, lower = len(g), g[:-1], p(g[1:])
+            if before not in total:
+                return lower
+            return max(counts[n].get(g, 0) - discount[n], 0) / total[before] + discount[n] * kinds[before] / total[before] * lower
+
+        return p
+
+    of = [plain(x) for x in models.langs]
+    for words_ in (["abc", "d"], ["xyzzy"], ["q"], ["bbbb", "e", "cab"], ["aqx"]):
+        got = models.score([words_])[0]
+        want = np.zeros(3)
+        for w in words_:
+            text = "\0" * (order - 1) + w + "\0"
+            for i in range(len(w) + 1):
+                want += [np.log(p(text[i : i + order])) for p in of]
+        assert np.allclose(got[:3], want, rtol=1e-4) and got[3] == sum(len(w) + 1 for w in words_)
+
+
 def test_models_are_distributions():
     rng = random.Random(4)
     rows = {}
