@@ -2,225 +2,168 @@
 
 Each item gives windows of ``width`` consecutive words (one window if it has fewer); equal windows are one, with a list of items.  A document
 contains a window only if it has all of its words, so of the window's words, ordered from rare to common over the corpus,
-the prefix that must match is the first: the rarest.  Documents are joined with windows on that word alone.
-Its place in the window bounds where the window would begin; the words before and after must lie within the document
-(position and length bounds); what remains is verified word by word on its bytes.  Windows of one rarest word are probed by its place
-and their length, not one by one, so a word that a document repeats and many windows lead with costs occurrences times ``width`` at most.
+the prefix that must match is the first: the rarest.  Documents offer what stands around such words: for each place that a rarest word has in a
+window and each size of windows, the words that a window with it there would cover, if they lie within the document (position and length bounds).
+Offers meet windows in one join, by the rarest word, its place, the size and a hash of all words, and what remains is verified by the words themselves.
+
+Three passes go over the documents, whatever the size of the benchmark: one counts its words in all documents, one makes the offers, one
+carries the result to the rows.  Two filters of fixed size, one of words and one of windows, keep what can match nothing from being shuffled; a benchmark that fills
+them costs time, not rows.  Windows, counts and offers are tables that Spark joins; where a window, a word or a text has a share of all rows, the join is of two plain scans,
+which adaptive execution splits.  Nothing of the benchmark passes through the driver but the filters.
 
 Words are lower-cased (A-Z) runs of ASCII letters, digits and everything beyond ASCII.  Nulls and empty texts have no words.
-Items without words have no windows.  Equal windows (by a 64-bit hash of their words) of several items count for each; a repeated item
-counts once; an item without an id is named by an empty text.  Words that are equally rare are ordered by their hash.  The item side is worked off in
-blocks of ``block_windows`` windows, each in two passes over the documents: one counts the block's words in all
-documents, one finds its windows.  Documents are never shuffled; very long ones are worked on whole; repeated rows are documents of their own.
+Items without words have no windows.  Equal windows of several items count for each; a repeated item
+counts once; an item without an id is named by an empty text.  Words that are equally rare are ordered by their hash, equal words of a window by their place.
+What a document contains depends on its text alone, so results are made once for each text (told apart by SHA-256) and every row gets those of its text; repeated
+rows are documents of their own.  Very long texts are worked on whole.
 An empty benchmark contaminates nothing, an empty table gives an empty table, and other columns, whatever their names, are not read (with
 ``carry`` they stay in the row).
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyroom.llm.arrays import ALNUM, LOWER, Words, buffers, lean, ragged, words_of
-from tallyroom.llm.tables import kept, whole_row
+from tallyroom.llm.tables import followed, kept, whole_row
 
 WIDTH = 10
-BLOCK_WINDOWS = 500_000
-#: Probes that are held in memory at once.
-MOST_PROBES = 1_000_000
-
-
-class Windows:
-    """A block of windows: their words, where each word's bytes are, and the items they come from."""
-
-    def __init__(self, items: list[str], texts: list[str | None], width: int):
-        data, offsets = buffers(pa.array(texts, pa.large_string()))
-        w = Words(data, offsets, ALNUM, lower=True)
-        full, _ = w.windows(width)
-        short = np.flatnonzero((w.count > 0) & (w.count < width))
-        first = np.concatenate([full, w.first[:-1][short]]).astype(np.int64)
-        size = np.concatenate([np.full(len(full), width), w.count[short]]).astype(np.int64)
-        item = w.row[first] if len(w) else np.empty(0, np.int64)
-        span = w.spans(first, first + size)
-        order = np.lexsort((item, span))
-        new = np.concatenate([[True], span[order][1:] != span[order][:-1]]) if len(order) else np.empty(0, bool)
-        lead = order[new]
-        self.first, self.size, self.span = first[lead], size[lead], span[lead]  # of each window, in ascending order of their hashes
-        self.item, self.item_begin = item[order], np.append(np.flatnonzero(new), len(order))
-        self.items, self.hash = np.array(items, object), w.hash
-        self.data, self.start, self.end = LOWER[w.data], w.start, w.end
-        self.words = np.unique(w.hash)
-
-    def index(self, counts: dict[int, int]) -> None:
-        """For each rarest word, the places and sizes of the windows it leads."""
-        amount = np.array([counts.get(x, 0) for x in self.words.tolist()], np.int64)
-        order = np.lexsort((self.words, amount))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        n = len(self.first)
-        window = np.repeat(np.arange(n), self.size)
-        at = ragged(self.first, self.size)
-        place = at - self.first[window]
-        by = np.lexsort((place, rank[np.searchsorted(self.words, self.hash[at])], window))
-        lead = by[np.cumsum(self.size) - self.size] if n else by
-        probes = np.unique(np.stack([self.hash[at[lead]], place[lead].astype(np.uint64), self.size.astype(np.uint64)]), axis=1)
-        self.place, self.length = probes[1].astype(np.int64), probes[2].astype(np.int64)
-        self.anchors, begin = np.unique(probes[0], return_index=True)
-        self.begin = np.concatenate([begin, [probes.shape[1]]]).astype(np.int64)
-
-    def found(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, window) of every window that the documents contain, once each."""
-        none = np.empty(0, np.int64)
-        if not len(self.anchors) or not len(w):
-            return none, none
-        slot = np.minimum(np.searchsorted(self.anchors, w.hash), len(self.anchors) - 1)
-        at = np.flatnonzero(self.anchors[slot] == w.hash)
-        n = self.begin[slot[at] + 1] - self.begin[slot[at]]
-        parts, lo, total = [], 0, np.cumsum(n)
-        while lo < len(at):
-            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + MOST_PROBES, "right")))
-            parts.append(self._probed(w, at[lo:hi], n[lo:hi], self.begin[slot[at[lo:hi]]]))
-            lo = hi
-        if not parts:
-            return none, none
-        first, window = np.unique(np.concatenate([np.stack(p) for p in parts], axis=1), axis=1)
-        return first, window
-
-    def _probed(self, w: Words, at: np.ndarray, n: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        none = np.empty(0, np.int64)
-        pick = ragged(begin, n)
-        first = np.repeat(at, n) - self.place[pick]
-        row = np.repeat(w.row[at], n)
-        last = first + self.length[pick]
-        ok = (first >= w.first[row]) & (last <= w.first[row + 1])
-        first, last = first[ok], last[ok]
-        value = w.spans(first, last)
-        window = np.minimum(np.searchsorted(self.span, value), len(self.span) - 1)
-        ok = (self.span[window] == value) & (self.size[window] == last - first)
-        first, window = first[ok], window[ok]
-        if not len(first):
-            return none, none
-        size = self.size[window]
-        mine, theirs = ragged(first, size), ragged(self.first[window], size)
-        length = w.end[mine] - w.start[mine]
-        same = length == self.end[theirs] - self.start[theirs]
-        span = np.where(same, length, 0)
-        equal = LOWER[w.data[ragged(w.start[mine], span)]] == self.data[ragged(self.start[theirs], span)]
-        bad = np.concatenate([[0], np.cumsum(~equal)])
-        ends = np.cumsum(span)
-        word_ok = same & (bad[ends] == bad[ends - span])
-        ok = np.logical_and.reduceat(word_ok, np.cumsum(size) - size)
-        return first[ok], window[ok]
-
-    def named(self, row: np.ndarray, window: np.ndarray) -> dict[int, set]:
-        """The items of the windows found in each row."""
-        out: dict[int, set] = {}
-        if len(row):
-            for r, u in np.unique(np.stack([row, window]), axis=1).T.tolist():
-                out.setdefault(r, set()).update(self.items[self.item[self.item_begin[u] : self.item_begin[u + 1]]].tolist())
-        return out
-
-
-def _blocks(items: DataFrame, width: int, most: int) -> Iterator[Windows]:
-    ids, texts, size = [], [], 0
-    for r in items.toLocalIterator():
-        ids.append(r[0])
-        texts.append(r[1])
-        size += 1 + len(r[1] or "") // 2
-        if size >= most:
-            yield Windows(ids, texts, width)
-            ids, texts, size = [], [], 0
-    yield Windows(ids, texts, width)
-
-
-def _count_words(docs: DataFrame, shared) -> dict[int, int]:
-    """How often each word of the block is in all documents."""
+#: Bits of the filters of words and of windows, as powers of two.
+WORD_BITS, WINDOW_BITS = 23, 24
+#: Offers that are looked at at once.
+MOST_OFFERS = 500_000
+
+
+def _said(w: Words, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The words of spans as texts, in lower case with one space between."""
+    data, start, end = LOWER[w.data].tobytes(), w.start, w.end
+    texts = [b" ".join(data[a:b] for a, b in zip(start[i : i + n].tolist(), end[i : i + n].tolist())) for i, n in zip(first.tolist(), size.tolist())]
+    return pa.array(texts, pa.binary()).cast(pa.string())
+
+
+def windows_of(items: DataFrame, width: int) -> DataFrame:
+    """(item, span, size, words, said) of every window of (item, text): its hash, its number of words, their hashes and the words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value.words
-        total = np.zeros(len(words) + 1, np.int64)
         for batch in batches:
-            for _, _, w in words_of(batch.column(0), ALNUM, lower=True):
-                at = np.minimum(np.searchsorted(words, w.hash), len(words) - 1)
-                total += np.bincount(np.where(words[at] == w.hash, at, len(words)), minlength=len(words) + 1)
-        some = np.flatnonzero(total[:-1])
-        yield pa.RecordBatch.from_pydict({"word": words[some].view(np.int64), "n": total[some]})
+            data, offsets = buffers(batch.column(1))
+            w = Words(data, offsets, ALNUM, lower=True)
+            full, _ = w.windows(width)
+            short = np.flatnonzero((w.count > 0) & (w.count < width))
+            first = np.concatenate([full, w.first[:-1][short]]).astype(np.int64)
+            size = np.concatenate([np.full(len(full), width), w.count[short]]).astype(np.int64)
+            if not len(first):
+                continue
+            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(w.hash[ragged(first, size)].view(np.int64)))
+            yield pa.RecordBatch.from_pydict({"item": batch.column(0).take(pa.array(w.row[first])), "span": w.spans(first, first + size).view(np.int64), "size": size.astype(np.int32), "words": words, "said": _said(w, first, size)})
+
+    return items.mapInArrow(lean(run), "item string, span long, size int, words array<long>, said string")
+
+
+def _filter(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bit for each value that the hashes have in their lowest bits."""
+    bit = F.col(column).bitwiseAND((1 << bits) - 1)
+    rows = hashes.select(F.shiftright(bit, 6).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int")).alias("b")).groupBy("at").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)  # so many rows at most
+    out[rows["at"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
+    return out
 
-    rows = docs.select("text").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {r["word"] & ((1 << 64) - 1): r["n"] for r in rows}
 
+def _passed(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = hashes & np.uint64((len(bits) << 6) - 1)
+    return (bits[low >> np.uint64(6)] >> (low & np.uint64(63))) & np.uint64(1) > 0
+
+
+def word_counts(texts: DataFrame, shared) -> DataFrame:
+    """(word, n): how often the words that pass the filter are in all texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = [w.hash[_passed(shared.value, w.hash)] for _, _, w in words_of(batch.column(0), ALNUM, lower=True)]
+            words, n = np.unique(np.concatenate(some), return_counts=True) if some else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            yield pa.RecordBatch.from_pydict({"word": words.view(np.int64), "n": n.astype(np.int64)})
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS, carry: bool = False) -> DataFrame:
+    return texts.select("text").mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def offers(texts: DataFrame, shared, forms: list[tuple[int, int]]) -> DataFrame:
+    """(digest, first, lead, place, size, span, said): what stands around words that pass the filter, in the ``forms`` (place, size) that windows have."""
+    columns = ("digest", "first", "lead", "place", "size", "span", "said")
+    places, sizes = np.array([f[0] for f in forms], np.int64), np.array([f[1] for f in forms], np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leads, spans = shared.value
+        most = max(1, MOST_OFFERS // max(1, len(forms)))
+        for batch in batches:
+            for lo, _, w in words_of(batch.column(1), ALNUM, lower=True):
+                every = np.flatnonzero(_passed(leads, w.hash))
+                for k in range(0, len(every), most):
+                    at = np.repeat(every[k : k + most], len(forms))
+                    place, size = np.tile(places, len(at) // len(forms)), np.tile(sizes, len(at) // len(forms))
+                    first, row = at - place, w.row[at]
+                    ok = (first >= w.first[row]) & (first + size <= w.first[row + 1])
+                    at, place, size, first, row = at[ok], place[ok], size[ok], first[ok], row[ok]
+                    span = w.spans(first, first + size)
+                    ok = _passed(spans, span)
+                    if ok.any():
+                        at, place, size, first, row, span = at[ok], place[ok], size[ok], first[ok], row[ok], span[ok]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(lo + row)), pa.array((first - w.first[row]).astype(np.int32)), pa.array(w.hash[at].view(np.int64)), pa.array(place.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(span.view(np.int64)), _said(w, first, size)], columns)
+
+    return texts.select("digest", "text").mapInArrow(lean(run), "digest binary, first int, lead long, place int, size int, span long, said string")
+
+
+def _runs(spans: DataFrame) -> DataFrame:
+    """digest, hits, n_hit: first and past-last words of the merged runs of (digest, first, last) spans, as a flat array, and how many words they cover."""
+    order = Window.partitionBy("digest").orderBy("first", "last")
+    before = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("opens", F.when(F.col("first") <= before, 0).otherwise(1)).withColumn("run", F.sum("opens").over(order))
+    runs = opened.groupBy("digest", "run").agg(F.min("first").alias("a"), F.max("last").alias("b"))
+    said = runs.groupBy("digest").agg(F.array_sort(F.collect_list(F.array("a", "b"))).alias("s"), F.sum(F.col("b") - F.col("a")).alias("n_hit"))
+    return said.select("digest", F.flatten("s").alias("hits"), "n_hit")
+
+
+def found_in(texts: DataFrame, items: DataFrame, width: int) -> DataFrame:
+    """digest, hits, n_hit, items: of each text (digest, text) that contains a window of (item, text)."""
+    session = texts.sparkSession.sparkContext
+    every = kept(windows_of(items, width), "windows")
+    different = every.groupBy("span", "size", "said").agg(F.first("words").alias("words"))
+    named = different.select("span", "size", "said", F.posexplode("words").alias("place", "word"))
+    words = session.broadcast(_filter(every.select(F.explode("words").alias("word")), "word", WORD_BITS))
+    counts = kept(word_counts(texts, words), "word-counts")
+    rarest = named.join(counts, "word").groupBy("span", "size", "said").agg(F.min(F.struct("n", "word", "place")).alias("r"))
+    leads = kept(rarest.select("span", "size", "said", F.col("r.word").alias("lead"), F.col("r.place").alias("place")), "leads")
+    forms = [(r["place"], r["size"]) for r in leads.select("place", "size").distinct().collect()]  # width * (width + 1) / 2 at most
+    filters = session.broadcast((_filter(leads, "lead", WORD_BITS), _filter(leads, "span", WINDOW_BITS)))
+    hits = kept(offers(texts, filters, sorted(forms)).join(leads, ["lead", "place", "size", "span", "said"]).select("digest", "first", "size", "span", "said").distinct(), "hits")
+    runs = _runs(hits.select("digest", "first", (F.col("first") + F.col("size")).alias("last")).distinct())
+    names = hits.select("digest", "span", "size", "said").distinct().join(every.select("item", "span", "size", "said").distinct(), ["span", "size", "said"]).select("digest", "item").distinct()
+    lists = names.groupBy("digest").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return runs.join(lists, "digest").select("digest", "hits", "n_hit", "items")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, carry: bool = False) -> DataFrame:
     """doc_id (or with ``carry`` the whole ``row`` as a struct), n_words, n_hit, hits (array<int>: first and past-last word of each run of hit words), items
     (ids as text), n_items, items_sha256, contaminated: one row per document."""
-    items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")), F.col(item_text_col))
-    heads = [whole_row(docs)] if carry else [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")]
-    inner, kept_columns = docs.columns.index(text_col), len(heads)
-    rows = docs.select(*heads, F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"))
-    schema, texts = rows.schema, docs.select(F.col(text_col).alias("text"))
-    session = docs.sparkSession.sparkContext
-
-    def locate(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block: Windows = shared.value
-            for batch in batches:
-                text = batch.column(0).field(inner) if carry else batch.column(1)
-                for lo, hi, w in words_of(text, ALNUM, lower=True):
-                    first, window = block.found(w)
-                    part = batch.slice(lo, hi - lo)
-                    runs = _runs(first, first + block.size[window], w, part.column(kept_columns))
-                    old, by_row = part.column(kept_columns + 1), block.named(w.row[first], window)
-                    for i in np.flatnonzero(~np.asarray(old.is_null())).tolist():
-                        by_row.setdefault(i, set()).update(old[i].as_py())
-                    names = [sorted(by_row[r]) if r in by_row else None for r in range(hi - lo)]
-                    columns = [part.column(i) for i in range(kept_columns)]
-                    columns += [pa.array([r or None for r in runs], pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string())), pa.array(w.count), pa.array([sum(r[1::2]) - sum(r[::2]) for r in runs], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-        return run
-
-    last = None
-    for block in _blocks(items, width, block_windows):
-        words = session.broadcast(block)
-        block.index(_count_words(texts, words) if len(block.words) else {})
-        words.destroy()
-        if last is not None:
-            rows = kept(rows, "decontaminate")
-            last.destroy()
-        last = session.broadcast(block)
-        rows = rows.mapInArrow(lean(locate(last)), schema)
-    names = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.select(rows.columns[0], "n_words", "n_hit", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), names.alias("items"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
-
-
-def _runs(first: np.ndarray, last: np.ndarray, w: Words, before: pa.Array) -> list[list[int]]:
-    """For each row, the merged runs of hit words, with those of earlier blocks; counted from the row's first word."""
-    known = [(i, x) for i, x in enumerate(before.to_pylist()) if x] if before.null_count < len(before) else []
-    if known:
-        pairs = [(w.first[i] + a, w.first[i] + b) for i, x in known for a, b in zip(x[::2], x[1::2])]
-        first = np.concatenate([first, [p[0] for p in pairs]]).astype(np.int64)
-        last = np.concatenate([last, [p[1] for p in pairs]]).astype(np.int64)
-    out: list[list[int]] = [[] for _ in range(w.rows)]
-    if not len(first):
-        return out
-    change = np.zeros(len(w) + 1, np.int64)
-    np.add.at(change, first, 1)
-    np.add.at(change, last, -1)
-    hit = np.cumsum(change[:-1]) > 0
-    left = np.concatenate([[False], hit[:-1]])
-    left[w.first[:-1][w.first[:-1] < len(w)]] = False
-    right = np.concatenate([hit[1:], [False]])
-    ends = w.first[1:]
-    right[ends[ends > 0] - 1] = False
-    for a, b in zip(np.flatnonzero(hit & ~left).tolist(), (np.flatnonzero(hit & ~right) + 1).tolist()):
-        r = int(w.row[a])
-        out[r] += [a - int(w.first[r]), b - int(w.first[r])]
-    return out
+    items = benchmark.select(F.coalesce(F.col(item_id_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest")
+    found = kept(found_in(docs.select(digest, F.col(text_col).alias("text")), items, width), "contaminated")
+    head = whole_row(docs) if carry else F.col(id_col).alias("doc_id")
+    rows = docs.select(head, digest, F.col(text_col).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, w in words_of(batch.column(2), ALNUM, lower=True):
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(w.count.astype(np.int64))], [batch.schema.names[0], "digest", "n_words"])
+
+    counted = rows.mapInArrow(lean(run), followed(rows.select(rows.columns[0], "digest"), "n_words long"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    said = counted.join(found, "digest", "left").select(rows.columns[0], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), none("hits", "int"), none("items", "string"))
+    return said.select("*", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 #: The same result in DuckDB.

@@ -37,7 +37,7 @@ def shared_texts(seed, width=50):
     return out
 
 
-def test_decontamination(spark, odd, none):
+def test_decontamination(spark, odd, none, monkeypatch):
     rng = random.Random(5)
     rows = shared_texts(2)
     items = [(1, "one"), (2, None), (3, "!!"), (4, "the the the"), (4, "the the the"), (None, " ".join(words(rng, 12)))]
@@ -64,8 +64,10 @@ def test_decontamination(spark, odd, none):
 
     rows = [r for r in rows if len(r[1] or "") < 50_000]
     want = sorted(((i, *expected(t)) for i, t in rows), key=str)
-    for block in (500_000, 60):  # at once, and in blocks
-        got = decontamination.decontaminate(documents(spark, rows), benchmark, block_windows=block).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    for bits in ((23, 24), (6, 6)):  # filters that say no, and filters that are full
+        monkeypatch.setattr(decontamination, "WORD_BITS", bits[0])
+        monkeypatch.setattr(decontamination, "WINDOW_BITS", bits[1])
+        got = decontamination.decontaminate(documents(spark, rows), benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
         assert sorted((tuple(r) for r in got), key=str) == want
     assert any(r[2] for r in want) and decontamination.decontaminate(none, benchmark).count() == 0
     assert decontamination.decontaminate(odd, benchmark.limit(0)).where("contaminated").count() == 0
