@@ -78,18 +78,18 @@ def budget_batches(rows: DataFrame, by: list[str], order: str, item: str, weight
 
 
 def severity_targets(totals: DataFrame, total: str = "total") -> DataFrame:
-    """total, severity, target: each total (four at least, else it has no rows) shared out by the fixed shares with largest remainders; then every band has one, taken from the largest.
+    """total, severity, target: each total (four at least, else it has no rows) shared out by the fixed shares with largest remainders; then every band has one, taken from the largest (of equals that of the smaller share, then the more severe).
 
     A row's bands are an array of four, so each total is worked on by itself.  The remainders leave one band empty at most, that of the smallest share."""
     whole = sum(w for _, w in SEVERITY_SHARES)
     n = F.col(total)
-    bands = F.array(*(F.struct(F.lit(s).alias("severity"), F.lit(w).alias("share"), F.floor(n * w / whole).cast("int").alias("target"), (n * w % whole).cast("int").alias("rest")) for s, w in SEVERITY_SHARES))
+    bands = F.array(*(F.struct(F.lit(s).alias("severity"), F.lit(i).alias("place"), F.lit(w).alias("share"), F.floor(n * w / whole).cast("int").alias("target"), (n * w % whole).cast("int").alias("rest")) for i, (s, w) in enumerate(SEVERITY_SHARES)))
     rows = totals.where(n >= len(SEVERITY_SHARES)).select(total, bands.alias("b"))
     rows = rows.withColumn("short", F.col(total) - F.aggregate("b", F.lit(0), lambda a, x: a + x["target"]))
-    by_rest = F.array_sort(F.transform("b", lambda x: F.struct((-x["rest"]).alias("r"), (-x["share"]).alias("w"), x["severity"].alias("severity"), x["target"].alias("target"))))
-    rows = rows.select(total, F.transform(by_rest, lambda x, i: F.struct((x["target"] + F.when(i < F.col("short"), 1).otherwise(0)).alias("target"), x["w"].alias("w"), x["severity"].alias("severity"))).alias("b"))
+    by_rest = F.array_sort(F.transform("b", lambda x: F.struct((-x["rest"]).alias("r"), (-x["share"]).alias("w"), x["severity"].alias("severity"), x["place"].alias("place"), x["target"].alias("target"))))
+    rows = rows.select(total, F.transform(by_rest, lambda x, i: F.struct((x["target"] + F.when(i < F.col("short"), 1).otherwise(0)).alias("target"), x["w"].alias("w"), (-x["place"]).alias("place"), x["severity"].alias("severity"))).alias("b"))
     lacking = F.size(F.filter("b", lambda x: x["target"] == 0))
-    most = F.array_max(F.transform("b", lambda x: F.struct(x["target"].alias("target"), x["w"].alias("w"), x["severity"].alias("severity"))))["severity"]
+    most = F.array_max(F.transform("b", lambda x: F.struct(x["target"].alias("target"), x["w"].alias("w"), x["place"].alias("place"), x["severity"].alias("severity"))))["severity"]
     given = F.transform("b", lambda x: F.struct(x["severity"].alias("severity"), F.when(x["target"] == 0, 1).when(x["severity"] == most, x["target"] - lacking).otherwise(x["target"]).alias("target")))
     return rows.select(total, F.explode(given).alias("x")).select(F.col(total).cast("int").alias("total"), "x.severity", "x.target")
 

@@ -171,7 +171,7 @@ ORACLE = {
     "severity_targets": f"""WITH t AS (SELECT 4::BIGINT AS total UNION SELECT n FROM (SELECT count(*) AS n FROM customer GROUP BY c_nationkey) WHERE n >= 4), w(severity, w) AS (VALUES {", ".join(f"('{s}', {w})" for s, w in O.SEVERITY_SHARES)}),
         f AS (SELECT total, severity, w, total * w // (SELECT sum(w) FROM w) AS whole, total * w % (SELECT sum(w) FROM w) AS rest FROM t, w),
         g AS (SELECT *, whole + CASE WHEN row_number() OVER (PARTITION BY total ORDER BY rest DESC, w DESC, severity) <= total - sum(whole) OVER (PARTITION BY total) THEN 1 ELSE 0 END AS n FROM f),
-        h AS (SELECT *, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY total) AS empty, row_number() OVER (PARTITION BY total ORDER BY n DESC, w) AS place FROM g)
+        h AS (SELECT *, sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY total) AS empty, row_number() OVER (PARTITION BY total ORDER BY n DESC, w, list_position(['critical', 'high', 'medium', 'low'], severity)) AS place FROM g)
         SELECT total::INT AS total, severity, (CASE WHEN n = 0 THEN 1 WHEN place = 1 THEN n - empty ELSE n END)::INT AS target FROM h""",
     "id_allocation": """WITH f AS (SELECT (c_custkey % 5)::VARCHAR AS label, 'NEW-' || lpad(c_custkey::VARCHAR, 6, '0') AS provisional_id, left(c_mktsegment, 3) AS prefix FROM customer WHERE c_custkey % 2 = 0),
         o AS (SELECT left(c_mktsegment, 3) AS prefix, max(c_custkey) AS most FROM customer WHERE c_custkey % 2 = 1 GROUP BY 1)
