@@ -153,11 +153,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("digest")
     found = kept(found_in(docs.select(digest, F.col(text_col).alias("text")), items, width), "contaminated")
     head = whole_row(docs) if carry else F.col(id_col).alias("doc_id")
-    rows = docs.select(head, digest, F.col(text_col).alias("text"))
+    rows, inner = docs.select(head, digest, *([] if carry else [F.col(text_col).alias("text")])), docs.columns.index(text_col)  # a text goes to Python once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, w in words_of(batch.column(2), ALNUM, lower=True):
+            for lo, hi, w in words_of(batch.column(0).field(inner) if carry else batch.column(2), ALNUM, lower=True):
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.array(w.count.astype(np.int64))], [batch.schema.names[0], "digest", "n_words"])
 
     counted = rows.mapInArrow(lean(run), followed(rows.select(rows.columns[0], "digest"), "n_words long"))
