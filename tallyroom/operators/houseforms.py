@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from difflib import SequenceMatcher
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from tallyroom.functions import text as T
 from tallyroom.operators.order import house_families
-from tallyroom.session import settled
 
 LEAST_DEVIATIONS = 2
 
@@ -24,53 +27,36 @@ def pairs(family: DataFrame, docs: DataFrame) -> DataFrame:
     return derived.join(docs.select(F.col("rel_path").alias("house"), F.col("text").alias("house_text")), "house").select("rel_path", "house_text", "text")
 
 
-def _paragraphs(df: DataFrame, text: str, place: str) -> DataFrame:
-    """rel_path, place, key, paragraph: blocks between blank lines, white space in them as one blank."""
+def _paragraphs(text: str) -> Column:
+    """Blocks between blank lines, white space in them as one blank: an array of their keys, and of whether they are standard, having no blank to fill."""
     blocks = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"), r"\n[ \t]*\n"), lambda p: F.trim(F.regexp_replace(p, r"(?U)\s+", " "))), lambda p: p != "")
-    return df.select("rel_path", F.posexplode(blocks).alias(place, "paragraph")).withColumn("key", F.sha2("paragraph", 256))
-
-
-def aligned(house: DataFrame, derived: DataFrame) -> DataFrame:
-    """(rel_path, i, j, n): blocks of n equal paragraphs, from i in the form and from j in the derived text, in the same order in both.
-
-    The longest block comes first (of equals the earliest in the form, then in the derived text), then those of what lies before it, and behind it.  Each round
-    does this for every open stretch of every pair at once: equal paragraphs of a stretch are runs along their diagonals."""
-    stretch = ["rel_path", "a", "b", "c", "d"]
-    sizes = house.groupBy("rel_path").agg((F.max("i") + 1).alias("b")).join(derived.groupBy("rel_path").agg((F.max("j") + 1).alias("d")), "rel_path")
-    equal = house.select("rel_path", "key", "i").join(derived.select("rel_path", "key", "j"), ["rel_path", "key"]).join(sizes, "rel_path")
-    inside = settled(equal.select("rel_path", F.lit(0).alias("a"), "b", F.lit(0).alias("c"), "d", "i", "j"))
-    found = None
-    while not inside.isEmpty():
-        diagonal = Window.partitionBy(*stretch, F.col("i") - F.col("j")).orderBy("i")
-        run = inside.withColumn("run", F.col("i") - F.row_number().over(diagonal)).groupBy(*stretch, (F.col("i") - F.col("j")).alias("g"), "run").agg(F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").alias("n"))
-        best = settled(run.groupBy(*stretch).agg(F.max(F.struct("n", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))).alias("x")).select(*stretch, (-F.col("x.i")).alias("x"), (-F.col("x.j")).alias("y"), F.col("x.n").cast("int").alias("n")))
-        blocks = best.select("rel_path", F.col("x").alias("i"), F.col("y").alias("j"), "n")
-        found = blocks if found is None else found.union(blocks)
-        rest = inside.join(best, stretch)
-        before = rest.where("i < x AND j < y").select("rel_path", "a", F.col("x").alias("b"), "c", F.col("y").alias("d"), "i", "j")
-        behind = rest.where("i >= x + n AND j >= y + n").select("rel_path", (F.col("x") + F.col("n")).alias("a"), "b", (F.col("y") + F.col("n")).alias("c"), "d", "i", "j")
-        inside = settled(before.union(behind))
-    return found if found is not None else inside.select("rel_path", "i", "j", F.lit(0).alias("n"))
+    return F.transform(blocks, lambda p: F.struct(F.sha2(p, 256).alias("key"), (F.size(T.blanks(p)) == 0).alias("standard")))
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(c, IntegerType()) for c in ("i", "j", "n")])))
+def _alike(house: pd.Series, derived: pd.Series) -> pd.Series:
+    """The standard library's alignment of each pair of arrays; its last block, of no length, stands at both ends."""
+    return pd.Series([[{"i": m.a, "j": m.b, "n": m.size} for m in SequenceMatcher(None, list(a), list(b), autojunk=False).get_matching_blocks()] for a, b in zip(house, derived)], dtype=object)
+
+
+def aligned(house: Column, derived: Column) -> Column:
+    """Blocks (i, j, n) of n equal keys, from i (of 0) in the form and from j in the derived array, in the same order in both; then one of no length at both ends.
+
+    The longest block comes first (of equals the earliest in the form, then in the derived array), then those of what lies before it, and behind it.  What is found
+    depends on what was found before, as many times as a text has blocks, so a pair is aligned where its row is and not in rounds over all."""
+    return _alike(house, derived)
 
 
 def deviations(texts: DataFrame) -> DataFrame:
     """rel_path, n of (rel_path, house_text, text): paragraphs in which a derived text departs from its form: standard ones edited or gone, and added ones.
 
     A paragraph with a blank is there to be filled, so what became of it is no departure; nor is a paragraph beside an edited one, as long as there are no more than were there."""
-    house, derived = _paragraphs(texts, "house_text", "i"), _paragraphs(texts, "text", "j")
-    blocks = aligned(house, derived)
-    standard = house.where(F.size(T.blanks(F.col("paragraph"))) == 0).select("rel_path", "i")
-    matched = blocks.select("rel_path", F.explode(F.sequence("i", F.col("i") + F.col("n") - 1)).alias("i"))
-    lost = standard.join(matched, ["rel_path", "i"], "left_anti").groupBy("rel_path").agg(F.count("*").alias("lost"))
-    count = lambda df: df.groupBy("rel_path").agg(F.count("*").alias("n"))
-    ends = texts.select("rel_path").join(count(house).withColumnRenamed("n", "i"), "rel_path", "left").join(count(derived).withColumnRenamed("n", "j"), "rel_path", "left")
-    edges = blocks.select("rel_path", "i", "j", "n").union(ends.select("rel_path", F.coalesce("i", F.lit(0)), F.coalesce("j", F.lit(0)), F.lit(0)))
-    order = Window.partitionBy("rel_path").orderBy("i", "j", F.desc("n"))
-    before = lambda c: F.coalesce(F.lag(F.col(c) + F.col("n")).over(order), F.lit(0))
-    gaps = edges.select("rel_path", ((F.col("j") - before("j")) - (F.col("i") - before("i"))).alias("more"))
-    added = gaps.where("more > 0").groupBy("rel_path").agg(F.sum("more").alias("added"))
-    both = texts.select("rel_path").join(lost, "rel_path", "left").join(added, "rel_path", "left")
-    return both.select("rel_path", (F.coalesce("lost", F.lit(0)) + F.coalesce("added", F.lit(0))).cast("int").alias("n"))
+    cut = texts.select("rel_path", _paragraphs("house_text").alias("_house"), _paragraphs("text")["key"].alias("_derived"))
+    found = cut.select("rel_path", F.col("_house.standard").alias("_standard"), aligned(F.col("_house.key"), F.col("_derived")).alias("_blocks"))
+    end = lambda k, side: F.coalesce(F.get("_blocks", k - 1)[side] + F.get("_blocks", k - 1)["n"], F.lit(0))
+    lost = lambda x, k: F.size(F.filter(F.slice("_standard", end(k, "i") + 1, x["i"] - end(k, "i")), lambda s: s))
+    added = lambda x, k: F.greatest((x["j"] - end(k, "j")) - (x["i"] - end(k, "i")), F.lit(0))
+    return found.select("rel_path", F.aggregate(F.transform("_blocks", lambda x, k: lost(x, k) + added(x, k)), F.lit(0), lambda a, n: a + n).alias("n"))
 
 
 def blanks_left(house_text: Column, text: Column) -> Column:

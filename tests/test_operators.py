@@ -175,6 +175,19 @@ def test_deviations_against_plain_alignment(spark):
     assert houseforms.deviations(table(spark, [], "rel_path string, house_text string, text string")).count() == 0
 
 
+def test_deviations_of_texts_with_many_blocks(spark):
+    """A text of three hundred blocks is not three hundred rounds over the table: no job runs before the result is asked for."""
+    form = [f"Clause {i}" for i in range(901)]
+    own = [x for i, x in enumerate(form) if i % 3]
+    rows = [("a", "\n\n".join(form), "\n\n".join(own)), ("b", "\n\n".join(form), "\n\n".join(own + ["New"])), ("b", "A", "B\n\nC")]
+    context = spark.sparkContext
+    context.setJobGroup("deviations", "planned")
+    found = houseforms.deviations(table(spark, rows, "rel_path string, house_text string, text string"))
+    assert not context.statusTracker().getJobIdsForGroup("deviations")
+    assert sorted(map(tuple, found.collect())) == [("a", plain_deviations(*rows[0][1:])), ("b", 2), ("b", plain_deviations(*rows[1][1:]))]
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_a_room_of_house_forms(spark):
     form = "Between [BUYER] and us.\n\nTerm is ten years.\n\nLaw of England."
     good = "Between X and us.\n\nTerm is two years.\n\nLaw of Wales."
