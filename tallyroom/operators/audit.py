@@ -105,7 +105,8 @@ def depth_lint(docs: DataFrame, floor: Column, listed=T.PLACEHOLDERS) -> DataFra
 def archetypes(docs: DataFrame, patterns: DataFrame, default: str) -> DataFrame:
     """rel_path, archetype: of the longest pattern (pattern, archetype, floor) in the file's name, ties to the higher floor.
 
-    The name's pieces of the patterns' lengths (few numbers) are looked up by equality."""
+    The name's pieces of the patterns' lengths (few numbers) are looked up by equality in the patterns, a room's table, which goes to every task; a name without any is
+    in the same grouping, so that documents are never joined with documents."""
     name = F.lower(F.element_at(F.split("rel_path", "/"), -1))
     lengths = patterns.select(F.length("pattern").alias("n")).where("n > 0").distinct()
     pieces = docs.select("rel_path", name.alias("name")).distinct()
@@ -114,14 +115,16 @@ def archetypes(docs: DataFrame, patterns: DataFrame, default: str) -> DataFrame:
     pieces_of = lambda n: F.transform(places(n), lambda i: F.substr(F.col("name"), i, F.lit(n)))
     cuts = [F.when(F.length("name") >= n, pieces_of(n)).otherwise(F.array().cast("array<string>")) for n in sizes]
     offered = pieces.select("rel_path", F.explode(F.array_distinct(F.flatten(F.array(*cuts)))).alias("pattern")) if cuts else pieces.select("rel_path", F.lit("").alias("pattern")).limit(0)
-    best = offered.join(patterns, "pattern").groupBy("rel_path").agg(F.max_by("archetype", F.struct(F.length("pattern"), "floor", "archetype")).alias("archetype"))
-    return docs.select("rel_path").distinct().join(best, "rel_path", "left").select("rel_path", F.coalesce("archetype", F.lit(default)).alias("archetype"))
+    found = offered.join(F.broadcast(patterns), "pattern").select("rel_path", F.struct(F.length("pattern").alias("n"), "floor", "archetype").alias("x"))
+    every = found.union(docs.select("rel_path", F.lit(None).cast(found.schema["x"].dataType)))
+    return every.groupBy("rel_path").agg(F.max("x").alias("x")).select("rel_path", F.coalesce("x.archetype", F.lit(default)).alias("archetype"))
 
 
 def floors(slots: DataFrame, archetype: DataFrame, of_archetype: DataFrame, flat: int, band: DataFrame | None = None) -> DataFrame:
     """rel_path, floor: tier F has the flat floor, tier A that of its archetype (archetype, floor), else the flat one; in a long room a slot's
     band (section, subsection, floor) counts where it has one."""
-    told = slots.join(archetype, "rel_path", "left").join(of_archetype.select("archetype", F.col("floor").alias("_a")), "archetype", "left")
+    # slots and their archetypes grow together and are never small; a room's archetypes are
+    told = slots.join(archetype.hint("merge"), "rel_path", "left").join(F.broadcast(of_archetype.select("archetype", F.col("floor").alias("_a"))), "archetype", "left")
     floor = F.when(F.col("tier") == "A", F.coalesce("_a", F.lit(flat))).otherwise(F.lit(flat))
     if band is not None:
         told = told.join(band.select("section", "subsection", F.col("floor").alias("_b")), ["section", "subsection"], "left")

@@ -173,6 +173,19 @@ def test_archetypes_and_floors(spark):
     assert {r[0][2:5]: r[1] for r in audit.floors(slots, found, of, 350, band).collect()} == {"sha": 900, "pur": 2000, "let": 2000}
 
 
+def test_floors_send_no_documents_to_every_task(spark, tmp_path):
+    """Packed names take little of a file, so a plan takes them for small; only the two small tables may be broadcast."""
+    slots = spark.range(3000).select(F.concat(F.lit("a/"), "id", F.when(F.col("id") % 3 == 0, "_purchase.md").otherwise("_letter.md")).alias("rel_path"), F.when(F.col("id") % 2 == 0, "A").otherwise("F").alias("tier"))
+    slots.write.parquet(str(tmp_path / "slots"))
+    slots = spark.read.parquet(str(tmp_path / "slots"))
+    patterns = table(spark, [("purchase", "buy", 100)], "pattern string, archetype string, floor int")
+    found = audit.floors(slots, audit.archetypes(slots, patterns, "other"), patterns.select("archetype", "floor"), 350)
+    assert {tuple(r) for r in found.groupBy("floor").count().collect()} == {(100, 500), (350, 2500)}
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" in plan
+
+
 # References and names
 
 
