@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyroom.llm.arrays import ALNUM, Words, lean, mix, words_of
-from tallyroom.llm.tables import kept, whole_row
+from tallyroom.llm.tables import counted, kept, observed, whole_row
 
 SHINGLE, BANDS, DEPTH, LEAST, ROUNDS = 5, 16, 4, 0.8, 4
 SLICE_BYTES = 1 << 20
@@ -183,34 +183,30 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return _with(pairs, sets, "set").mapInArrow(lean(run), "a long, b long")
 
 
-def _none(df: DataFrame) -> bool:
-    """Whether a written table has no rows; one job over its footers, where isEmpty would scan in ever larger steps."""
-    return df.agg(F.count("*")).first()[0] == 0
-
-
-def flattened(parents: DataFrame, most: int) -> DataFrame:
-    """node, root: of a forest of (node, parent), parent < node, where every node leads to by pointer jumping."""
+def flattened(parents: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """node, root: of a forest of (node, parent), parent < node, where every node leads to by pointer jumping; and how many nodes have a parent."""
     at = parents.select("node", F.col("parent").alias("root"))
     while True:
         up = at.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = kept(at.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots", most)
+        jumped, seen = observed(at.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root"), "above"), "roots", most, nodes=F.count("*"), moved=F.count("above"))
         at = jumped.select("node", "root")
-        if _none(jumped.where("moved")):
-            return at
+        if not seen["moved"]:
+            return at, seen["nodes"]
 
 
-def merged(roots: DataFrame | None, pairs: DataFrame, most: int) -> DataFrame | None:
-    """node, root after joining the classes of ``pairs`` (a, b): larger roots hook onto the smallest root they meet, and
-    chains are flattened, until no pair connects two roots.  Nodes that are missing are roots of themselves."""
-    pairs = kept(pairs, "links", most)
-    while not _none(pairs):
+def merged(roots: DataFrame | None, pairs: DataFrame, many: int, most: int) -> DataFrame | None:
+    """node, root after joining the classes of ``many`` written ``pairs`` (a, b): larger roots hook onto the smallest root they meet, and
+    chains are flattened, until no pair connects two roots.  Nodes that are missing are roots of themselves.  Where each larger root
+    meets one other root only, hooking follows every pair, so none is left to look for."""
+    hooked = 0
+    while many > hooked:
         if roots is not None:
             a, b = roots.select(F.col("node").alias("a"), F.col("root").alias("x")), roots.select(F.col("node").alias("b"), F.col("root").alias("y"))
             pairs = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-        pairs = kept(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", most)
-        if _none(pairs):
+        pairs, many = counted(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", most)
+        if not many:
             break
-        hooks = flattened(pairs.groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "node"), most)
+        hooks, hooked = flattened(pairs.groupBy("a").agg(F.min("b").alias("parent")).withColumnRenamed("a", "node"), most)
         if roots is None:
             roots = hooks
         else:
@@ -219,12 +215,12 @@ def merged(roots: DataFrame | None, pairs: DataFrame, most: int) -> DataFrame |
     return roots
 
 
-def opened(member: DataFrame, roots: DataFrame | None, most: int) -> DataFrame:
-    """bucket, node, score, label: the members of buckets that hold several classes."""
+def opened(member: DataFrame, roots: DataFrame | None, most: int) -> tuple[DataFrame, int]:
+    """bucket, node, score, label: the members of buckets that hold several classes; and how many they are."""
     known = member if roots is None else member.join(roots, "node", "left")
     known = known.select("bucket", "node", "score", (F.coalesce("root", "node") if roots is not None else F.col("node")).alias("label"))
     several = kept(known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket"), "open", most)
-    return kept(known.join(several, "bucket"), "known", most)
+    return counted(known.join(several, "bucket"), "known", most)
 
 
 def exploded(labelled: DataFrame) -> DataFrame:
@@ -250,8 +246,7 @@ def remaining(labelled: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     A set of n shingles has n - least * n others than those it must share, so among its n - least * n + 1 rarest is a shared one."""
     slack = 1e-6
-    every = kept(exploded(labelled.join(sets, "node")), "shingles")
-    most = every.count()
+    every, most = counted(exploded(labelled.join(sets, "node")), "shingles")
     counts = every.groupBy("shingle").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
     counts = kept(counts.where("x < y").select("shingle", "n"), "counts", most)
     held = every.join(counts, "shingle").groupBy("node", "label", "size").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("held"))
@@ -277,8 +272,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, class_id (the smallest id of its class), kept (whether it is the first document of its class, by id and then by mark),
     mark (a hash of its text): one row per document."""
     rows = _identified(docs, id_col, text_col)
-    told = kept(described(rows, size, bands, depth), "described")
-    total = told.count()
+    told, total = counted(described(rows, size, bands, depth), "described")
     most = total * bands  # bounds the rows of every table below but sets and shingles
     own = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     nodes = kept(told.where("node IS NOT NULL").groupBy("node").agg(F.min(own).alias("best"), F.min("buckets").alias("buckets"), F.min("signs").alias("signs")), "nodes", total)
@@ -292,10 +286,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = kept(shingle_sets(rows.join(wanted, same).select("text", "node"), size).dropDuplicates(["node"]), "sets", SET_FILES * total)
 
     first = member.join(central, "bucket").where("node <> top.node").groupBy("node").agg(F.max("top").alias("top"))
-    roots = merged(None, verified(first.select(F.col("node").alias("a"), F.col("top.node").alias("b")), sets, least), most)
-    known = opened(member.select("bucket", "node", "score"), roots, most)
+    links, many = counted(verified(first.select(F.col("node").alias("a"), F.col("top.node").alias("b")), sets, least), "links", most)
+    roots = merged(None, links, many, most)
+    known, left = opened(member.select("bucket", "node", "score"), roots, most)
     tops = None
     for _ in range(ROUNDS):
+        if not left:
+            break
         rest = known
         if tops is not None:
             past = kept(known.join(tops, ["bucket", "node"]).select("bucket", "label").distinct(), "past", most)
@@ -303,15 +300,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = kept(rest.groupBy("bucket").agg(F.max(F.struct("score", "node", "label")).alias("top")), "tops", most)
         pairs = known.join(new, "bucket").where("label <> top.label").select("node", F.col("top.node").alias("other"))
         pairs = pairs.select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
-        links = kept(verified(possible(pairs, nodes), sets, least), "verified", most)
-        if _none(links):
+        links, many = counted(verified(possible(pairs, nodes), sets, least), "verified", most)
+        if not many:
             break
-        roots = merged(roots, links, most)
+        roots = merged(roots, links, many, most)
         past = new.select("bucket", F.col("top.node").alias("node"))
         tops = past if tops is None else tops.union(past)
-        known = opened(known.drop("label"), roots, most)
-    if not _none(known):
-        roots = merged(roots, verified(remaining(known.select("node", "label").distinct(), sets, least), sets, least), most)
+        known, left = opened(known.drop("label"), roots, most)
+    if left:
+        links, many = counted(verified(remaining(known.select("node", "label").distinct(), sets, least), sets, least), "links", most)
+        roots = merged(roots, links, many, most)
     named = nodes.select("node", "best")
     named = named.withColumn("label", F.col("node")) if roots is None else named.join(roots, "node", "left").select("node", "best", F.coalesce("root", "node").alias("label"))
     first = kept(named.groupBy("label").agg(F.min("best").alias("first")), "classes", total)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,19 @@ def kept(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def observed(df: DataFrame, label: str, rows: int | None = None, **what: Column) -> tuple[DataFrame, dict]:
+    """``kept`` and the sums ``what`` of its rows, taken as they are written: no job of its own reads them again."""
+    seen = Observation()
+    out = kept(df.observe(seen, *(c.alias(k) for k, c in what.items())), label, rows)
+    return out, seen.get
+
+
+def counted(df: DataFrame, label: str, rows: int | None = None) -> tuple[DataFrame, int]:
+    """``kept`` and the number of its rows."""
+    out, seen = observed(df, label, rows, n=F.count("*"))
+    return out, seen["n"]
+
+
 def drop(df: DataFrame) -> None:
     """Delete the table that ``kept`` gave as ``df``.  Only for tables that nothing reads any more: not that by which an executor's loss is mended."""
     spark = df.sparkSession

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tallyroom.llm import decontamination, near_duplicates, repeated_phrases
+from tallyroom.llm.tables import counted
 
 from .conftest import SCHEMA, odd_texts, words
 
@@ -278,6 +279,40 @@ def test_near_duplicates_joins_exactly_what_its_rounds_leave(spark, monkeypatch)
     assert got == classes_by_brute_force(rows)
 
 
+def test_near_duplicates_asks_no_job_for_what_its_writes_have_counted(spark):
+    """Each job costs the driver plans, threads and task events, at a cluster's partitions most."""
+    rng, rows = random.Random(25), []
+    for _ in range(6):
+        text = words(rng, 150)
+        rows += [(len(rows) + k, " ".join(f"u{rng.randrange(9)}" if rng.random() < 0.004 * k else x for x in text)) for k in range(8)]
+    context = spark.sparkContext
+    context.setJobGroup("near duplicates", "near duplicates")
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(documents(spark, rows)).collect()}
+        jobs = len(context.statusTracker().getJobIdsForGroup("near duplicates"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert got == classes_by_brute_force(rows)
+    assert jobs <= 100, jobs
+
+
+def test_classes_of_random_pairs_merge_round_by_round(spark):
+    rng, roots, root = random.Random(26), None, {}
+
+    def find(a):
+        while root.get(a, a) != a:
+            a = root[a]
+        return a
+
+    for n in (40, 25, 1, 0):
+        pairs = [(rng.randrange(1, 90), rng.randrange(1, 90)) for _ in range(n)]
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        links, many = counted(spark.createDataFrame(pairs, "a long, b long"), "links")
+        roots = near_duplicates.merged(roots, links, many, 1000)
+        assert many == n and {r["node"]: r["root"] for r in roots.collect()} == {a: find(a) for a in root if find(a) != a}
+
+
 def test_near_duplicates_links_texts_of_null_ids(spark):
     text = words(random.Random(23), 200)
     rows = [(None, " ".join(text)), (5, " ".join(["first", *text[1:]])), (6, " ".join([*text[:-1], "last"])), (None, "something else altogether for once"), (None, None)]
